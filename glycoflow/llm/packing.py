@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -13,15 +15,28 @@ from pyspark.sql import functions as F
 
 from .common import prepare, stored
 from .kernels import owner, span_hashes, text_bytes, words
+from .spans import byte_kind
 
-#: Distinct words that a task's cache holds at most; beyond, it starts anew.
+#: Distinct words that a worker's cache holds at most (under 100 MB); beyond, it starts anew.
 CACHE = 1_500_000
 #: Sequences that one packing group fills, about.  Groups grow in number with the input, not in size.
 GROUP = 200
 
 
+_LETTER = byte_kind("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+
+
+def _wide_letter(buf: np.ndarray) -> np.ndarray:
+    """Bytes of the letters U+00C0 to U+00FF: 0xC3 and what follows it, but for the signs of multiplication and division."""
+    out = np.zeros(len(buf), bool)
+    lead = np.flatnonzero(buf[:-1] == 0xC3)
+    lead = lead[(buf[lead + 1] != 0x97) & (buf[lead + 1] != 0xB7)]
+    out[lead] = out[lead + 1] = True
+    return out
+
+
 class WordIds:
-    """Token ids of white-space-delimited words, each distinct word of a task tokenised once.
+    """Token ids of white-space-delimited words, each distinct word that a worker remembers tokenised once.
 
     This vocabulary's tokenizer drops white space and no token or merge crosses it, so a text's ids are those of its
     words in order.
@@ -33,11 +48,43 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path or P.path("word_bpe_49k.json"))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
         self.keys, self.start, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def _tokenise(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and numbers of ids of distinct words.
+
+        Words of Latin letters, with a full stop or comma behind them or not, are tokenised many at a time: each is
+        one run of letters, or two runs, and each run's last id is one that ends a word.  The others go one by one.
+        """
+        raw = buf.tobytes()
+        size = ends - starts
+        letters = np.concatenate([[0], np.cumsum(_LETTER[buf] | _wide_letter(buf))])
+        tail = ((buf[ends - 1] == 0x2E) | (buf[ends - 1] == 0x2C)) & (size > 1)
+        plain = letters[ends - tail] - letters[starts] == size - tail
+        n = np.zeros(len(starts), np.int64)
+        simple, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        spans = list(zip(starts[simple].tolist(), ends[simple].tolist()))
+        lines = [b" ".join(raw[a:b] for a, b in spans[i : i + 256]).decode() for i in range(0, len(spans), 256)]
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        joined = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        stops = np.flatnonzero(self.closes[joined])
+        if len(stops) != len(simple) + tail[simple].sum():
+            raise ValueError("this vocabulary doesn't mark the ends of words as expected")
+        word_end = stops[np.cumsum(1 + tail[simple]) - 1] + 1
+        n[simple] = np.diff(word_end, prepend=0)
+        single = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(starts[others].tolist(), ends[others].tolist())], add_special_tokens=False)]
+        n[others] = np.fromiter(map(len, single), np.int64, len(single))
+        flat, at = np.empty(n.sum(), np.uint32), np.repeat(plain, n)
+        flat[at] = joined
+        flat[~at] = np.fromiter(itertools.chain.from_iterable(single), np.uint32, int(n[others].sum()))
+        return flat, n
+
     def encode(self, buf: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch, each document closed by end_id; n + 1 offsets."""
         starts, ends, of = words(buf, off)
@@ -48,11 +95,8 @@ class WordIds:
             if len(self.keys) + len(new) > CACHE:
                 self._clear()
                 new = np.arange(len(keys))
-            raw = buf.tobytes()
-            texts = [raw[s:e].decode() for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))
+            new = new[np.argsort(first[new])]
+            flat, n = self._tokenise(buf, starts[first[new]], ends[first[new]])
             all_keys = np.concatenate([self.keys, keys[new]])
             start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n])
             order = np.argsort(all_keys)
@@ -72,13 +116,19 @@ class WordIds:
         return np.append(self.ids, np.uint32(end_id))[gather], np.concatenate([[0], ends_at[closing]]).astype(np.int64)
 
 
+@functools.cache
+def _word_ids(path: str | None) -> WordIds:
+    """One for each worker process, so that words met in one task needn't be tokenised again in the next."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids: every document's ids, cut only if over capacity."""
     prepare(docs.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordIds(tokenizer)
+        cache = _word_ids(tokenizer)
         for batch in batches:
             ids, off = cache.encode(*text_bytes(batch.column(1)), end_id)
             length = np.diff(off)
