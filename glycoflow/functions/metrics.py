@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BG = F.col("bg_mgdl").cast("double")
+def bg_column() -> Column:
+    return F.col("bg_mgdl").cast("double")
 
 
-def valid_bg(bg: Column = BG) -> Column:
+def valid_bg(bg: Column | None = None) -> Column:
+    bg = bg_column() if bg is None else bg
     return F.nanvl(bg, F.lit(None))
 
 
-def percent(condition: Column, bg: Column = BG, empty: float | None = 0.0) -> Column:
+def percent(condition: Column, bg: Column | None = None, empty: float | None = 0.0) -> Column:
     """Percentage of valid readings that fulfil a condition; `empty` where there are none."""
+    bg = bg_column() if bg is None else bg
     share = F.try_divide(100.0 * F.count_if(condition), F.count(bg))
     return share if empty is None else F.coalesce(share, F.lit(empty))
 
 
-def time_in_bands(bg: Column = BG) -> dict[str, Column]:
+def time_in_bands(bg: Column | None = None) -> dict[str, Column]:
+    bg = bg_column() if bg is None else bg
     return {
         "tbr_level2": percent(bg < 54, bg),
         "tbr_level1": percent((bg >= 54) & (bg < 70), bg),
@@ -47,22 +51,25 @@ def ea1c(mean: Column) -> Column:
     return (mean + 46.7) / 28.7
 
 
-def risk(bg: Column = BG) -> Column:
+def risk(bg: Column | None = None) -> Column:
+    bg = bg_column() if bg is None else bg
     g = F.least(F.greatest(bg, F.lit(20.0)), F.lit(600.0))
     return 1.509 * (F.pow(F.ln(g), F.lit(1.084)) - 5.381)
 
 
-def lbgi(bg: Column = BG) -> Column:
+def lbgi(bg: Column | None = None) -> Column:
+    bg = bg_column() if bg is None else bg
     f = risk(bg)
     return F.coalesce(F.avg(F.when(f < 0, 10 * f * f).otherwise(F.when(bg.isNotNull(), 0.0))), F.lit(0.0))
 
 
-def hbgi(bg: Column = BG) -> Column:
+def hbgi(bg: Column | None = None) -> Column:
+    bg = bg_column() if bg is None else bg
     f = risk(bg)
     return F.coalesce(F.avg(F.when(f > 0, 10 * f * f).otherwise(F.when(bg.isNotNull(), 0.0))), F.lit(0.0))
 
 
-def gri(tbr2: Column, tbr1: Column, tar2: Column, tar1: Column) -> Column:
+def gri(tbr2: Column, tbr1: Column, tar1: Column, tar2: Column) -> Column:
     raw = 3.0 * (tbr2 + 0.8 * tbr1) + 1.6 * (tar2 + 0.5 * tar1)
     return F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0))
 
@@ -71,7 +78,8 @@ def j_index(mean: Column, sd: Column) -> Column:
     return 0.001 * (mean + sd) * (mean + sd)
 
 
-def bg_class(bg: Column = BG) -> Column:
+def bg_class(bg: Column | None = None) -> Column:
+    bg = bg_column() if bg is None else bg
     return F.when(bg < 70, "low").when(bg <= 180, "in_range").when(bg <= 250, "high").when(bg > 250, "very_high")
 
 

@@ -16,7 +16,7 @@ from ..schema import FOOD_CARRYING
 
 def trends(cgm: DataFrame, tz: str, low: float = 70, high: float = 180, very_high: float = 250) -> DataFrame:
     """By local day: shares below, in, above and far above range, mean, n."""
-    bg = m.BG
+    bg = m.bg_column()
     return cgm.groupBy(local_date("timestamp", tz).alias("day")).agg(
         m.percent(bg < low).alias("below_percent"), m.time_in_range(bg, low, high).alias("tir_percent"), m.percent(bg > high).alias("above_percent"), m.percent(bg > very_high).alias("very_high_percent"), F.avg(bg).alias("mean_bg"), F.count(bg).alias("n"),
     )
@@ -24,7 +24,7 @@ def trends(cgm: DataFrame, tz: str, low: float = 70, high: float = 180, very_hig
 
 def tir_windows(cgm: DataFrame, tz: str, end: date, windows: tuple[int, ...] = (7, 14, 30)) -> DataFrame:
     """Time in range over trailing windows of local days: one scan, one row each; null without readings."""
-    bg, rows = m.BG, between(cgm, "timestamp", *window_bounds(end, max(windows), tz))
+    bg, rows = m.bg_column(), between(cgm, "timestamp", *window_bounds(end, max(windows), tz))
     inside = lambda d: F.when(F.col("timestamp") >= F.lit(window_bounds(end, d, tz)[0]), bg)
     one = rows.agg(*(c for d in windows for c in (m.time_in_range(inside(d), 70, 180, None).alias(f"t{d}"), F.count(inside(d)).alias(f"n{d}"))))
     return one.select(F.inline(F.array(*(F.struct(F.lit(d).alias("days"), F.col(f"t{d}").alias("tir_percent"), F.col(f"n{d}").alias("n")) for d in windows))))
@@ -32,14 +32,14 @@ def tir_windows(cgm: DataFrame, tz: str, end: date, windows: tuple[int, ...] = (
 
 def heatmap(cgm: DataFrame, tz: str) -> DataFrame:
     wall = local("timestamp", tz)
-    return cgm.groupBy(F.to_date(wall).alias("day"), F.hour(wall).alias("hour")).agg(F.avg(m.BG).alias("avg_bg"), F.median(m.BG).alias("median_bg"), F.count(m.BG).alias("n"))
+    return cgm.groupBy(F.to_date(wall).alias("day"), F.hour(wall).alias("hour")).agg(F.avg(m.bg_column()).alias("avg_bg"), F.median(m.bg_column()).alias("median_bg"), F.count(m.bg_column()).alias("n"))
 
 
 def heatmap_pivot(cgm: DataFrame, tz: str, days: list[date]) -> DataFrame:
     """Hours by dates, all 24 hours there; medians, named d_YYYYMMDD."""
     rows = between(cgm, "timestamp", window_bounds(days[0], 1, tz)[0], window_bounds(days[-1], 1, tz)[1])
     wall = local("timestamp", tz)
-    cells = rows.select(F.date_format(wall, "yyyyMMdd").alias("d"), F.hour(wall).alias("hour"), m.BG.alias("bg"))
+    cells = rows.select(F.date_format(wall, "yyyyMMdd").alias("d"), F.hour(wall).alias("hour"), m.bg_column().alias("bg"))
     wide = cells.groupBy("hour").pivot("d", [f"{d:%Y%m%d}" for d in days]).agg(F.median("bg"))
     hours = cgm.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
     return hours.join(wide, "hour", "left").select("hour", *(F.col(f"{d:%Y%m%d}").alias(f"d_{d:%Y%m%d}") for d in days))
@@ -58,7 +58,7 @@ def day_search(cgm: DataFrame, alarms: DataFrame, tz: str, tir_below: float | No
 
     total counts all matching days.  A page beyond the last has no rows, and so no total.
     """
-    days = cgm.groupBy(local_date("timestamp", tz).alias("day")).agg(m.time_in_range(m.BG, 70, 180).alias("tir_percent"), F.count_if(m.BG < 70).alias("low_count"))
+    days = cgm.groupBy(local_date("timestamp", tz).alias("day")).agg(m.time_in_range(m.bg_column(), 70, 180).alias("tir_percent"), F.count_if(m.bg_column() < 70).alias("low_count"))
     rings = alarms.groupBy(local_date("timestamp", tz).alias("day")).agg(F.count_if(F.col("action") == "activated").alias("alarm_count"))
     got = days.join(rings, "day", "left").fillna({"alarm_count": 0})
     for column, value, keep in (("tir_percent", tir_below, lambda c, v: c < v), ("low_count", min_low, lambda c, v: c >= v), ("alarm_count", min_alarms, lambda c, v: c >= v)):
@@ -83,7 +83,7 @@ def status(cgm: DataFrame, alarms: DataFrame, now: Column, fresh: float = 15, st
 
 def day_summary(frames: dict[str, DataFrame], tz: str) -> DataFrame:
     """By local day: readings, insulin by both basal rules, carbs by both rules, alarms by both rules."""
-    day, bg = local_date("timestamp", tz).alias("day"), m.BG
+    day, bg = local_date("timestamp", tz).alias("day"), m.bg_column()
     out = frames["cgm"].groupBy(day).agg(m.time_in_range(bg, 70, 180).alias("tir_percent"), F.avg(bg).alias("mean_bg"), F.min("bg_mgdl").alias("min_bg"), F.max("bg_mgdl").alias("max_bg"), F.coalesce(F.stddev_samp(bg), F.lit(0.0)).alias("sd_bg"), F.count(bg).alias("readings"))
     shots = frames["bolus"].groupBy(day).agg(F.sum("insulin_units").alias("bolus_units"), F.count(F.lit(1)).alias("bolus_count"))
     exact, rough = (basal_units(frames["basal"], tz, a).groupBy("day").agg(F.sum("basal_units").alias(n)) for a, n in ((False, "basal_units"), (True, "basal_units_5min")))
@@ -98,7 +98,7 @@ def day_summary(frames: dict[str, DataFrame], tz: str) -> DataFrame:
 def compare_days(cgm: DataFrame, tz: str, a: date, b: date) -> DataFrame:
     """Mean readings of two local days by minute of day, whichever of the two has one."""
     wall = local("timestamp", tz)
-    side = lambda d, name: between(cgm, "timestamp", *window_bounds(d, 1, tz)).groupBy(minute_of_day(wall).alias("minute")).agg(F.avg(m.BG).alias(name))
+    side = lambda d, name: between(cgm, "timestamp", *window_bounds(d, 1, tz)).groupBy(minute_of_day(wall).alias("minute")).agg(F.avg(m.bg_column()).alias(name))
     return side(a, "bg_a").join(side(b, "bg_b"), "minute", "full")
 
 
@@ -119,7 +119,7 @@ def series_breaks(cgm: DataFrame, minutes: int = 15) -> DataFrame:
     """Readings after which a line is broken: the next is further away."""
     w = Window.partitionBy("pump_serial").orderBy("timestamp", "seqnum")
     gap = F.unix_seconds("timestamp") - F.unix_seconds(F.lag("timestamp").over(w))
-    return cgm.withColumn("is_break", F.coalesce(gap > minutes * 60, F.lit(False))).withColumn("bg_class", m.bg_class(m.BG))
+    return cgm.withColumn("is_break", F.coalesce(gap > minutes * 60, F.lit(False))).withColumn("bg_class", m.bg_class(m.bg_column()))
 
 
 def clipped(intervals: DataFrame, start: str, end: str, tz: str, day: date) -> DataFrame:

@@ -405,13 +405,13 @@ def alert_retries(s, p):
 def day_sanity(s, p):
     since, until = window_bounds(date(2024, 1, 10), 1, TZ)
     c = between(d.cgm(s, p), "timestamp", since, until)
-    return c.groupBy("pump_serial").agg(F.count(F.lit(1)).alias("n"), F.avg("bg_mgdl").alias("mean_bg"), F.min("bg_mgdl").alias("min_bg"), F.max("bg_mgdl").alias("max_bg"), m.time_in_range(m.BG, 70, 180).alias("tir_percent"), (100.0 * F.count(F.lit(1)) / 288).alias("coverage_percent"))
+    return c.groupBy("pump_serial").agg(F.count(F.lit(1)).alias("n"), F.avg("bg_mgdl").alias("mean_bg"), F.min("bg_mgdl").alias("min_bg"), F.max("bg_mgdl").alias("max_bg"), m.time_in_range(m.bg_column(), 70, 180).alias("tir_percent"), (100.0 * F.count(F.lit(1)) / 288).alias("coverage_percent"))
 
 
 @query
 def day_digest(s, p):
     f, day = d.frames(s, p), local_date("timestamp", TZ).alias("day")
-    c = f["cgm"].groupBy(day).agg(m.time_in_range(m.BG, 70, 180, None).alias("tir_percent"), F.avg(m.BG).alias("mean_bg"), F.count(m.BG).alias("readings"))
+    c = f["cgm"].groupBy(day).agg(m.time_in_range(m.bg_column(), 70, 180, None).alias("tir_percent"), F.avg(m.bg_column()).alias("mean_bg"), F.count(m.bg_column()).alias("readings"))
     b = f["bolus"].groupBy(day).agg(F.sum("insulin_units").alias("bolus_units"))
     return c.join(b, "day", "left").fillna({"bolus_units": 0.0})
 

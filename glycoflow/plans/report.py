@@ -21,7 +21,7 @@ def cgm_report(cgm: DataFrame, since: datetime, until: datetime, tz: str, group:
     """
     rows = between(cgm, "timestamp", since, until)
     rows = rows.withColumn("grp", F.col(group) if group else F.lit("all"))
-    bg, bands = m.BG, m.time_in_bands()
+    bg, bands = m.bg_column(), m.time_in_bands()
     expected = expected_readings(since, until)
     one = rows.groupBy("grp").agg(
         F.count("bg_mgdl").alias("n_readings"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.when(bg.isNotNull(), local_date("timestamp", tz))).alias("n_days"),
@@ -34,7 +34,7 @@ def cgm_report(cgm: DataFrame, since: datetime, until: datetime, tz: str, group:
     one = one.select(
         "*", F.lit(expected).cast("long").alias("n_expected"), active.alias("active_percent"), ((F.col("n_days") >= MIN_DAYS) & (active >= MIN_ACTIVE)).alias("sufficient"),
         m.cv_percent(F.col("mean_bg"), F.col("sd_bg")).alias("cv_percent"), F.when(enough, m.gmi(F.col("mean_bg"))).alias("gmi"), F.when(some, m.ea1c(F.col("mean_bg"))).alias("ea1c"),
-        F.when(enough, m.gri(F.col("tbr_level2"), F.col("tbr_level1"), F.col("tar_level2"), F.col("tar_level1"))).alias("gri"), m.j_index(F.col("mean_bg"), F.col("sd_bg")).alias("j_index"),
+        F.when(enough, m.gri(F.col("tbr_level2"), F.col("tbr_level1"), F.col("tar_level1"), F.col("tar_level2"))).alias("gri"), m.j_index(F.col("mean_bg"), F.col("sd_bg")).alias("j_index"),
     )
     one = one.withColumn("cv_stable", F.col("cv_percent") <= 36).withColumn("lbgi", F.when(some, F.col("lbgi"))).withColumn("hbgi", F.when(some, F.col("hbgi")))
     known = rows.where("bg_mgdl is not null")
