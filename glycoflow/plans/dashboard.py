@@ -115,6 +115,13 @@ def local_peaks(cgm: DataFrame, high: float = 180, reach: int = 3) -> DataFrame:
     return cgm.withColumn("top", F.max("bg_mgdl").over(w.rowsBetween(-reach, reach))).where((F.col("bg_mgdl") == F.col("top")) & (F.col("bg_mgdl") > high)).drop("top")
 
 
+def downward_crossings(cgm: DataFrame, levels: tuple[float, ...] = (180, 250)) -> DataFrame:
+    """Readings with which the series falls to a level or below, one row for each level."""
+    w = Window.partitionBy("pump_serial").orderBy("timestamp", "seqnum")
+    rows = cgm.withColumn("before", F.lag("bg_mgdl").over(w)).withColumn("level", F.explode(F.array(*(F.lit(float(x)) for x in levels))))
+    return rows.where((F.col("before") > F.col("level")) & (F.col("bg_mgdl") <= F.col("level"))).select("pump_serial", "seqnum", "timestamp", "level", "before", "bg_mgdl")
+
+
 def series_breaks(cgm: DataFrame, minutes: int = 15) -> DataFrame:
     """Readings after which a line is broken: the next is further away."""
     w = Window.partitionBy("pump_serial").orderBy("timestamp", "seqnum")

@@ -81,6 +81,11 @@ def _with(sql: str, *more: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join((BASE, *more))} {sql}"
 
 
+_OC = (
+    "o0 AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY pump ORDER BY ts, seqnum)) <= 10800 THEN 0 ELSE 1 END AS nw FROM alarms WHERE name = 'OcclusionAlarm' AND action = 'activated')",
+    "o1 AS (SELECT *, sum(nw) OVER (PARTITION BY pump ORDER BY ts, seqnum) AS ses FROM o0)",
+    "oc AS (SELECT pump, ses, min(ts) AS f, max(ts) AS g, count(*) AS n FROM o1 GROUP BY pump, ses HAVING count(*) >= 2)",
+)
 _SPINE = "CAST(unnest(generate_series(TIMESTAMP '2023-12-30', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day"
 ORACLE_SQL: dict[str, str] = {
     "cgm_report_pooled": _report("'all'"),
@@ -104,7 +109,7 @@ ORACLE_SQL: dict[str, str] = {
  CASE WHEN s.k % 4 = 0 THEN a.id END AS alarm_id, CASE WHEN s.k % 4 = 0 THEN a.name END AS alarm_name FROM sus s LEFT JOIN (SELECT pump, ts, arg_min(k, seqnum) AS id, arg_min(name, seqnum) AS name FROM alarms GROUP BY pump, ts) a ON a.pump = s.pump AND a.ts = s.s"""),
     "site_changes_forced": _with(f"SELECT pump AS pump_serial, seqnum, {_T('ts')} AS timestamp, 'site_change' AS event_type, sub AS event_subtype, forced AS forced_by_alarm FROM forced"),
     "site_issues": _with(f"""SELECT pump AS pump_serial, {_T('f')} AS first_occlusion_ts, {_T('g')} AS last_occlusion_ts, n AS occlusion_count, {_T('r')} AS resolved_by_site_change_ts, round((epoch_us(r) - epoch_us(g))/60e6,4) AS resolution_delay_minutes FROM (SELECT *, (SELECT min(x.ts) FROM forced x WHERE x.pump = c.pump AND x.ts > c.g AND NOT x.forced) AS r FROM oc c)""",
-        "o0 AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY pump ORDER BY ts, seqnum)) <= 10800 THEN 0 ELSE 1 END AS nw FROM alarms WHERE name = 'OcclusionAlarm' AND action = 'activated')", "o1 AS (SELECT *, sum(nw) OVER (PARTITION BY pump ORDER BY ts, seqnum) AS ses FROM o0)", "oc AS (SELECT pump, ses, min(ts) AS f, max(ts) AS g, count(*) AS n FROM o1 GROUP BY pump, ses HAVING count(*) >= 2)"),
+        *_OC),
     "cgm_gaps": _with(f"SELECT pump AS pump_serial, {_T('s')} AS start_ts, {_T('e')} AS end_ts, round((epoch_us(e) - epoch_us(s))/60e6,4) AS duration_minutes, e IS NULL AS ongoing FROM gaps"),
     "modd_by_pump": _with("SELECT grp AS pump_serial, round(modd,4) AS modd FROM modd", "rows AS (SELECT *, pump AS grp FROM cgm)", _MODD),
     "conga_1h": _with("SELECT DISTINCT c.pump AS pump_serial, round(conga,4) AS conga FROM cgm c LEFT JOIN conga g ON g.grp = c.pump", "rows AS (SELECT *, pump AS grp FROM cgm)", _CONGA),
@@ -129,6 +134,9 @@ ORACLE_SQL: dict[str, str] = {
     "bolus_clusters": _with(f"SELECT pump AS pump_serial, {_T('f')} AS first_ts, {_T('c')} AS centre_ts, round(u,4) AS total_units, n FROM bc", _CLUS),
     "cluster_requests": _with(f"SELECT bc.pump AS pump_serial, {_T('c')} AS centre_ts, CAST(sum(carbs) AS BIGINT) AS carbs_g, arg_max(cat, (coalesce(total,-1), seqnum)) AS top_category, count(*) AS n_requests FROM bc JOIN req r ON r.pump = bc.pump AND r.ts BETWEEN c - INTERVAL 5 MINUTE AND c + INTERVAL 5 MINUTE GROUP BY bc.pump, c", _CLUS),
     "local_peaks": _with(f"SELECT pump AS pump_serial, seqnum, {_T('ts')} AS timestamp, bg AS bg_mgdl FROM (SELECT *, max(bg) OVER (PARTITION BY pump ORDER BY ts, seqnum ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS top FROM cgm) WHERE bg = top AND bg > 180"),
+    "downward_crossings": _with(f"SELECT pump AS pump_serial, seqnum, {_T('ts')} AS timestamp, CAST(level AS DOUBLE) AS level, b AS before, bg AS bg_mgdl FROM (SELECT *, lag(bg) OVER (PARTITION BY pump ORDER BY ts, seqnum) AS b FROM cgm) JOIN (VALUES (180),(250)) v(level) ON b > level AND bg <= level"),
+    "day_slice_counts": _with(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {src} WHERE ts >= TIMESTAMP '2024-01-10 08:00:00' AND ts < TIMESTAMP '2024-01-11 08:00:00'" for n, src in (("cgm", "cgm"), ("bolus", "bolus"), ("requests", "req"), ("basal", "basal"), ("alarms", "alarms"), ("events", "sites"))) + " UNION ALL " + " UNION ALL ".join(f"SELECT '{n}', count(*) FROM {src} WHERE {a} < TIMESTAMP '2024-01-11 08:00:00' AND ({b} IS NULL OR {b} >= TIMESTAMP '2024-01-10 08:00:00')" for n, src, a, b in (("suspension", "sus", "s", "e"), ("cgm_gaps", "gaps", "s", "e"), ("site_issues", "(SELECT *, (SELECT min(x.ts) FROM forced x WHERE x.pump = c.pump AND x.ts > c.g AND NOT x.forced) AS r FROM oc c)", "f", "r"))), *_OC),
+    "table_bounds": _with(f"SELECT {_T('min(t)')} AS first_ts, {_T('max(t)')} AS last_ts FROM (SELECT ts AS t FROM cgm UNION ALL SELECT ts FROM bolus UNION ALL SELECT ts FROM req UNION ALL SELECT ts FROM basal UNION ALL SELECT ts FROM alarms UNION ALL SELECT s FROM sus UNION ALL SELECT s FROM gaps UNION ALL SELECT f FROM oc)", *_OC),
     "series_breaks": _with("SELECT CASE WHEN bg < 70 THEN 'low' WHEN bg <= 180 THEN 'in_range' WHEN bg <= 250 THEN 'high' ELSE 'very_high' END AS bg_class, b AS is_break, count(*) AS n FROM (SELECT bg, coalesce(t - lag(t) OVER (PARTITION BY pump ORDER BY ts, seqnum) > 900, false) AS b FROM cgm) GROUP BY 1, 2"),
     "gaps_on_day": _with(f"SELECT pump AS pump_serial, {_T('s')} AS start_ts, round(epoch(greatest(s, TIMESTAMP '2024-01-10 08:00:00') - TIMESTAMP '2024-01-10 08:00:00')/60,4) AS start_minute, round(epoch(least(coalesce(e, TIMESTAMP '2024-01-11 08:00:00'), TIMESTAMP '2024-01-11 08:00:00') - TIMESTAMP '2024-01-10 08:00:00')/60,4) AS end_minute FROM gaps WHERE s < TIMESTAMP '2024-01-11 08:00:00' AND (e IS NULL OR e >= TIMESTAMP '2024-01-10 08:00:00')"),
     "suspensions_overlapping": _with(f"SELECT pump AS pump_serial, {_T('s')} AS suspend_timestamp, {_T('e')} AS resume_timestamp FROM sus WHERE s < TIMESTAMP '2024-01-06 08:00:00' AND (e IS NULL OR e >= TIMESTAMP '2024-01-01 08:00:00')"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date, datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from ..operators.agp import hourly, profile
 from ..operators.joins import range_join
 from ..operators.variability import conga, mage, modd
 from ..sources import driver_tables as d
-from . import dashboard
+from . import dashboard, sync
 from .report import cgm_report
 
 CONFIG = Config()
@@ -213,6 +214,23 @@ def local_peaks(s, p):
     return dashboard.local_peaks(d.cgm(s, p)).drop("backfilled")
 
 
+@query
+def downward_crossings(s, p):
+    return dashboard.downward_crossings(d.cgm(s, p))
+
+
+@query
+def day_slice_counts(s, p):
+    """Rows of each table on one local day."""
+    parts = sync.day_slice(d.frames(s, p), date(2024, 1, 10), TZ)
+    return reduce(DataFrame.unionByName, [df.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n, df in parts.items()])
+
+
+@query
+def table_bounds(s, p):
+    return sync.time_bounds({n: f for n, f in d.frames(s, p).items() if n != "events"})
+
+
 @query
 def series_breaks(s, p):
     return dashboard.series_breaks(d.cgm(s, p)).groupBy("bg_class", "is_break").agg(F.count(F.lit(1)).alias("n"))
