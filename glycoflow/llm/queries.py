@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontamination import decontaminate
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
+from .oracle import ORACLE_SQL
 from .packing import pack
 from .pii import find_pii
 from .quality_classifier import quality_scores
@@ -18,6 +19,8 @@ from .secrets import scan_secrets
 from .substring_dedup import dedup_substrings
 from .url_filter import filter_urls
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 #: Rules of op3: the longest that fits a url decides.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -73,9 +76,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", F.col("n_words_").alias("n_words"), F.col("n_hit_").alias("n_hit"), F.col("n_items_").alias("n_items"), F.sha2(F.array_join("items_", ","), 256).alias("items_sha256"), (F.col("n_hit_") > 0).alias("contaminated"))
 
 
-#: None of the ten has a SQL form that is quick enough on whole tables, or any; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {}
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_substring_dedup, op2_pii, op3_url_filter, op4_quality_classifier, op5_quality_rules, op6_packing, op7_secrets, op8_line_dedup, op9_minhash, op10_decontamination)
