@@ -12,6 +12,9 @@
    is ever gathered whole.  In a run, samples estimate all similarities; each document keeps its likeliest partners
    and the run's maximum spanning tree, which keeps whatever is connected connected.
 4. Candidates are verified on whole shingle sets; links become classes by repeated large and small stars.
+5. Buckets of which a run proposed only some pairs, or that two tasks may share, are then searched whole for pairs of
+   documents that are in different classes so far, in cells of two blocks each; likely ones are verified as well.  So
+   the classes are those of all pairs that share a bucket and whose samples agree enough, whatever a bucket's size.
 """
 
 from __future__ import annotations
@@ -217,7 +220,10 @@ def _bucket_pairs(sig: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _runs(bucket: int):
-    """Pairs from rows sorted by key and samples: runs of one key, long ones cut with a quarter of overlap."""
+    """Pairs from rows sorted by key and samples: runs of one key, long ones cut with a quarter of overlap.
+
+    Rows with a key and no pair are the buckets that this doesn't settle: long ones, and the first and last of a task.
+    """
 
     def run_pairs(ids: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         got = np.array(list(_bucket_pairs(sig)), np.int64).reshape(-1, 2)
@@ -225,13 +231,18 @@ def _runs(bucket: int):
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sig = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, SAMPLES), np.uint8)
+        ends: list[int] = []
         for batch in itertools.chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                at_ends = batch.column("key")[0].as_py(), batch.column("key")[-1].as_py()
+                ends = [ends[0] if ends else at_ends[0], at_ends[1]]
             if batch is not None:
                 key = np.append(key, batch.column("key").to_numpy())
                 ids = np.append(ids, batch.column("doc_id").to_numpy())
                 sig = np.concatenate([sig, np.frombuffer(b"".join(batch.column("order").to_pylist()), np.uint8).reshape(-1, SAMPLES)])
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
             size = np.diff(np.append(cuts, len(key)))
+            unsettled = key[cuts[(size > SMALL) | (size >= bucket)]]
             done = len(cuts) - (batch is not None)  # the last run may go on
             two = cuts[:done][size[:done] == 2]
             likely = two[(sig[two] == sig[two + 1]).sum(1) >= ESTIMATE * SAMPLES]
@@ -250,23 +261,37 @@ def _runs(bucket: int):
                 rest = int(cuts[-1])
             key, ids, sig = key[rest:], ids[rest:], sig[rest:]
             a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            if batch is None:
+                unsettled = np.append(unsettled, np.array(ends, np.int64))
+            none = pa.nulls(len(unsettled), pa.int64())
+            cols = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(cols, [none, none, pa.array(unsettled)])], ["a", "b", "key"])
 
     return pairs
 
 
-def _candidates(sketches: DataFrame, bucket: int) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b."""
+def _singles(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The smallest id of each group of equal sketches, with its sketch; the others as pairs (a, b) with it."""
     alike = stored(sketches.groupBy("sig").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1"), "alike")
-    same = sketches.join(alike.hint("merge"), "sig").where("a < doc_id").select("a", F.col("doc_id").alias("b"))
-    rows = sketches.join(stored(same, "same").select(F.col("b").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_anti").select("doc_id", "sig", F.posexplode("bands").alias("band", "key"))
+    same = stored(sketches.join(alike.hint("merge"), "sig").where("a < doc_id").select("a", F.col("doc_id").alias("b")), "same")
+    return sketches.join(same.select(F.col("b").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_anti"), same
+
+
+def _proposed(sketches: DataFrame, bucket: int) -> DataFrame:
+    """Candidate pairs (a, b), a < b, from all runs, and keys of the buckets of which that aren't all likely pairs."""
+    rows = sketches.select("doc_id", "sig", F.posexplode("bands").alias("band", "key"))
     # Samples in the order that begins after the band's own: a rotation, so agreement between two rows of one band is unchanged.
     turned = F.concat(F.expr(f"substring(sig, (band + 1) * {ROWS} + 1, {SAMPLES})"), F.expr(f"substring(sig, 1, (band + 1) * {ROWS})"))
     dealt = rows.select("doc_id", "key", turned.alias("order"))
     n = max(12, -(-sketches.count() * BANDS // 100_000))
     ordered = dealt.repartitionByRange(n, "key", "order").sortWithinPartitions("key", "order", "doc_id")
-    pairs = ordered.mapInArrow(_runs(bucket), "a long, b long").where("a < b")
-    return pairs.unionByName(same).distinct()
+    return ordered.mapInArrow(_runs(bucket), "a long, b long, key long").where("key is not null or a < b").distinct()
+
+
+def _candidates(sketches: DataFrame, bucket: int) -> DataFrame:
+    """Distinct candidate pairs (a, b), a < b, of runs."""
+    single, same = _singles(sketches)
+    return _proposed(single, bucket).where("key is null").select("a", "b").unionByName(same).distinct()
 
 
 def _vectors(texts: DataFrame) -> DataFrame:
@@ -279,10 +304,8 @@ def _vectors(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(vectors, "doc_id long, h binary")
 
 
-def _links(pairs: DataFrame, texts: DataFrame, weights, similarity: float) -> DataFrame:
+def _links(pairs: DataFrame, vectors: DataFrame, weights, similarity: float) -> DataFrame:
     """The candidate pairs whose weighted Jaccard similarity over whole texts is high enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    vectors = stored(_vectors(texts.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")), "vectors")
 
     def read(h: bytes) -> tuple[np.ndarray, np.ndarray]:
         keys = np.cumsum(unpack_ints(h, np.uint64), dtype=np.uint64)
@@ -303,6 +326,63 @@ def _links(pairs: DataFrame, texts: DataFrame, weights, similarity: float) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ah", "bh").mapInArrow(verify, "a long, b long")
 
 
+#: Rows of one bucket that a block holds, about; a task holds two blocks.
+BLOCK = 500
+
+
+def _across(rows: DataFrame, vectors: DataFrame, weights, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between different classes, from all likely pairs of rows (doc_id, sig, bands, key, class_id) with one key.
+
+    Each bucket's rows are dealt to blocks by a hash of their ids, large classes to blocks of their own.  Every two
+    blocks are compared in a cell of their own, unless both hold the same one class.  No pairs leave a cell, only links.
+    """
+    some = rows.groupBy("key").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x < y").select("key")
+    per = rows.groupBy("key", "class_id").agg(F.count(F.lit(1)).alias("m")).join(some, "key", "left_semi")
+    own = F.when(F.col("m") > block, F.col("class_id"))
+    per = stored(per.select("key", "class_id", own.isNotNull().alias("pure"), F.coalesce(own, F.lit(0)).alias("of"), "m"), "classes")
+    shares = stored(per.groupBy("key", "pure", "of").agg(F.ceil(F.sum("m") / block).cast("int").alias("n")), "shares")
+    blocks = shares.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.struct("pure", "of", "salt").alias("block"))
+    left, right = blocks.withColumnRenamed("block", "l"), blocks.withColumnRenamed("block", "r")
+    cells = left.join(right, "key").where("l <= r and not (l.pure and r.pure and l.of = r.of)")
+    sides = stored(cells.select("key", "l", "r", F.explode(F.expr("if(l = r, array(l), array(l, r))")).alias("block")), "cells")
+    dealt = rows.join(per.select("key", "class_id", "pure", "of"), ["key", "class_id"]).join(shares, ["key", "pure", "of"])
+    dealt = dealt.select("doc_id", "sig", "bands", "key", "class_id", F.struct("pure", "of", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int").alias("salt")).alias("block"))
+    least = int(np.ceil(ESTIMATE * SAMPLES))
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, of, key = t["doc_id"].to_numpy(), t["class_id"].to_numpy(), t["key"][0].as_py()
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, SAMPLES)
+        bands = np.array(t["bands"].to_pylist(), np.int64)
+        sets = [np.cumsum(unpack_ints(h, np.uint64), dtype=np.uint64) for h in t["h"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        off = np.concatenate([[0], np.cumsum(size)])
+        keys, at = np.unique(np.concatenate(sets), return_inverse=True)
+        w, mark = weights.value.of(keys), np.zeros(len(keys))
+        total = np.bincount(np.repeat(np.arange(len(sets)), size), w[at], minlength=len(sets))
+        second = t["second"].to_numpy()
+        y = np.flatnonzero(second) if second.any() else np.arange(len(ids))
+        out = []
+        for i in np.flatnonzero(~second).tolist():
+            j = y[(of[y] != of[i]) & (second[y] | (ids[y] > ids[i]))]
+            j = j[(sig[j] == sig[i]).sum(1) >= least]
+            # Of several buckets that two share, the first tells.
+            j = j[bands[j, (bands[j] == bands[i]).argmax(1)] == key]
+            mark[at[off[i] : off[i + 1]]] = w[at[off[i] : off[i + 1]]]
+            for b in (j[k : k + 64] for k in range(0, len(j), 64)):
+                n = size[b]
+                take = np.repeat(off[b] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.bincount(np.repeat(np.arange(len(b)), n), mark[at[take]], minlength=len(b))
+                out += [(ids[i], ids[x], of[i], of[x]) for x in b[both >= similarity * (total[i] + total[b] - both) * (1 - 1e-12)]]
+            mark[at[off[i] : off[i + 1]]] = 0
+        # One link tells that two classes are one.
+        links = {(min(p, q), max(p, q)): (a, b) for a, b, p, q in out}.values()
+        got = np.array(list(links), np.int64).reshape(-1, 2)
+        return pa.table({"a": got.min(1) if len(got) else got[:, 0], "b": got.max(1) if len(got) else got[:, 1]})
+
+    met = dealt.join(sides, ["key", "block"]).select("doc_id", "sig", "bands", "class_id", "key", "l", "r", (F.col("block") != F.col("l")).alias("second"))
+    return met.join(vectors, "doc_id").groupBy("key", "l", "r").applyInArrow(compare, "a long, b long").distinct()
+
+
 def classes(links: DataFrame, most: int = 60) -> DataFrame:
     """Connected components: (doc_id, class_id), the smallest id of each, for all ids with a link.
 
@@ -343,8 +423,18 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bucket: int = 1000
     first = stored(sketches.groupBy("whole").agg(F.min("doc_id").alias("first")), "first")
     members = stored(sketches.join(first.hint("merge"), "whole").select("doc_id", "first"), "members")
     single = sketches.join(members.where("doc_id = first").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-    pairs = stored(_candidates(stored(single.select("doc_id", "sig", "bands"), "singles"), bucket), "pairs")
-    found = classes(_links(pairs, texts, weights, similarity).unionByName(_repeated(members)))
+    single, same = _singles(stored(single.select("doc_id", "sig", "bands"), "singles"))
+    single = stored(single, "sketched")
+    proposed = stored(_proposed(single, bucket), "proposed")
+    pairs = stored(proposed.where("key is null").select("a", "b").unionByName(same).distinct(), "pairs")
+    unsettled = proposed.where("key is not null").select("key")
+    open_rows = stored(single.select("doc_id", "sig", "bands", F.explode("bands").alias("key")).join(unsettled, "key", "left_semi"), "open")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(open_rows.select("doc_id")).distinct()
+    vectors = stored(_vectors(texts.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")), "vectors")
+    found = stored(classes(_links(pairs, vectors, weights, similarity).unionByName(_repeated(members))), "found")
+    rest = open_rows.join(found, "doc_id", "left").select("doc_id", "sig", "bands", "key", F.coalesce("class_id", "doc_id").alias("class_id"))
+    more = stored(_across(stored(rest, "rest"), vectors, weights, similarity), "more")
+    found = classes(found.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).unionByName(more))
     linked = found.select(F.col("doc_id").alias("first"), "class_id")
     of = members.join(linked, "first", "left").select("doc_id", F.coalesce("class_id", "first").alias("class_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     all_ids = texts.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"))

@@ -140,6 +140,26 @@ def test_large_buckets_are_banded_again(spark):
     assert {r["class_id"] for r in classes(_candidates(same, 20)).collect()} == {0}
 
 
+def test_long_runs_are_searched_across(spark):
+    """A link between rows a run apart isn't proposed; its bucket is named as unsettled, and cells of blocks find it."""
+    import numpy as np
+    import pyarrow as pa
+
+    from glycoflow.llm import minhash
+    from glycoflow.llm.kernels import pack_ints
+
+    sig, n = bytes(48), 60
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "key": [7] * n, "order": [sig] * n})
+    got = pa.Table.from_batches(minhash._runs(20)([batch])).to_pylist()
+    assert (29, 50) not in {(x["a"], x["b"]) for x in got} and 7 in {x["key"] for x in got}
+    rows = [(i, sig, [7] * 12, 7, i // 30 * 30) for i in range(n)]
+    keys = [np.arange(20, dtype=np.uint64) + np.uint64(1000 * (29 if i == 50 else i)) for i in range(n)]
+    vectors = [(i, pack_ints(np.diff(k, prepend=np.uint64(0)))) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "doc_id long, sig binary, bands array<long>, key long, class_id long")
+    links = minhash._across(df, spark.createDataFrame(vectors, "doc_id long, h binary"), spark.sparkContext.broadcast(Weights(1, {})), 0.8, block=10)
+    assert {(x["a"], x["b"]) for x in links.collect()} == {(29, 50)}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)]
     got = {r["doc_id"]: r["class_id"] for r in classes(spark.createDataFrame(chain, "a long, b long")).collect()}
