@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .kernels import pack_ints, unpack_ints
 
 TEXT_MB = 8  # of text in a block that one group holds
 
@@ -41,8 +45,13 @@ def blocks_for(n_bytes: int, mb: float = TEXT_MB, least: int = 61) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is set (tests), a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark.sparkContext.applicationId)
+    """The folder that driver and executors share; where none is set, one of its own, if all runs on this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_dir(spark.sparkContext.applicationId)
 
 
 @functools.cache
@@ -55,4 +64,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables from which nothing is read any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def summed(parts: DataFrame, dtype: type) -> dict[int, np.ndarray]:
+    """Adds up packed arrays (key int, part int, sums binary) of equal length by key.
+
+    First within each of 64 shares of the parts, then over these: a group holds one short array of each part in its
+    share, and the driver gets one array a key, whatever the number of parts.
+    """
+
+    def add(t: pa.Table) -> pa.Table:
+        total = functools.reduce(np.add, (unpack_ints(x, dtype) for x in t["sums"].to_pylist()))
+        return t.slice(0, 1).set_column(2, "sums", pa.array([pack_ints(total)]))
+
+    ddl = "key int, part int, sums binary"
+    some = parts.withColumn("part", F.pmod("part", F.lit(64))).groupBy("key", "part").applyInArrow(add, ddl)
+    return {r["key"]: unpack_ints(r["sums"], dtype) for r in some.groupBy("key").applyInArrow(add, ddl).collect()}

@@ -6,15 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored
-from .kernels import PLAIN, mix, owner, per_text, span_hashes, text_bytes, words
+from .common import prepare, stored, summed
+from .kernels import PLAIN, mix, owner, pack_ints, per_text, span_hashes, text_bytes, words
 from .line_dedup import lines
 from .spans import byte_kind
 
-N_FEATURES, PARTS, BINS = 256, 32, 512
+N_FEATURES, FOLDS, BINS = 256, 5, 512
+#: Labelled rows of which one task sums the normal equations; such sums are added up by PIECES pieces of the triangle.
+PER_TASK, PIECES = 50_000, 32
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 _UPPER, _DIGIT = byte_kind("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), byte_kind("0123456789")
 _SYMBOL, _MARK = byte_kind("#*$%&|<>!@^~=+_{}[]\\"), byte_kind(".,;:?'\"()-")
@@ -73,13 +76,57 @@ def _isotonic(good: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(m), g / k) for g, k, m in stack]) if stack else np.zeros(0)
 
 
+def _features(batch: pa.RecordBatch, scale: tuple[np.ndarray, np.ndarray], width: float) -> np.ndarray:
+    return _fourier(np.stack([batch.column(s).to_numpy() for s in STATS], 1), scale, width, N_FEATURES)
+
+
+def _normal_sums(train: DataFrame, n_rows: int, scale: tuple[np.ndarray, np.ndarray], width: float, base: float) -> np.ndarray:
+    """Sums of z z' over the labelled rows of each fold, z being the features and the centred label.
+
+    A task sums its rows and emits the upper triangle in pieces; Spark adds these up in two steps, so what reaches
+    the driver is FOLDS triangles, 1.4 MB at any size and number of partitions.
+    """
+    d = N_FEATURES + 2
+    upper = np.triu_indices(d)
+    cuts = np.linspace(0, len(upper[0]), PIECES + 1).astype(int)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, part = np.zeros((FOLDS, d, d)), TaskContext.get().partitionId()
+        for b in batches:
+            z = np.concatenate([_features(b, scale, width), (b.column("y").to_numpy() - base)[:, None]], 1)
+            fold = b.column("fold").to_numpy()
+            for k in np.unique(fold):
+                mine = z[fold == k]
+                sums[k] += mine.T @ mine
+        some = [(k, i) for k in range(FOLDS) if sums[k].any() for i in range(PIECES)]
+        packed = [pack_ints(sums[k][upper][cuts[i] : cuts[i + 1]]) for k, i in some]
+        yield pa.RecordBatch.from_arrays([pa.array([k * PIECES + i for k, i in some], pa.int32()), pa.array([part] * len(some), pa.int32()), pa.array(packed, pa.binary())], ["key", "part", "sums"])
+
+    parts = train.coalesce(max(8, -(-n_rows // PER_TASK))).mapInArrow(local, "key int, part int, sums binary")
+    out = np.zeros((FOLDS, d, d))
+    flat = np.zeros((FOLDS, len(upper[0])))
+    for key, total in summed(parts, np.float64).items():
+        k, i = divmod(key, PIECES)
+        flat[k, cuts[i] : cuts[i + 1]] = total
+    out[:, upper[0], upper[1]] = flat
+    out[:, upper[1], upper[0]] = flat
+    return out
+
+
+def _ridge(sums: np.ndarray, ridge: float) -> np.ndarray:
+    """Weights from sums of z z': the last column holds the products with the label, the last but one those with 1."""
+    n, d = sums[-2, -2], len(sums) - 1
+    return np.linalg.solve(sums[:-1, :-1] + (ridge * n / (d - 1) + 1e-12) * np.eye(d), sums[:-1, -1])
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, train_on=None, width: float = 3.0, ridge: float = 1e-3, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Scores every whole text from 0 to 1, higher where label 1 is likelier; the score depends on the text alone.
 
     Statistics are computed in one pass and stored.  Labelled rows that the condition `train_on` keeps are joined on
-    the id and dealt to 32 partitions, each of which sums its part of the normal equations (257 x 257 numbers), so
-    what reaches the driver is the same at any size.  Random Fourier features and ridge regression give raw scores;
-    isotonic regression over 512 quantile bins of them makes probabilities.
+    the id, stored, and fall into five folds by a hash of the id.  Their random Fourier features are summed into
+    normal equations by task, fold and piece, and added up in Spark.  Ridge regression on all folds gives the raw
+    scores.  Isotonic regression makes probabilities of them; it is fitted on the labelled rows' raw scores from the
+    other four folds, over 512 quantile bins, so that no row calibrates a score that it has trained.
 
     Returns id, score, predicted (1 if score >= cut).  A null or empty text is scored by its zero statistics.  Null
     labels and ids don't train; documents with several labels train with each; repeated ids are scored row by row.
@@ -96,41 +143,31 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_on=None, width: flo
     made = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(measure, "doc_id long, " + ", ".join(f"{s} double" for s in STATS))
     table = stored(made, "stats")
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("y is not null")
-    train = table.join(known.where(train_on) if train_on is not None else known, "doc_id").select("doc_id", "y", *STATS)
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    train = stored(table.join(known.where(train_on) if train_on is not None else known, "doc_id").select("y", fold, *STATS), "train")
     got = train.agg(*(F.avg(s) for s in STATS), *(F.stddev_pop(s) for s in STATS), F.avg("y"), F.count(F.lit(1))).first()
     if not got[-1]:
         return table.select("doc_id", F.lit(0.5).alias("score"), F.lit(int(cut <= 0.5)).alias("predicted"))
-    k, d = len(STATS), N_FEATURES
-    scale = (np.array(got[:k]), np.maximum(np.array(got[k : 2 * k]), 1e-9))
-    base = float(got[-2])
-
-    def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, v, n = np.zeros((d + 1, d + 1)), np.zeros(d + 1), 0
-        for b in batches:
-            f = _fourier(np.stack([b.column(s).to_numpy() for s in STATS], 1), scale, width, d)
-            y = b.column("y").to_numpy() - base
-            a, v, n = a + f.T @ f, v + f.T @ y, n + len(y)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()]), pa.array([v.tobytes()])], ["a", "v"])
-
-    sums = train.repartition(PARTS, "doc_id").mapInArrow(normal, "a binary, v binary").collect()
-    a = sum(np.frombuffer(r["a"]).reshape(d + 1, d + 1) for r in sums) + ridge * got[-1] / d * np.eye(d + 1)
-    weights = np.linalg.solve(a, sum(np.frombuffer(r["v"]) for r in sums))
+    k = len(STATS)
+    scale, base = (np.array(got[:k]), np.maximum(np.array(got[k : 2 * k]), 1e-9)), float(got[-2])
+    sums = _normal_sums(train, int(got[-1]), scale, width, base)
+    weights = _ridge(sums.sum(0), ridge)
+    others = np.stack([_ridge(sums.sum(0) - s, ridge) for s in sums])
 
-    def raw(batches: Iterator[pa.RecordBatch], extra: str) -> Iterator[pa.RecordBatch]:
+    def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = _fourier(np.stack([b.column(s).to_numpy() for s in STATS], 1), scale, width, d)
-            yield pa.RecordBatch.from_arrays([b.column(extra), pa.array(base + f @ weights)], [extra, "raw"])
+            raw = base + (_features(b, scale, width) * others[b.column("fold").to_numpy()]).sum(1)
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(raw)], ["y", "raw"])
 
-    seen = train.mapInArrow(lambda x: raw(x, "y"), "y double, raw double")
+    seen = stored(train.mapInArrow(unseen, "y double, raw double"), "unseen")
     edges = np.unique(seen.select(F.percentile_approx("raw", [i / BINS for i in range(1, BINS)], 10_000)).first()[0])
     by = seen.mapInArrow(lambda x: _binned(x, edges), "bin int, good double, n long").groupBy("bin").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).orderBy("bin").collect()
     levels = _isotonic(np.array([r["good"] for r in by]), np.array([r["n"] for r in by]))
     steps = np.array([r["bin"] for r in by])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in raw(batches, "doc_id"):
-            x = b.column("raw").to_numpy()
+        for b in batches:
+            x = base + _features(b, scale, width) @ weights
             p = levels[np.clip(np.searchsorted(steps, np.searchsorted(edges, x, "right"), "right") - 1, 0, len(levels) - 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.clip(p, 0, 1)), pa.array((p >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
 
