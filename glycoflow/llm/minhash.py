@@ -1,17 +1,19 @@
 """Near duplicates: consistent weighted sampling of TF-IDF word shingles, banded, verified by weighted Jaccard similarity.
 
-1. Shingles that at least one document in ten holds are found exactly: batches propose what is half as frequent
-   among their own documents, proposals are summed and pruned, and a second pass counts what is left everywhere.  No
-   more than 20 times the mean number of shingles per document can be left, at any size, so the table is broadcast.
-   Inverse document frequency is flat below that share, where all shingles weigh the same.
+1. A shingle weighs (1 + ln tf) * (1 + ln((1 + N) / (1 + df)) / ln(1 + N)): term frequency is logarithmic, so that one
+   line repeated over and over doesn't outweigh all else; inverse document frequency is scaled to between 1 (in every
+   document) and 2 (in none), so that the few shingles an edit makes, always rare, don't outweigh the many that a large
+   group of copies shares.  Document frequencies of all shingles are counted over all documents in a table of 4 million
+   slots, six levels an octave (4 MB, broadcast).  A slot counts all its shingles: df is never too low, and too high
+   by (distinct shingles / 4 million) on average; the level's rounding changes ln(1 + df) by 0.058 at most.
 2. Improved consistent weighted sampling gives each document 48 samples; two documents share a sample with a
    probability equal to their weighted Jaccard similarity.  Twelve bands of four samples make candidates.
-3. Equal texts, and then equal sketches, count as one from here on.  Rows are sorted by bucket and, inside it, by the
-   samples after the band's own, and dealt by ranges of both: a large bucket is shared among tasks and cut into
+3. Texts with equal shingles, each as often, count as one from here on.  Rows are sorted by bucket and, inside it, by
+   the samples after the band's own, and dealt by ranges of both: a large bucket is shared among tasks and cut into
    overlapping runs of `bucket` documents, most alike side by side and in another order for each band, so no bucket
    is ever gathered whole.  In a run, samples estimate all similarities; each document keeps its likeliest partners
    and the run's maximum spanning tree, which keeps whatever is connected connected.
-4. Candidates are verified on whole shingle sets; links become classes by repeated large and small stars.
+4. Candidates are verified on whole weighted sets; links become classes by repeated large and small stars, to the end.
 5. Buckets of which a run proposed only some pairs, or that two tasks may share, are then searched whole for pairs of
    documents that are in different classes so far, in cells of two blocks each; likely ones are verified as well.  So
    the classes are those of all pairs that share a bucket and whose samples agree enough, whatever a bucket's size.
@@ -24,21 +26,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored
+from .common import discard, prepare, stored, summed
 from .kernels import NULL_ID, doc_ids, mix, owner, pack_ints, rolling, span_hashes, text_bytes, unpack_ints, windows, words
 
 SHINGLE, SAMPLES, ROWS = 5, 48, 4
 BANDS = SAMPLES // ROWS
-#: A shingle in this share of all documents or more is frequent and weighs less.
-FREQUENT = 0.1
+#: Slots of the table of document frequencies, ranges of slots that are added up on their own, levels an octave.
+SLOTS, RANGES, LEVELS = 1 << 22, 64, 6
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets of each text's distinct shingles, their 48-bit hashes in ascending order; hash of all words.
+def shingle_bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of each text's distinct shingles; their 48-bit hashes, ascending; their counts; a hash of each whole bag.
 
     A text of fewer words than a shingle has, but not none, is one shingle.
     """
@@ -55,66 +58,59 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             rolled = np.append(rolled, rolling(h, k)[of[:-1][short]] + np.uint64(k))
     key = np.sort((text.astype(np.uint64) << np.uint64(48)) | (rolled >> np.uint64(16)))
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    count = np.diff(np.append(first, len(key)))
     key = key[first]
     offsets = np.searchsorted(key, np.arange(len(n) + 1, dtype=np.uint64) << np.uint64(48))
-    # Order-dependent hash of all words, so that only equal word sequences count as equal texts.
-    place = (np.arange(len(h)) - np.repeat(of[:-1], n)).astype(np.uint64)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h + place * _GOLD), dtype=np.uint64)])
-    whole = mix(total[of[1:]] - total[of[:-1]] + n.astype(np.uint64))
-    return offsets, key & np.uint64((1 << 48) - 1), whole
+    key &= np.uint64((1 << 48) - 1)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(key + count.astype(np.uint64) * _GOLD), dtype=np.uint64)])
+    return offsets, key, count, mix(total[offsets[1:]] - total[offsets[:-1]] + n.astype(np.uint64))
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
 class Weights:
-    """tf * (ln((1 + N) / (1 + max(df, share * N))) + 1), divided by that of a rare shingle.
+    """TF-IDF weights from the number of documents and the number of documents in each slot of shingles."""
 
-    tf is boolean: with raw counts, one line repeated over and over outweighs all else that a document holds.
-    """
+    def __init__(self, n_docs: int, df: np.ndarray):
+        self.level = np.rint(LEVELS * np.log2(1.0 + df)).astype(np.uint8)
+        self.idf = 1 + (np.log(1 + n_docs) - np.arange(256) * np.log(2) / LEVELS) / np.log(2 + n_docs)
 
-    def __init__(self, n_docs: int, frequent: dict[int, int]):
-        self.keys = np.array(sorted(frequent), np.uint64)
-        floor = FREQUENT * n_docs
-        idf = lambda df: np.log((1 + n_docs) / (1 + np.maximum(df, floor))) + 1
-        self.ratio = idf(np.array([frequent[int(k)] for k in self.keys], float)) / idf(floor)
-
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys))
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            out *= np.where(self.keys[at] == keys, self.ratio[at], 1.0)
+    def of(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        out = self.idf[self.level[_slot(keys)]]
+        more = np.flatnonzero(counts > 1)
+        out[more] *= 1 + np.log(counts[more])
         return out
 
 
-def _frequent(texts: DataFrame) -> Weights:
-    """Exact document frequencies of all shingles that one document in ten or more holds."""
-
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, key, _ = shingle_sets(batch.column(1))
-            more, times = np.unique(key, return_counts=True)
-            local = times >= FREQUENT / 2 * batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(more[local].view(np.int64)), pa.array(times[local])], ["h", "n"])
-
-    # Batches that don't propose a shingle hold it less than half as often as a frequent one is held; so those that
-    # do hold it half that often over all documents, at least.  No more than 20 times the mean set can be that many.
-    found = texts.mapInArrow(propose, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    proposed = np.array([r["h"] for r in found.where(F.col("n") >= FREQUENT / 2 * texts.count()).select("h").collect()], np.int64).view(np.uint64)
-    spark = texts.sparkSession
-    table = spark.sparkContext.broadcast(np.sort(proposed))
+def document_frequencies(texts: DataFrame) -> Weights:
+    """Counts all documents' distinct shingles by slot: arrays of a fixed size, added up in Spark whatever the input."""
+    width = SLOTS // RANGES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n, docs = table.value, np.zeros(len(table.value), np.int64), 0
+        df, docs, part, waiting, n = np.zeros(SLOTS, np.int64), 0, TaskContext.get().partitionId(), [], 0
         for batch in batches:
-            _, key, _ = shingle_sets(batch.column(1))
+            _, key, _, _ = shingle_bags(batch.column(1))
+            waiting.append(_slot(key))
+            n += len(key)
             docs += batch.num_rows
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                n += np.bincount(at[keys[at] == key], minlength=len(keys))
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[some].view(np.int64), -1)), pa.array(np.append(n[some], docs))], ["h", "n"])
-
-    got = {r["h"]: r["n"] for r in texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()}
-    n_docs = got.pop(-1, 0)
-    return Weights(n_docs, {h: n for h, n in got.items() if n >= FREQUENT * n_docs})
+            if n > SLOTS:
+                df += np.bincount(np.concatenate(waiting), minlength=SLOTS)
+                waiting, n = [], 0
+        if docs:
+            if waiting:
+                df += np.bincount(np.concatenate(waiting), minlength=SLOTS)
+            some = [r for r in range(RANGES) if df[r * width : (r + 1) * width].any()]
+            sums = [pack_ints(df[r * width : (r + 1) * width]) for r in some] + [pack_ints(np.array([docs]))]
+            yield pa.RecordBatch.from_arrays([pa.array([*some, RANGES], pa.int32()), pa.array([part] * len(sums), pa.int32()), pa.array(sums, pa.binary())], ["key", "part", "sums"])
+
+    got = summed(texts.mapInArrow(count, "key int, part int, sums binary"), np.int64)
+    df = np.zeros(SLOTS, np.int64)
+    for r in range(RANGES):
+        if r in got:
+            df[r * width : (r + 1) * width] = got[r]
+    return Weights(int(got[RANGES][0]) if RANGES in got else 0, df)
 
 
 def weighted_samples(offsets: np.ndarray, keys: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -126,7 +122,6 @@ def weighted_samples(offsets: np.ndarray, keys: np.ndarray, weight: np.ndarray)
     """
     out = np.empty((len(offsets) - 1, SAMPLES), np.uint32)
     begin, log_w = offsets[:-1], np.log(weight).astype(np.float32)
-    flat = not log_w.any()
     tiny, step = np.float32(2.0**-25), 1 << 16
     packed = np.empty(len(keys), np.uint64)
     for k in range(SAMPLES):
@@ -142,29 +137,25 @@ def weighted_samples(offsets: np.ndarray, keys: np.ndarray, weight: np.ndarray)
             c = -np.log(((x >> np.uint64(40)).astype(np.float32) * np.float32(2**-24) + tiny) * (((x >> np.uint64(16)) & np.uint64(0xFFFFFF)).astype(np.float32) * np.float32(2**-24) + tiny))
             r = -np.log(((z & np.uint64(0xFFFF)).astype(np.float32) + np.float32(0.5)) * (((z >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-32))
             b = (x & np.uint64(0xFFFF)).astype(np.float32) * np.float32(2**-16)
-            code = e & np.uint64(0xFFFFFFFF)
-            if flat:  # ln w is 0, so t is 0
-                a = c * np.exp(r * (b - np.float32(1)))
-            else:
-                t = np.floor(log_w[s : s + step] / r + b)
-                a = c * np.exp(r * (b - t - np.float32(1)))
-                code = (code + t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)
+            t = np.floor(log_w[s : s + step] / r + b)
+            a = c * np.exp(r * (b - t - np.float32(1)))
+            code = (e + t.astype(np.int32).astype(np.uint64) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)
             packed[s : s + step] = (np.maximum(a, np.float32(0)).view(np.uint32).astype(np.uint64) << np.uint64(32)) | code
         out[:, k] = (np.minimum.reduceat(packed, begin) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     return out
 
 
 def _sketches(texts: DataFrame, weights) -> DataFrame:
-    """doc_id, whole (hash of all words), sig (one byte a sample), bands (one hash a band); texts without words are left out."""
+    """doc_id, bag (hash of all shingles), sig (one byte a sample), bands (one hash a band); texts without words are left out."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, keys, whole = shingle_sets(batch.column(1))
+            offsets, keys, counts, bag = shingle_bags(batch.column(1))
             some = np.flatnonzero(np.diff(offsets))
             ids = doc_ids(batch.column(0))[some]
             if not len(some):
                 continue
-            codes = weighted_samples(np.append(offsets[:-1][some], offsets[-1]), keys, weights.value.of(keys))
+            codes = weighted_samples(np.append(offsets[:-1][some], offsets[-1]), keys, weights.value.of(keys, counts))
             bands = np.zeros((len(some), BANDS), np.uint64)
             for j in range(BANDS):
                 h = np.full(len(some), np.uint64((j + 1) * int(_GOLD) & (2**64 - 1)))
@@ -173,11 +164,11 @@ def _sketches(texts: DataFrame, weights) -> DataFrame:
                 bands[:, j] = h
             sig = (mix(codes.astype(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(whole[some].view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.reshape(-1).view(np.int64)))],
-                ["doc_id", "whole", "sig", "bands"],
+                [pa.array(ids), pa.array(bag[some].view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.reshape(-1).view(np.int64)))],
+                ["doc_id", "bag", "sig", "bands"],
             )
 
-    return texts.mapInArrow(sketch, "doc_id long, whole long, sig binary, bands array<long>")
+    return texts.mapInArrow(sketch, "doc_id long, bag long, sig binary, bands array<long>")
 
 
 #: Pairs whose samples agree less than this aren't verified: four standard deviations below 0.8.
@@ -270,13 +261,6 @@ def _runs(bucket: int):
     return pairs
 
 
-def _singles(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The smallest id of each group of equal sketches, with its sketch; the others as pairs (a, b) with it."""
-    alike = stored(sketches.groupBy("sig").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1"), "alike")
-    same = stored(sketches.join(alike.hint("merge"), "sig").where("a < doc_id").select("a", F.col("doc_id").alias("b")), "same")
-    return sketches.join(same.select(F.col("b").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_anti"), same
-
-
 def _proposed(sketches: DataFrame, bucket: int) -> DataFrame:
     """Candidate pairs (a, b), a < b, from all runs, and keys of the buckets of which that aren't all likely pairs."""
     rows = sketches.select("doc_id", "sig", F.posexplode("bands").alias("band", "key"))
@@ -288,42 +272,44 @@ def _proposed(sketches: DataFrame, bucket: int) -> DataFrame:
     return ordered.mapInArrow(_runs(bucket), "a long, b long, key long").where("key is not null or a < b").distinct()
 
 
-def _candidates(sketches: DataFrame, bucket: int) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of runs."""
-    single, same = _singles(sketches)
-    return _proposed(single, bucket).where("key is null").select("a", "b").unionByName(same).distinct()
-
-
 def _vectors(texts: DataFrame) -> DataFrame:
+    """doc_id, h (distinct shingles, ascending), c (their counts) of texts."""
+
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, keys, _ = shingle_sets(batch.column(1))
-            sets = [pack_ints(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids(batch.column(0))), pa.array(sets, pa.binary())], ["doc_id", "h"])
+            offsets, keys, counts, _ = shingle_bags(batch.column(1))
+            spans = list(zip(offsets[:-1], offsets[1:]))
+            sets = [pack_ints(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in spans]
+            times = [pack_ints(counts[a:b].astype(np.uint32)) for a, b in spans]
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids(batch.column(0))), pa.array(sets, pa.binary()), pa.array(times, pa.binary())], ["doc_id", "h", "c"])
+
+    return texts.mapInArrow(vectors, "doc_id long, h binary, c binary")
+
 
-    return texts.mapInArrow(vectors, "doc_id long, h binary")
+def read_vector(h: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(unpack_ints(h, np.uint64), dtype=np.uint64), unpack_ints(c, np.uint32)
 
 
 def _links(pairs: DataFrame, vectors: DataFrame, weights, similarity: float) -> DataFrame:
     """The candidate pairs whose weighted Jaccard similarity over whole texts is high enough."""
 
-    def read(h: bytes) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.cumsum(unpack_ints(h, np.uint64), dtype=np.uint64)
-        return keys, weights.value.of(keys)
+    def weighed(h: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = read_vector(h, c)
+        return keys, weights.value.of(keys, counts)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for ah, bh in zip(batch.column("ah").to_pylist(), batch.column("bh").to_pylist()):
-                (ka, wa), (kb, wb) = read(ah), read(bh)
+            for ah, ac, bh, bc in zip(*(batch.column(x).to_pylist() for x in ("ah", "ac", "bh", "bc"))):
+                (ka, wa), (kb, wb) = weighed(ah, ac), weighed(bh, bc)
                 _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
                 both = np.minimum(wa[i], wb[j]).sum()
                 ok.append(both >= similarity * (wa.sum() + wb.sum() - both) * (1 - 1e-12))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], ["a", "b"])
 
-    left = vectors.select(F.col("doc_id").alias("a"), F.col("h").alias("ah"))
-    right = vectors.select(F.col("doc_id").alias("b"), F.col("h").alias("bh"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ah", "bh").mapInArrow(verify, "a long, b long")
+    left = vectors.select(F.col("doc_id").alias("a"), F.col("h").alias("ah"), F.col("c").alias("ac"))
+    right = vectors.select(F.col("doc_id").alias("b"), F.col("h").alias("bh"), F.col("c").alias("bc"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ah", "ac", "bh", "bc").mapInArrow(verify, "a long, b long")
 
 
 #: Rows of one bucket that a block holds, about; a task holds two blocks.
@@ -353,12 +339,14 @@ def _across(rows: DataFrame, vectors: DataFrame, weights, similarity: float, blo
         ids, of, key = t["doc_id"].to_numpy(), t["class_id"].to_numpy(), t["key"][0].as_py()
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, SAMPLES)
         bands = np.array(t["bands"].to_pylist(), np.int64)
-        sets = [np.cumsum(unpack_ints(h, np.uint64), dtype=np.uint64) for h in t["h"].to_pylist()]
+        sets, counts = zip(*(read_vector(h, c) for h, c in zip(t["h"].to_pylist(), t["c"].to_pylist())))
         size = np.array([len(x) for x in sets])
         off = np.concatenate([[0], np.cumsum(size)])
-        keys, at = np.unique(np.concatenate(sets), return_inverse=True)
-        w, mark = weights.value.of(keys), np.zeros(len(keys))
-        total = np.bincount(np.repeat(np.arange(len(sets)), size), w[at], minlength=len(sets))
+        every = np.concatenate(sets)
+        w = weights.value.of(every, np.concatenate(counts))
+        keys, at = np.unique(every, return_inverse=True)
+        mark = np.zeros(len(keys))
+        total = np.bincount(np.repeat(np.arange(len(sets)), size), w, minlength=len(sets))
         second = t["second"].to_numpy()
         y = np.flatnonzero(second) if second.any() else np.arange(len(ids))
         out = []
@@ -367,11 +355,11 @@ def _across(rows: DataFrame, vectors: DataFrame, weights, similarity: float, blo
             j = j[(sig[j] == sig[i]).sum(1) >= least]
             # Of several buckets that two share, the first tells.
             j = j[bands[j, (bands[j] == bands[i]).argmax(1)] == key]
-            mark[at[off[i] : off[i + 1]]] = w[at[off[i] : off[i + 1]]]
+            mark[at[off[i] : off[i + 1]]] = w[off[i] : off[i + 1]]
             for b in (j[k : k + 64] for k in range(0, len(j), 64)):
                 n = size[b]
                 take = np.repeat(off[b] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                both = np.bincount(np.repeat(np.arange(len(b)), n), mark[at[take]], minlength=len(b))
+                both = np.bincount(np.repeat(np.arange(len(b)), n), np.minimum(mark[at[take]], w[take]), minlength=len(b))
                 out += [(ids[i], ids[x], of[i], of[x]) for x in b[both >= similarity * (total[i] + total[b] - both) * (1 - 1e-12)]]
             mark[at[off[i] : off[i + 1]]] = 0
         # One link tells that two classes are one.
@@ -383,21 +371,22 @@ def _across(rows: DataFrame, vectors: DataFrame, weights, similarity: float, blo
     return met.join(vectors, "doc_id").groupBy("key", "l", "r").applyInArrow(compare, "a long, b long").distinct()
 
 
-def classes(links: DataFrame, most: int = 60) -> DataFrame:
+def classes(links: DataFrame) -> DataFrame:
     """Connected components: (doc_id, class_id), the smallest id of each, for all ids with a link.
 
     Large star and small star in turn, until nothing changes; minima are combined before each shuffle and joined
-    back, so no node's links are ever gathered.
+    back, so no node's links are ever gathered.  Each round lowers some node's parent, so the loop ends by itself.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
     before = None
-    for _ in range(most):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         first = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(first, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        edges = stored(small, "links")
+        old, edges = edges, stored(small, "links")
+        discard(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -406,41 +395,46 @@ def classes(links: DataFrame, most: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, bucket: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and class_id, the smallest id among the documents that links of near copies connect with it.
+    """doc_id; class_id, the smallest id among the documents that links of near copies connect with it; n_links.
 
     Two documents are linked if the weighted Jaccard similarity of their shingles of five words (runs of anything but
-    ASCII white space), weighted by TF-IDF, is `similarity` or more; equal word sequences are always in one class.
+    ASCII white space), weighted by TF-IDF, is `similarity` or more; texts with equal shingles are always in one class.
+    n_links counts the other texts that a verified link joins to the document's text.  Inside a class of a large bucket
+    only as many pairs are verified as the class needs, so there it is a lower bound; copies of one text share it.
 
-    A null or empty text has no words and is a class of its own.  A null id sorts before all others; rows that repeat
-    an id count as one document in all their texts' classes.  An empty table gives an empty result; other columns are
-    ignored, whatever their names.
+    A null or empty text has no words and is a class of its own, as is any document without a link.  A null id sorts
+    before all others; rows that repeat an id count as one document in all their texts' classes.  An empty table gives
+    an empty result; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    weights = spark.sparkContext.broadcast(_frequent(texts))
+    weights = spark.sparkContext.broadcast(document_frequencies(texts))
     sketches = stored(_sketches(texts, weights), "sketches")
-    first = stored(sketches.groupBy("whole").agg(F.min("doc_id").alias("first")), "first")
-    members = stored(sketches.join(first.hint("merge"), "whole").select("doc_id", "first"), "members")
-    single = sketches.join(members.where("doc_id = first").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-    single, same = _singles(stored(single.select("doc_id", "sig", "bands"), "singles"))
-    single = stored(single, "sketched")
+    single = stored(sketches.groupBy("bag").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "singles")
+    members = stored(sketches.select("doc_id", "bag").join(single.select("bag", F.col("doc_id").alias("first")).hint("merge"), "bag").select("doc_id", "first"), "members")
+    discard(sketches)
     proposed = stored(_proposed(single, bucket), "proposed")
-    pairs = stored(proposed.where("key is null").select("a", "b").unionByName(same).distinct(), "pairs")
+    pairs = proposed.where("key is null").select("a", "b")
     unsettled = proposed.where("key is not null").select("key")
     open_rows = stored(single.select("doc_id", "sig", "bands", F.explode("bands").alias("key")).join(unsettled, "key", "left_semi"), "open")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(open_rows.select("doc_id")).distinct()
     vectors = stored(_vectors(texts.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")), "vectors")
-    found = stored(classes(_links(pairs, vectors, weights, similarity).unionByName(_repeated(members))), "found")
-    rest = open_rows.join(found, "doc_id", "left").select("doc_id", "sig", "bands", "key", F.coalesce("class_id", "doc_id").alias("class_id"))
-    more = stored(_across(stored(rest, "rest"), vectors, weights, similarity), "more")
-    found = classes(found.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).unionByName(more))
-    linked = found.select(F.col("doc_id").alias("first"), "class_id")
-    of = members.join(linked, "first", "left").select("doc_id", F.coalesce("class_id", "first").alias("class_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    links = stored(_links(pairs, vectors, weights, similarity), "verified")
+    found = stored(classes(links.unionByName(_repeated(members))), "found")
+    rest = stored(open_rows.join(found, "doc_id", "left").select("doc_id", "sig", "bands", "key", F.coalesce("class_id", "doc_id").alias("class_id")), "rest")
+    more = stored(_across(rest, vectors, weights, similarity), "more")
+    discard(open_rows, proposed, vectors, rest, single)
+    joined = classes(found.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).unionByName(more))
+    every = links.unionByName(more).where("a != b").distinct()
+    degree = every.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
+    linked = joined.select(F.col("doc_id").alias("first"), "class_id").join(degree, "first", "left")
+    # The left side of these joins may hold a third of all rows under one text; merge joins let Spark split it.
+    of = members.join(linked.hint("merge"), "first", "left").select("doc_id", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of = of.groupBy(F.col("doc_id").alias("key")).agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
     all_ids = texts.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"))
-    of = of.withColumnRenamed("doc_id", "key")
-    got = all_ids.join(of, "key", "left").select("doc_id", F.coalesce("class_id", "key").alias("class_id"))
-    return got.select("doc_id", F.when(F.col("class_id") != NULL_ID, F.col("class_id")).alias("class_id"))
+    got = all_ids.join(of.hint("merge"), "key", "left").select("doc_id", F.coalesce("class_id", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return got.select("doc_id", F.when(F.col("class_id") != NULL_ID, F.col("class_id")).alias("class_id"), "n_links")
 
 
 def _repeated(members: DataFrame) -> DataFrame:

@@ -2,118 +2,172 @@
 
 import collections
 import hashlib
+import math
 import re
 
-sha=lambda s: hashlib.sha256(s.encode()).hexdigest()
-W=re.compile(r"[^\x20\x09-\x0D]+")
-def op1(ds):
-    seen=set(); out={}
-    for i,t in ds:
-        w=W.findall(t); gone=[False]*len(w)
-        for a in range(len(w)-19):
-            k=hash(tuple(w[a:a+20]))
-            if k in seen:
-                for j in range(a,a+20): gone[j]=True
-            seen.add(k)
-        out[i]=(len(w),sum(gone),sha(" ".join(x for x,g in zip(w,gone) if not g)))
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def op1(docs):
+    """Words covered by a 20-word window that also starts earlier."""
+    seen, out = set(), {}
+    for i, text in docs:
+        words = WORD.findall(text)
+        gone = [False] * len(words)
+        for at in range(len(words) - 19):
+            window = tuple(words[at : at + 20])
+            if window in seen:
+                gone[at : at + 20] = [True] * 20
+            seen.add(window)
+        out[i] = (len(words), sum(gone), sha(" ".join(w for w, g in zip(words, gone) if not g)))
     return out
-def op8(ds):
-    import collections
-    key=lambda l: l.strip(" \t\n\r\x0b\x0c").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ","abcdefghijklmnopqrstuvwxyz"))
-    h=collections.defaultdict(set)
-    for i,t in ds:
-        for l in t.split("\n"):
-            k=key(l)
-            if len(k)>=20: h[k].add(i)
-    out={}
-    for i,t in ds:
-        ls=t.split("\n"); keep=[l for l in ls if not (len(key(l))>=20 and len(h[key(l)])>=3 and max(h[key(l)])!=i)]
-        out[i]=(len(ls),len(ls)-len(keep),sha("\n".join(keep)))
+
+
+def line_key(line):
+    return line.strip(" \t\n\r\x0b\x0c").translate(LOWER)
+
+
+def op8(docs):
+    holders = collections.defaultdict(set)
+    for i, text in docs:
+        for line in text.split("\n"):
+            if len(line_key(line)) >= 20:
+                holders[line_key(line)].add(i)
+    out = {}
+    for i, text in docs:
+        lines = text.split("\n")
+        stays = [line for line in lines if len(holders.get(line_key(line), ())) < 3 or max(holders[line_key(line)]) == i]
+        out[i] = (len(lines), len(lines) - len(stays), sha("\n".join(stays)))
     return out
-def op10(ds,bench):
-    low=lambda s:s.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ","abcdefghijklmnopqrstuvwxyz"))
-    X=re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"); wins={}
-    for b,t in bench:
-        w=X.findall(low(t or ""))
-        n=min(10,len(w))
-        for a in range(len(w)-n+1):
-            if n: wins.setdefault(tuple(w[a:a+n]),set()).add(str(b))
-    sizes={len(k) for k in wins}; out={}
-    for i,t in ds:
-        w=X.findall(low(t)); hit=set(); items=set()
-        for n in sizes:
-            for a in range(len(w)-n+1):
-                k=tuple(w[a:a+n])
-                if k in wins: hit.update(range(a,a+n)); items|=wins[k]
-        out[i]=(len(w),len(hit),len(items),sha(",".join(sorted(items))),bool(hit))
+
+
+def op10(docs, benchmark):
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    windows = {}
+    for item, text in benchmark:
+        words = word.findall((text or "").translate(LOWER))
+        n = min(10, len(words))
+        for at in range(len(words) - n + 1):
+            if n:
+                windows.setdefault(tuple(words[at : at + n]), set()).add(str(item))
+    out = {}
+    for i, text in docs:
+        words, hit, items = word.findall(text.translate(LOWER)), set(), set()
+        for n in {len(w) for w in windows}:
+            for at in range(len(words) - n + 1):
+                found = windows.get(tuple(words[at : at + n]))
+                if found:
+                    hit.update(range(at, at + n))
+                    items |= found
+        out[i] = (len(words), len(hit), len(items), sha(",".join(sorted(items))), bool(hit))
     return out
-def op5(ds):
-    out={}
-    for i,t in ds:
-        w=W.findall(t); seen={}
-        for a in range(len(w)-4): seen.setdefault(tuple(w[a:a+5]),[]).append(a)
-        c=set()
-        for v in seen.values():
-            if len(v)>1:
-                for a in v: c.update(range(a,a+5))
-        ls=set(); d=0
-        for l in t.split("\n"):
-            if W.search(l):
-                d+= l in ls; ls.add(l)
-        out[i]=(len(w),sum(map(len,w)),sum(x in "#*$%&|<>" for x in t),d,len(c),len(w)<10 or 100*len(c)>20*len(w))
+
+
+def op5(docs):
+    out = {}
+    for i, text in docs:
+        words, starts, covered = WORD.findall(text), {}, set()
+        for at in range(len(words) - 4):
+            starts.setdefault(tuple(words[at : at + 5]), []).append(at)
+        for at in starts.values():
+            if len(at) > 1:
+                for a in at:
+                    covered.update(range(a, a + 5))
+        seen, repeated = set(), 0
+        for line in text.split("\n"):
+            if WORD.search(line):
+                repeated += line in seen
+                seen.add(line)
+        failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+        out[i] = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), repeated, len(covered), failed)
     return out
-def spans(ds,kinds):
-    out={}
-    for i,t in ds:
-        got=[]
-        for n,(k,p,ok) in enumerate(kinds):
-            for m in p.finditer(t):
-                if ok(m): got.append((m.start(),n,m.end()))
-        names=[k for k,_,_ in kinds]
-        out[i]=(*[sum(g[1]==n for g in got) for n in range(len(kinds))],sha(",".join(f"{names[k]}:{s}:{e}" for s,k,e in sorted(got))))
+
+
+def longest_repeat(text):
+    """Most words of a string of five words or more that is found twice in a text: longer windows until none repeats."""
+    words, n = WORD.findall(text), 0
+    while True:
+        width = n + 1
+        windows = collections.Counter(tuple(words[at : at + width]) for at in range(len(words) - width + 1))
+        if not windows or max(windows.values()) < 2:
+            return n if n >= 5 else 0
+        n = width
+
+
+def spans(docs, kinds):
+    out = {}
+    for i, text in docs:
+        got = [(m.start(), n, m.end()) for n, (_, pattern, ok) in enumerate(kinds) for m in pattern.finditer(text) if ok(m)]
+        counts = [sum(k == n for _, k, _ in got) for n in range(len(kinds))]
+        out[i] = (*counts, sha(",".join(f"{kinds[k][0]}:{s}:{e}" for s, k, e in sorted(got))))
     return out
-def luhn(d):
-    n=0
-    for j,c in enumerate(reversed(d)):
-        v=int(c)*(1+j%2); n+=v-9*(v>9)
-    return n%10==0
-dg=lambda s: re.sub("[^0-9]","",s)
-PII=[("email",re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),lambda m:True),("ip",re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),lambda m:all(int(x)<=255 for x in m[0].split("."))),
- ("card",re.compile(r"[0-9]([\x20-]?[0-9])+"),lambda m:14<=len(dg(m[0]))<=19 and luhn(dg(m[0]))),("phone",re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),lambda m:10<=len(dg(m[0]))<=15)]
-SEC=[("assign",re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",re.I|re.A),lambda m:len(m[2])>=6),("access",re.compile("AKIA[A-Z0-9]+"),lambda m:len(m[0])>=20),("hex",re.compile("[0-9a-f]+"),lambda m:len(m[0])>=24)]
-
-
-def near(ds, similarity=0.8):
-    """Classes by boolean-tf, idf-weighted Jaccard similarity of 5-word shingles, over all pairs."""
-    import math
-    sets, first = {}, {}
-    parent = {i: i for i, _ in ds}
+
+
+def luhn(digits):
+    total = 0
+    for j, c in enumerate(reversed(digits)):
+        value = int(c) * (1 + j % 2)
+        total += value - 9 * (value > 9)
+    return total % 10 == 0
+
+
+def digits_of(text):
+    return re.sub("[^0-9]", "", text)
+
+
+PII = [
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda m: True),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda m: all(int(x) <= 255 for x in m[0].split("."))),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda m: 14 <= len(digits_of(m[0])) <= 19 and luhn(digits_of(m[0]))),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda m: 10 <= len(digits_of(m[0])) <= 15),
+]
+SECRETS = [
+    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
+    ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+    ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+]
+
+
+def bags(docs):
+    """Counts of five-word shingles of each document that has words; a shorter text is one shingle."""
+    out = {}
+    for i, text in docs:
+        words = tuple(WORD.findall(text))
+        if words:
+            out[i] = collections.Counter([words[at : at + 5] for at in range(len(words) - 4)] or [words])
+    return out
+
+
+def tf_idf(docs):
+    """Weighted shingles of each document, with exact document frequencies."""
+    all_bags, n = bags(docs), len(docs)
+    df = collections.Counter(s for bag in all_bags.values() for s in bag)
+    return {i: {s: (1 + math.log(k)) * (1 + math.log((1 + n) / (1 + df[s])) / math.log(2 + n)) for s, k in bag.items()} for i, bag in all_bags.items()}
+
+
+def jaccard(a, b):
+    return sum(min(a.get(s, 0), b.get(s, 0)) for s in {*a, *b}) / sum(max(a.get(s, 0), b.get(s, 0)) for s in {*a, *b})
+
+
+def near(docs, similarity=0.8):
+    """Classes by TF-IDF weighted Jaccard similarity of five-word shingles, over all pairs that share one."""
+    weighted, parent, holders = tf_idf(docs), {i: i for i, _ in docs}, {}
+
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
-    def union(a, b):
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
-    df = collections.Counter()
-    for i, t in ds:
-        w = tuple(W.findall(t))
-        if not w:
-            continue
-        s = {w[j:j + 5] for j in range(len(w) - 4)} or {w}
-        df.update(s)
-        if w in first:
-            union(i, first[w])
-        else:
-            first[w] = i
-            sets[i] = s
-    n = len(ds)
-    weight = lambda x: (math.log((1 + n) / (1 + max(df[x], 0.1 * n))) + 1)
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            if a < b and sets[a] & sets[b]:
-                both = sum(map(weight, sets[a] & sets[b]))
-                if both >= similarity * sum(map(weight, sets[a] | sets[b])) * (1 - 1e-9):
-                    union(a, b)
+
+    for i, bag in weighted.items():
+        for s in bag:
+            holders.setdefault(s, []).append(i)
+    for a, b in {(a, b) for ids in holders.values() for a in ids for b in ids if a < b}:
+        if find(a) != find(b) and jaccard(weighted[a], weighted[b]) >= similarity * (1 - 1e-9):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
     return {i: find(i) for i in parent}

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from glycoflow.llm import pii, spans
 from glycoflow.llm.kernels import ALNUM, LOWER, PLAIN, pack_ints, rolling, span_hashes, text_bytes, unpack_ints, windows, words
 from glycoflow.llm.line_dedup import lines
-from glycoflow.llm.minhash import _bucket_pairs, shingle_sets, weighted_samples
+from glycoflow.llm.minhash import _bucket_pairs, shingle_bags, weighted_samples
 from glycoflow.llm.packing import WordIds, sum_of_squares
 from glycoflow.llm.quality_rules import longest_repeats, rule_counts
 from tests.llm import brute
@@ -158,8 +158,9 @@ def test_bucket_pairs_connect():
 
 
 def test_short_texts_are_one_shingle():
-    offsets, keys, whole = shingle_sets(pa.array(["a b", "a  b", "b a", "", None, "a b c d e f"]))
-    assert np.diff(offsets).tolist() == [1, 1, 1, 0, 0, 2] and keys[0] == keys[1] != keys[2] and whole[0] == whole[1] != whole[2]
+    offsets, keys, counts, bag = shingle_bags(pa.array(["a b", "a  b", "b a", "", None, "a b c d e f", "a a a a a a"]))
+    assert np.diff(offsets).tolist() == [1, 1, 1, 0, 0, 2, 1] and keys[0] == keys[1] != keys[2] and bag[0] == bag[1] != bag[2]
+    assert counts.tolist() == [1, 1, 1, 1, 1, 2]
 
 
 ODD = ["a@b.c", "x@@b.c d@e-f.gh.", "1.2.3.4.5.6.7.8", "999.1.1.1", "1.2.3", "+1 (555) 010-2345 ext", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49+1234567890", "a.b@c.d@e.f", "9" * 6000 + ".1.1.1", "0" * 5000 + "1.1.1.1", "@", "a@", "é@b.c", "a@b..c"]
