@@ -10,17 +10,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored
+from .common import prepare, slices, stored
 from .kernels import owner, span_hashes, text_bytes, words
 from .spans import byte_kind
 
 #: Distinct words that a worker's cache holds at most (under 100 MB); beyond, it starts anew.
 CACHE = 1_500_000
 #: Sequences that one packing group fills, about.  Groups grow in number with the input, not in size.
-GROUP = 200
+GROUP = 500
 
 
 _LETTER = byte_kind("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
@@ -123,13 +124,16 @@ def _word_ids(path: str | None) -> WordIds:
 
 
 def pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids: every document's ids, cut only if over capacity."""
+    """doc_id, piece, start, length, ids_crc32, row and, if asked for, ids: every document's ids, cut only if over capacity.
+
+    row is a number of its own for each piece (task and place in it).
+    """
     prepare(docs.sparkSession)
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "row", *["ids"] * with_ids]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _word_ids(tokenizer)
-        for batch in batches:
+        cache, row = _word_ids(tokenizer), TaskContext.get().partitionId() << 36
+        for batch in slices(batches, "text"):
             ids, off = cache.encode(*text_bytes(batch.column(1)), end_id)
             length = np.diff(off)
             n = -(-length // capacity)
@@ -139,20 +143,21 @@ def pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: st
             size = np.minimum(length[doc] - start, capacity)
             a, raw = off[doc] + start, memoryview(ids.astype("<u4").view(np.uint8))
             crc = [zlib.crc32(raw[4 * x : 4 * (x + k)]) for x, k in zip(a.tolist(), size.tolist())]
-            cols = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(size), pa.array(crc, pa.int64())]
+            cols = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(np.arange(row, row + len(doc)))]
+            row += len(doc)
             if with_ids:
                 cols.append(pa.ListArray.from_arrays(pa.array(np.append(a, len(ids)), pa.int32()), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, row long" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, ddl)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each piece, longest first.
 
-    With N[g] open bins of residual gap g, a piece goes into the open bin that takes it and makes the sum of N[g]**2
-    smallest; among equals into the smallest gap.  A new bin is opened only where no open bin takes the piece.
+    With N[g] open bins of residual gap g, a piece goes where the sum of N[g]**2 becomes smallest: into an open bin that
+    takes it or into a new one.  Among equals an open bin comes before a new one, and a smaller gap before a larger.
     """
     order = np.argsort(-lengths, kind="stable")
     count = np.zeros(capacity + 1, np.int64)
@@ -161,9 +166,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     for i in order.tolist():
         size = int(lengths[i])
         have = np.flatnonzero(count[size:]) + size
-        if len(have):
-            # From gap g to g - size: count[g] loses one bin and count[g - size] gains one, unless the bin closes.
-            change = 1 - 2 * count[have] + np.where(have > size, 2 * count[have - size] + 1, 0)
+        # From gap g to g - size: count[g] loses one bin and count[g - size] gains one, unless the bin closes.
+        change = 1 - 2 * count[have] + np.where(have > size, 2 * count[have - size] + 1, 0)
+        opened = 2 * count[capacity - size] + 1 if size < capacity else 0
+        if len(have) and change.min() <= opened:
             gap = int(have[change.argmin()])
             count[gap] -= 1
             at = stacks[gap].pop()
@@ -180,8 +186,8 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str
     """Packs all documents' tokens into sequences of at most `capacity`; only longer documents are cut.
 
     Returns per piece: doc_id, piece, start, length, ids_crc32 (of the little-endian unsigned 32-bit ids),
-    sequence_id, offset.  Texts are read once; only the pieces' lengths are shuffled, into groups that fill about
-    200 sequences each, so groups grow in number with the input.
+    sequence_id, offset.  Texts are read once; only the pieces' lengths are shuffled, dealt by piece number to groups
+    that fill about 500 sequences each, so groups grow in number with the input, and equal rows fall into all of them.
 
     A null or empty text is its closing id alone.  Null and repeated ids pass through, each row on its own.  An empty
     table gives an empty result; other columns are ignored, whatever their names.
@@ -195,5 +201,5 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str
         group = t["group"][0].as_py()
         return t.drop_columns(["group"]).append_column("sequence_id", pa.array(bins * n_groups + group)).append_column("offset", pa.array(offsets))
 
-    grouped = table.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_groups)).cast("int"))
+    grouped = table.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(n_groups)).cast("int")).drop("row")
     return grouped.groupBy("group").applyInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
