@@ -6,6 +6,7 @@ import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .kernels import pack_ints, unpack_ints
+from .kernels import pack_ints, text_bytes, unpack_ints
 
 TEXT_MB = 8  # of text in a block that one group holds
 
@@ -59,11 +60,18 @@ def _own_dir(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"glycoflow-{application}-")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and returns the table: lineage ends there, lost executors don't matter."""
+#: Rows of a stored table that one file holds at least, where their number is known.
+FILE_ROWS = 5000
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes df as a table in the shared folder and returns the table: lineage ends there, lost executors don't matter.
+
+    rows: about how many there are at most; small tables then come in a few files instead of one for each partition.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(8, -(-rows // FILE_ROWS)))).write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_path = path
     return table
@@ -76,6 +84,16 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slices(batches: Iterator[pa.RecordBatch], text_col: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most so many bytes of text, or of one row: arrays made of a part stay that small."""
+    for batch in batches:
+        off, at = text_bytes(batch.column(text_col))[1], 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def summed(parts: DataFrame, dtype: type) -> dict[int, np.ndarray]:
     """Adds up packed arrays (key int, part int, sums binary) of equal length by key.
 

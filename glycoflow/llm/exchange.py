@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for, prepare, size_of
+from .common import blocks_for, prepare, size_of, slices
 from .kernels import NULL_ID, doc_ids, pack_ints, text_bytes, unpack_ints
 
 #: Entries that a map task gathers before it sends them on.
@@ -114,7 +114,7 @@ def answers(docs: DataFrame, rule: Rule, n_buckets: int, n_blocks: int, id_col:
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
-        for batch in batches:
+        for batch in slices(batches, "text"):
             of, pos, h = rule.extract(*text_bytes(batch.column(1)))
             parts.append((doc_ids(batch.column(0))[of], pos, h))
             n += len(h)

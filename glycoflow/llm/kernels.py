@@ -24,8 +24,7 @@ _ROLL = 0xD6E8FEB86659FD93 | 1
 _M64 = (1 << 64) - 1
 
 
-@functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the base and of its inverse, modulo 2**64."""
 
     def grow(base: int) -> np.ndarray:
@@ -41,6 +40,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return grow(_BASE), grow(pow(_BASE, -1, 1 << 64))
 
 
+_powers = functools.lru_cache(maxsize=2)(powers)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that each bit of a polynomial hash can pick a bucket."""
     h = h ^ (h >> np.uint64(32))

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored, summed
+from .common import prepare, slices, stored, summed
 from .kernels import PLAIN, mix, owner, pack_ints, per_text, span_hashes, text_bytes, words
 from .line_dedup import lines
 from .spans import byte_kind
@@ -136,7 +136,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_on=None, width: flo
     prepare(spark)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             x = statistics(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in x.T)], ["doc_id", *STATS])
 
@@ -159,7 +159,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_on=None, width: flo
             raw = base + (_features(b, scale, width) * others[b.column("fold").to_numpy()]).sum(1)
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(raw)], ["y", "raw"])
 
-    seen = stored(train.mapInArrow(unseen, "y double, raw double"), "unseen")
+    seen = stored(train.mapInArrow(unseen, "y double, raw double"), "unseen", int(got[-1]))
     edges = np.unique(seen.select(F.percentile_approx("raw", [i / BINS for i in range(1, BINS)], 10_000)).first()[0])
     by = seen.mapInArrow(lambda x: _binned(x, edges), "bin int, good double, n long").groupBy("bin").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).orderBy("bin").collect()
     levels = _isotonic(np.array([r["good"] for r in by]), np.array([r["n"] for r in by]))

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
-from .kernels import PLAIN, covered, mix, owner, per_text, span_hashes, text_bytes, words
+from .common import prepare, slices
+from .kernels import PLAIN, covered, mix, owner, per_text, powers, span_hashes, text_bytes, words
 from .line_dedup import lines
 
 _SALT = np.uint64(0x9E3779B97F4A7C15)
@@ -18,11 +18,39 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
 
+def _common(h: np.ndarray, end: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Longest common prefixes, one or more, of the suffixes at i and j: steps that double while they match, then halve.
+
+    A step compares Rabin-Karp hashes from prefix sums: (P[a + s] - P[a]) * B**b == (P[b + s] - P[b]) * B**a.
+    """
+    common, top = np.ones(len(i), np.int64), np.zeros(len(i), np.int64)
+    power = powers(len(h))[0]
+    total = np.concatenate([[np.uint64(0)], np.cumsum(h * power[:-1], dtype=np.uint64)])
+
+    def step(at: np.ndarray, level: int) -> np.ndarray:
+        a, b, s = i[at] + common[at], j[at] + common[at], 1 << level
+        fits = np.flatnonzero((a + s <= end[i[at]]) & (b + s <= end[j[at]]))
+        a, b = a[fits], b[fits]
+        fits = fits[(total[a + s] - total[a]) * power[b] == (total[b + s] - total[b]) * power[a]]
+        common[at[fits]] += s
+        return at[fits]
+
+    active, level = np.arange(len(i)), 0
+    while len(active):
+        active = step(active, level)
+        level += 1
+        top[active] = level
+    for level in range(level - 2, -1, -1):
+        step(np.flatnonzero(top > level), level)
+    return common
+
+
 def longest_repeats(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each word, the length of the longest word string that starts there and is found elsewhere in its text.
 
     A suffix array of every text of the batch at once, by prefix doubling in which only suffixes that still tie are
-    sorted again; then the longest common prefixes of neighbours, read off the ranks of each doubling.
+    sorted again; then the longest common prefixes of neighbours.  Memory is a dozen integers a word, however much
+    a text repeats itself.
     """
     n = len(h)
     if not n:
@@ -35,8 +63,8 @@ def longest_repeats(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     size = np.diff(np.append(begin, n))
     rank = np.empty(n, np.int64)
     rank[order] = np.repeat(begin, size)
-    active = order[np.repeat(size > 1, size)]
-    ranks, step = [rank], 1
+    active, step = order[np.repeat(size > 1, size)], 1
+    del key, order
     while len(active):
         after = np.where(active + step < end[active], rank[np.minimum(active + step, n - 1)], -1)
         by = rank[active] * (n + 1) + after + 1
@@ -46,21 +74,16 @@ def longest_repeats(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         start = np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]]), np.arange(len(by)), 0))
         begin = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
         size = np.diff(np.append(begin, len(by)))
-        rank = rank.copy()
         rank[active] = group + np.repeat(begin, size) - start
         active = active[np.repeat(size > 1, size)]
-        ranks.append(rank)
         step *= 2
     suffix = np.empty(n, np.int64)
     suffix[rank] = np.arange(n)
-    pair = np.flatnonzero(ranks[0][suffix[1:]] == ranks[0][suffix[:-1]])
+    del rank
+    pair = np.flatnonzero(h[suffix[1:]] == h[suffix[:-1]])
+    pair = pair[text[suffix[pair]] == text[suffix[pair + 1]]]
     i, j = suffix[pair], suffix[pair + 1]
-    common = np.zeros(len(pair), np.int64)
-    for level in range(len(ranks) - 1, -1, -1):
-        a, b = i + common, j + common
-        ok = np.flatnonzero((a < end[i]) & (b < end[j]))
-        ok = ok[ranks[level][a[ok]] == ranks[level][b[ok]]]
-        common[ok] += 1 << level
+    common = _common(h, end, i, j)
     out = np.zeros(n, np.int64)
     np.maximum.at(out, i, common)
     np.maximum.at(out, j, common)
@@ -110,7 +133,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = 10,
     docs = docs.drop(*new)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text_col):
             got = rule_counts(batch.column(text_col))
             got["base_failed"] = (got["n_words"] < min_words) | (100 * got["n_repeat_words"] > max_repeat_percent * got["n_words"])
             got["kept"] = ~got["base_failed"] & (got["longest_repeat"] <= max_longest)
