@@ -25,7 +25,6 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 digests in hex.
 DIGESTS = {32, 40, 56, 64, 96, 128}
-_PART = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|[0-9]{1,4}|[A-Za-z]")
 _RUN = byte_kind("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 
 
@@ -41,10 +40,8 @@ def encoder(path: str | None):
 
 
 def identifier(text: str) -> bool:
-    """A UUID, a digest of a known length, or words and short numbers put together (snake, kebab, camel case, paths)."""
-    if UUID.fullmatch(text) or len(text) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
-        return True
-    return not (re.search("[0-9]", text) and re.search("[A-Za-z]", text)) or sum(len(x) for x in _PART.findall(text) if len(x) > 2) >= 0.8 * len(re.sub(r"[+/_=-]", "", text))
+    """A UUID or a digest of a known length.  Names put together of words need no rule: tokens spell them efficiently."""
+    return bool(UUID.fullmatch(text) or len(text) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text))
 
 
 def secret_spans(text: str, path: str | None, ratio: float) -> list[Span]:
@@ -65,7 +62,8 @@ def scan_secrets(docs: DataFrame, ratio: float = 2.0, vocabulary: str | None = N
     Base kinds: assign (a key word, a colon or equals sign, a value of six characters or more), access (AKIA and
     upper-case characters, 20 or more), hex (24 digits or more).  Kind random is added where a string of 20 characters
     or more takes a token for less than `ratio` characters on average under the tiktoken vocabulary, unless it is a
-    digest of a known length, an identifier, or overlaps a base span.  A vocabulary is the path of a rank file.
+    digest of a known length, a UUID, or overlaps a base span.  Random strings of any alphabet measure 1.3 to 1.7,
+    words and names put together 2.2 or more.  A vocabulary is the path of a rank file.
 
     Returns id, n_assign, n_access, n_hex, n_random (long), base, spans (kind:start:end in code points, by start and
     kind).  A null or empty text has no spans; ids may be null or repeated: rows are judged one by one.  An empty
