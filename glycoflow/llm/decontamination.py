@@ -3,7 +3,13 @@
 A benchmark item is the set of its windows.  A window is contained in a document if all its shingles are, in place.
 So one shingle of each window is enough to find it: its rarest one over all documents.  These prefix shingles are
 joined with the documents' shingles; the place of the shingle in the window bounds where the window must lie, the
-document's length bounds whether it can lie there at all, and whole windows are then compared word by word.
+document's length bounds whether it can lie there at all, and whole windows are then compared word by word, by 64-bit
+hashes of the words.
+
+Rarity comes from a table of 4 million slots, of which only those that the benchmark uses are counted: its size is
+fixed, and a slot that several shingles share only makes the choice of a prefix less sharp, never a result wrong.
+Windows are cut and their prefixes chosen in tasks.  If the benchmark's text is small, measured, its arrays are
+broadcast and a document is judged where it is read; else prefixes and occurrences meet in a shuffled join.
 """
 
 from __future__ import annotations
@@ -12,13 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
-from .kernels import ALNUM, LOWER, covered, owner, per_text, rolling, span_hashes, text_bytes, words
+from .common import prepare, slices, stored, summed
+from .kernels import ALNUM, LOWER, covered, owner, pack_ints, per_text, rolling, span_hashes, text_bytes, words
 
 WINDOW, SHINGLE = 10, 3
+#: Slots of the table of rarity; ranges of it that are added up on their own.
+SLOTS, RANGES = 1 << 22, 64
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -35,82 +44,99 @@ def _shingles(h: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return at, rolled[at]
 
 
-class _Filter:
-    """Which of many hashes are in a small sorted set: a bit table first, then a binary search."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.unique(keys)
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(self.bits[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
-        place = np.searchsorted(self.keys, h[at])
-        ok = self.keys[np.minimum(place, len(self.keys) - 1)] == h[at]
-        return at[ok], place[ok]
-
-
-class _Windows:
-    """The windows of one bounded slice of the benchmark."""
-
-    def __init__(self, ids: list, texts: list, window: int, shingle: int):
-        self.h, of = _words(pa.array(texts, pa.string()))
-        self.ids, rows = ids, []
-        for item, (a, b) in enumerate(zip(of[:-1], of[1:])):
-            width = min(window, b - a)
-            rows += [(item, at, width) for at in range(a, b - width + 1) if width]
-        self.item, self.at, self.width = (np.array(x, np.int64) for x in (zip(*rows) if rows else ((), (), ())))
-        self.shingle = np.minimum(self.width, shingle)
-        place = [(w, j) for w, (width, k) in enumerate(zip(self.width, self.shingle)) for j in range(width - k + 1)]
-        self.of, self.offset = (np.array(x, np.int64) for x in (zip(*place) if place else ((), ())))
-        self.hash = np.zeros(len(place), np.uint64)
-        for k in np.unique(self.shingle):
-            mine = self.shingle[self.of] == k
-            self.hash[mine] = rolling(self.h, int(k))[self.at[self.of[mine]] + self.offset[mine]]
-
-    def prefix(self, counts: dict[int, int]) -> None:
-        """Keeps one shingle of each window: the rarest over all documents."""
-        seen = np.array([counts.get(int(x), 0) for x in self.hash.view(np.int64)], np.int64)
-        order = np.lexsort((self.offset, seen, self.of))
-        first = np.concatenate([[True], self.of[order][1:] != self.of[order][:-1]])[: len(order)]
-        keep = order[first]
-        keep = keep[seen[keep] > 0]  # a shingle that no document holds: its window occurs nowhere
-        self.of, self.offset, self.hash = self.of[keep], self.offset[keep], self.hash[keep]
-        order = np.argsort(self.hash, kind="stable")
-        self.of, self.offset, self.hash = self.of[order], self.offset[order], self.hash[order]
-        self.sets = {int(k): _Filter(self.hash[self.shingle[self.of] == k]) for k in np.unique(self.shingle[self.of])}
+def _slot(h: np.ndarray, k: int) -> np.ndarray:
+    return ((h + np.uint64(k)) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _table(texts: DataFrame, text_col: str, lengths: list[int], used: np.ndarray | None = None) -> np.ndarray:
+    """How many shingles of the given lengths fall into each slot, of all or only of the used ones; fixed in size."""
+    wide = SLOTS // RANGES
+    mask = texts.sparkSession.sparkContext.broadcast(np.packbits(used)) if used is not None else None
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, part = np.zeros(SLOTS, np.int64), TaskContext.get().partitionId()
+        bits = np.unpackbits(mask.value).astype(bool) if mask else None
+        for batch in slices(batches, text_col):
+            h, of = _words(batch.column(0))
+            for k in lengths:
+                slot = _slot(_shingles(h, of, k)[1], k)
+                np.add.at(n, slot[bits[slot]] if bits is not None else slot, 1)
+        some = [r for r in range(RANGES) if n[r * wide : (r + 1) * wide].any()]
+        sums = [pack_ints(n[r * wide : (r + 1) * wide]) for r in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([part] * len(some), pa.int32()), pa.array(sums, pa.binary())], ["key", "part", "sums"])
+
+    out = np.zeros(SLOTS, np.int64)
+    for r, n in summed(texts.select(text_col).mapInArrow(count, "key int, part int, sums binary"), np.int64).items():
+        out[r * wide : (r + 1) * wide] = n
+    return out
+
+
+class Windows:
+    """Windows of some items, each with one prefix shingle: the rarest over all documents, by a table of slots."""
+
+    def __init__(self, h: np.ndarray, of: np.ndarray, window: int, shingle: int, rarity: np.ndarray):
+        n = np.diff(of)
+        width = np.minimum(n, window)
+        count = np.where(n > 0, n - width + 1, 0)
+        self.item = np.repeat(np.arange(len(n)), count)
+        self.at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + of[:-1][self.item]
+        self.width = width[self.item]
+        self.k = np.minimum(self.width, shingle)
+        self.h, self.offset, self.hash, seen = h, np.zeros(len(self.at), np.int64), np.zeros(len(self.at), np.uint64), np.zeros(len(self.at), np.int64)
+        for k in np.unique(self.k).tolist():
+            mine = np.flatnonzero(self.k == k)
+            rolled = rolling(h, k)
+            place = np.arange(window - k + 1)
+            inside = place <= (self.width[mine] - k)[:, None]
+            start = np.where(inside, self.at[mine][:, None] + place, self.at[mine][:, None])
+            rare = np.where(inside, rarity[_slot(rolled[start], k)], np.iinfo(np.int64).max)
+            self.offset[mine] = best = rare.argmin(1)
+            seen[mine] = rare[np.arange(len(mine)), best]
+            self.hash[mine] = rolled[self.at[mine] + best]
+        self._keep(seen > 0)  # a shingle that no document holds: its window occurs nowhere
+
+    def _keep(self, which: np.ndarray) -> None:
+        self.item, self.at, self.width, self.k, self.offset, self.hash = (x[which] for x in (self.item, self.at, self.width, self.k, self.offset, self.hash))
+
+    def ready(self) -> Windows:
+        """Sorted by prefix, with a bit table for each shingle length."""
+        self._keep(np.argsort(self.hash, kind="stable"))
+        self.bits = {}
+        for k in np.unique(self.k).tolist():
+            self.bits[k] = np.zeros(SLOTS, bool)
+            self.bits[k][_slot(self.hash[self.k == k], k)] = True
+        return self
 
     def hits(self, h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first word, window) of all occurrences in a batch of documents."""
-        ends, found = np.repeat(of[1:], np.diff(of)), []
-        begins = np.repeat(of[:-1], np.diff(of))
-        for k, some in self.sets.items():
-            at, shingles = _shingles(h, of, k)
-            hit, place = some.find(shingles)
-            at, key = at[hit], some.keys[place]
+        ends, begins = np.repeat(of[1:], np.diff(of)), np.repeat(of[:-1], np.diff(of))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for k, bits in self.bits.items():
+            at, key = _shingles(h, of, k)
+            some = bits[_slot(key, k)]
+            at, key = at[some], key[some]
             a, b = np.searchsorted(self.hash, key), np.searchsorted(self.hash, key, "right")
             n = b - a
             at = np.repeat(at, n)
-            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-            w = self.of[entry]
-            first = at - self.offset[entry]
-            fits = (self.shingle[w] == k) & (first >= begins[at]) & (first + self.width[w] <= ends[at])  # position and length
+            w = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+            first = at - self.offset[w]
+            fits = (self.k[w] == k) & (first >= begins[at]) & (first + self.width[w] <= ends[at])  # position and length
             first, w = first[fits], w[fits]
             same = np.ones(len(w), bool)
             for j in range(int(self.width[w].max()) if len(w) else 0):  # whole windows, word by word
                 inner = np.minimum(j, self.width[w] - 1)
                 same &= h[first + inner] == self.h[self.at[w] + inner]
             found.append((first[same], w[same]))
-        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, item_col: str = "item_id", text_col: str = "text", slice_mb: float = 16.0) -> DataFrame:
-    """Marks document words inside any occurrence of a benchmark window; nothing but the benchmark is broadcast.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, item_col: str = "item_id", text_col: str = "text", broadcast_mb: float = 8.0) -> DataFrame:
+    """Marks document words inside any occurrence of a benchmark window.
 
     A-Z are lower-cased and words are runs of digits, letters and characters beyond ASCII.  A window is `window`
-    consecutive words of an item; an item of fewer words, but not none, is one window.  The benchmark goes to the
-    tasks in slices of at most `slice_mb` MB, measured first, each joined with all documents, so that a benchmark of
-    any size fits.  (A single item larger than that is a slice of its own.)
+    consecutive words of an item; an item of fewer words, but not none, is one window.  A benchmark of up to
+    `broadcast_mb` MB of text, measured first, is broadcast as arrays of about eight times that size; a larger one is
+    joined by shuffles, with the same results.
 
     Returns docs' columns, n_words_, n_hit_, n_items_ (long), items_ (sorted array of item ids as strings).  A null
     or empty text has no words and no hits; null or empty items have no windows; a null item id counts as the text
@@ -120,63 +146,83 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     spark = docs.sparkSession
     prepare(spark)
     new = ["n_words_", "n_hit_", "n_items_", "items_"]
-    docs = docs.drop(*new)
+    docs = docs.drop(*new, "row__")
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).alias("t")).where("length(t) > 0")
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n_slices = max(1, -(-int(total) // int(slice_mb * 1e6)))
-    sliced = items.withColumn("s", F.pmod(F.xxhash64("i", "t"), F.lit(n_slices)))
+    lengths = list(range(1, shingle + 1))
+    rarity = spark.sparkContext.broadcast(_table(docs, text_col, lengths, _table(items, "t", lengths) > 0))
+    if (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) <= broadcast_mb * 1e6:
+        return _judged_in_place(docs, items, rarity, window, shingle, text_col, new)
+    return _joined(docs, items, rarity, window, shingle, text_col, new)
+
+
+def _judged_in_place(docs: DataFrame, items: DataFrame, rarity, window: int, shingle: int, text_col: str, new: list[str]) -> DataFrame:
+    texts = items.toArrow()
+    names, rank = np.unique(np.array(texts["i"].to_pylist(), object), return_inverse=True)
+    part = Windows(*_words(texts["t"]), window, shingle, rarity.value).ready()
+    part.item = rank.reshape(-1)[part.item]
+    shared = docs.sparkSession.sparkContext.broadcast((part, pa.array(names.tolist(), pa.string())))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.select("*", F.lit(0).cast("long").alias(new[0]), F.array().cast("array<int>").alias("hit__"), F.array().cast("array<string>").alias(new[3]))
-    for s in range(n_slices):
-        rows = (sliced.where(F.col("s") == s) if n_slices > 1 else sliced).select("i", "t").collect()
-        part = _Windows([r["i"] for r in rows], [r["t"] for r in rows], window, shingle)
-        part.prefix(_rarity(docs, text_col, part))
-        out = out.mapInArrow(_marker(spark.sparkContext.broadcast(part), text_col, new), f"{ddl}, n_words_ long, hit__ array<int>, items_ array<string>")
-    return out.select(*docs.columns, new[0], F.size("hit__").cast("long").alias(new[1]), F.size(new[3]).cast("long").alias(new[2]), new[3])
 
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        win, ids = shared.value
+        for batch in slices(batches, text_col):
+            h, of = _words(batch.column(text_col))
+            first, w = win.hits(h, of)
+            pairs = np.unique(owner(of)[first] * max(len(ids), 1) + win.item[w])
+            text, item = np.divmod(pairs, max(len(ids), 1))
+            count = np.bincount(text, minlength=batch.num_rows)
+            found = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), ids.take(pa.array(item)))
+            n_hit = per_text(covered(first, win.width[w], len(h)), of)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(of)), pa.array(n_hit), pa.array(count), found], [*batch.schema.names, *new])
 
-def _rarity(docs: DataFrame, text_col: str, part: _Windows) -> dict[int, int]:
-    """How often each shingle of the slice occurs over all documents; at most the slice's own number of shingles."""
-    sets = docs.sparkSession.sparkContext.broadcast({int(k): _Filter(part.hash[part.shingle[part.of] == k]) for k in np.unique(part.shingle[part.of])})
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {k: np.zeros(len(s.keys), np.int64) for k, s in sets.value.items()}
-        for batch in batches:
-            h, of = _words(batch.column(0))
-            for k, some in sets.value.items():
-                _, place = some.find(_shingles(h, of, k)[1])
-                sums[k] += np.bincount(place, minlength=len(some.keys))
-        for k, n in sums.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(sets.value[k].keys[at].view(np.int64)), pa.array(n[at])], ["h", "n"])
+    return docs.mapInArrow(mark, f"{ddl}, n_words_ long, n_hit_ long, n_items_ long, items_ array<string>")
 
-    rows = docs.select(text_col).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()
-    return {r["h"]: r["n"] for r in rows}
 
+def _joined(docs: DataFrame, items: DataFrame, rarity, window: int, shingle: int, text_col: str, new: list[str]) -> DataFrame:
+    """Prefixes and the documents' occurrences of them meet by hash; what is around each decides; rows are put together."""
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
-def _marker(part, text_col: str, new: list[str]):
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        win: _Windows = part.value
-        names = np.array(win.ids, object)
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
+            n = np.diff(_words(batch.column(text_col))[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(np.arange(row, row + len(n)))], [*batch.schema.names, new[0], "row__"])
+            row += len(n)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t", 1 << 20):
+            w = Windows(*_words(batch.column("t")), window, shingle, rarity.value)
+            inside = [w.h[a : a + n].tobytes() for a, n in zip(w.at.tolist(), w.width.tolist())]
+            cols = [batch.column("i").take(pa.array(w.item)), pa.array(w.hash.view(np.int64)), pa.array(w.k), pa.array(w.offset), pa.array(inside, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["item", "hash", "k", "lead", "win"])
+
+    wanted = stored(items.mapInArrow(prefixes, "item string, hash long, k long, lead long, win binary").groupBy("item", "hash", "k", "lead", "win").agg(F.count(F.lit(1)).alias("n")), "prefixes")
+    texts = stored(docs.mapInArrow(numbered, f"{ddl}, n_words_ long, row__ long"), "numbered")
+    used = np.zeros(SLOTS, bool)
+    used[[r["s"] for r in wanted.select(F.expr(f"(hash + k) & {SLOTS - 1}").alias("s")).distinct().collect()]] = True
+    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(used))
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.unpackbits(bits.value).astype(bool)
+        for batch in slices(batches, text_col, 1 << 20):
             h, of = _words(batch.column(text_col))
-            first, w = win.hits(h, of)
-            hit = covered(first, win.width[w], len(h))
-            text = owner(of)
-            before_hit, before_items = batch.column("hit__"), batch.column(new[3])
-            hit_lists: list = [None] * batch.num_rows
-            item_lists: list = [None] * batch.num_rows
-            for i in np.unique(text[first]).tolist():
-                mine = text[first] == i
-                hit_lists[i] = sorted({*np.flatnonzero(hit[of[i] : of[i + 1]]).tolist(), *before_hit[i].as_py()})
-                item_lists[i] = sorted({*names[win.item[w[mine]]].tolist(), *before_items[i].as_py()})
-            for i, x in enumerate(hit_lists):
-                if x is None:
-                    hit_lists[i], item_lists[i] = before_hit[i].as_py(), before_items[i].as_py()
-            kept = [c for c in batch.schema.names if c not in ("hit__", new[0], new[3])]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(np.diff(of)), pa.array(hit_lists, pa.list_(pa.int32())), pa.array(item_lists, pa.list_(pa.string()))],
-                [*kept, new[0], "hit__", new[3]],
-            )
-
-    return mark
+            of_word = owner(of)
+            for k in range(1, shingle + 1):
+                at, key = _shingles(h, of, k)
+                some = mask[_slot(key, k)]
+                at, key = at[some], key[some]
+                a, b = np.maximum(at - window, of[:-1][of_word[at]]), np.minimum(at + window, of[1:][of_word[at]])
+                around = [h[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist())]
+                cols = [batch.column("row__").take(pa.array(of_word[at])), pa.array(key.view(np.int64)), pa.array(np.full(len(at), k)), pa.array(at - of[:-1][of_word[at]]), pa.array(at - a), pa.array(around, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["row__", "hash", "k", "at", "before", "around"])
+
+    seen = texts.select("row__", text_col).mapInArrow(occurrences, "row__ long, hash long, k long, at long, before long, around binary")
+    # Where the window would begin in what is around, if it doesn't begin before it; the bytes there must be the window's.
+    inside = F.expr("before >= lead and substring(around, cast(8 * (before - lead) + 1 as int), length(win)) = win")
+    met = seen.join(wanted, ["hash", "k"]).where(inside)
+    span = F.struct((F.col("at") - F.col("lead")).alias("a"), (F.col("at") - F.col("lead") + F.length("win") / 8).cast("long").alias("b"))
+    found = met.select("row__", span.alias("span"), "item").groupBy("row__").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items_"))
+    union = F.expr("aggregate(spans, named_struct('e', 0L, 'n', 0L), (s, x) -> named_struct('e', greatest(s.e, x.b), 'n', s.n + greatest(0L, x.b - greatest(s.e, x.a))), s -> s.n)")
+    got = texts.join(found.select("row__", union.alias("n_hit_"), "items_"), "row__", "left")
+    names = F.coalesce("items_", F.array().cast("array<string>"))
+    return got.select(*docs.columns, new[0], F.coalesce("n_hit_", F.lit(0)).alias(new[1]), F.size(names).cast("long").alias(new[2]), names.alias(new[3]))
