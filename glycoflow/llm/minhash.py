@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, prepare, stored, summed
+from .common import discard, prepare, slices, stored, summed
 from .kernels import NULL_ID, doc_ids, mix, owner, pack_ints, rolling, span_hashes, text_bytes, unpack_ints, windows, words
 
 SHINGLE, SAMPLES, ROWS = 5, 48, 4
@@ -74,6 +74,7 @@ class Weights:
     """TF-IDF weights from the number of documents and the number of documents in each slot of shingles."""
 
     def __init__(self, n_docs: int, df: np.ndarray):
+        self.n_docs = n_docs
         self.level = np.rint(LEVELS * np.log2(1.0 + df)).astype(np.uint8)
         self.idf = 1 + (np.log(1 + n_docs) - np.arange(256) * np.log(2) / LEVELS) / np.log(2 + n_docs)
 
@@ -89,20 +90,14 @@ def document_frequencies(texts: DataFrame) -> Weights:
     width = SLOTS // RANGES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, docs, part, waiting, n = np.zeros(SLOTS, np.int64), 0, TaskContext.get().partitionId(), [], 0
-        for batch in batches:
+        df, docs, part = np.zeros(SLOTS, np.int32), 0, TaskContext.get().partitionId()
+        for batch in slices(batches, "text"):
             _, key, _, _ = shingle_bags(batch.column(1))
-            waiting.append(_slot(key))
-            n += len(key)
+            np.add.at(df, _slot(key), 1)
             docs += batch.num_rows
-            if n > SLOTS:
-                df += np.bincount(np.concatenate(waiting), minlength=SLOTS)
-                waiting, n = [], 0
         if docs:
-            if waiting:
-                df += np.bincount(np.concatenate(waiting), minlength=SLOTS)
             some = [r for r in range(RANGES) if df[r * width : (r + 1) * width].any()]
-            sums = [pack_ints(df[r * width : (r + 1) * width]) for r in some] + [pack_ints(np.array([docs]))]
+            sums = [pack_ints(df[r * width : (r + 1) * width].astype(np.int64)) for r in some] + [pack_ints(np.array([docs]))]
             yield pa.RecordBatch.from_arrays([pa.array([*some, RANGES], pa.int32()), pa.array([part] * len(sums), pa.int32()), pa.array(sums, pa.binary())], ["key", "part", "sums"])
 
     got = summed(texts.mapInArrow(count, "key int, part int, sums binary"), np.int64)
@@ -149,7 +144,7 @@ def _sketches(texts: DataFrame, weights) -> DataFrame:
     """doc_id, bag (hash of all shingles), sig (one byte a sample), bands (one hash a band); texts without words are left out."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             offsets, keys, counts, bag = shingle_bags(batch.column(1))
             some = np.flatnonzero(np.diff(offsets))
             ids = doc_ids(batch.column(0))[some]
@@ -276,7 +271,7 @@ def _vectors(texts: DataFrame) -> DataFrame:
     """doc_id, h (distinct shingles, ascending), c (their counts) of texts."""
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             offsets, keys, counts, _ = shingle_bags(batch.column(1))
             spans = list(zip(offsets[:-1], offsets[1:]))
             sets = [pack_ints(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in spans]
@@ -325,12 +320,12 @@ def _across(rows: DataFrame, vectors: DataFrame, weights, similarity: float, blo
     some = rows.groupBy("key").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x < y").select("key")
     per = rows.groupBy("key", "class_id").agg(F.count(F.lit(1)).alias("m")).join(some, "key", "left_semi")
     own = F.when(F.col("m") > block, F.col("class_id"))
-    per = stored(per.select("key", "class_id", own.isNotNull().alias("pure"), F.coalesce(own, F.lit(0)).alias("of"), "m"), "classes")
-    shares = stored(per.groupBy("key", "pure", "of").agg(F.ceil(F.sum("m") / block).cast("int").alias("n")), "shares")
+    per = stored(per.select("key", "class_id", own.isNotNull().alias("pure"), F.coalesce(own, F.lit(0)).alias("of"), "m"), "classes", weights.value.n_docs)
+    shares = stored(per.groupBy("key", "pure", "of").agg(F.ceil(F.sum("m") / block).cast("int").alias("n")), "shares", weights.value.n_docs)
     blocks = shares.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.struct("pure", "of", "salt").alias("block"))
     left, right = blocks.withColumnRenamed("block", "l"), blocks.withColumnRenamed("block", "r")
     cells = left.join(right, "key").where("l <= r and not (l.pure and r.pure and l.of = r.of)")
-    sides = stored(cells.select("key", "l", "r", F.explode(F.expr("if(l = r, array(l), array(l, r))")).alias("block")), "cells")
+    sides = stored(cells.select("key", "l", "r", F.explode(F.expr("if(l = r, array(l), array(l, r))")).alias("block")), "cells", weights.value.n_docs)
     dealt = rows.join(per.select("key", "class_id", "pure", "of"), ["key", "class_id"]).join(shares, ["key", "pure", "of"])
     dealt = dealt.select("doc_id", "sig", "bands", "key", "class_id", F.struct("pure", "of", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int").alias("salt")).alias("block"))
     least = int(np.ceil(ESTIMATE * SAMPLES))
@@ -371,13 +366,13 @@ def _across(rows: DataFrame, vectors: DataFrame, weights, similarity: float, blo
     return met.join(vectors, "doc_id").groupBy("key", "l", "r").applyInArrow(compare, "a long, b long").distinct()
 
 
-def classes(links: DataFrame) -> DataFrame:
+def classes(links: DataFrame, rows: int | None = None) -> DataFrame:
     """Connected components: (doc_id, class_id), the smallest id of each, for all ids with a link.
 
     Large star and small star in turn, until nothing changes; minima are combined before each shuffle and joined
     back, so no node's links are ever gathered.  Each round lowers some node's parent, so the loop ends by itself.
     """
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
+    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links", rows)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -385,7 +380,7 @@ def classes(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         first = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(first, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        old, edges = edges, stored(small, "links")
+        old, edges = edges, stored(small, "links", rows)
         discard(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -410,22 +405,23 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bucket: int = 1000
     prepare(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     weights = spark.sparkContext.broadcast(document_frequencies(texts))
-    sketches = stored(_sketches(texts, weights), "sketches")
-    single = stored(sketches.groupBy("bag").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "singles")
-    members = stored(sketches.select("doc_id", "bag").join(single.select("bag", F.col("doc_id").alias("first")).hint("merge"), "bag").select("doc_id", "first"), "members")
+    n = weights.value.n_docs
+    sketches = stored(_sketches(texts, weights), "sketches", n)
+    single = stored(sketches.groupBy("bag").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "singles", n)
+    members = stored(sketches.select("doc_id", "bag").join(single.select("bag", F.col("doc_id").alias("first")).hint("merge"), "bag").select("doc_id", "first"), "members", n)
     discard(sketches)
-    proposed = stored(_proposed(single, bucket), "proposed")
+    proposed = stored(_proposed(single, bucket), "proposed", n)
     pairs = proposed.where("key is null").select("a", "b")
     unsettled = proposed.where("key is not null").select("key")
-    open_rows = stored(single.select("doc_id", "sig", "bands", F.explode("bands").alias("key")).join(unsettled, "key", "left_semi"), "open")
+    open_rows = stored(single.select("doc_id", "sig", "bands", F.explode("bands").alias("key")).join(unsettled, "key", "left_semi"), "open", n)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(open_rows.select("doc_id")).distinct()
-    vectors = stored(_vectors(texts.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")), "vectors")
-    links = stored(_links(pairs, vectors, weights, similarity), "verified")
-    found = stored(classes(links.unionByName(_repeated(members))), "found")
-    rest = stored(open_rows.join(found, "doc_id", "left").select("doc_id", "sig", "bands", "key", F.coalesce("class_id", "doc_id").alias("class_id")), "rest")
-    more = stored(_across(rest, vectors, weights, similarity), "more")
+    vectors = stored(_vectors(texts.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")), "vectors", n)
+    links = stored(_links(pairs, vectors, weights, similarity), "verified", n)
+    found = stored(classes(links.unionByName(_repeated(members)), n), "found", n)
+    rest = stored(open_rows.join(found, "doc_id", "left").select("doc_id", "sig", "bands", "key", F.coalesce("class_id", "doc_id").alias("class_id")), "rest", n)
+    more = stored(_across(rest, vectors, weights, similarity), "more", n)
     discard(open_rows, proposed, vectors, rest, single)
-    joined = classes(found.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).unionByName(more))
+    joined = classes(found.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).unionByName(more), n)
     every = links.unionByName(more).where("a != b").distinct()
     degree = every.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
     linked = joined.select(F.col("doc_id").alias("first"), "class_id").join(degree, "first", "left")
