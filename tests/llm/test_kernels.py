@@ -1,6 +1,7 @@
 """Kernels against plain Python, on texts that hypothesis makes up."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -121,8 +122,34 @@ def test_sum_of_squares(lengths):
     for spans_ in by.values():
         spans_.sort()
         assert spans_[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans_, spans_[1:])) and sum(spans_[-1]) <= 40
-    if lengths:
-        assert len(by) <= 2 * -(-sum(lengths) // 40)
+    # Plainly: try every residual gap with an open bin, and a new bin, and take the least sum of squares.
+    gaps, want = [], {}
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        best = None
+        for g in sorted({g for g in gaps if g >= lengths[i]}) + [None]:
+            after = list(gaps)
+            if g is not None:
+                after.remove(g)
+            after.append((40 if g is None else g) - lengths[i])
+            squares = sum(n**2 for gap, n in Counter(after).items() if gap)
+            if best is None or squares < best[0]:
+                best = (squares, after)
+        gaps = best[1]
+    assert sorted(40 - sum(n for _, n in x) for x in by.values()) == sorted(gaps)
+
+
+def test_repetitive_texts_take_bounded_time_and_memory():
+    """Millions of equal words, and a long passage twice: a dozen integers a word, not one array for each doubling."""
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    n = 2_000_000
+    got = longest_repeats(np.full(n, 12345, np.uint64), np.array([0, n]))
+    assert got[0] == n - 1 and got[-1] == 1 and got[n // 2] == n // 2
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 120 * n / 1024 + 200_000
+    part = np.random.default_rng(2).integers(0, 2**63, 50_000, dtype=np.uint64)
+    got = longest_repeats(np.concatenate([part, part[:1], part]), np.array([0, 100_001]))
+    assert got[0] == 50_000 and got[50_001] == 50_000
 
 
 def test_samples_estimate_weighted_jaccard():
