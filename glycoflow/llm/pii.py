@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import random
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 from .kernels import text_bytes
-from .spans import Span, byte_kind, joined, texts_with_run
+from .spans import Span, byte_kind, joined, texts_with, texts_with_run
 
 KINDS = ["email", "ip", "card", "phone"]
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -60,8 +60,17 @@ def base_spans(text: str) -> list[Span]:
 # --- the conditional random field -------------------------------------------------------------------------------
 
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
-_SIZES = [4096, 256, 4096, 16, 256, 256, 64]
-_CUES = ["phone", "tel", "call", "fax", "mobile", "mail", "email", "contact", "card", "visa", "account", "ip", "host", "server", "address", "version", "page", "isbn", "order", "date"]
+_SIZES = [4096, 256, 4096, 16, 16, 256, 4096, 64, 16]
+#: Words that say what a number or a name may be, or that it is none of these kinds.
+_CUES = {
+    "phone": "phone tel telefon telephone teléfono call ring dial appeler appelez rufen ruf llame fax mobile handy cell whatsapp hotline sekretariat",
+    "mail": "mail email e-mail write send contact kontakt address adresse escríbanos anfragen gmail cc from reply-to",
+    "card": "card visa mastercard carte tarjeta kreditkarte charged account",
+    "host": "ip host server client ssh ping connect login router printer",
+    "none": "version release section chapter kapitel article firmware build page pages isbn order date no nr serial room room zimmer model iban invoice case id sha1 checksum score row code part",
+}
+_CUE = {word: i for i, words_ in enumerate(_CUES.values(), 1) for word in words_.split()}
+_NUMBER = re.compile(r"[+(]*[0-9][0-9().+/-]*[.,;:!?]?")
 
 
 def _code(text: str, n: int) -> int:
@@ -71,22 +80,51 @@ def _code(text: str, n: int) -> int:
     return h % n
 
 
-def _coarse(word: str) -> int:
-    digits = sum("0" <= c <= "9" for c in word)
-    letters = sum(c.isalpha() for c in word)
-    return min(digits, 15) + 16 * min(letters, 4) + 80 * min(word.count("@"), 2)
+_CLASSES = [re.compile(x) for x in (
+    r"[a-zà-ÿ]+", r"[A-ZÀ-Þ][a-zà-ÿ]+", r"[A-Z]+", r"[0-9]+", r"[0-9]+(?:\.[0-9]+){3}", r"[0-9]+(?:[.,:][0-9]+)+", r"[+(]*[0-9][0-9()+/-]*[.-]?[0-9()/-]*",
+    r"[(<]?[\w.%+-]+@[\w-]+(?:\.[\w-]+)+[)>]?", r"\S+[(\[{](?:at|AT)[)\]}]\S+", r"@|[(\[{](?:at|AT)[)\]}]|AT|at", r"[(\[{](?:dot|DOT|punto)[)\]}]|DOT|dot|\.", r"[\w-]+(?:\.[\w-]+)+", r"\w+", r"\W+",
+)]
+
+
+def _class(word: str) -> int:
+    """What a word looks like: 1 to 14 by the first pattern that fits all of it but the marks at its end; else 0."""
+    bare = word.rstrip(".,;:!?") or word
+    return next((i for i, p in enumerate(_CLASSES, 1) if p.fullmatch(bare)), 0) if len(word) < 200 else 0
+
+
+def _rows_of_numbers(tokens: list[str]) -> list[int]:
+    """For each token of a row of numbers, a code of the lengths of all digit groups of that row; 0 elsewhere."""
+    out, i = [0] * len(tokens), 0
+    while i < len(tokens):
+        j = i
+        while j < len(tokens) and len(tokens[j]) < 40 and _NUMBER.fullmatch(tokens[j]):
+            j += 1
+            if tokens[j - 1][-1] in ".,;:!?":
+                break
+        if j > i:
+            groups = ".".join(str(len(g)) for g in re.findall("[0-9]+", " ".join(tokens[i:j]))[:12])
+            out[i:j] = [1 + _code(groups, 4095)] * (j - i)
+        i = max(j, i + 1)
+    return out
 
 
 def _features(tokens: list[str]) -> np.ndarray:
-    """Word-shape features: collapsed shape, digit and letter counts, marks, length, neighbours, a cue word before."""
-    coarse = [0, *map(_coarse, tokens), 0]
-    rows = []
+    """Word-shape features of each token.
+
+    Collapsed shape; classes of the two words before and the one after; marks; length; its own class; classes beside it;
+    the row of numbers that it is in; cues among the three words before; words for `at` and `dot` within two words.
+    """
+    n, row = len(tokens), _rows_of_numbers(tokens)
+    kind = [0, 0, *map(_class, tokens), 0, 0]
+    cue = [_CUE.get(w.lower().strip(".:,;()"), 0) for w in tokens]
+    out = []
     for i, w in enumerate(tokens):
         shape = re.sub(r"(.)\1+", r"\1", "".join("9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c for c in w[:200]))
         marks = ".".join(str(min(w.count(c), 3)) for c in "@.-()+:/")
-        before = tokens[i - 1].lower().strip(".:,;") if i else ""
-        rows.append((_code(shape, 4096), coarse[i + 1], _code(marks, 4096), min(len(w), 15), coarse[i], coarse[i + 2], 1 + _CUES.index(before) if before in _CUES else 0))
-    return np.array(rows, np.int64).reshape(-1, len(_SIZES)) + np.cumsum([0, *_SIZES[:-1]])
+        near = next((c for c in reversed(cue[max(0, i - 3) : i]) if c), 0)
+        around = sum((x in (10, 11)) << b for b, x in enumerate((kind[i], kind[i + 1], kind[i + 3], kind[i + 4])))
+        out.append((_code(shape, 4096), 16 * kind[i] + kind[i + 1], _code(marks, 4096), min(len(w), 15), kind[i + 2], 16 * kind[i + 1] + kind[i + 3], row[i], 8 * (cue[i - 1] if i else 0) + near, around))
+    return np.array(out, np.int64).reshape(n, len(_SIZES)) + np.cumsum([0, *_SIZES[:-1]])
 
 
 def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,6 +135,19 @@ def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, np.arange(n.max())[None, :] < n[:, None]
 
 
+def _forward_backward(e: np.ndarray, t: np.ndarray, first: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward and backward sums of all rows at once; what is beyond a row's end repeats its last step."""
+    b, n, m = e.shape
+    alpha, beta, scale = np.zeros((b, n, m)), np.ones((b, n, m)), np.ones((b, n, 1))
+    for k in range(n):
+        now = e[:, k] * (alpha[:, k - 1] @ t if k else np.exp(first))
+        scale[:, k] = np.where(mask[:, k, None], now.sum(1, keepdims=True), 1)
+        alpha[:, k] = np.where(mask[:, k, None], now / scale[:, k], alpha[:, k - 1])
+    for k in range(n - 2, -1, -1):
+        beta[:, k] = np.where(mask[:, k + 1, None], (e[:, k + 1] * beta[:, k + 1]) @ t.T / scale[:, k + 1], 1)
+    return alpha, beta, scale
+
+
 class Crf:
     """Emission weights of each feature and label, transitions between labels; B and I steps that cannot be are barred."""
 
@@ -122,13 +173,7 @@ class Crf:
         for _ in range(steps):
             e, t = self.w[x].sum(2), np.exp(self.t + self.bar)
             e = np.exp(e - e.max(2, keepdims=True))
-            alpha, beta, scale = np.zeros((b, n, m)), np.ones((b, n, m)), np.ones((b, n, 1))
-            for k in range(n):
-                now = e[:, k] * (alpha[:, k - 1] @ t if k else np.exp(self.first))
-                scale[:, k] = np.where(mask[:, k, None], now.sum(1, keepdims=True), 1)
-                alpha[:, k] = np.where(mask[:, k, None], now / scale[:, k], alpha[:, k - 1])
-            for k in range(n - 2, -1, -1):
-                beta[:, k] = np.where(mask[:, k + 1, None], (e[:, k + 1] * beta[:, k + 1]) @ t.T / scale[:, k + 1], 1)
+            alpha, beta, scale = _forward_backward(e, t, self.first, mask)
             p = alpha * beta * mask[..., None]
             pair = t * np.einsum("bki,bkj->ij", alpha[:, :-1] * both[..., None], (e * beta / scale)[:, 1:])
             down_t = pair - steps_gold + ridge * self.t
@@ -143,9 +188,10 @@ class Crf:
             self.t -= rate * down_t / np.sqrt(gt)
         return self
 
-    def decode(self, rows: list[np.ndarray]) -> list[list[int]]:
-        """Viterbi over sequences of like length together."""
+    def decode(self, rows: list[np.ndarray]) -> tuple[list[list[int]], list[list[float]]]:
+        """Viterbi over sequences of like length together; beside each label of the best path its marginal probability."""
         out: list[list[int]] = [[]] * len(rows)
+        sure: list[list[float]] = [[]] * len(rows)
         order = sorted((i for i in range(len(rows)) if len(rows[i])), key=lambda i: len(rows[i]))
         for at in range(0, len(order), 256):
             part = order[at : at + 256]
@@ -160,51 +206,24 @@ class Crf:
             for b in reversed(back):
                 path.append(b[np.arange(len(part)), path[-1]])
             paths = np.array(path[::-1]).T
-            for i, p in zip(part, paths):
-                out[i] = p[: len(rows[i])].tolist()
-        return out
-
-
-def labelled_table(n: int = 600, seed: int = 7) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """The small labelled table, made by rule: invented words around personal data, and around harmless numbers."""
-    r = random.Random(seed)
-    syllable = lambda: r.choice(["th", "er", "on", "an", "re", "la", "de", "ein", "ch", "qu", "os", "ción", "eux", "ü", "st", "mi", "to", "be"])
-    word = lambda: "".join(syllable() for _ in range(r.randint(1, 4)))
-    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-
-    def luhn(k: int) -> str:
-        d = digits(k - 1)
-        return next(d + c for c in "0123456789" if _luhn(d + c))
-
-    def secret() -> tuple[str, str]:
-        kind = r.choice(KINDS)
-        ascii_word = "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(2, 8)))
-        if kind == "email":
-            return kind, r.choice([f"{ascii_word}.{digits(2)}@mail{digits(1)}.example.com", f"{ascii_word}@example.org", f"{ascii_word}(at)example(dot)com", f"{ascii_word} at example dot com"])
-        if kind == "ip":
-            return kind, ".".join(str(r.randint(0, 255)) for _ in range(4))
-        if kind == "card":
-            c = luhn(16)
-            return kind, r.choice([c, " ".join(c[i : i + 4] for i in range(0, 16, 4)), "-".join(c[i : i + 4] for i in range(0, 16, 4))])
-        a, b, c = digits(3), digits(3), digits(4)
-        return kind, r.choice([f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}"])
-
-    def harmless() -> str:
-        return r.choice([f"version {r.randint(1, 9)}.{r.randint(0, 9)}.{r.randint(0, 20)}", f"{r.randint(1900, 2030)}", f"{r.randint(2000, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"CC BY-NC {r.randint(1, 4)}.0.", f"{r.randint(1, 24)}:{digits(2)}", f"${digits(3)},{digits(3)}", f"{digits(2)}%", f"page {digits(3)}", f"order {digits(6)}", digits(r.randint(1, 9)), "".join(r.choice("0123456789abcdef") for _ in range(40)), f'token = "{"".join(r.choice("0123456789abcdef") for _ in range(40))}"', "| " + digits(2) + " |", f"{digits(5)}-{digits(3)}", f"item{digits(3)}", f"at {digits(2)}"])
+            alpha, beta, _ = _forward_backward(np.exp(e - e.max(2, keepdims=True)), np.exp(t), self.first, mask)
+            p = alpha * beta
+            p = np.take_along_axis(p, paths[..., None], 2)[..., 0] / p.sum(2)
+            for i, x, q in zip(part, paths, p):
+                out[i], sure[i] = x[: len(rows[i])].tolist(), q[: len(rows[i])].tolist()
+        return out, sure
+
 
+def labelled_table() -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """The small labelled table beside this file: sentences with {{kind|value}} around personal data, and harmless numbers."""
     rows = []
-    for _ in range(n):
-        text, spans = " ".join(word() for _ in range(r.randint(1, 6))), []
-        for _ in range(r.randint(0, 3)):
-            if r.random() < 0.5:
-                kind, value = secret()
-                if r.random() < 0.3:
-                    text += " " + r.choice(_CUES[:15])
-                spans.append((kind, len(text) + 1, len(text) + 1 + len(value)))
-                text += " " + value + r.choice(["", "", ".", ",", "!!", "###"])
-            else:
-                text += " " + harmless()
-            text += "".join(" " + word() for _ in range(r.randint(1, 5)))
+    for line in Path(__file__).with_name("labelled_pii.txt").read_text(encoding="utf-8").splitlines():
+        text, spans = "", []
+        for part in re.split(r"(\{\{\w+\|.*?\}\})", line):
+            m = re.fullmatch(r"\{\{(\w+)\|(.*)\}\}", part)
+            if m:
+                spans.append((m[1], len(text), len(text) + len(m[2])))
+            text += m[2] if m else part
         rows.append((text, spans))
     return rows
 
@@ -233,43 +252,48 @@ def train(rows: list[tuple[str, list[str]]]) -> Crf:
     return Crf().fit(x, y)
 
 
-#: Longest sequence that is decoded in one; longer lines are cut into so many words.
-SEQUENCE = 256
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]+)+")
+#: Longest sequence that is decoded in one, in words; longer lines are cut into such sequences with so much overlap.
+SEQUENCE, OVERLAP = 256, 64
 _TRIM = " .,;:!?#*$%&|<>\"'"
-_SPECIAL = re.compile(r"[0-9@]")
+#: Only lines with a digit or one of these are decoded: nothing else can be data of these kinds.
+_MARKS = ["@", "(at)", "[at]", "{at}", "(dot)", "[dot]", "{dot}", " dot ", "punto)"]
+_AT = re.compile(r"@|[(\[{](?:at|dot|punto)[)\]}]", re.I)
+_DIGIT = re.compile(r"[0-9]")
 
 
-def _sequences(text: str) -> list[list[tuple[int, int]]]:
-    """Lines with a digit or an at sign, as token spans; others have no data that this model could mark."""
+def _sequences(text: str) -> list[tuple[list[tuple[int, int]], int, int]]:
+    """Token spans of what is decoded at once, and the positions in it from and up to which its labels count."""
     out, start = [], 0
     for line in text.split("\n"):
-        if _SPECIAL.search(line) or "(at)" in line or " dot " in line:
-            at = _tokens(text, start, start + len(line))
-            out += [at[i : i + SEQUENCE] for i in range(0, len(at), SEQUENCE)]
+        low = line.lower()
+        if _DIGIT.search(line) or any(m in low for m in _MARKS):
+            at, step = _tokens(text, start, start + len(line)), SEQUENCE - OVERLAP
+            for i in range(0, max(1, len(at) - OVERLAP), step):
+                last = i + SEQUENCE >= len(at)
+                out.append((at[i : i + SEQUENCE], OVERLAP // 2 if i else 0, len(at) - i if last else SEQUENCE - OVERLAP // 2))
         start += len(line) + 1
     return out
 
 
-def _plausible(kind: int, value: str) -> bool:
-    """A marked span must have what its kind needs, so that the model adds no clean text."""
-    digits = len(re.sub("[^0-9]", "", value))
-    if kind == 0:
-        return bool(_SPELLED.fullmatch(value))
+def _bounded(kind: int, value: str) -> bool:
+    """What defines a kind, whatever the model says: card numbers pass Luhn, parts of an ip are at most 255, phones have 7 to 15 digits."""
+    digits = re.sub("[^0-9]", "", value)
     if kind == 1:
-        return value.count(".") == 3 and 4 <= digits <= 12
+        parts = re.findall("[0-9]+", value)
+        return len(parts) >= 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts[:4])
     if kind == 2:
-        return 14 <= digits <= 19 and _luhn(re.sub("[^0-9]", "", value))
-    return 10 <= digits <= 15 and bool(re.fullmatch(r"[+0-9][0-9().\x20-]+[0-9]|\([0-9][0-9().\x20-]+[0-9]", value))
+        return 14 <= len(digits) <= 19 and _luhn(digits)
+    return 7 <= len(digits) <= 15 if kind == 3 else len(value) >= 6
 
 
-def find_pii(docs: DataFrame, labelled: DataFrame | None = None, max_labelled: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, labelled: DataFrame | None = None, cut: float = 0.8, max_labelled: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of personal data in whole texts; one pass, no shuffle.
 
     Base kinds are patterns: email, ip (parts at most 255), card (14 to 19 digits that pass Luhn), phone (+ and 10 to
     15 digits).  A linear-chain conditional random field over word shapes adds spans that no base span overlaps: data
-    written otherwise, as in `name(at)example(dot)com` or `(555) 010-2345`.  It is fitted on at most `max_labelled`
-    rows (text, spans as kind:start:end) of a labelled table, by default one made by rule, and broadcast (under 1 MB).
+    written otherwise, as in `name(at)example(dot)com` or `(555) 010-2345`.  A span is added if each label of the best
+    path has a marginal probability of `cut` or more.  The model is fitted on at most `max_labelled` rows (text, spans
+    as kind:start:end) of a labelled table, by default the small one in this package, and broadcast (under 1 MB).
 
     Returns id, n_email, n_ip, n_card, n_phone (long, base only), n_added, base, spans (kind:start:end in code
     points, by start and kind).  A null or empty text has no spans; ids may be null or repeated: rows are judged one
@@ -280,7 +304,7 @@ def find_pii(docs: DataFrame, labelled: DataFrame | None = None, max_labelled: i
     labelled = training_table(spark) if labelled is None else labelled
     rows = labelled.select("text", "spans").where("text is not null").limit(max_labelled).collect()
     model = spark.sparkContext.broadcast(train([(r["text"], r["spans"] or []) for r in rows]))
-    special = byte_kind("0123456789@")
+    special = byte_kind("0123456789")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,13 +312,12 @@ def find_pii(docs: DataFrame, labelled: DataFrame | None = None, max_labelled: i
             look = np.flatnonzero(texts_with_run(buf, off, special, 1) | _spelled(buf, off)).tolist()
             texts = {i: batch.column(1)[i].as_py() for i in look}
             base = {i: base_spans(t) for i, t in texts.items()}
-            parts = [(i, at) for i, t in texts.items() for at in _sequences(t)]
-            paths = model.value.decode([_features([texts[i][a:b] for a, b in at]) for i, at in parts])
+            parts = [(i, x) for i, t in texts.items() for x in _sequences(t)]
             added: dict[int, list[Span]] = {}
-            for (i, at), path in zip(parts, paths):
-                for s, k, e in _marked(texts[i], at, path):
-                    if not any(a < e and s < b for a, _, b in base[i]):
-                        added.setdefault(i, []).append((s, k, e))
+            for (i, (at, lo, hi)), path, sure in zip(parts, *model.value.decode([_features([texts[i][a:b] for a, b in at]) for i, (at, _, _) in parts])):
+                for first, span in _marked(texts[i], at, path, sure, cut):
+                    if lo <= first < hi and not any(a < span[2] and span[0] < b for a, _, b in base[i]):
+                        added.setdefault(i, []).append(span)
             out: list[tuple] = [(0, 0, 0, 0, 0, "", "")] * batch.num_rows
             for i in look:
                 if base[i] or i in added:
@@ -307,12 +330,11 @@ def find_pii(docs: DataFrame, labelled: DataFrame | None = None, max_labelled: i
 
 
 def _spelled(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    from .spans import texts_with
-
-    return texts_with(buf, off, [b"(at)", b" dot "])
+    return texts_with(buf, off, [m.encode() for m in _MARKS], fold=True)
 
 
-def _marked(text: str, at: list[tuple[int, int]], path: list[int]) -> Iterator[Span]:
+def _marked(text: str, at: list[tuple[int, int]], path: list[int], sure: list[float], cut: float) -> Iterator[tuple[int, Span]]:
+    """Spans of labels B, I, I ... that are sure enough, without marks at their ends, after the number of their first word."""
     i = 0
     while i < len(path):
         if path[i] and path[i] % 2:
@@ -325,8 +347,8 @@ def _marked(text: str, at: list[tuple[int, int]], path: list[int]) -> Iterator[S
             while s < e and text[s] in _TRIM:
                 s += 1
             kind = path[i] // 2
-            if _plausible(kind, text[s:e]):
-                yield s, kind, e
+            if min(sure[i:j]) >= cut and _bounded(kind, text[s:e]):
+                yield i, (s, kind, e)
             i = j
         else:
             i += 1
