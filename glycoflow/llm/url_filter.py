@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -35,20 +35,10 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column
     return F.coalesce(*fits, F.lit(None).cast("string"))
 
 
-def labelled_urls(n: int = 1000, seed: int = 3) -> list[tuple[str, int]]:
-    """The small labelled URL table, made by rule: 1 for hosts and paths built from words of link farms and the like."""
-    r = random.Random(seed)
-    bad = ["spam", "farm", "cheap", "pills", "casino", "poker", "loans", "payday", "viagra", "xxx", "adult", "free-money", "torrent", "betting", "replica", "click-here", "win-prize", "hot-deals", "bets", "free", "ads", "track"]
-    stems = ["th", "er", "on", "an", "re", "la", "de", "ein", "ch", "que", "os", "tion", "eux", "st", "ment", "ly", "ing", "and", "news", "school", "library", "garden", "recipes", "science", "travel", "museum"]
-    tops, subs, ends = ["com", "net", "org", "info", "de", "fr"], ["", "www.", "blog.", "m.", "docs."], ["", "/", ".html", "?page=2", "#top", "?utm_source=feed"]
-    rows = []
-    for i in range(n):
-        word = lambda: "".join(r.choice(stems) for _ in range(r.randint(1, 3)))
-        label = i % 2
-        name = (r.choice(["-".join(r.sample(bad, 2)), f"{r.choice(bad)}-{word()}", f"{word()}-{r.choice(bad)}", f"{r.choice(bad)}-x"]) if label else r.choice([word(), word(), f"{word()}-{word()}"])) + r.choice(["", ".example"])
-        path = f"/{r.choice(['en', 'de', 'fr', 'es'])}/{r.randint(1, 999)}" if r.random() < 0.7 else f"/{r.choice(bad) if label and r.random() < 0.5 else word()}/{word()}"
-        rows.append((f"{r.choice(['http', 'https'])}://{r.choice(subs)}{name}.{r.choice(tops)}{path}{r.choice(ends)}", label))
-    return rows
+def labelled_urls() -> list[tuple[str, int]]:
+    """The small labelled URL table beside this file: 1 for link farms, scams, gambling, adult pages and the like."""
+    rows = [line.split("\t") for line in Path(__file__).with_name("labelled_urls.tsv").read_text(encoding="utf-8").splitlines()]
+    return [(url, int(label)) for label, url in rows]
 
 
 def training_table(spark: SparkSession) -> DataFrame:
@@ -93,7 +83,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFr
 
     rules are (allow or block, rule) pairs; the longest that fits gives the verdict.  Elsewhere it is block where the
     logistic regression scores `cut` or more.  It is fitted on at most `max_labelled` rows (url, bad) of a labelled
-    table, by default one made by rule; its weights (130 kB) are broadcast.
+    table, by default the small one in this package; its weights (130 kB) are broadcast.
 
     A null url and one without :// have empty host and path and are allowed unless the model says otherwise.  Ids may be null or
     repeated: urls are judged one by one.  An empty table gives an empty result; other columns are ignored.
