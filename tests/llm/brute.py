@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+from itertools import accumulate
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -171,3 +172,87 @@ def near(docs, similarity=0.8):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
     return {i: find(i) for i in parent}
+
+
+def crf_spans(text, model, cut=0.8):
+    """Spans that a random field adds to a text, one sequence at a time, by plain Viterbi and forward-backward loops."""
+    import numpy as np
+
+    from glycoflow.llm import pii
+
+    out = []
+    for at, lo, hi in pii._sequences(text):
+        if not at:
+            continue
+        e = model.w[pii._features([text[a:b] for a, b in at])].sum(1)
+        t, n = model.t + model.bar, len(at)
+        best, back = [e[0] + model.first], []
+        alpha, beta = [e[0] + model.first], [np.zeros(len(t))]
+        for k in range(1, n):
+            back.append((best[-1][:, None] + t).argmax(0))
+            best.append((best[-1][:, None] + t).max(0) + e[k])
+            alpha.append(np.logaddexp.reduce(alpha[-1][:, None] + t, axis=0) + e[k])
+            beta.insert(0, np.logaddexp.reduce(t + e[n - k] + beta[0], axis=1))
+        path = [int(best[-1].argmax())]
+        for b in reversed(back):
+            path.insert(0, int(b[path[0]]))
+        total = np.logaddexp.reduce(alpha[-1])
+        sure = [float(np.exp(a[x] + b[x] - total)) for a, b, x in zip(alpha, beta, path)]
+        out += [span for first, span in pii._marked(text, at, path, sure, cut) if lo <= first < hi]
+    return out
+
+
+def logistic(keys, labels, texts, dim, steps=300, rate=0.5, ridge=1e-3):
+    """Scores of texts by logistic regression on hashed character n-grams, with dense rows and AdaGrad."""
+    import numpy as np
+
+    from glycoflow.llm.kernels import rolling
+
+    def row(key):
+        raw, x = np.frombuffer(key.encode(), np.uint8).astype(np.uint64) + np.uint64(1), np.zeros(dim + 1)
+        grams = [int(rolling(raw[i : i + k], k)[0]) % dim for k in (3, 4, 5) for i in range(len(raw) - k + 1)]
+        for g in grams:
+            x[g] += 1 / np.sqrt(len(grams))
+        x[dim] = 1
+        return x
+
+    x, y = np.array([row(k) for k in keys]), np.array(labels, float)
+    w, g = np.zeros(dim + 1), np.full(dim + 1, 1e-6)
+    keep = np.append(np.ones(dim), 0)
+    for _ in range(steps):
+        down = x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(y) + ridge * keep * w / len(y)
+        g += down**2
+        w -= rate * down / np.sqrt(g)
+    return [float(1 / (1 + np.exp(-row(k) @ w))) for k in texts]
+
+
+def quality(stats, ids, labelled, folds, width=3.0, ridge=1e-3, bins=512):
+    """Scores by ridge regression on random Fourier features and isotonic regression on unseen folds, in one go.
+
+    stats: a row of statistics for each of ids; labelled: (id, label); folds: the fold of each id.
+    """
+    import numpy as np
+
+    from glycoflow.llm.quality_classifier import _fourier
+
+    place = {i: k for k, i in enumerate(ids)}
+    rows, y = np.array([place[i] for i, _ in labelled]), np.array([q for _, q in labelled], float)
+    scale = (stats[rows].mean(0), np.maximum(stats[rows].std(0), 1e-9))
+    f = _fourier(stats, scale, width, 256)
+    fold, base = np.array([folds[i] for i, _ in labelled]), y.mean()
+
+    def fit(use):
+        z = f[rows[use]]
+        return np.linalg.solve(z.T @ z + (ridge * use.sum() / 256 + 1e-12) * np.eye(257), z.T @ (y[use] - base))
+
+    unseen = np.zeros(len(y))
+    for k in set(fold.tolist()):
+        unseen[fold == k] = base + f[rows[fold == k]] @ fit(fold != k)
+    return base + f @ fit(fold >= 0), unseen, y
+
+
+def isotonic(good, n):
+    """Weighted isotonic fit by its definition: the largest over starts of the least over ends of the mean between."""
+    total, weight = [0, *accumulate(good)], [0, *accumulate(n)]
+    size = len(good)
+    return [max(min((total[b] - total[a]) / (weight[b] - weight[a]) for b in range(k + 1, size + 1)) for a in range(k + 1)) for k in range(size)]
