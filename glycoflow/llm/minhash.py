@@ -424,7 +424,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bucket: int = 1000
     joined = classes(found.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).unionByName(more), n)
     every = links.unionByName(more).where("a != b").distinct()
     degree = every.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = joined.select(F.col("doc_id").alias("first"), "class_id").join(degree, "first", "left")
+    linked = stored(joined.select(F.col("doc_id").alias("first"), "class_id").join(degree, "first", "left"), "linked", n)
     # The left side of these joins may hold a third of all rows under one text; merge joins let Spark split it.
     of = members.join(linked.hint("merge"), "first", "left").select("doc_id", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     of = of.groupBy(F.col("doc_id").alias("key")).agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
