@@ -14,9 +14,10 @@ def theil_sen(samples: str) -> Column:
             else (element_at(s, cast((size(s) + 1) div 2 as int)) + element_at(s, cast(size(s) div 2 + 1 as int))) / 2D end)[0]""")
 
 
-def greedy_thin(positions: str, gap: int) -> Column:
-    """Keeps the first position, and then each that is `gap` or more beyond the last one kept."""
-    return F.expr(f"aggregate({positions}, cast(array() as array<bigint>), (kept, x) -> case when size(kept) = 0 or x - element_at(kept, -1) >= {gap} then concat(kept, array(x)) else kept end)")
+def greedy_thin(rows: str, position: str, gap: int) -> Column:
+    """Of a sorted array of structs keeps the first, then each whose position is the last kept one's or `gap` or more beyond."""
+    last = f"element_at(kept, -1).{position}"
+    return F.expr(f"aggregate({rows}, filter({rows}, x -> false), (kept, x) -> case when size(kept) = 0 or x.{position} - {last} >= {gap} or x.{position} = {last} then concat(kept, array(x)) else kept end)")
 
 
 def smooth_circular(values: str, half: int) -> Column:

@@ -35,14 +35,16 @@ def sensor_time(raw: Column, tz: str) -> Column:
 def build_cgm(raw: DataFrame, tz: str) -> DataFrame:
     """pump_serial, seqnum, timestamp, bg_mgdl, backfilled, sensor_timestamp from (pump_serial, seqnum, event_ts, bg, data_type, egv_seconds, ingest_ord).
 
-    Backfilled rows carry the sensor's time and keep the pump's in sensor_timestamp.  Of a repeated key the first row
-    in order of arrival stays; then rows under a minute after the row before go unless backfilled, judged in one pass.
+    Backfilled rows with a usable sensor time carry it as their timestamp and keep the pump's in sensor_timestamp, which
+    is null in all other rows.  Of a repeated key the first row in order of arrival stays; then rows under a minute after
+    the row before go unless backfilled, judged in one pass.
     """
     backfilled = F.coalesce(F.col("data_type") == 2, F.lit(False))
     sensor = sensor_time(F.col("egv_seconds"), tz)
+    moved = backfilled & sensor.isNotNull()
     rows = first_rows(raw, ["pump_serial", "seqnum"], ["ingest_ord"]).select(
-        "pump_serial", "seqnum", F.when(backfilled & sensor.isNotNull(), sensor).otherwise(F.col("event_ts")).alias("timestamp"),
-        F.col("bg").cast("int").alias("bg_mgdl"), backfilled.alias("backfilled"), F.when(backfilled, F.col("event_ts")).otherwise(sensor).alias("sensor_timestamp"),
+        "pump_serial", "seqnum", F.when(moved, sensor).otherwise(F.col("event_ts")).alias("timestamp"),
+        F.col("bg").cast("int").alias("bg_mgdl"), backfilled.alias("backfilled"), F.when(moved, F.col("event_ts")).alias("sensor_timestamp"),
     )
     before = F.lag("timestamp").over(Window.partitionBy("pump_serial").orderBy("timestamp", "seqnum"))
     return rows.withColumn("_before", before).where(F.col("_before").isNull() | (F.unix_micros("timestamp") - F.unix_micros("_before") >= 60_000_000) | F.col("backfilled")).drop("_before")
@@ -71,13 +73,15 @@ def build_basal(raw: DataFrame) -> DataFrame:
 
 
 def build_suspension(raw: DataFrame, alarms: DataFrame) -> DataFrame:
-    """Suspensions paired with the next suspend or resume; the alarm of the same instant with the lowest seqnum is the cause.
+    """Suspensions paired with the next suspend or resume; of the pump alarms activated at the same instant the one with
+    the lowest seqnum is the cause.
 
     A second suspend closes the first and makes it suspect; so does a length of over a day.
     """
     paired = pair(raw, "pump_serial", ["timestamp", "seqnum"], F.col("kind") == "suspend", F.col("kind") == "resume")
     minutes = (F.unix_micros("end_ts") - F.unix_micros("timestamp")) / 60e6
-    cause = alarms.groupBy("pump_serial", "timestamp").agg(F.min_by(F.struct("alarm_id", "alarm_name"), "seqnum").alias("cause"))
+    fired = alarms.where("category = 'alarm' and action = 'activated'")
+    cause = fired.groupBy("pump_serial", "timestamp").agg(F.min_by(F.struct("alarm_id", "alarm_name"), "seqnum").alias("cause"))
     rows = paired.join(cause, ["pump_serial", "timestamp"], "left")
     by_alarm = F.col("suspend_reason") == "alarm"
     return rows.select(
@@ -87,26 +91,48 @@ def build_suspension(raw: DataFrame, alarms: DataFrame) -> DataFrame:
     )
 
 
+#: Kinds of raw events, and the type and subtype they become; null where the event's code decides.
+EVENT_TYPES = {
+    "cartridge_filled": ("site_change", "cartridge"), "cannula_filled": ("site_change", "cannula"), "tubing_filled": ("site_change", "tubing"),
+    "session_join": ("cgm_session", "join"), "session_stop": ("cgm_session", "stop"), "user_mode": ("mode_change", None), "pcm": ("pcm_change", None),
+    "new_day": ("daily_marker", "new_day"), "daily_status": ("daily_marker", "daily_status"),
+}
+#: What the details of each kind hold, as (name in details, column).
+EVENT_DETAILS = {
+    "cartridge_filled": [("insulin_volume", "volume")], "cannula_filled": [("prime_size", "prime_size")], "tubing_filled": [("prime_size", "prime_size")],
+    "user_mode": [("requested_action", "requested_action"), ("exercise_time", "exercise_time")], "pcm": [("previous_pcm", "previous_code")],
+    "new_day": [("commanded_basal_rate", "commanded_basal_rate")], "daily_status": [("pump_control_state", "pump_control_state"), ("user_mode", "status_user_mode")],
+}
+
+
 def build_events(raw: DataFrame) -> DataFrame:
-    """Pump events: kind and payload to (type, subtype, previous mode, details as JSON)."""
+    """Pump events: nine kinds with their payload to (type, subtype, previous mode, details as JSON); other kinds go.
+
+    raw: pump_serial, seqnum, timestamp, kind, code, previous_code and the payload columns of EVENT_DETAILS.
+    """
     kind, code, before = F.col("kind"), F.col("code"), F.col("previous_code")
     unknown = lambda c: F.concat(F.lit("unknown_"), c.cast("string"))
-    subtype = (
-        F.when(kind == "cartridge_filled", "cartridge").when(kind == "cannula_filled", "cannula").when(kind == "tubing_filled", "tubing")
-        .when(kind == "user_mode", named(code, USER_MODES, unknown(code))).when(kind == "control_mode", named(code, CONTROL_MODES, unknown(code))).otherwise(kind)
-    )
-    details = F.when(kind == "cartridge_filled", F.to_json(F.struct(F.col("volume").alias("insulin_volume")))).otherwise(F.lit("{}"))
-    mode = F.when(kind == "user_mode", named(before, USER_MODES, unknown(before))).when(kind == "control_mode", named(before, CONTROL_MODES, unknown(before)))
-    event_type = F.when(kind.isin("cartridge_filled", "cannula_filled", "tubing_filled"), "site_change").when(kind == "user_mode", "user_mode_change").when(kind == "control_mode", "control_mode_change").otherwise("other")
-    return raw.select("pump_serial", "seqnum", "timestamp", event_type.alias("event_type"), subtype.alias("event_subtype"), mode.alias("previous_mode"), details.alias("details"))
+    subtype, event_type = F.when(kind == "user_mode", named(code, USER_MODES, unknown(code))).when(kind == "pcm", named(code, CONTROL_MODES, unknown(code))), F.lit(None).cast("string")
+    details = F.lit("{}")
+    for name, (type_, sub) in EVENT_TYPES.items():
+        event_type = F.when(kind == name, type_).otherwise(event_type)
+        subtype = subtype if sub is None else subtype.when(kind == name, sub)
+    for name, pairs in EVENT_DETAILS.items():
+        details = F.when(kind == name, F.to_json(F.struct(*(F.col(c).alias(n) for n, c in pairs)), {"ignoreNullFields": "false"})).otherwise(details)
+    mode = F.when(kind == "user_mode", named(before, USER_MODES, unknown(before)))
+    return raw.where(kind.isin(list(EVENT_TYPES))).select("pump_serial", "seqnum", "timestamp", event_type.alias("event_type"), subtype.alias("event_subtype"), mode.alias("previous_mode"), details.alias("details"))
 
 
 def build_alarms(raw: DataFrame) -> DataFrame:
-    """Three categories; names of some ids are fixed, others come from the event, or are category and id."""
-    i, category = F.col("alarm_id"), F.col("category")
-    fallback = F.coalesce("raw_name", F.concat(category, F.lit("_"), i.cast("string")))
-    name = F.when(category == "alert", named(i, ALERT_NAMES, fallback)).when(category == "cgm_alert", named(i, CGM_ALERTS, fallback)).otherwise(fallback)
-    return raw.select("pump_serial", "seqnum", "timestamp", "category", "action", "alarm_id", name.alias("alarm_name"))
+    """Three categories; names of some ids are fixed, others come from the event; without one, category and id.
+
+    A sensor alert that nothing names is unknown_<id>.  param1 and param2 are the event's, null where it has none.
+    """
+    i, category, raw_name = F.col("alarm_id"), F.col("category"), F.col("raw_name")
+    or_id = lambda prefix: F.coalesce(raw_name, F.concat(F.lit(prefix), i.cast("string")))
+    name = F.when(category == "alert", named(i, ALERT_NAMES, or_id("alert_"))).when(category == "cgm_alert", named(i, CGM_ALERTS, or_id("unknown_"))).otherwise(or_id("alarm_"))
+    params = (F.col(c).cast("double").alias(c) for c in ("param1", "param2"))
+    return raw.select("pump_serial", "seqnum", "timestamp", "category", "action", "alarm_id", name.alias("alarm_name"), *params)
 
 
 def thin_live(readings: DataFrame, interval_minutes: int = 5) -> DataFrame:

@@ -9,7 +9,7 @@ from ..config import Anomaly, Calibration, MealRise, MealRun
 from ..functions.sequences import theil_sen
 from ..functions.time import iso_minute, local
 from ..schema import CORRECTIONS, FOOD_CARRYING
-from .joins import best_match, range_join, with_halo
+from .joins import best_matches, range_join, with_halo
 from .sequences import thin
 
 #: Seconds of one halo chunk: what one task needs of a series to judge its anchors.
@@ -74,30 +74,47 @@ def instances(detections: DataFrame, c: MealRise) -> DataFrame:
     return thin(detections, "pump_serial", "t", c.refractory_minutes * 60)
 
 
-def score(detections: DataFrame, requests: DataFrame, c: Calibration, tz: str) -> DataFrame:
+def score(detections: DataFrame, requests: DataFrame, c: Calibration, tz: str, keep: list[str] | None = None) -> DataFrame:
     """Labels each detection by the nearest food bolus around the rise's start; what is uncovered by its first correction."""
     d = detections.withColumn("rise_t", F.unix_seconds("rise_start_ts"))
     r = requests.select("pump_serial", "bolus_id", F.unix_seconds("timestamp").alias("bt"), "bolus_category", "carbs_g")
-    food, fixes = r.where(F.col("bolus_category").isin(FOOD_CARRYING)), r.where(F.col("bolus_category").isin(CORRECTIONS))
-    near = [F.abs(F.col("bt") - F.col("rise_t")), F.col("bt"), F.col("bolus_id")]
-    d = best_match(d, food, "pump_serial", ["seqnum"], "rise_t", "bt", c.pre_bolus_lookback_minutes * 60, c.late_bolus_lookahead_minutes * 60, near, {"bt": "food_t", "bolus_category": "matched_bolus_category", "carbs_g": "matched_bolus_carbs"})
-    d = best_match(d, fixes, "pump_serial", ["seqnum"], "rise_t", "bt", 0, c.correction_lookahead_minutes * 60, [F.col("bt"), F.col("bolus_id")], {"bt": "fix_t", "bolus_category": "fix"})
+    bt, gap = F.col("_r_bt"), F.col("_r_bt") - F.col("_t")
+    pre, late, fix = c.pre_bolus_lookback_minutes * 60, c.late_bolus_lookahead_minutes * 60, c.correction_lookahead_minutes * 60
+    is_food = F.col("_r_bolus_category").isin(FOOD_CARRYING) & (gap >= -pre) & (gap <= late)
+    is_fix = F.col("_r_bolus_category").isin(CORRECTIONS) & (gap >= 0) & (gap <= fix)
+    take = {
+        "_food": (is_food, F.struct(F.abs(gap), bt, F.col("_r_bolus_id")), F.struct(bt.alias("t"), F.col("_r_bolus_category").alias("category"), F.col("_r_carbs_g").alias("carbs"))),
+        "_fix": (is_fix, F.struct(bt, F.col("_r_bolus_id")), F.struct(bt.alias("t"), F.col("_r_bolus_category").alias("category"))),
+    }
+    d = best_matches(d, r.where(F.col("bolus_category").isin([*FOOD_CARRYING, *CORRECTIONS])), "pump_serial", ["seqnum"], "rise_t", "bt", pre, max(late, fix), take)
+    d = d.select("*", F.col("_food.t").alias("food_t"), F.col("_food.category").alias("matched_bolus_category"), F.col("_food.carbs").alias("matched_bolus_carbs"), F.col("_fix.t").alias("fix_t"), F.col("_fix.category").alias("fix"))
     covered = F.col("food_t").isNotNull()
     label = F.when(~covered, "uncovered").when(F.col("food_t") < F.col("rise_t"), "pre_bolused").otherwise("late_bolused")
     resolution = F.when(~covered, F.when(F.col("fix") == "auto_correction", "auto_correction").when(F.col("fix").isNotNull(), "user_correction").otherwise("none"))
     return d.select(
         F.concat(F.lit("meal_rise:"), iso_minute(F.col("anchor_ts"), tz)).alias("event_ref"), "pump_serial", "seqnum", "anchor_ts", "rise_start_ts", "start_level", "end_level", "delta", "slope", "hour_of_day", label.alias("label"),
         "matched_bolus_category", "matched_bolus_carbs", F.when(covered, (F.col("food_t") - F.col("rise_t")) / 60).alias("bolus_delay_min"), resolution.alias("resolution"),
-        F.when(~covered, (F.col("fix_t") - F.col("rise_t")) / 60).alias("resolution_delay_min"),
+        F.when(~covered, (F.col("fix_t") - F.col("rise_t")) / 60).alias("resolution_delay_min"), *(keep or []),
     )
 
 
-def slope_sweep(slopes: DataFrame, values: list[float], c: MealRise) -> DataFrame:
-    """Firings and instances for each base slope; windows and slopes are computed once for all."""
+def slope_sweep(slopes: DataFrame, values: list[float], c: MealRise, requests: DataFrame | None = None, calibration: Calibration | None = None, tz: str | None = None) -> DataFrame:
+    """Firings and instances for each base slope; with requests, also how many instances get each label.
+
+    Windows and slopes are computed once for all base slopes, and all instances are scored in one join.
+    """
     swept = slopes.withColumn("base", F.explode(F.array(*map(F.lit, values)))).where(F.col("slope") >= F.col("base") * F.col("multiplier"))
     keyed = swept.withColumn("series", F.concat_ws("|", F.col("base").cast("string"), "pump_serial"))
     kept = thin(keyed, "series", "t", c.refractory_minutes * 60)
-    return swept.groupBy("base").agg(F.count(F.lit(1)).alias("firings")).join(kept.groupBy("base").agg(F.count(F.lit(1)).alias("instances")), "base")
+    fired = swept.groupBy("base").agg(F.count(F.lit(1)).alias("firings"))
+    if requests is None:
+        return fired.join(kept.groupBy("base").agg(F.count(F.lit(1)).alias("instances")), "base")
+    # The same anchor may stand for several base slopes: it is scored once.
+    bases = kept.groupBy("pump_serial", "seqnum").agg(F.collect_list("base").alias("bases"), F.first(F.struct(*(x for x in slopes.columns if x not in ("pump_serial", "seqnum")))).alias("_row"))
+    labels = score(bases.select("pump_serial", "seqnum", "_row.*", "bases"), requests, calibration, tz, keep=["bases"]).withColumn("base", F.explode("bases"))
+    n = F.count(F.lit(1))
+    counts = labels.groupBy("base").agg(n.alias("instances"), *(F.count_if(F.col("label") == x).alias(x) for x in ("pre_bolused", "late_bolused", "uncovered")))
+    return fired.join(counts, "base").withColumn("uncovered_rate", F.col("uncovered") / F.col("instances"))
 
 
 def crossings(cgm: DataFrame, a: Anomaly) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -11,17 +13,24 @@ from ..schema import FOOD_CARRYING
 from .joins import range_join
 
 
-def basal_units(basal: DataFrame, tz: str, approximate: bool = False) -> DataFrame:
+def exact_sum(amount: Column) -> Column:
+    """A sum of units that doesn't depend on the order of rows: millionths are added as decimals."""
+    return F.sum(amount.cast("decimal(20,6)")).cast("double")
+
+
+def basal_units(basal: DataFrame, tz: str, approximate: bool = False, by: tuple[str, ...] = ("pump_serial", "day")) -> DataFrame:
     """Units by pump and local day: each rate holds until the next row of that day, the last until midnight.
 
-    approximate: every row counts as five minutes.
+    approximate: every row counts as five minutes.  Rates are whole thousandths of a unit an hour, as the pump reports
+    them, and are added up as integers, so that results don't depend on the order of rows.
     """
-    rows = basal.withColumn("day", local_date("timestamp", tz))
+    rows = basal.select("*", local_date("timestamp", tz).alias("day"), F.round(F.col("commanded_rate") * 1000).cast("long").alias("_milli"))
     if approximate:
-        return rows.groupBy("pump_serial", "day").agg(F.sum(F.col("commanded_rate") * 5 / 60).alias("basal_units"))
+        return rows.groupBy(*by).agg((F.sum("_milli") * 5 / 60000.0).alias("basal_units"))
     until = F.lead("timestamp").over(Window.partitionBy("pump_serial", "day").orderBy("timestamp", "seqnum" if "seqnum" in basal.columns else "timestamp"))
-    hours = minutes_between(F.col("timestamp"), F.coalesce(until, midnight(F.date_add("day", 1), tz))) / 60
-    return rows.withColumn("_h", hours).groupBy("pump_serial", "day").agg(F.sum(F.when(F.col("_h") > 0, F.col("commanded_rate") * F.col("_h")).otherwise(0.0)).alias("basal_units"))
+    micros = F.unix_micros(F.coalesce(until, midnight(F.date_add("day", 1), tz))) - F.unix_micros("timestamp")
+    dose = (F.col("_milli") * F.greatest(micros, F.lit(0))).cast("decimal(20,0)")
+    return rows.withColumn("_dose", dose).groupBy(*by).agg((F.sum("_dose").cast("double") / 3.6e12).alias("basal_units"))
 
 
 def overlap_minutes(intervals: DataFrame, start: str, end: str, tz: str, last_day: str, name: str) -> DataFrame:
@@ -57,7 +66,7 @@ def daily_features(frames: dict[str, DataFrame], config: Config, last_day: str)
         share(bg < t.low).alias("below"), share((bg > t.high) & (bg <= 250)).alias("above"), share(bg > 250).alias("severe"), F.count(bg).alias("n_readings"), (span(4, 6) - span(0, 2)).alias("overnight_dip"),
     )
     by = ["pump_serial", "day"]
-    bolus = frames["bolus"].groupBy("pump_serial", local_date("timestamp", tz).alias("day")).agg(F.sum("insulin_units").alias("bolus_units"))
+    bolus = frames["bolus"].groupBy("pump_serial", local_date("timestamp", tz).alias("day")).agg(exact_sum(F.col("insulin_units")).alias("bolus_units"))
     food = F.col("bolus_category").isin(FOOD_CARRYING)
     meals = frames["requests"].groupBy("pump_serial", local_date("timestamp", tz).alias("day")).agg(F.count_if(food).alias("meal_count"), F.coalesce(F.sum(F.when(food, F.col("carbs_g"))), F.lit(0)).cast("long").alias("carbs_g"))
     alarms = frames["alarms"].groupBy("pump_serial", local_date("timestamp", tz).alias("day")).agg(F.count_if(F.col("action") == "activated").alias("alarm_count"))
@@ -65,8 +74,9 @@ def daily_features(frames: dict[str, DataFrame], config: Config, last_day: str)
         bolus, basal_units(frames["basal"], tz), meals, alarms, postprandial_peak(frames["cgm"], frames["requests"], tz),
         overlap_minutes(frames["suspension"], "suspend_timestamp", "resume_timestamp", tz, last_day, "suspension_minutes"), overlap_minutes(frames["cgm_gaps"], "start_ts", "end_ts", tz, last_day, "out_of_range_minutes"),
     ]
-    for side in sides:
-        day = day.join(side, by, "left")
+    # Every side has one row a pump and day and columns of its own: put side by side by one grouping, not by seven joins.
+    both = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [day, *sides])
+    day = both.groupBy(*by).agg(*(F.max(c).alias(c) for c in both.columns if c not in by)).where("n_readings is not null")
     zero = {c: 0.0 for c in ("bolus_units", "basal_units", "suspension_minutes", "out_of_range_minutes")} | {c: 0 for c in ("meal_count", "carbs_g", "alarm_count")}
     day = day.fillna(zero)
     return day.withColumn("tdi", F.col("bolus_units") + F.col("basal_units")).withColumn("basal_bolus_ratio", F.try_divide("basal_units", F.nullif("bolus_units", F.lit(0.0))))

@@ -21,12 +21,21 @@ def range_join(left: DataFrame, right: DataFrame, by: str, left_t: str, right_t:
     return spread.join(r_side, [by, "_bucket"]).where(near).drop("_bucket")
 
 
-def best_match(left: DataFrame, right: DataFrame, by: str, key: list[str], left_t: str, right_t: str, before: int, after: int, order: list[Column], take: dict[str, str]) -> DataFrame:
-    """Left rows with the columns `take` (right name to new name) of the first right row in range by `order`; null if none."""
-    pairs = range_join(left.select(by, *key, left_t), right, by, left_t, right_t, before, after)
-    rank = F.row_number().over(Window.partitionBy(by, *key).orderBy(*order))
-    best = pairs.withColumn("_rank", rank).where("_rank = 1").select(by, *key, *(F.col(a).alias(b) for a, b in take.items()))
-    return left.join(best, [by, *key], "left")
+def best_matches(left: DataFrame, right: DataFrame, by: str, key: list[str], left_t: str, right_t: str, before: int, after: int, take: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
+    """Left rows with, for each name in `take`, the value of the best right row in range; null if none.
+
+    take: name to (condition, order, value).  The left side is read once: its rows go along through one outer join on
+    time buckets, and one grouping picks all the bests.
+    """
+    width = max(before + after, 1)
+    bucket = lambda t: F.floor(t / width)
+    mine = left.select(by, *key, F.col(left_t).alias("_t"), F.struct(*(c for c in left.columns if c not in (by, *key))).alias("_left"))
+    spread = mine.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_t") - before), bucket(F.col("_t") + after))))
+    side = right.withColumnsRenamed({c: f"_r_{c}" for c in right.columns if c != by}).withColumn("_bucket", bucket(F.col(f"_r_{right_t}")))
+    near = (F.col(f"_r_{right_t}") >= F.col("_t") - before) & (F.col(f"_r_{right_t}") <= F.col("_t") + after)
+    pairs = spread.join(side, [by, "_bucket"], "left")
+    picks = [F.min_by(value, F.when(near & condition, order)).alias(name) for name, (condition, order, value) in take.items()]
+    return pairs.groupBy(by, *key).agg(F.first("_left").alias("_left"), *picks).select(by, *key, "_left.*", *take)
 
 
 def with_halo(df: DataFrame, t: str, chunk: int, before: int) -> DataFrame:

@@ -29,10 +29,11 @@ def thin(df: DataFrame, by: str, position: str, gap: int) -> DataFrame:
     """Greedy thinning by position: the first of each series stays, then each one `gap` or more after the last that stayed.
 
     Positions a gap or more apart start anew, so a series is cut there first and no array holds more than one run.
+    Whole rows travel in the arrays: the input is read once, and dealt by series once.
     """
     w = Window.partitionBy(by).orderBy(position)
     new = F.when(F.col(position) - F.lag(position).over(w) < gap, 0).otherwise(1)
-    runs = df.select(by, position).distinct().withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
-    arrays = runs.groupBy(by, "_run").agg(F.array_sort(F.collect_list(F.col(position).cast("bigint"))).alias("_all"))
-    kept = arrays.select(by, F.explode(greedy_thin("_all", gap)).alias(position))
-    return df.join(kept, [by, position], "left_semi")
+    runs = df.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
+    row = F.struct(F.col(position), *(F.col(c) for c in df.columns if c not in (by, position)))
+    arrays = runs.groupBy(by, "_run").agg(F.sort_array(F.collect_list(row)).alias("_all"))
+    return arrays.select(by, F.explode(greedy_thin("_all", position, gap)).alias("_row")).select(by, "_row.*").select(df.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as m
 from ..functions.time import day_spine, local, local_date, midnight, minute_of_day, window_bounds, between
-from ..operators.features import basal_units
+from ..operators.features import basal_units, exact_sum
 from ..operators.sequences import sessions
 from ..schema import FOOD_CARRYING
 
@@ -47,8 +47,8 @@ def heatmap_pivot(cgm: DataFrame, tz: str, days: list[date]) -> DataFrame:
 
 def insulin_daily(bolus: DataFrame, basal: DataFrame, tz: str, first: date, last: date, approximate: bool = False) -> DataFrame:
     """Units by local day over all pumps; days without rows are zero."""
-    units = basal_units(basal, tz, approximate).groupBy("day").agg(F.sum("basal_units").alias("basal_units"))
-    shots = bolus.groupBy(local_date("timestamp", tz).alias("day")).agg(F.sum("insulin_units").alias("bolus_units"))
+    units = basal_units(basal, tz, approximate, by=("day",))
+    shots = bolus.groupBy(local_date("timestamp", tz).alias("day")).agg(exact_sum(F.col("insulin_units")).alias("bolus_units"))
     days = day_spine(bolus.sparkSession, first, last).join(shots, "day", "left").join(units, "day", "left").fillna({"bolus_units": 0.0, "basal_units": 0.0})
     return days.withColumn("total_units", F.col("bolus_units") + F.col("basal_units"))
 
@@ -64,13 +64,13 @@ def day_search(cgm: DataFrame, alarms: DataFrame, tz: str, tir_below: float | No
     for column, value, keep in (("tir_percent", tir_below, lambda c, v: c < v), ("low_count", min_low, lambda c, v: c >= v), ("alarm_count", min_alarms, lambda c, v: c >= v)):
         if value is not None:
             got = got.where(keep(F.col(column), value))
-    total = got.agg(F.count(F.lit(1)).alias("total"))
-    return got.orderBy(F.col("day").desc()).offset((page - 1) * page_size).limit(page_size).crossJoin(total)
+    total = got.agg(F.count(F.lit(1))).scalar()
+    return got.orderBy(F.col("day").desc()).offset((page - 1) * page_size).limit(page_size).withColumn("total", total)
 
 
 def alert_page(alerts: DataFrame, page: int = 1, page_size: int = 30) -> DataFrame:
-    total = alerts.agg(F.count(F.lit(1)).alias("total"))
-    return alerts.orderBy(F.col("fired_at").desc(), F.col("id").desc()).offset((page - 1) * page_size).limit(page_size).crossJoin(total)
+    total = alerts.agg(F.count(F.lit(1))).scalar()
+    return alerts.orderBy(F.col("fired_at").desc(), F.col("id").desc()).offset((page - 1) * page_size).limit(page_size).withColumn("total", total)
 
 
 def status(cgm: DataFrame, alarms: DataFrame, now: Column, fresh: float = 15, stale: float = 60) -> DataFrame:
@@ -85,8 +85,8 @@ def day_summary(frames: dict[str, DataFrame], tz: str) -> DataFrame:
     """By local day: readings, insulin by both basal rules, carbs by both rules, alarms by both rules."""
     day, bg = local_date("timestamp", tz).alias("day"), m.bg_column()
     out = frames["cgm"].groupBy(day).agg(m.time_in_range(bg, 70, 180).alias("tir_percent"), F.avg(bg).alias("mean_bg"), F.min("bg_mgdl").alias("min_bg"), F.max("bg_mgdl").alias("max_bg"), F.coalesce(F.stddev_samp(bg), F.lit(0.0)).alias("sd_bg"), F.count(bg).alias("readings"))
-    shots = frames["bolus"].groupBy(day).agg(F.sum("insulin_units").alias("bolus_units"), F.count(F.lit(1)).alias("bolus_count"))
-    exact, rough = (basal_units(frames["basal"], tz, a).groupBy("day").agg(F.sum("basal_units").alias(n)) for a, n in ((False, "basal_units"), (True, "basal_units_5min")))
+    shots = frames["bolus"].groupBy(day).agg(exact_sum(F.col("insulin_units")).alias("bolus_units"), F.count(F.lit(1)).alias("bolus_count"))
+    exact, rough = (basal_units(frames["basal"], tz, a, by=("day",)).withColumnRenamed("basal_units", n) for a, n in ((False, "basal_units"), (True, "basal_units_5min")))
     food = F.col("bolus_category").isin(FOOD_CARRYING)
     carbs = frames["requests"].groupBy(day).agg(F.coalesce(F.sum(F.when(food, F.col("carbs_g"))), F.lit(0)).cast("long").alias("carbs_meals"), F.coalesce(F.sum(F.when(F.col("carbs_g") > 0, F.col("carbs_g"))), F.lit(0)).cast("long").alias("carbs_all"))
     rings = frames["alarms"].groupBy(day).agg(F.count_if(F.col("action") == "activated").alias("alarm_count"), F.count(F.lit(1)).alias("alarm_rows"))

@@ -22,7 +22,7 @@ req1 AS (SELECT pump, seqnum, ts, k AS carbs, bg, iob, src, CASE WHEN k % 11 <>
 req2 AS (SELECT *, coalesce(total,0) - (coalesce(food,0) + coalesce(fix,0)) AS delta,
   CASE WHEN carbs > 0 AND coalesce(food,0) > 0 AND coalesce(fix,0) > 0 THEN 'user_meal_and_correction' WHEN carbs > 0 AND coalesce(food,0) > 0 THEN 'user_meal' WHEN carbs <= 0 AND coalesce(fix,0) > 0 THEN 'user_correction_only' ELSE 'unknown' END AS usr FROM req1),
 req AS (SELECT *, {_S('ts')} AS t, {_DAY('ts')} AS day, CASE WHEN src = 'auto' THEN 'auto_correction' WHEN src = 'override' AND delta > 0.01 THEN 'override_up' WHEN src = 'override' AND delta < -0.01 THEN 'override_down' WHEN src IN ('override','user') THEN usr ELSE 'unknown' END AS cat FROM req2),
-basal AS (SELECT pump, seqnum, ts, CAST(floor(v*20) AS BIGINT)/1000.0::DOUBLE AS rate, k % 6 AS code, {_DAY('ts')} AS day FROM ev WHERE et = 'view'),
+basal AS (SELECT pump, seqnum, ts, CAST(floor(v*20) AS BIGINT) AS milli, CAST(floor(v*20) AS BIGINT)/1000.0::DOUBLE AS rate, k % 6 AS code, {_DAY('ts')} AS day FROM ev WHERE et = 'view'),
 alarms AS (SELECT pump, seqnum, ts, k, {_DAY('ts')} AS day, CASE k % 3 WHEN 0 THEN 'activated' WHEN 1 THEN 'cleared' ELSE 'ack' END AS action,
   CASE k % 4 WHEN 0 THEN 'OcclusionAlarm' WHEN 1 THEN 'cgm_out_of_range' WHEN 2 THEN 'BatteryShutdownAlarm' ELSE 'LowInsulinAlert' END AS name FROM ev WHERE et IN ('error','click')),
 sites AS (SELECT pump, seqnum, ts, k, CASE k % 3 WHEN 0 THEN 'cartridge' WHEN 1 THEN 'cannula' ELSE 'tubing' END AS sub FROM ev WHERE et = 'signup'),
@@ -68,7 +68,11 @@ _SCORE = f""", food AS (SELECT i.pump, i.seqnum, r.t AS ft, r.cat, r.carbs, row_
 fixs AS (SELECT i.pump, i.seqnum, r.t AS xt, r.cat, row_number() OVER (PARTITION BY i.pump, i.seqnum ORDER BY r.t, r.seqnum) AS rn FROM inst i JOIN req r ON r.pump = i.pump AND r.cat IN ('user_correction_only','auto_correction') AND r.t BETWEEN i.t - 3600 AND i.t - 3600 + 10800),
 sc AS (SELECT i.pump, i.seqnum, i.ts, i.t, i.v0, i.v1, i.h, f.ft, f.cat AS fcat, f.carbs, x.xt, CASE WHEN f.ft IS NULL THEN 'uncovered' WHEN f.ft < i.t - 3600 THEN 'pre_bolused' ELSE 'late_bolused' END AS label, CASE WHEN f.ft IS NULL THEN CASE WHEN x.cat = 'auto_correction' THEN 'auto_correction' WHEN x.cat IS NOT NULL THEN 'user_correction' ELSE 'none' END END AS resolution
  FROM inst i LEFT JOIN food f ON f.pump = i.pump AND f.seqnum = i.seqnum AND f.rn = 1 LEFT JOIN fixs x ON x.pump = i.pump AND x.seqnum = i.seqnum AND x.rn = 1)"""
-_BAS = f"bas AS (SELECT pump, day, sum(CASE WHEN h > 0 THEN rate*h ELSE 0 END) AS u FROM (SELECT pump, day, rate, (epoch_us(coalesce(lead(ts) OVER (PARTITION BY pump, day ORDER BY ts, seqnum), {_UTC('day + 1')})) - epoch_us(ts))/3600e6 AS h FROM basal) GROUP BY pump, day)"
+#: Doses in thousandths of a unit times microseconds an hour, as integers; 3.6e12 of them are one unit.
+_BAS = f"""bas0 AS (SELECT pump, day, milli, epoch_us(coalesce(lead(ts) OVER (PARTITION BY pump, day ORDER BY ts, seqnum), {_UTC('day + 1')})) - epoch_us(ts) AS us FROM basal),
+bas AS (SELECT pump, day, sum(milli * greatest(us, 0)) AS dose, CAST(sum(milli * greatest(us, 0)) AS DOUBLE)/3.6e12 AS u FROM bas0 GROUP BY pump, day)"""
+_UNITS = "CAST(sum(CAST(units AS DECIMAL(20,6))) AS DOUBLE)"
+_ROUGH = "sum(milli)*5/60000.0::DOUBLE"
 _CLUS = "bc0 AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY pump ORDER BY ts, seqnum)) <= 1800 THEN 0 ELSE 1 END AS nw FROM bolus), bc1 AS (SELECT *, sum(nw) OVER (PARTITION BY pump ORDER BY ts, seqnum) AS ses FROM bc0), bc AS (SELECT pump, ses, min(ts) AS f, list(ts ORDER BY ts, seqnum)[count(*)//2 + 1] AS c, sum(units) AS u, count(*) AS n FROM bc1 GROUP BY pump, ses)"
 
 
@@ -91,22 +95,57 @@ ORACLE_SQL: dict[str, str] = {
     "cgm_report_pooled": _report("'all'"),
     "cgm_report_by_pump": _report("pump"),
     "report_segments": f"WITH x AS ({_report(chr(39) + 'all' + chr(39))}) SELECT 'tbr_level2' AS band, tbr_level2 AS percent FROM x UNION ALL SELECT 'tbr_level1', tbr_level1 FROM x UNION ALL SELECT 'tir', tir FROM x UNION ALL SELECT 'tar_level1', tar_level1 FROM x UNION ALL SELECT 'tar_level2', tar_level2 FROM x",
-    "cgm_built": _with(f""", lagged AS (SELECT *, lag(ts2) OVER (PARTITION BY pump ORDER BY ts2, seqnum) AS b FROM (SELECT pump, seqnum, et = 'error' AS bf, k*3+40 AS bg, CASE WHEN et = 'error' THEN {_UTC('ts - INTERVAL 8 HOUR - to_seconds(k*10)')} ELSE ts END AS ts2, CASE WHEN et = 'error' THEN ts ELSE {_UTC('ts - INTERVAL 8 HOUR - to_seconds(k*10)')} END AS sens FROM ev))
+    "cgm_built": _with(f""", lagged AS (SELECT *, lag(ts2) OVER (PARTITION BY pump ORDER BY ts2, seqnum) AS b FROM (SELECT pump, seqnum, et = 'error' AS bf, k*3+40 AS bg, CASE WHEN et = 'error' THEN {_UTC('ts - INTERVAL 8 HOUR - to_seconds(k*10)')} ELSE ts END AS ts2, CASE WHEN et = 'error' THEN ts END AS sens FROM ev))
  SELECT pump AS pump_serial, seqnum, {_T('ts2')} AS timestamp, CAST(bg AS INTEGER) AS bg_mgdl, bf AS backfilled, {_T('sens')} AS sensor_timestamp FROM lagged WHERE b IS NULL OR epoch_us(ts2) - epoch_us(b) >= 60000000 OR bf"""),
     "requests_joined": _with(f"SELECT pump AS pump_serial, seqnum AS bolus_id, {_T('ts')} AS timestamp, carbs AS carbs_g, bg AS bg_mgdl, round(iob,4) AS iob, src AS bolus_source, round(food,4) AS food_insulin, round(fix,4) AS correction_insulin, round(total,4) AS total_requested FROM req"),
     "orphan_messages": _with("SELECT pump AS pump_serial, seqnum AS bolus_id, k % 9 AS options, k % 2 AS user_override FROM ev WHERE et = 'error' AND k % 7 <> 0"),
     "requests_enriched": _with(f"SELECT pump AS pump_serial, seqnum AS bolus_id, {_T('ts')} AS timestamp, carbs AS carbs_g, bg AS bg_mgdl, round(iob,4) AS iob, src AS bolus_source, round(food,4) AS food_insulin, round(fix,4) AS correction_insulin, round(total,4) AS total_requested, cat AS bolus_category, round(CASE WHEN src = 'override' THEN delta END,4) AS override_delta FROM req"),
     "basal_built": _with(f"SELECT pump AS pump_serial, {_T('ts')} AS timestamp, round(rate,4) AS commanded_rate, CASE code WHEN 0 THEN 'suspended' WHEN 1 THEN 'profile' WHEN 2 THEN 'temp_rate' WHEN 3 THEN 'algorithm' WHEN 4 THEN 'temp_rate_and_algorithm' ELSE 'unknown' END AS rate_source FROM basal"),
-    "alarms_built": _with(f"""SELECT pump AS pump_serial, seqnum, {_T('ts')} AS timestamp, cat AS category, 'activated' AS action, id AS alarm_id,
- CASE WHEN cat = 'alert' AND id = 50 THEN 'high_bg_alert' WHEN cat = 'alert' AND id = 51 THEN 'low_bg_alert' WHEN cat = 'cgm_alert' AND id = 1 THEN 'cgm_urgent_low' WHEN cat = 'cgm_alert' AND id = 2 THEN 'cgm_high' WHEN cat = 'cgm_alert' AND id = 3 THEN 'cgm_low' WHEN cat = 'cgm_alert' AND id = 6 THEN 'cgm_rise_rate' WHEN cat = 'cgm_alert' AND id = 8 THEN 'cgm_fall_rate' WHEN cat = 'cgm_alert' AND id = 14 THEN 'cgm_out_of_range' ELSE cat || '_' || id END AS alarm_name
- FROM (SELECT *, CASE WHEN k % 2 = 0 THEN 'cgm_alert' ELSE 'alert' END AS cat, CASE WHEN k % 2 = 0 THEN k % 16 ELSE k % 60 END AS id FROM ev WHERE et = 'error')"""),
-    "pump_events_built": _with(f"""SELECT pump AS pump_serial, seqnum, {_T('ts')} AS timestamp, CASE WHEN k % 5 < 3 THEN 'site_change' WHEN k % 5 = 3 THEN 'user_mode_change' ELSE 'control_mode_change' END AS event_type,
- CASE k % 5 WHEN 0 THEN 'cartridge' WHEN 1 THEN 'cannula' WHEN 2 THEN 'tubing' WHEN 3 THEN CASE k % 6 WHEN 0 THEN 'normal' WHEN 1 THEN 'sleeping' WHEN 2 THEN 'exercising' WHEN 3 THEN 'eating_soon' ELSE 'unknown_' || (k % 6) END ELSE CASE k % 6 WHEN 0 THEN 'no_control' WHEN 1 THEN 'open_loop' WHEN 2 THEN 'pining' WHEN 3 THEN 'closed_loop' ELSE 'unknown_' || (k % 6) END END AS event_subtype,
- CASE k % 5 WHEN 3 THEN CASE k % 4 WHEN 0 THEN 'normal' WHEN 1 THEN 'sleeping' WHEN 2 THEN 'exercising' ELSE 'eating_soon' END WHEN 4 THEN CASE k % 4 WHEN 0 THEN 'no_control' WHEN 1 THEN 'open_loop' WHEN 2 THEN 'pining' ELSE 'closed_loop' END END AS previous_mode,
- CASE WHEN k % 5 = 0 THEN '{{"insulin_volume":' || (k*3) || '}}' ELSE '{{}}' END AS details FROM ev WHERE et = 'signup'"""),
+    "alarms_built": _with(f"""
+        SELECT pump AS pump_serial, seqnum, {_T('ts')} AS timestamp, category, CASE k % 2 WHEN 0 THEN 'activated' ELSE 'cleared' END AS action, id AS alarm_id,
+            CASE
+                WHEN category = 'alert' AND id = 50 THEN 'high_bg_alert'
+                WHEN category = 'alert' AND id = 51 THEN 'low_bg_alert'
+                WHEN category = 'cgm_alert' AND id = 1 THEN 'cgm_urgent_low'
+                WHEN category = 'cgm_alert' AND id = 2 THEN 'cgm_high'
+                WHEN category = 'cgm_alert' AND id = 3 THEN 'cgm_low'
+                WHEN category = 'cgm_alert' AND id = 6 THEN 'cgm_rise_rate'
+                WHEN category = 'cgm_alert' AND id = 8 THEN 'cgm_fall_rate'
+                WHEN category = 'cgm_alert' AND id = 14 THEN 'cgm_out_of_range'
+                WHEN k % 7 = 0 THEN 'NamedAlarm'
+                WHEN category = 'cgm_alert' THEN 'unknown_' || id
+                ELSE category || '_' || id
+            END AS alarm_name,
+            round(v, 4) AS param1, CASE WHEN k % 3 <> 0 THEN round(k * 2.0::DOUBLE, 4) END AS param2
+        FROM (
+            SELECT *, CASE k % 3 WHEN 0 THEN 'cgm_alert' WHEN 1 THEN 'alert' ELSE 'alarm' END AS category, CASE k % 3 WHEN 0 THEN k % 16 WHEN 1 THEN k % 60 ELSE k % 30 END AS id
+            FROM ev WHERE et = 'error'
+        )"""),
+    "pump_events_built": _with(f"""
+        SELECT pump AS pump_serial, seqnum, {_T('ts')} AS timestamp,
+            CASE WHEN kind < 3 THEN 'site_change' WHEN kind < 5 THEN 'cgm_session' WHEN kind = 5 THEN 'mode_change' WHEN kind = 6 THEN 'pcm_change' ELSE 'daily_marker' END AS event_type,
+            CASE kind
+                WHEN 0 THEN 'cartridge' WHEN 1 THEN 'cannula' WHEN 2 THEN 'tubing' WHEN 3 THEN 'join' WHEN 4 THEN 'stop'
+                WHEN 5 THEN CASE code WHEN 0 THEN 'normal' WHEN 1 THEN 'sleeping' WHEN 2 THEN 'exercising' WHEN 3 THEN 'eating_soon' ELSE 'unknown_' || code END
+                WHEN 6 THEN CASE code WHEN 0 THEN 'no_control' WHEN 1 THEN 'open_loop' WHEN 2 THEN 'pining' WHEN 3 THEN 'closed_loop' ELSE 'unknown_' || code END
+                WHEN 7 THEN 'new_day' ELSE 'daily_status'
+            END AS event_subtype,
+            CASE WHEN kind = 5 THEN CASE prev WHEN 0 THEN 'normal' WHEN 1 THEN 'sleeping' WHEN 2 THEN 'exercising' WHEN 3 THEN 'eating_soon' ELSE 'unknown_' || prev END END AS previous_mode,
+            CASE kind
+                WHEN 0 THEN '{{"insulin_volume":' || (k * 3) || '}}'
+                WHEN 1 THEN '{{"prime_size":' || (k % 25) || '}}'
+                WHEN 2 THEN '{{"prime_size":' || (k % 25) || '}}'
+                WHEN 5 THEN '{{"requested_action":' || (k % 3) || ',"exercise_time":' || CASE k % 2 WHEN 0 THEN CAST(k AS VARCHAR) ELSE 'null' END || '}}'
+                WHEN 6 THEN '{{"previous_pcm":' || prev || '}}'
+                WHEN 7 THEN '{{"commanded_basal_rate":' || (k * 10) || '}}'
+                WHEN 8 THEN '{{"pump_control_state":' || (k % 4) || ',"user_mode":' || (k % 3) || '}}'
+                ELSE '{{}}'
+            END AS details
+        FROM (SELECT *, k % 10 AS kind, k // 10 % 6 AS code, k // 10 % 5 AS prev FROM ev WHERE et = 'signup')
+        WHERE kind < 9"""),
     "live_thinning": _with(f"SELECT pump AS pump_serial, {_T('b')} AS bucket, {_T('max(ts)')} AS timestamp, arg_max(bg, (ts, seqnum)) AS bg_mgdl FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, ts) AS b FROM cgm) GROUP BY pump, b"),
     "suspensions": _with(f"""SELECT s.pump AS pump_serial, {_T('s')} AS suspend_timestamp, {_T('e')} AS resume_timestamp, round(mins,4) AS duration_minutes, CASE WHEN s.k % 4 = 0 THEN 'alarm' ELSE 'user' END AS suspend_reason, CAST(floor(v) AS INTEGER) AS insulin_at_suspend, coalesce(eo OR mins > 1440, false) AS pairing_suspect,
- CASE WHEN s.k % 4 = 0 THEN a.id END AS alarm_id, CASE WHEN s.k % 4 = 0 THEN a.name END AS alarm_name FROM sus s LEFT JOIN (SELECT pump, ts, arg_min(k, seqnum) AS id, arg_min(name, seqnum) AS name FROM alarms GROUP BY pump, ts) a ON a.pump = s.pump AND a.ts = s.s"""),
+ CASE WHEN s.k % 4 = 0 THEN a.id END AS alarm_id, CASE WHEN s.k % 4 = 0 THEN a.name END AS alarm_name FROM sus s LEFT JOIN (SELECT pump, ts, arg_min(k, seqnum) AS id, arg_min(name, seqnum) AS name FROM alarms WHERE k % 4 IN (0, 2) AND action = 'activated' GROUP BY pump, ts) a ON a.pump = s.pump AND a.ts = s.s"""),
     "site_changes_forced": _with(f"SELECT pump AS pump_serial, seqnum, {_T('ts')} AS timestamp, 'site_change' AS event_type, sub AS event_subtype, forced AS forced_by_alarm FROM forced"),
     "site_issues": _with(f"""SELECT pump AS pump_serial, {_T('f')} AS first_occlusion_ts, {_T('g')} AS last_occlusion_ts, n AS occlusion_count, {_T('r')} AS resolved_by_site_change_ts, round((epoch_us(r) - epoch_us(g))/60e6,4) AS resolution_delay_minutes FROM (SELECT *, (SELECT min(x.ts) FROM forced x WHERE x.pump = c.pump AND x.ts > c.g AND NOT x.forced) AS r FROM oc c)""",
         *_OC),
@@ -121,14 +160,14 @@ ORACLE_SQL: dict[str, str] = {
     "tir_windows": _with(f"SELECT CAST(d AS INTEGER) AS days, round(100.0*count(*) FILTER (bg BETWEEN 70 AND 180)/nullif(count(bg),0),4) AS tir_percent, count(bg) AS n FROM (VALUES (7),(14),(30)) w(d) JOIN cgm ON ts < TIMESTAMP '2024-01-31 08:00:00' AND ts >= TIMESTAMP '2024-01-31 08:00:00' - to_days(d) GROUP BY d"),
     "heatmap": _with("SELECT CAST(day AS VARCHAR) AS day, CAST(hour(l) AS INTEGER) AS hour, round(avg(bg),4) AS avg_bg, round(quantile_cont(CAST(bg AS DOUBLE),0.5),4) AS median_bg, count(bg) AS n FROM cgm GROUP BY day, hour(l)"),
     "heatmap_pivot": _with("SELECT CAST(h.h AS INTEGER) AS hour, " + ", ".join(f"round(quantile_cont(CAST(bg AS DOUBLE),0.5) FILTER (day = DATE '2024-01-{x}'),4) AS d_202401{x}" for x in (10, 11, 12)) + " FROM range(24) h(h) LEFT JOIN cgm ON hour(l) = h.h GROUP BY h.h"),
-    "insulin_daily": _with(f"SELECT CAST(s.day AS VARCHAR) AS day, round(coalesce(b,0),4) AS bolus_units, round(coalesce(u,0),4) AS basal_units, round(coalesce(b,0)+coalesce(u,0),4) AS total_units FROM (SELECT {_SPINE}) s LEFT JOIN (SELECT day, sum(units) AS b FROM bolus GROUP BY day) USING (day) LEFT JOIN (SELECT day, sum(u) AS u FROM bas GROUP BY day) USING (day)", _BAS),
-    "insulin_daily_5min": _with(f"SELECT CAST(s.day AS VARCHAR) AS day, round(coalesce(b,0),4) AS bolus_units, round(coalesce(u,0),4) AS basal_units, round(coalesce(b,0)+coalesce(u,0),4) AS total_units FROM (SELECT {_SPINE}) s LEFT JOIN (SELECT day, sum(units) AS b FROM bolus GROUP BY day) USING (day) LEFT JOIN (SELECT day, sum(rate*5/60) AS u FROM basal GROUP BY day) USING (day)"),
+    "insulin_daily": _with(f"SELECT CAST(s.day AS VARCHAR) AS day, round(coalesce(b,0),4) AS bolus_units, round(coalesce(u,0)+1e-9,4) AS basal_units, round(coalesce(b,0)+coalesce(u,0)+1e-9,4) AS total_units FROM (SELECT {_SPINE}) s LEFT JOIN (SELECT day, {_UNITS} AS b FROM bolus GROUP BY day) USING (day) LEFT JOIN (SELECT day, CAST(sum(dose) AS DOUBLE)/3.6e12 AS u FROM bas GROUP BY day) USING (day)", _BAS),
+    "insulin_daily_5min": _with(f"SELECT CAST(s.day AS VARCHAR) AS day, round(coalesce(b,0),4) AS bolus_units, round(coalesce(u,0)+1e-9,4) AS basal_units, round(coalesce(b,0)+coalesce(u,0)+1e-9,4) AS total_units FROM (SELECT {_SPINE}) s LEFT JOIN (SELECT day, {_UNITS} AS b FROM bolus GROUP BY day) USING (day) LEFT JOIN (SELECT day, {_ROUGH} AS u FROM basal GROUP BY day) USING (day)"),
     "day_search": _with("SELECT CAST(day AS VARCHAR) AS day, round(tir,4) AS tir_percent, lows AS low_count, al AS alarm_count, count(*) OVER () AS total FROM f ORDER BY f.day DESC LIMIT 5 OFFSET 5",
         f"f AS (SELECT c.day, tir, lows, coalesce(al,0) AS al FROM (SELECT day, {_PCT('bg BETWEEN 70 AND 180')} AS tir, count(*) FILTER (bg < 70) AS lows FROM cgm GROUP BY day) c LEFT JOIN (SELECT day, count(*) FILTER (action = 'activated') AS al FROM alarms GROUP BY day) a USING (day) WHERE tir < 55 AND lows >= 1)"),
     "status_by_pump": _with(f"""SELECT c.pump AS pump_serial, {_T('lc')} AS last_cgm, lb AS last_bg, {_T('la')} AS last_alarm, ln AS last_alarm_name, round(age,4) AS age_minutes, CASE WHEN age <= 15 THEN 'fresh' WHEN age <= 60 THEN 'stale' ELSE 'down' END AS freshness, CASE WHEN age < 90 THEN CAST(round_even(age,0) AS INTEGER) || ' min ago' WHEN age < 2880 THEN CAST(round_even(age/60,0) AS INTEGER) || ' h ago' ELSE CAST(round_even(age/1440,0) AS INTEGER) || ' d ago' END AS age
  FROM (SELECT pump, max(ts) AS lc, arg_max(bg, (ts, seqnum)) AS lb, ({_S("TIMESTAMP '2024-01-31'")} - max(t))/60.0::DOUBLE AS age FROM cgm GROUP BY pump) c LEFT JOIN (SELECT pump, max(ts) AS la, arg_max(name, (ts, seqnum)) AS ln FROM alarms WHERE action = 'activated' GROUP BY pump) a USING (pump)"""),
-    "day_summary": _with(f"""SELECT CAST(c.day AS VARCHAR) AS day, tir AS tir_percent, mean_bg, min_bg, max_bg, sd_bg, readings, round(coalesce(bu,0),4) AS bolus_units, coalesce(bn,0) AS bolus_count, round(coalesce(u,0),4) AS basal_units, round(coalesce(u5,0),4) AS basal_units_5min, coalesce(c1,0) AS carbs_meals, coalesce(c2,0) AS carbs_all, coalesce(a1,0) AS alarm_count, coalesce(a2,0) AS alarm_rows
- FROM (SELECT day, {_TIR} AS tir, round(avg(bg),4) AS mean_bg, min(bg) AS min_bg, max(bg) AS max_bg, round(coalesce(stddev_samp(bg),0),4) AS sd_bg, count(bg) AS readings FROM cgm GROUP BY day) c LEFT JOIN (SELECT day, sum(units) AS bu, count(*) AS bn FROM bolus GROUP BY day) b USING (day) LEFT JOIN (SELECT day, sum(u) AS u FROM bas GROUP BY day) x USING (day) LEFT JOIN (SELECT day, sum(rate*5/60) AS u5 FROM basal GROUP BY day) y USING (day)
+    "day_summary": _with(f"""SELECT CAST(c.day AS VARCHAR) AS day, tir AS tir_percent, mean_bg, min_bg, max_bg, sd_bg, readings, round(coalesce(bu,0),4) AS bolus_units, coalesce(bn,0) AS bolus_count, round(coalesce(u,0)+1e-9,4) AS basal_units, round(coalesce(u5,0)+1e-9,4) AS basal_units_5min, coalesce(c1,0) AS carbs_meals, coalesce(c2,0) AS carbs_all, coalesce(a1,0) AS alarm_count, coalesce(a2,0) AS alarm_rows
+ FROM (SELECT day, {_TIR} AS tir, round(avg(bg),4) AS mean_bg, min(bg) AS min_bg, max(bg) AS max_bg, round(coalesce(stddev_samp(bg),0),4) AS sd_bg, count(bg) AS readings FROM cgm GROUP BY day) c LEFT JOIN (SELECT day, {_UNITS} AS bu, count(*) AS bn FROM bolus GROUP BY day) b USING (day) LEFT JOIN (SELECT day, CAST(sum(dose) AS DOUBLE)/3.6e12 AS u FROM bas GROUP BY day) x USING (day) LEFT JOIN (SELECT day, {_ROUGH} AS u5 FROM basal GROUP BY day) y USING (day)
  LEFT JOIN (SELECT day, CAST(coalesce(sum(carbs) FILTER (cat IN {_FOOD}),0) AS BIGINT) AS c1, CAST(coalesce(sum(carbs) FILTER (carbs > 0),0) AS BIGINT) AS c2 FROM req GROUP BY day) r USING (day) LEFT JOIN (SELECT day, count(*) FILTER (action = 'activated') AS a1, count(*) AS a2 FROM alarms GROUP BY day) a USING (day)""", _BAS),
     "compare_days": _with("SELECT minute, round(a.b,4) AS bg_a, round(z.b,4) AS bg_b FROM (SELECT CAST(hour(l)*60+minute(l) AS INTEGER) AS minute, avg(bg) AS b FROM cgm WHERE day = DATE '2024-01-10' GROUP BY 1) a FULL JOIN (SELECT CAST(hour(l)*60+minute(l) AS INTEGER) AS minute, avg(bg) AS b FROM cgm WHERE day = DATE '2024-01-03' GROUP BY 1) z USING (minute)"),
     "bolus_clusters": _with(f"SELECT pump AS pump_serial, {_T('f')} AS first_ts, {_T('c')} AS centre_ts, round(u,4) AS total_units, n FROM bc", _CLUS),
@@ -142,10 +181,10 @@ ORACLE_SQL: dict[str, str] = {
     "suspensions_overlapping": _with(f"SELECT pump AS pump_serial, {_T('s')} AS suspend_timestamp, {_T('e')} AS resume_timestamp FROM sus WHERE s < TIMESTAMP '2024-01-06 08:00:00' AND (e IS NULL OR e >= TIMESTAMP '2024-01-01 08:00:00')"),
     "out_of_range_shading": _with(f"SELECT pump AS pump_serial, seqnum, {_T('ts')} AS start_ts, {_T('(SELECT min(c.ts) FROM alarms c WHERE c.pump = a.pump AND c.name = a.name AND c.action = ' + chr(39) + 'cleared' + chr(39) + ' AND c.ts > a.ts)')} AS end_ts FROM alarms a WHERE name = 'cgm_out_of_range' AND action = 'activated'"),
     "gaps_snapped": _with(f"SELECT pump AS pump_serial, {_T('s')} AS start_ts, {_T('e')} AS end_ts, {_T('(SELECT max(c.ts) FROM cgm c WHERE c.pump = g.pump AND c.ts <= g.s)')} AS snap_start, {_T('(SELECT min(c.ts) FROM cgm c WHERE c.pump = g.pump AND c.ts >= g.e)')} AS snap_end FROM gaps g WHERE e IS NOT NULL"),
-    "daily_features": _with(f"""SELECT c.pump AS pump_serial, CAST(c.day AS VARCHAR) AS day, mean_bg, sd_bg, cv, tir, below, above, severe, n_readings, overnight_dip, round(coalesce(bu,0),4) AS bolus_units, round(coalesce(u,0),4) AS basal_units, coalesce(mc,0) AS meal_count, coalesce(cg,0) AS carbs_g, coalesce(ac,0) AS alarm_count, round(pk,4) AS postprandial_peak, round(coalesce(sm.m,0),4) AS suspension_minutes, round(coalesce(om.m,0),4) AS out_of_range_minutes, round(coalesce(bu,0)+coalesce(u,0),4) AS tdi, round(coalesce(u,0)/nullif(bu,0),4) AS basal_bolus_ratio
+    "daily_features": _with(f"""SELECT c.pump AS pump_serial, CAST(c.day AS VARCHAR) AS day, mean_bg, sd_bg, cv, tir, below, above, severe, n_readings, overnight_dip, round(coalesce(bu,0),4) AS bolus_units, round(coalesce(u,0)+1e-9,4) AS basal_units, coalesce(mc,0) AS meal_count, coalesce(cg,0) AS carbs_g, coalesce(ac,0) AS alarm_count, round(pk,4) AS postprandial_peak, round(coalesce(sm.m,0),4) AS suspension_minutes, round(coalesce(om.m,0),4) AS out_of_range_minutes, round(coalesce(bu,0)+coalesce(u,0)+1e-9,4) AS tdi, round(coalesce(u,0)/nullif(bu,0),4) AS basal_bolus_ratio
  FROM (SELECT pump, day, round(avg(bg),4) AS mean_bg, round(stddev_pop(bg),4) AS sd_bg, round(stddev_pop(bg)/avg(bg),4) AS cv, round(count(*) FILTER (bg BETWEEN 70 AND 180)/count(bg),4) AS tir, round(count(*) FILTER (bg < 70)/count(bg),4) AS below, round(count(*) FILTER (bg > 180 AND bg <= 250)/count(bg),4) AS above, round(count(*) FILTER (bg > 250)/count(bg),4) AS severe, count(bg) AS n_readings,
   round(avg(bg) FILTER (ts >= {_UTC('day')} + INTERVAL 4 HOUR AND ts < {_UTC('day')} + INTERVAL 6 HOUR) - avg(bg) FILTER (ts < {_UTC('day')} + INTERVAL 2 HOUR),4) AS overnight_dip FROM cgm GROUP BY pump, day) c
- LEFT JOIN (SELECT pump, day, sum(units) AS bu FROM bolus GROUP BY ALL) b USING (pump, day) LEFT JOIN bas USING (pump, day) LEFT JOIN (SELECT pump, day, count(*) FILTER (cat IN {_FOOD}) AS mc, CAST(coalesce(sum(carbs) FILTER (cat IN {_FOOD}),0) AS BIGINT) AS cg FROM req GROUP BY ALL) r USING (pump, day) LEFT JOIN (SELECT pump, day, count(*) FILTER (action = 'activated') AS ac FROM alarms GROUP BY ALL) a USING (pump, day)
+ LEFT JOIN (SELECT pump, day, {_UNITS} AS bu FROM bolus GROUP BY ALL) b USING (pump, day) LEFT JOIN bas USING (pump, day) LEFT JOIN (SELECT pump, day, count(*) FILTER (cat IN {_FOOD}) AS mc, CAST(coalesce(sum(carbs) FILTER (cat IN {_FOOD}),0) AS BIGINT) AS cg FROM req GROUP BY ALL) r USING (pump, day) LEFT JOIN (SELECT pump, day, count(*) FILTER (action = 'activated') AS ac FROM alarms GROUP BY ALL) a USING (pump, day)
  LEFT JOIN (SELECT pump, day, avg(p - a) AS pk FROM (SELECT r.pump, r.day, r.seqnum, arg_max(c.bg, (c.t, c.seqnum)) FILTER (c.t <= r.t) AS a, max(c.bg) FILTER (c.t >= r.t) AS p FROM req r JOIN cgm c ON c.pump = r.pump AND c.day = r.day AND c.t BETWEEN r.t - 600 AND r.t + 7200 WHERE r.cat IN {_FOOD} GROUP BY ALL) WHERE a IS NOT NULL AND p IS NOT NULL GROUP BY ALL) p USING (pump, day) LEFT JOIN sm USING (pump, day) LEFT JOIN om USING (pump, day)""", _BAS, _overlap("sus", "s", "e", "sm"), _overlap("gaps", "s", "e", "om")),
     "anchored_windows": _with("SELECT pump AS pump_serial, seqnum, CAST(n AS INTEGER) AS n_samples, round(n/7.0,4)::DOUBLE AS coverage, round(CAST(sum_bg AS DOUBLE),4) AS sum_bg FROM win", _WIN),
     "rise_slopes": _with(f"SELECT pump AS pump_serial, seqnum, {_T('ts')} AS anchor_ts, {_T('ts - INTERVAL 60 MINUTE')} AS rise_start_ts, CAST(n AS INTEGER) AS n_samples, round(coverage,4) AS coverage, v0 AS start_level, v1 AS end_level, v1 - v0 AS delta, round(slope,4) AS slope, h AS hour_of_day, mult AS multiplier FROM ris", _WIN),
@@ -155,8 +194,22 @@ ORACLE_SQL: dict[str, str] = {
     "meal_rise_scored": _with(f"SELECT pump AS pump_serial, seqnum, {_T('ts')} AS anchor_ts, {_T('ts - INTERVAL 60 MINUTE')} AS rise_start_ts, v0 AS start_level, v1 AS end_level, v1 - v0 AS delta, h AS hour_of_day, label, fcat AS matched_bolus_category, carbs AS matched_bolus_carbs, round((ft - (t-3600))/60,4) AS bolus_delay_min, resolution, round(CASE WHEN ft IS NULL THEN (xt - (t-3600))/60 END,4) AS resolution_delay_min FROM sc", _WIN + _THIN + _SCORE, recursive=True),
     "meal_rise_summary": _with("SELECT count(*) AS total, count(*) FILTER (label = 'pre_bolused') AS pre_bolused, count(*) FILTER (label = 'late_bolused') AS late_bolused, count(*) FILTER (label = 'uncovered') AS uncovered, round(coalesce(count(*) FILTER (label = 'uncovered')/nullif(count(*),0),0),4) AS uncovered_rate, count(*) FILTER (resolution = 'none') AS unresolved FROM sc", _WIN + _THIN + _SCORE, recursive=True),
     "meal_rise_by_hour": _with("SELECT h AS hour_of_day, " + ", ".join(f"count(*) FILTER (label = '{x}') AS {x}" for x in ("late_bolused", "pre_bolused", "uncovered")) + " FROM sc GROUP BY h", _WIN + _THIN + _SCORE, recursive=True),
-    "slope_sweep": _with("SELECT f.base, f.firings, i.instances FROM (SELECT base, count(*) AS firings FROM sw GROUP BY base) f JOIN (SELECT sw.base, count(*) AS instances FROM sw JOIN (SELECT DISTINCT * FROM sw0 WHERE t IS NOT NULL) k ON k.base = sw.base AND k.pump = sw.pump AND k.t = sw.t GROUP BY sw.base) i USING (base)", _WIN, "sw AS (SELECT b.base, ris.* FROM ris JOIN (VALUES (1.0::DOUBLE),(1.4::DOUBLE),(1.8::DOUBLE),(2.2::DOUBLE)) b(base) ON slope >= base*mult)",
-        "sw0 AS (SELECT base, pump, min(t) AS t FROM sw GROUP BY ALL UNION ALL SELECT i.base, i.pump, (SELECT min(s.t) FROM sw s WHERE s.base = i.base AND s.pump = i.pump AND s.t >= i.t + 3600) FROM sw0 i WHERE i.t IS NOT NULL)", recursive=True),
+    "slope_sweep": _with("""
+        SELECT f.base, f.firings, i.instances, i.pre_bolused, i.late_bolused, i.uncovered, round(i.uncovered / i.instances, 4) AS uncovered_rate
+        FROM (SELECT base, count(*) AS firings FROM sw GROUP BY base) f
+        JOIN (
+            SELECT base, count(*) AS instances, count(*) FILTER (ft IS NOT NULL AND ft < t - 3600) AS pre_bolused, count(*) FILTER (ft >= t - 3600) AS late_bolused, count(*) FILTER (ft IS NULL) AS uncovered
+            FROM sw1 GROUP BY base
+        ) i USING (base)""",
+        _WIN, "sw AS (SELECT b.base, ris.* FROM ris JOIN (VALUES (1.0::DOUBLE),(1.4::DOUBLE),(1.8::DOUBLE),(2.2::DOUBLE)) b(base) ON slope >= base*mult)",
+        "sw0 AS (SELECT base, pump, min(t) AS t FROM sw GROUP BY ALL UNION ALL SELECT i.base, i.pump, (SELECT min(s.t) FROM sw s WHERE s.base = i.base AND s.pump = i.pump AND s.t >= i.t + 3600) FROM sw0 i WHERE i.t IS NOT NULL)",
+        f"""sw1 AS (
+            SELECT sw.base, sw.t, (
+                SELECT arg_min(r.t, (abs(r.t - (sw.t - 3600)), r.t, r.seqnum)) FROM req r
+                WHERE r.pump = sw.pump AND r.cat IN {_FOOD} AND r.t BETWEEN sw.t - 3600 - 1800 AND sw.t - 3600 + 2700
+            ) AS ft
+            FROM sw JOIN (SELECT DISTINCT * FROM sw0 WHERE t IS NOT NULL) k ON k.base = sw.base AND k.pump = sw.pump AND k.t = sw.t
+        )""", recursive=True),
     "anomaly_crossings": _with(f"SELECT pump AS pump_serial, seqnum, {_T('ts')} AS timestamp, CASE WHEN bg > 180 AND b <= 180 THEN 'spike' ELSE 'drop' END AS anomaly_type, bg AS bg_at_event, round((bg - b)/mi,4) AS rate_mgdl_per_min, round(least(1.0, CASE WHEN bg > 180 AND b <= 180 THEN (bg-180)/180.0 ELSE (70-bg)/70.0 END)::DOUBLE,4) AS confidence, backfilled AS is_backfilled_context FROM (SELECT *, lag(bg) OVER w AS b, (t - lag(t) OVER w)/60.0::DOUBLE AS mi FROM cgm WINDOW w AS (PARTITION BY pump ORDER BY ts, seqnum)) WHERE mi > 0 AND ((bg > 180 AND b <= 180) OR (bg < 70 AND b >= 70))"),
     "anomaly_flatlines": _with(f"SELECT f2.pump AS pump_serial, seqnum, {_T('ts')} AS timestamp, 'flatline' AS anomaly_type, bg AS bg_at_event, 0.0::DOUBLE AS rate_mgdl_per_min, round(greatest(0.0, 1 - va/60),4)::DOUBLE AS confidence, backfilled AS is_backfilled_context FROM f2 JOIN (SELECT DISTINCT * FROM f3 WHERE r IS NOT NULL) k ON k.pump = f2.pump AND k.r = f2.r",
         "f1 AS (SELECT *, row_number() OVER w AS r, CASE WHEN count(bg) OVER w3 = 3 THEN var_samp(bg) OVER w3 END AS va, (t - lag(t) OVER w)/60.0::DOUBLE AS g FROM cgm WINDOW w AS (PARTITION BY pump ORDER BY ts, seqnum), w3 AS (PARTITION BY pump ORDER BY ts, seqnum ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))", "f2 AS (SELECT * FROM (SELECT *, max(g) OVER (PARTITION BY pump ORDER BY ts, seqnum ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS mg FROM f1) WHERE va < 60 AND mg <= 30)",
@@ -170,7 +223,7 @@ ORACLE_SQL: dict[str, str] = {
     "date_bounds": _with("SELECT CAST(min(day) AS VARCHAR) AS first_day, CAST(max(day) AS VARCHAR) AS anchor_day FROM cgm"),
     "table_extents": _with(" UNION ALL ".join(f"SELECT '{n}' AS name, {_T(f'min({t})')} AS first_ts, {_T(f'max({t})')} AS last_ts, count(*) AS n FROM {src}" for n, t, src in (("cgm", "ts", "cgm"), ("bolus", "ts", "bolus"), ("basal", "ts", "basal"), ("alarms", "ts", "alarms"), ("suspension", "s", "sus"), ("cgm_gaps", "s", "gaps")))),
     "category_counts": _with("SELECT cat AS bolus_category, count(*) AS n FROM req GROUP BY cat"),
-    "same_second_stacking": _with(f"SELECT {_T('b')} AS bucket, count(*) AS n FROM (SELECT date_trunc('minute', ts) AS b FROM cgm) GROUP BY b HAVING count(*) >= 3"),
+    "same_second_stacking": _with(f"SELECT {_T('b')} AS bucket, count(*) AS n FROM (SELECT date_trunc('second', ts) AS b FROM cgm) GROUP BY b HAVING count(*) >= 2"),
     "pump_is_single": _with("SELECT backfilled, CASE WHEN count(DISTINCT pump) = 1 THEN min(pump) END AS pump_serial, count(DISTINCT pump) AS n_pumps FROM cgm GROUP BY backfilled"),
     "bounded_scan": _with(f"SELECT pump AS pump_serial, seqnum, {_T('ts')} AS timestamp, bg AS bg_mgdl, backfilled FROM cgm WHERE pump = '0' AND ts >= TIMESTAMP '2024-01-09 08:00:00' AND ts < TIMESTAMP '2024-01-11 08:00:00'"),
     "upsert_result": _with(f"SELECT pump AS pump_serial, seqnum, {_T('ts')} AS timestamp, CASE WHEN seqnum % 3 = 0 THEN bg ELSE 1 END AS bg_mgdl FROM cgm WHERE seqnum % 3 = 0 OR seqnum % 2 = 0"),
@@ -178,5 +231,5 @@ ORACLE_SQL: dict[str, str] = {
     "alerts_page": _with(f"SELECT seqnum AS id, {_T('ts')} AS fired_at, pump AS pump_serial, name AS alert_kind, count(*) OVER () AS total FROM alarms WHERE action = 'activated' ORDER BY ts DESC, seqnum DESC LIMIT 10 OFFSET 20"),
     "alert_retries": _with(f"SELECT ref AS event_ref, count(*) AS attempts, bool_or(action = 'ack') AS delivered, {_T('max(ts)')} AS last_ts, NOT bool_or(action = 'ack') AND count(*) < 3 AS retry FROM (SELECT *, name || ':' || pump || ':' || strftime(ts, '%Y-%m-%d') AS ref FROM alarms) GROUP BY ref"),
     "day_sanity": _with(f"SELECT pump AS pump_serial, count(*) AS n, round(avg(bg),4) AS mean_bg, min(bg) AS min_bg, max(bg) AS max_bg, {_TIR} AS tir_percent, round(100.0*count(*)/288,4)::DOUBLE AS coverage_percent FROM cgm WHERE day = DATE '2024-01-10' GROUP BY pump"),
-    "day_digest": _with("SELECT CAST(c.day AS VARCHAR) AS day, tir AS tir_percent, mean_bg, readings, round(coalesce(b,0),4) AS bolus_units FROM (SELECT day, round(100.0*count(*) FILTER (bg BETWEEN 70 AND 180)/count(bg),4) AS tir, round(avg(bg),4) AS mean_bg, count(bg) AS readings FROM cgm GROUP BY day) c LEFT JOIN (SELECT day, sum(units) AS b FROM bolus GROUP BY day) USING (day)"),
+    "day_digest": _with(f"SELECT CAST(c.day AS VARCHAR) AS day, tir AS tir_percent, mean_bg, readings, round(coalesce(b,0),4) AS bolus_units FROM (SELECT day, round(100.0*count(*) FILTER (bg BETWEEN 70 AND 180)/count(bg),4) AS tir, round(avg(bg),4) AS mean_bg, count(bg) AS readings FROM cgm GROUP BY day) c LEFT JOIN (SELECT day, {_UNITS} AS b FROM bolus GROUP BY day) USING (day)"),
 }

@@ -39,6 +39,11 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*(show.get(type(f.dataType), lambda c: c)(F.col(f.name)).alias(f.name) for f in df.schema.fields))
 
 
+def steady(df: DataFrame, *columns: str) -> DataFrame:
+    """Sums of thousandths over hours often end in exactly half of the last place shown; a nudge makes all round them up."""
+    return df.withColumns({c: F.col(c) + 1e-9 for c in columns})
+
+
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
     return f
@@ -84,15 +89,28 @@ def basal_built(s, p):
 
 @query
 def alarms_built(s, p):
-    raw = d.source(s, p).where("event_type = 'error'").select("pump_serial", "seqnum", "timestamp", F.when(F.col("k") % 2 == 0, "cgm_alert").otherwise("alert").alias("category"), F.lit("activated").alias("action"), F.when(F.col("k") % 2 == 0, F.col("k") % 16).otherwise(F.col("k") % 60).alias("alarm_id"), F.lit(None).cast("string").alias("raw_name"))
+    """Alarms, alerts and sensor alerts; every seventh has a name of its own, every third no second parameter."""
+    k = F.col("k")
+    category = F.when(k % 3 == 0, "cgm_alert").when(k % 3 == 1, "alert").otherwise("alarm")
+    number = F.when(k % 3 == 0, k % 16).when(k % 3 == 1, k % 60).otherwise(k % 30)
+    raw = d.source(s, p).where("event_type = 'error'").select(
+        "pump_serial", "seqnum", "timestamp", category.alias("category"), F.when(k % 2 == 0, "activated").otherwise("cleared").alias("action"), number.alias("alarm_id"),
+        F.when(k % 7 == 0, "NamedAlarm").alias("raw_name"), F.col("value").alias("param1"), F.when(k % 3 != 0, k * 2).alias("param2"),
+    )
     return build.build_alarms(raw)
 
 
 @query
 def pump_events_built(s, p):
+    """All nine kinds of events, and one that no mapping takes."""
     k = F.col("k")
-    kind = F.when(k % 5 == 0, "cartridge_filled").when(k % 5 == 1, "cannula_filled").when(k % 5 == 2, "tubing_filled").when(k % 5 == 3, "user_mode").otherwise("control_mode")
-    return build.build_events(d.source(s, p).where("event_type = 'signup'").select("pump_serial", "seqnum", "timestamp", kind.alias("kind"), (k % 6).alias("code"), (k % 4).alias("previous_code"), (k * 3).alias("volume")))
+    kinds = [*build.EVENT_TYPES, "mystery"]
+    kind = F.element_at(F.array(*map(F.lit, kinds)), k % 10 + 1)
+    raw = d.source(s, p).where("event_type = 'signup'").select(
+        "pump_serial", "seqnum", "timestamp", kind.alias("kind"), F.expr("k div 10 % 6").cast("int").alias("code"), F.expr("k div 10 % 5").cast("int").alias("previous_code"), (k * 3).alias("volume"), (k % 25).alias("prime_size"),
+        (k % 3).alias("requested_action"), F.when(k % 2 == 0, k).alias("exercise_time"), (k * 10).alias("commanded_basal_rate"), (k % 4).alias("pump_control_state"), (k % 3).alias("status_user_mode"),
+    )
+    return build.build_events(raw)
 
 
 @query
@@ -167,12 +185,12 @@ def heatmap_pivot(s, p):
 
 @query
 def insulin_daily(s, p):
-    return dashboard.insulin_daily(d.bolus(s, p), d.basal(s, p), TZ, date(2023, 12, 30), END)
+    return steady(dashboard.insulin_daily(d.bolus(s, p), d.basal(s, p), TZ, date(2023, 12, 30), END), "basal_units", "total_units")
 
 
 @query
 def insulin_daily_5min(s, p):
-    return dashboard.insulin_daily(d.bolus(s, p), d.basal(s, p), TZ, date(2023, 12, 30), END, approximate=True)
+    return steady(dashboard.insulin_daily(d.bolus(s, p), d.basal(s, p), TZ, date(2023, 12, 30), END, approximate=True), "basal_units", "total_units")
 
 
 @query
@@ -187,7 +205,7 @@ def status_by_pump(s, p):
 
 @query
 def day_summary(s, p):
-    return dashboard.day_summary(d.frames(s, p), TZ)
+    return steady(dashboard.day_summary(d.frames(s, p), TZ), "basal_units", "basal_units_5min")
 
 
 @query
@@ -272,7 +290,7 @@ def gaps_snapped(s, p):
 
 @query
 def daily_features(s, p):
-    return features.daily_features(d.frames(s, p), CONFIG, "2024-01-30")
+    return steady(features.daily_features(d.frames(s, p), CONFIG, "2024-01-30"), "basal_units", "tdi")
 
 
 @query
@@ -325,7 +343,7 @@ def meal_rise_by_hour(s, p):
 
 @query
 def slope_sweep(s, p):
-    return detect.slope_sweep(detect.rise_slopes(d.cgm(s, p), RISE, TZ), [1.0, 1.4, 1.8, 2.2], RISE)
+    return detect.slope_sweep(detect.rise_slopes(d.cgm(s, p), RISE, TZ), [1.0, 1.4, 1.8, 2.2], RISE, d.requests(s, p), Calibration(), TZ)
 
 
 @query
@@ -372,7 +390,7 @@ def category_counts(s, p):
 
 @query
 def same_second_stacking(s, p):
-    return d.cgm(s, p).groupBy(F.date_trunc("minute", "timestamp").alias("bucket")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    return d.cgm(s, p).groupBy(F.date_trunc("second", "timestamp").alias("bucket")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
 @query

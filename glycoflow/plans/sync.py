@@ -22,7 +22,8 @@ RAW = "event_class string, timestamp timestamp, seqnum long, pump_serial string,
 _PAYLOADS = {
     "cgm": "bg int, data_type int, egv_seconds long", "bolus": "bolus_id long, insulin_units double", "request1": "bolus_id long, carbs_g int, bg_mgdl int, iob double", "request2": "bolus_id long, options int, user_override int",
     "request3": "bolus_id long, food_insulin double, correction_insulin double, total_requested double", "basal": "commanded_rate_milli long, rate_source_code int", "suspend": "reason int, insulin int",
-    "event": "kind string, code int, previous_code int, volume int", "alarm": "category string, action string, alarm_id int, raw_name string",
+    "event": "kind string, code int, previous_code int, volume int, prime_size int, requested_action int, exercise_time int, commanded_basal_rate double, pump_control_state int, status_user_mode int",
+    "alarm": "category string, action string, alarm_id int, raw_name string, param1 double, param2 double",
 }
 
 

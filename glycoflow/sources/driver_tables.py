@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.time import use_utc
-from ..operators.build import build_suspension
+from ..operators.build import build_requests, build_suspension
 from ..operators.enrich import cgm_gaps, enrich_requests, site_issues, tag_forced
 from ..config import SiteChange
 
@@ -44,18 +44,7 @@ def request_messages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the three messages join to, taken from one row: no join is needed where all three come from the same event."""
-    e = source(spark, sf_dir).where("event_type in ('purchase', 'signup')")
-    k, has3 = F.col("k"), F.col("k") % 11 != 0
-    options = k % 9
-    source_ = F.when(k % 7 == 0, "unknown").when(options > 7, "unknown").when(options.isin(3, 6), "auto").when(k % 2 == 1, "override").otherwise("user")
-    food = F.when(k % 5 == 0, 0.0).otherwise(F.col("value") / 25)
-    fix = F.when(k % 3 == 0, F.col("value") / 50).otherwise(0.0)
-    extra = F.when(k % 4 == 1, 0.5).when(k % 4 == 2, -0.25).otherwise(0.0)
-    return enrich_requests(e.select(
-        "pump_serial", F.col("seqnum").alias("bolus_id"), "timestamp", k.alias("carbs_g"), F.floor(F.least(F.lit(400.0), 40 + 2 * F.col("value"))).cast("int").alias("bg_mgdl"), (F.col("value") / 100).alias("iob"), source_.alias("bolus_source"),
-        F.when(has3, food).alias("food_insulin"), F.when(has3, fix).alias("correction_insulin"), F.when(has3, food + fix + extra).alias("total_requested"),
-    ))
+    return enrich_requests(build_requests(*request_messages(spark, sf_dir)))
 
 
 def basal_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def test_pairing_like_a_state_machine(spark):
     if open_at:
         want.append((open_at, None, False))
     raw = spark.createDataFrame(rows, "pump_serial string, seqnum long, timestamp timestamp, kind string, suspend_reason string, insulin_at_suspend int")
-    alarms = spark.createDataFrame([], "pump_serial string, timestamp timestamp, seqnum long, alarm_id int, alarm_name string")
+    alarms = spark.createDataFrame([], "pump_serial string, timestamp timestamp, seqnum long, alarm_id int, alarm_name string, category string, action string")
     got = build_suspension(raw, alarms).select(F.unix_seconds("suspend_timestamp"), F.unix_seconds("resume_timestamp"), "pairing_suspect").collect()
     assert sorted(map(tuple, got)) == sorted((int(a.timestamp()), int(b.timestamp()) if b else None, s) for a, b, s in want)
 
