@@ -69,8 +69,17 @@ def hbgi(bg: Column | None = None) -> Column:
     return F.coalesce(F.avg(F.when(f > 0, 10 * f * f).otherwise(F.when(bg.isNotNull(), 0.0))), F.lit(0.0))
 
 
+def gri_hypo(tbr2: Column, tbr1: Column) -> Column:
+    return tbr2 + 0.8 * tbr1
+
+
+def gri_hyper(tar1: Column, tar2: Column) -> Column:
+    return tar2 + 0.5 * tar1
+
+
 def gri(tbr2: Column, tbr1: Column, tar1: Column, tar2: Column) -> Column:
-    raw = 3.0 * (tbr2 + 0.8 * tbr1) + 1.6 * (tar2 + 0.5 * tar1)
+    """Both components weighted and cut to 0 to 100; the components themselves aren't cut."""
+    raw = 3.0 * gri_hypo(tbr2, tbr1) + 1.6 * gri_hyper(tar1, tar2)
     return F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0))
 
 

@@ -48,6 +48,22 @@ def with_halo(df: DataFrame, t: str, chunk: int, before: int) -> DataFrame:
     return df.withColumn("chunk", F.explode(F.sequence(first, last))).withColumn("_own", F.col("chunk") == first)
 
 
+def with_neighbours(df: DataFrame, by: str, t: str, chunk: int, order: list[str], value: str) -> DataFrame:
+    """Adds before_ and after_, one-field structs with the value of the rows before and after in a series; null at its ends.
+
+    Windows are over (series, chunk of time), so a long series is shared among tasks.  Only the first and last row of each
+    chunk then meet in a window over the series: two rows a chunk.
+    """
+    inside = Window.partitionBy(by, "_chunk").orderBy(*order)
+    rows = df.withColumn("_chunk", F.floor(F.col(t) / chunk)).withColumn("_value", F.struct(F.col(value).alias("v")))
+    rows = rows.withColumns({"before_": F.lag("_value").over(inside), "after_": F.lead("_value").over(inside)})
+    rows = rows.withColumn("_among", F.when(F.col("before_").isNull() | F.col("after_").isNull(), F.lit(-(2**60))).otherwise(F.col("_chunk")))
+    edges = Window.partitionBy(by, "_among").orderBy(*order)
+    # Among edges alone, what is before a chunk's first row is the last row of the chunk before it; likewise after its last.
+    found = {"before_": F.coalesce("before_", F.lag("_value").over(edges)), "after_": F.coalesce("after_", F.lead("_value").over(edges))}
+    return rows.withColumns(found).drop("_chunk", "_value", "_among")
+
+
 def last_before(df: DataFrame, value: Column, order: list[Column], by: str) -> Column:
     """The last non-null value up to and with the row."""
     return F.last(value, ignorenulls=True).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import local, second_of_day
-from .joins import range_join
+from .joins import range_join, with_neighbours
 
 
 def modd(cgm: DataFrame, group: str, tz: str) -> DataFrame:
@@ -34,15 +34,19 @@ def conga(cgm: DataFrame, group: str, hours: int = 1, tolerance: int = 150) -> D
     return cgm.select(group).distinct().join(got, group, "left")
 
 
-def mage(cgm: DataFrame, group: str) -> DataFrame:
-    """Mean amplitude over one deviation between turning points; null under three readings, 0 where none qualifies."""
-    w = Window.partitionBy(group).orderBy("timestamp", "seqnum")
-    rows = cgm.select(group, "timestamp", "seqnum", F.col("bg_mgdl").cast("double").alias("bg"))
-    rows = rows.withColumn("d", F.lead("bg").over(w) - F.col("bg")).withColumn("first", F.lag("bg").over(w).isNull())
+def mage(cgm: DataFrame, group: str, chunk: int = 7 * 86400) -> DataFrame:
+    """Mean amplitude over one deviation between turning points; null under three readings, 0 where none qualifies.
+
+    Turning points are the first and last reading and those where a rise becomes a fall or the other way round; of equal
+    readings in a row the last counts.  Rows are looked at in chunks of a week, so one long series is no single task.
+    """
+    order = ["timestamp", "seqnum"]
+    rows = cgm.select(group, *order, F.unix_seconds("timestamp").alias("_t"), F.col("bg_mgdl").cast("double").alias("bg"))
+    beside = lambda df, value: with_neighbours(df, group, "_t", chunk, order, value)
+    all_rows = beside(rows, "bg").withColumn("end", F.col("before_").isNull() | F.col("after_").isNull()).withColumn("sign", F.signum(F.col("after_.v") - F.col("bg")))
+    moving = all_rows.where("end or sign <> 0").withColumn("sign", F.nullif("sign", F.lit(0.0))).drop("before_", "after_")
+    turns = beside(moving, "sign").where("end or sign <> before_.v").drop("before_", "after_")
+    steps = beside(turns, "bg").select(group, F.abs(F.col("bg") - F.col("before_.v")).alias("a"))
     stats = rows.groupBy(group).agg(F.stddev_samp("bg").alias("sd"), F.count("bg").alias("n"))
-    moving = rows.where("d <> 0").select(group, "timestamp", "seqnum", F.signum("d").alias("sign"))
-    turns = moving.withColumn("turn", F.col("sign") != F.lag("sign").over(w)).where("turn").select(group, "timestamp", "seqnum")
-    ends = rows.where("first or d is null").select(group, "timestamp", "seqnum")
-    points = rows.join(turns.unionByName(ends).distinct(), [group, "timestamp", "seqnum"], "left_semi")
-    amplitude = points.withColumn("a", F.abs(F.col("bg") - F.lag("bg").over(w))).join(stats, group).where("a > sd").groupBy(group).agg(F.avg("a").alias("a"))
+    amplitude = steps.join(stats, group).where("a > sd").groupBy(group).agg(F.avg("a").alias("a"))
     return stats.join(amplitude, group, "left").select(group, F.when(F.col("n") >= 3, F.coalesce("a", F.lit(0.0))).alias("mage"))

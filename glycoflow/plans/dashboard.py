@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,13 +37,13 @@ def heatmap(cgm: DataFrame, tz: str) -> DataFrame:
 
 
 def heatmap_pivot(cgm: DataFrame, tz: str, days: list[date]) -> DataFrame:
-    """Hours by dates, all 24 hours there; medians, named d_YYYYMMDD."""
+    """Hours by dates, all 24 hours there: medians, named d_YYYYMMDD, and counts of readings, named n_YYYYMMDD."""
     rows = between(cgm, "timestamp", window_bounds(days[0], 1, tz)[0], window_bounds(days[-1], 1, tz)[1])
     wall = local("timestamp", tz)
     cells = rows.select(F.date_format(wall, "yyyyMMdd").alias("d"), F.hour(wall).alias("hour"), m.bg_column().alias("bg"))
-    wide = cells.groupBy("hour").pivot("d", [f"{d:%Y%m%d}" for d in days]).agg(F.median("bg"))
+    wide = cells.groupBy("hour").pivot("d", [f"{d:%Y%m%d}" for d in days]).agg(F.median("bg").alias("d"), F.count("bg").alias("n"))
     hours = cgm.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
-    return hours.join(wide, "hour", "left").select("hour", *(F.col(f"{d:%Y%m%d}").alias(f"d_{d:%Y%m%d}") for d in days))
+    return hours.join(wide, "hour", "left").select("hour", *(F.col(f"{d:%Y%m%d}_d").alias(f"d_{d:%Y%m%d}") for d in days), *(F.coalesce(f"{d:%Y%m%d}_n", F.lit(0)).alias(f"n_{d:%Y%m%d}") for d in days))
 
 
 def insulin_daily(bolus: DataFrame, basal: DataFrame, tz: str, first: date, last: date, approximate: bool = False) -> DataFrame:
@@ -81,6 +82,59 @@ def status(cgm: DataFrame, alarms: DataFrame, now: Column, fresh: float = 15, st
     return last.join(rung, "pump_serial", "left").withColumn("age_minutes", age).withColumn("freshness", m.freshness(F.col("age_minutes"), fresh, stale)).withColumn("age", m.age_label(F.col("age_minutes")))
 
 
+#: Hours until a signal is stale.
+CGM_HOURS, LIVE_HOURS, DETECTION_HOURS = 26.0, 0.25, 24.0
+
+
+def status_signals(cgm: DataFrame, fetch_state: DataFrame, results: DataFrame, alerts: DataFrame, now: Column, live_source: str = "live_cron") -> DataFrame:
+    """One row for each signal: latest reading, heartbeat of the live loop, each bookmark, last detection, last alert.
+
+    freshness: missing, ok or stale; an alert's follows its delivery, failed being stale.
+    """
+    def signal(df: DataFrame, label: Column, t: Column, hours: float | None, detail: Column, ok: Column | None = None) -> DataFrame:
+        age = (F.unix_seconds(now) - F.unix_seconds(t)) / 3600
+        fresh = F.when(t.isNull(), "missing").when(ok if ok is not None else age <= hours, "ok").otherwise("stale")
+        return df.select(label.alias("label"), t.alias("signal_ts"), fresh.alias("freshness"), detail.alias("detail"))
+
+    none, state = F.lit(None).cast("string"), F.col("source_id")
+    live = fetch_state.where(state == live_source).agg(F.max("last_synced_at").alias("t"))
+    synced = fetch_state.where(state != live_source)
+    last = alerts.agg(F.max_by(F.struct("fired_at", "delivery"), F.struct("fired_at", "id")).alias("a"))
+    parts = [
+        signal(cgm.agg(F.max("timestamp").alias("t")), F.lit("cgm_data"), F.col("t"), CGM_HOURS, none),
+        signal(live, F.lit("live_loop"), F.col("t"), LIVE_HOURS, none),
+        signal(synced, F.concat(F.lit("sync:"), state), F.col("last_synced_at"), CGM_HOURS, F.col("source_kind")),
+        signal(synced.agg(F.count(F.lit(1)).alias("n")).where("n = 0"), F.lit("sync"), F.lit(None).cast("timestamp"), CGM_HOURS, none),
+        signal(results.agg(F.max("created_at").alias("t")), F.lit("last_detection"), F.col("t"), DETECTION_HOURS, none),
+        signal(last, F.lit("last_alert"), F.col("a.fired_at"), None, F.col("a.delivery"), F.col("a.delivery") != "failed"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def day_sanity(frames: dict[str, DataFrame], day: date, tz: str, low: float = 70, high: float = 180) -> DataFrame:
+    """One row for each pump with anything on a local day: readings, boluses, meals, basal by source, total dose,
+    suspensions, mode and site changes, alarms.  Every table is read once, grouped by pump, and put side by side."""
+    since, until = window_bounds(day, 1, tz)
+    on = lambda name, t="timestamp": between(frames[name], t, since, until)
+    n, bg = F.count(F.lit(1)), m.bg_column()
+    by = lambda df, *aggregates: df.groupBy("pump_serial").agg(*aggregates)
+    meal = F.col("carbs_g") > 0
+    source = on("basal").groupBy("pump_serial", "rate_source").agg(n.alias("n")).groupBy("pump_serial")
+    parts = [
+        by(on("cgm"), n.alias("readings"), F.avg(bg).alias("mean_bg"), F.min("bg_mgdl").alias("min_bg"), F.max("bg_mgdl").alias("max_bg"), m.time_in_range(bg, low, high).alias("tir_percent"), (100.0 * n / 288).alias("coverage_percent")),
+        by(on("bolus"), n.alias("boluses"), exact_sum(F.col("insulin_units")).alias("bolus_units")),
+        by(on("requests"), n.alias("requests"), F.count_if(meal).alias("meals"), F.sum(F.when(meal, F.col("carbs_g"))).cast("long").alias("carbs_g")),
+        by(on("basal"), n.alias("basal_entries")), basal_units(on("basal"), tz, approximate=True, by=("pump_serial",)),
+        source.agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "rate_source", F.col("n").cast("string")))), ",").alias("basal_sources")),
+        by(on("suspension", "suspend_timestamp"), n.alias("suspensions"), F.count_if("pairing_suspect").alias("suspect_suspensions"), F.sum(F.floor("duration_minutes")).cast("long").alias("suspended_minutes")),
+        by(on("events"), F.count_if(F.col("event_type") == "mode_change").alias("mode_changes"), F.count_if(F.col("event_type") == "site_change").alias("site_changes")),
+        by(on("alarms"), F.count_if(F.col("action") == "activated").alias("alarms_activated"), n.alias("alarm_rows")),
+    ]
+    both = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    got = both.groupBy("pump_serial").agg(*(F.max(c).alias(c) for c in both.columns if c != "pump_serial"))
+    return got.withColumn("total_units", F.col("bolus_units") + F.col("basal_units"))
+
+
 def day_summary(frames: dict[str, DataFrame], tz: str) -> DataFrame:
     """By local day: readings, insulin by both basal rules, carbs by both rules, alarms by both rules."""
     day, bg = local_date("timestamp", tz).alias("day"), m.bg_column()

@@ -48,11 +48,11 @@ mage AS (SELECT s.grp, CASE WHEN s.n >= 3 THEN coalesce((SELECT avg(a) FROM mage
 
 def _report(group: str) -> str:
     return f"""WITH {BASE}, rows AS (SELECT *, {group} AS grp FROM cgm WHERE ts >= TIMESTAMP '2024-01-01 08:00:00' AND ts < TIMESTAMP '2024-01-31 08:00:00'), {_MODD}, {_CONGA}, {_MAGE},
-one AS (SELECT grp, count(bg) AS n_readings, count(*) AS n_rows, count(DISTINCT day) AS n_days, {_PCT('bg < 54')} AS tbr_level2, {_PCT('bg >= 54 AND bg < 70')} AS tbr_level1, {_PCT('bg BETWEEN 70 AND 180')} AS tir, {_PCT('bg > 180 AND bg <= 250')} AS tar_level1, {_PCT('bg > 250')} AS tar_level2, {_PCT('bg < 70')} AS tbr_total, {_PCT('bg > 180')} AS tar_total, {_PCT('bg BETWEEN 70 AND 140')} AS titr,
+one AS (SELECT grp, count(bg) AS n_readings, count(*) AS n_rows, count(DISTINCT day) AS n_days, {_PCT('bg < 54')} AS tbr_level2, {_PCT('bg >= 54 AND bg < 70')} AS tbr_level1, {_PCT('bg BETWEEN 70 AND 180')} AS tir, {_PCT('bg > 180 AND bg <= 250')} AS tar_level1, {_PCT('bg > 250')} AS tar_level2, {_PCT('bg < 70')} AS tbr_total, {_PCT('bg > 180')} AS tar_total, {_PCT('bg BETWEEN 70 AND 140')} AS titr, 100.0*count(*) FILTER (bg BETWEEN 70 AND 180)/nullif(count(bg),0) AS tir_config,
  avg(bg) AS mean_bg, quantile_cont(CAST(bg AS DOUBLE), 0.5) AS median_bg, stddev_samp(bg) AS sd_bg, avg(CASE WHEN {_RISK} < 0 THEN 10*{_RISK}*{_RISK} ELSE 0 END) AS lbgi, avg(CASE WHEN {_RISK} > 0 THEN 10*{_RISK}*{_RISK} ELSE 0 END) AS hbgi, min(ts) AS f, max(ts) AS g, 100.0*count(*)/8640 AS active FROM rows GROUP BY grp)
-SELECT o.grp, n_readings, n_rows, n_days, round(tbr_level2,4) AS tbr_level2, round(tbr_level1,4) AS tbr_level1, round(tir,4) AS tir, round(tar_level1,4) AS tar_level1, round(tar_level2,4) AS tar_level2, round(tbr_total,4) AS tbr_total, round(tar_total,4) AS tar_total, round(titr,4) AS titr, round(mean_bg,4) AS mean_bg, round(median_bg,4) AS median_bg, round(sd_bg,4) AS sd_bg, round(lbgi,4) AS lbgi, round(hbgi,4) AS hbgi,
+SELECT o.grp, n_readings, n_rows, n_days, round(tbr_level2,4) AS tbr_level2, round(tbr_level1,4) AS tbr_level1, round(tir,4) AS tir, round(tar_level1,4) AS tar_level1, round(tar_level2,4) AS tar_level2, round(tbr_total,4) AS tbr_total, round(tar_total,4) AS tar_total, round(titr,4) AS titr, round(tir_config,4) AS tir_config, round(mean_bg,4) AS mean_bg, round(median_bg,4) AS median_bg, round(sd_bg,4) AS sd_bg, round(lbgi,4) AS lbgi, round(hbgi,4) AS hbgi,
  {_T('f')} AS first_ts, {_T('g')} AS last_ts, CAST(8640 AS BIGINT) AS n_expected, round(active,4) AS active_percent, n_days >= 14 AND active >= 70 AS sufficient, round(100*sd_bg/mean_bg,4) AS cv_percent, round(CASE WHEN n_days >= 14 AND active >= 70 THEN 3.31+0.02392*mean_bg END,4) AS gmi, round((mean_bg+46.7)/28.7,4) AS ea1c,
- round(CASE WHEN n_days >= 14 AND active >= 70 THEN least(100.0, greatest(0.0, 3.0*(tbr_level2+0.8*tbr_level1)+1.6*(tar_level2+0.5*tar_level1))) END,4) AS gri, round(0.001*(mean_bg+sd_bg)*(mean_bg+sd_bg),4) AS j_index, 100*sd_bg/mean_bg <= 36 AS cv_stable, round(modd,4) AS modd, round(conga,4) AS conga, round(mage,4) AS mage
+ round(CASE WHEN n_days >= 14 AND active >= 70 THEN least(100.0, greatest(0.0, 3.0*(tbr_level2+0.8*tbr_level1)+1.6*(tar_level2+0.5*tar_level1))) END,4) AS gri, round(CASE WHEN n_days >= 14 AND active >= 70 THEN tbr_level2+0.8*tbr_level1 END,4) AS gri_hypo, round(CASE WHEN n_days >= 14 AND active >= 70 THEN tar_level2+0.5*tar_level1 END,4) AS gri_hyper, round(0.001*(mean_bg+sd_bg)*(mean_bg+sd_bg),4) AS j_index, 100*sd_bg/mean_bg <= 36 AS cv_stable, round(modd,4) AS modd, round(conga,4) AS conga, round(mage,4) AS mage
 FROM one o LEFT JOIN modd USING (grp) LEFT JOIN conga USING (grp) LEFT JOIN mage USING (grp)"""
 
 
@@ -72,6 +72,7 @@ sc AS (SELECT i.pump, i.seqnum, i.ts, i.t, i.v0, i.v1, i.h, f.ft, f.cat AS fcat,
 _BAS = f"""bas0 AS (SELECT pump, day, milli, epoch_us(coalesce(lead(ts) OVER (PARTITION BY pump, day ORDER BY ts, seqnum), {_UTC('day + 1')})) - epoch_us(ts) AS us FROM basal),
 bas AS (SELECT pump, day, sum(milli * greatest(us, 0)) AS dose, CAST(sum(milli * greatest(us, 0)) AS DOUBLE)/3.6e12 AS u FROM bas0 GROUP BY pump, day)"""
 _UNITS = "CAST(sum(CAST(units AS DECIMAL(20,6))) AS DOUBLE)"
+_SOURCE = "CASE code WHEN 0 THEN 'suspended' WHEN 1 THEN 'profile' WHEN 2 THEN 'temp_rate' WHEN 3 THEN 'algorithm' WHEN 4 THEN 'temp_rate_and_algorithm' ELSE 'unknown' END"
 _ROUGH = "sum(milli)*5/60000.0::DOUBLE"
 _CLUS = "bc0 AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY pump ORDER BY ts, seqnum)) <= 1800 THEN 0 ELSE 1 END AS nw FROM bolus), bc1 AS (SELECT *, sum(nw) OVER (PARTITION BY pump ORDER BY ts, seqnum) AS ses FROM bc0), bc AS (SELECT pump, ses, min(ts) AS f, list(ts ORDER BY ts, seqnum)[count(*)//2 + 1] AS c, sum(units) AS u, count(*) AS n FROM bc1 GROUP BY pump, ses)"
 
@@ -94,7 +95,14 @@ _SPINE = "CAST(unnest(generate_series(TIMESTAMP '2023-12-30', TIMESTAMP '2024-01
 ORACLE_SQL: dict[str, str] = {
     "cgm_report_pooled": _report("'all'"),
     "cgm_report_by_pump": _report("pump"),
-    "report_segments": f"WITH x AS ({_report(chr(39) + 'all' + chr(39))}) SELECT 'tbr_level2' AS band, tbr_level2 AS percent FROM x UNION ALL SELECT 'tbr_level1', tbr_level1 FROM x UNION ALL SELECT 'tir', tir FROM x UNION ALL SELECT 'tar_level1', tar_level1 FROM x UNION ALL SELECT 'tar_level2', tar_level2 FROM x",
+    "report_segments": f"""
+        WITH x AS ({_report(chr(39) + 'all' + chr(39))}),
+        y AS (
+            SELECT band, p, sufficient, n_days FROM x, LATERAL (VALUES ('tbr_level2', tbr_level2), ('tbr_level1', tbr_level1), ('tir', tir), ('tar_level1', tar_level1), ('tar_level2', tar_level2), ('gmi', gmi)) v(band, p)
+        )
+        SELECT band, greatest(coalesce(p, 0.0), 0.0) AS percent, coalesce(CAST(round_even(p, 0) AS INTEGER) || ' %', '—') AS shown,
+            CASE WHEN NOT sufficient THEN 'needs 14 days and 70 % of readings; has ' || n_days || ' days' END AS note
+        FROM y""",
     "cgm_built": _with(f""", lagged AS (SELECT *, lag(ts2) OVER (PARTITION BY pump ORDER BY ts2, seqnum) AS b FROM (SELECT pump, seqnum, et = 'error' AS bf, k*3+40 AS bg, CASE WHEN et = 'error' THEN {_UTC('ts - INTERVAL 8 HOUR - to_seconds(k*10)')} ELSE ts END AS ts2, CASE WHEN et = 'error' THEN ts END AS sens FROM ev))
  SELECT pump AS pump_serial, seqnum, {_T('ts2')} AS timestamp, CAST(bg AS INTEGER) AS bg_mgdl, bf AS backfilled, {_T('sens')} AS sensor_timestamp FROM lagged WHERE b IS NULL OR epoch_us(ts2) - epoch_us(b) >= 60000000 OR bf"""),
     "requests_joined": _with(f"SELECT pump AS pump_serial, seqnum AS bolus_id, {_T('ts')} AS timestamp, carbs AS carbs_g, bg AS bg_mgdl, round(iob,4) AS iob, src AS bolus_source, round(food,4) AS food_insulin, round(fix,4) AS correction_insulin, round(total,4) AS total_requested FROM req"),
@@ -159,7 +167,11 @@ ORACLE_SQL: dict[str, str] = {
     "tir_trend_daily": _with(f"SELECT CAST(day AS VARCHAR) AS day, round({_PCT('bg < 70')},4) AS below_percent, {_TIR} AS tir_percent, round({_PCT('bg > 180')},4) AS above_percent, round({_PCT('bg > 250')},4) AS very_high_percent, round(avg(bg),4) AS mean_bg, count(bg) AS n FROM cgm GROUP BY day"),
     "tir_windows": _with(f"SELECT CAST(d AS INTEGER) AS days, round(100.0*count(*) FILTER (bg BETWEEN 70 AND 180)/nullif(count(bg),0),4) AS tir_percent, count(bg) AS n FROM (VALUES (7),(14),(30)) w(d) JOIN cgm ON ts < TIMESTAMP '2024-01-31 08:00:00' AND ts >= TIMESTAMP '2024-01-31 08:00:00' - to_days(d) GROUP BY d"),
     "heatmap": _with("SELECT CAST(day AS VARCHAR) AS day, CAST(hour(l) AS INTEGER) AS hour, round(avg(bg),4) AS avg_bg, round(quantile_cont(CAST(bg AS DOUBLE),0.5),4) AS median_bg, count(bg) AS n FROM cgm GROUP BY day, hour(l)"),
-    "heatmap_pivot": _with("SELECT CAST(h.h AS INTEGER) AS hour, " + ", ".join(f"round(quantile_cont(CAST(bg AS DOUBLE),0.5) FILTER (day = DATE '2024-01-{x}'),4) AS d_202401{x}" for x in (10, 11, 12)) + " FROM range(24) h(h) LEFT JOIN cgm ON hour(l) = h.h GROUP BY h.h"),
+    "heatmap_pivot": _with(
+        "SELECT CAST(h.h AS INTEGER) AS hour, "
+        + ", ".join(f"round(quantile_cont(CAST(bg AS DOUBLE),0.5) FILTER (day = DATE '2024-01-{x}'),4) AS d_202401{x}, count(bg) FILTER (day = DATE '2024-01-{x}') AS n_202401{x}" for x in (10, 11, 12))
+        + " FROM range(24) h(h) LEFT JOIN cgm ON hour(l) = h.h GROUP BY h.h"
+    ),
     "insulin_daily": _with(f"SELECT CAST(s.day AS VARCHAR) AS day, round(coalesce(b,0),4) AS bolus_units, round(coalesce(u,0)+1e-9,4) AS basal_units, round(coalesce(b,0)+coalesce(u,0)+1e-9,4) AS total_units FROM (SELECT {_SPINE}) s LEFT JOIN (SELECT day, {_UNITS} AS b FROM bolus GROUP BY day) USING (day) LEFT JOIN (SELECT day, CAST(sum(dose) AS DOUBLE)/3.6e12 AS u FROM bas GROUP BY day) USING (day)", _BAS),
     "insulin_daily_5min": _with(f"SELECT CAST(s.day AS VARCHAR) AS day, round(coalesce(b,0),4) AS bolus_units, round(coalesce(u,0)+1e-9,4) AS basal_units, round(coalesce(b,0)+coalesce(u,0)+1e-9,4) AS total_units FROM (SELECT {_SPINE}) s LEFT JOIN (SELECT day, {_UNITS} AS b FROM bolus GROUP BY day) USING (day) LEFT JOIN (SELECT day, {_ROUGH} AS u FROM basal GROUP BY day) USING (day)"),
     "day_search": _with("SELECT CAST(day AS VARCHAR) AS day, round(tir,4) AS tir_percent, lows AS low_count, al AS alarm_count, count(*) OVER () AS total FROM f ORDER BY f.day DESC LIMIT 5 OFFSET 5",
@@ -192,7 +204,11 @@ ORACLE_SQL: dict[str, str] = {
     "meal_rises_without_gaps": _with("SELECT pump AS pump_serial, seqnum FROM det d WHERE NOT EXISTS (SELECT 1 FROM gaps g WHERE g.pump = d.pump AND g.s <= d.ts AND coalesce(g.e, g.s + INTERVAL 12 HOUR) >= d.ts - INTERVAL 60 MINUTE)", _WIN),
     "meal_rise_instances": _with(f"SELECT pump AS pump_serial, seqnum, {_T('ts')} AS anchor_ts, strftime(l, '%Y-%m-%dT%H:%M') || '-08:00' AS event_ref FROM inst", _WIN + _THIN, recursive=True),
     "meal_rise_scored": _with(f"SELECT pump AS pump_serial, seqnum, {_T('ts')} AS anchor_ts, {_T('ts - INTERVAL 60 MINUTE')} AS rise_start_ts, v0 AS start_level, v1 AS end_level, v1 - v0 AS delta, h AS hour_of_day, label, fcat AS matched_bolus_category, carbs AS matched_bolus_carbs, round((ft - (t-3600))/60,4) AS bolus_delay_min, resolution, round(CASE WHEN ft IS NULL THEN (xt - (t-3600))/60 END,4) AS resolution_delay_min FROM sc", _WIN + _THIN + _SCORE, recursive=True),
-    "meal_rise_summary": _with("SELECT count(*) AS total, count(*) FILTER (label = 'pre_bolused') AS pre_bolused, count(*) FILTER (label = 'late_bolused') AS late_bolused, count(*) FILTER (label = 'uncovered') AS uncovered, round(coalesce(count(*) FILTER (label = 'uncovered')/nullif(count(*),0),0),4) AS uncovered_rate, count(*) FILTER (resolution = 'none') AS unresolved FROM sc", _WIN + _THIN + _SCORE, recursive=True),
+    "meal_rise_summary": _with("""
+        SELECT count(*) AS total, count(*) FILTER (label = 'pre_bolused') AS pre_bolused, count(*) FILTER (label = 'late_bolused') AS late_bolused, count(*) FILTER (label = 'uncovered') AS uncovered,
+            count(*) FILTER (resolution = 'auto_correction') AS resolved_auto_correction, count(*) FILTER (resolution = 'user_correction') AS resolved_user_correction, count(*) FILTER (resolution = 'none') AS resolved_none,
+            round(coalesce(count(*) FILTER (label = 'uncovered') / nullif(count(*), 0), 0), 4) AS uncovered_rate
+        FROM sc""", _WIN + _THIN + _SCORE, recursive=True),
     "meal_rise_by_hour": _with("SELECT h AS hour_of_day, " + ", ".join(f"count(*) FILTER (label = '{x}') AS {x}" for x in ("late_bolused", "pre_bolused", "uncovered")) + " FROM sc GROUP BY h", _WIN + _THIN + _SCORE, recursive=True),
     "slope_sweep": _with("""
         SELECT f.base, f.firings, i.instances, i.pre_bolused, i.late_bolused, i.uncovered, round(i.uncovered / i.instances, 4) AS uncovered_rate
@@ -230,6 +246,43 @@ ORACLE_SQL: dict[str, str] = {
     "delete_range_result": _with("SELECT pump AS pump_serial, count(*) AS n, max(seqnum) AS last FROM cgm WHERE NOT (ts >= TIMESTAMP '2024-01-10 08:00:00' AND ts < TIMESTAMP '2024-01-11 08:00:00' AND pump = '0') GROUP BY pump"),
     "alerts_page": _with(f"SELECT seqnum AS id, {_T('ts')} AS fired_at, pump AS pump_serial, name AS alert_kind, count(*) OVER () AS total FROM alarms WHERE action = 'activated' ORDER BY ts DESC, seqnum DESC LIMIT 10 OFFSET 20"),
     "alert_retries": _with(f"SELECT ref AS event_ref, count(*) AS attempts, bool_or(action = 'ack') AS delivered, {_T('max(ts)')} AS last_ts, NOT bool_or(action = 'ack') AND count(*) < 3 AS retry FROM (SELECT *, name || ':' || pump || ':' || strftime(ts, '%Y-%m-%d') AS ref FROM alarms) GROUP BY ref"),
-    "day_sanity": _with(f"SELECT pump AS pump_serial, count(*) AS n, round(avg(bg),4) AS mean_bg, min(bg) AS min_bg, max(bg) AS max_bg, {_TIR} AS tir_percent, round(100.0*count(*)/288,4)::DOUBLE AS coverage_percent FROM cgm WHERE day = DATE '2024-01-10' GROUP BY pump"),
-    "day_digest": _with(f"SELECT CAST(c.day AS VARCHAR) AS day, tir AS tir_percent, mean_bg, readings, round(coalesce(b,0),4) AS bolus_units FROM (SELECT day, round(100.0*count(*) FILTER (bg BETWEEN 70 AND 180)/count(bg),4) AS tir, round(avg(bg),4) AS mean_bg, count(bg) AS readings FROM cgm GROUP BY day) c LEFT JOIN (SELECT day, {_UNITS} AS b FROM bolus GROUP BY day) USING (day)"),
+    "day_sanity": _with(f"""
+        SELECT pump AS pump_serial, readings, mean_bg, min_bg, max_bg, tir_percent, coverage_percent, boluses, round(bolus_units, 4) AS bolus_units, requests, meals, carbs_g,
+            basal_entries, round(u + 1e-9, 4) AS basal_units, basal_sources, suspensions, suspect_suspensions, suspended_minutes, mode_changes, site_changes, alarms_activated, alarm_rows, round(bolus_units + u + 1e-9, 4) AS total_units
+        FROM (
+            SELECT pump, count(*) AS readings, round(avg(bg), 4) AS mean_bg, min(bg) AS min_bg, max(bg) AS max_bg, {_TIR} AS tir_percent, round(100.0*count(*)/288, 4)::DOUBLE AS coverage_percent
+            FROM cgm WHERE day = DATE '2024-01-10' GROUP BY pump
+        ) c
+        FULL JOIN (SELECT pump, count(*) AS boluses, {_UNITS} AS bolus_units FROM bolus WHERE day = DATE '2024-01-10' GROUP BY pump) b USING (pump)
+        FULL JOIN (SELECT pump, count(*) AS requests, count(*) FILTER (carbs > 0) AS meals, CAST(sum(carbs) FILTER (carbs > 0) AS BIGINT) AS carbs_g FROM req WHERE day = DATE '2024-01-10' GROUP BY pump) r USING (pump)
+        FULL JOIN (SELECT pump, count(*) AS basal_entries, {_ROUGH} AS u FROM basal WHERE day = DATE '2024-01-10' GROUP BY pump) u USING (pump)
+        FULL JOIN (
+            SELECT pump, string_agg(src || ':' || n, ',' ORDER BY src || ':' || n) AS basal_sources
+            FROM (SELECT pump, {_SOURCE} AS src, count(*) AS n FROM basal WHERE day = DATE '2024-01-10' GROUP BY ALL) GROUP BY pump
+        ) x USING (pump)
+        FULL JOIN (
+            SELECT pump, count(*) AS suspensions, count(*) FILTER (coalesce(eo OR mins > 1440, false)) AS suspect_suspensions, CAST(sum(floor(mins)) AS BIGINT) AS suspended_minutes
+            FROM sus WHERE {_DAY('s')} = DATE '2024-01-10' GROUP BY pump
+        ) s USING (pump)
+        FULL JOIN (
+            SELECT pump, count(*) FILTER (et = 'purchase') AS mode_changes, count(*) FILTER (et = 'signup') AS site_changes
+            FROM ev WHERE {_DAY('ts')} = DATE '2024-01-10' AND (et = 'signup' OR et = 'purchase' AND k % 5 = 0) GROUP BY pump
+        ) e USING (pump)
+        FULL JOIN (SELECT pump, count(*) FILTER (action = 'activated') AS alarms_activated, count(*) AS alarm_rows FROM alarms WHERE day = DATE '2024-01-10' GROUP BY pump) a USING (pump)"""),
+    "day_digest": _with(f"""
+        SELECT CAST(c.day AS VARCHAR) AS day, tir AS tir_percent, mean_bg, readings, round(coalesce(b, 0), 4) AS bolus_units, coalesce(carbs, 0) AS carbs_g, coalesce(n, 0) AS alerts
+        FROM (SELECT day, round(100.0*count(*) FILTER (bg BETWEEN 70 AND 180)/count(bg), 4) AS tir, round(avg(bg), 4) AS mean_bg, count(bg) AS readings FROM cgm GROUP BY day) c
+        LEFT JOIN (SELECT day, {_UNITS} AS b FROM bolus GROUP BY day) USING (day)
+        LEFT JOIN (SELECT day, CAST(coalesce(sum(carbs) FILTER (cat IN {_FOOD}), 0) AS BIGINT) AS carbs FROM req GROUP BY day) USING (day)
+        LEFT JOIN (SELECT day, count(*) AS n FROM alarms WHERE action = 'activated' GROUP BY day) USING (day)"""),
+    "status_signals": _with(f"""
+        SELECT label, {_T('at_')} AS signal_ts, CASE WHEN at_ IS NULL THEN 'missing' WHEN label = 'last_alert' THEN CASE detail WHEN 'failed' THEN 'stale' ELSE 'ok' END WHEN {_S("TIMESTAMP '2024-01-31'")} - {_S('at_')} <= hours * 3600 THEN 'ok' ELSE 'stale' END AS freshness, detail
+        FROM (
+            SELECT 'cgm_data' AS label, max(ts) AS at_, 26.0 AS hours, NULL AS detail FROM cgm
+            UNION ALL SELECT 'live_loop', max(ts), 0.25, NULL FROM ev WHERE et = 'click'
+            UNION ALL SELECT 'sync:' || pump, max(ts), 26.0, 'pump' FROM ev GROUP BY pump
+            UNION ALL SELECT 'last_detection', max(ts), 24.0, NULL FROM ev WHERE et = 'view'
+            UNION ALL SELECT 'last_alert', max(ts), NULL, arg_max(CASE WHEN k % 2 = 0 THEN 'sent' WHEN k % 5 = 0 THEN 'failed' ELSE 'pending' END, (ts, seqnum)) FROM alarms WHERE action = 'activated'
+        )"""),
+    "rate_source_counts": _with(f"SELECT {_SOURCE} AS rate_source, count(*) AS n FROM basal GROUP BY 1"),
 }

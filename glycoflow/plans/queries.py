@@ -18,6 +18,7 @@ from ..operators import build, cluster, detect, enrich, features
 from ..operators.agp import hourly, profile
 from ..operators.joins import range_join
 from ..operators.variability import conga, mage, modd
+from ..schema import FOOD_CARRYING
 from ..sources import driver_tables as d
 from . import dashboard, sync
 from .report import cgm_report
@@ -331,8 +332,10 @@ def meal_rise_scored(s, p):
 def meal_rise_summary(s, p):
     got = _scored(s, p)
     n = F.count(F.lit(1))
-    label = lambda x: F.count_if(F.col("label") == x)
-    return got.agg(n.alias("total"), label("pre_bolused").alias("pre_bolused"), label("late_bolused").alias("late_bolused"), label("uncovered").alias("uncovered"), F.coalesce(F.try_divide(label("uncovered").cast("double"), n), F.lit(0.0)).alias("uncovered_rate"), F.count_if(F.col("resolution") == "none").alias("unresolved"))
+    count = lambda c, x: F.count_if(F.col(c) == x).alias(x)
+    labels = [count("label", x) for x in ("pre_bolused", "late_bolused", "uncovered")]
+    resolutions = [F.count_if(F.col("resolution") == x).alias(f"resolved_{x}") for x in ("auto_correction", "user_correction", "none")]
+    return got.agg(n.alias("total"), *labels, *resolutions).withColumn("uncovered_rate", F.coalesce(F.try_divide(F.col("uncovered").cast("double"), F.col("total")), F.lit(0.0)))
 
 
 @query
@@ -425,8 +428,7 @@ def delete_range_result(s, p):
 
 @query
 def alerts_page(s, p):
-    alerts = d.alarms(s, p).where("action = 'activated'").select(F.col("seqnum").alias("id"), F.col("timestamp").alias("fired_at"), "pump_serial", F.col("alarm_name").alias("alert_kind"))
-    return dashboard.alert_page(alerts, 3, 10)
+    return dashboard.alert_page(d.alerts(s, p).drop("delivery"), 3, 10)
 
 
 @query
@@ -439,25 +441,42 @@ def alert_retries(s, p):
 
 @query
 def day_sanity(s, p):
-    since, until = window_bounds(date(2024, 1, 10), 1, TZ)
-    c = between(d.cgm(s, p), "timestamp", since, until)
-    return c.groupBy("pump_serial").agg(F.count(F.lit(1)).alias("n"), F.avg("bg_mgdl").alias("mean_bg"), F.min("bg_mgdl").alias("min_bg"), F.max("bg_mgdl").alias("max_bg"), m.time_in_range(m.bg_column(), 70, 180).alias("tir_percent"), (100.0 * F.count(F.lit(1)) / 288).alias("coverage_percent"))
+    return steady(dashboard.day_sanity({**d.frames(s, p), "basal": d.basal_named(s, p), "events": d.all_events(s, p)}, date(2024, 1, 10), TZ), "basal_units", "total_units")
 
 
 @query
 def day_digest(s, p):
+    """By local day: time in range, mean, readings, bolus units, carbs of meals, alerts sent."""
     f, day = d.frames(s, p), local_date("timestamp", TZ).alias("day")
     c = f["cgm"].groupBy(day).agg(m.time_in_range(m.bg_column(), 70, 180, None).alias("tir_percent"), F.avg(m.bg_column()).alias("mean_bg"), F.count(m.bg_column()).alias("readings"))
-    b = f["bolus"].groupBy(day).agg(F.sum("insulin_units").alias("bolus_units"))
-    return c.join(b, "day", "left").fillna({"bolus_units": 0.0})
+    b = f["bolus"].groupBy(day).agg(features.exact_sum(F.col("insulin_units")).alias("bolus_units"))
+    food = F.col("bolus_category").isin(FOOD_CARRYING)
+    r = f["requests"].groupBy(day).agg(F.coalesce(F.sum(F.when(food, F.col("carbs_g"))), F.lit(0)).cast("long").alias("carbs_g"))
+    a = d.alerts(s, p).groupBy(local_date("fired_at", TZ).alias("day")).agg(F.count(F.lit(1)).alias("alerts"))
+    return c.join(b, "day", "left").join(r, "day", "left").join(a, "day", "left").fillna({"bolus_units": 0.0, "carbs_g": 0, "alerts": 0})
+
+
+@query
+def status_signals(s, p):
+    return dashboard.status_signals(d.cgm(s, p), d.fetch_state(s, p), d.detections(s, p), d.alerts(s, p), F.lit(datetime(2024, 1, 31, tzinfo=timezone.utc)))
+
+
+@query
+def rate_source_counts(s, p):
+    return d.basal_named(s, p).groupBy("rate_source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def report_segments(s, p):
-    """Band segments of the pooled report, one row each; negative or missing values count as zero."""
+    """Band segments of the pooled report, one row each; negative or missing values count as zero.
+
+    shown: what a reader sees, with a mark for missing values; note: why some figures are left out.
+    """
     r = cgm_report(d.cgm(s, p), SINCE, UNTIL, TZ, None)
     bands = ["tbr_level2", "tbr_level1", "tir", "tar_level1", "tar_level2"]
-    return r.select(F.inline(F.array(*(F.struct(F.lit(b).alias("band"), F.greatest(F.coalesce(b, F.lit(0.0)), F.lit(0.0)).alias("percent")) for b in bands))))
+    note = F.when(~F.col("sufficient"), F.concat(F.lit("needs 14 days and 70 % of readings; has "), F.col("n_days").cast("string"), F.lit(" days")))
+    shown = lambda b: F.when(F.col(b).isNull(), "—").otherwise(F.concat(F.bround(b, 0).cast("int").cast("string"), F.lit(" %")))
+    return r.select(F.inline(F.array(*(F.struct(F.lit(b).alias("band"), F.greatest(F.coalesce(b, F.lit(0.0)), F.lit(0.0)).alias("percent"), shown(b).alias("shown"), note.alias("note")) for b in [*bands, "gmi"]))))
 
 
 @query

@@ -14,18 +14,19 @@ from ..operators.variability import conga, mage, modd
 MIN_DAYS, MIN_ACTIVE = 14, 70.0
 
 
-def cgm_report(cgm: DataFrame, since: datetime, until: datetime, tz: str, group: str | None = "pump_serial") -> DataFrame:
+def cgm_report(cgm: DataFrame, since: datetime, until: datetime, tz: str, group: str | None = "pump_serial", low: float = 70, high: float = 180) -> DataFrame:
     """Bands, central tendency, glycation, risk, variability and sufficiency over [since, until).
 
-    GMI and GRI are null unless 14 local days and 70 % of the expected readings are there; LBGI and HBGI are null without readings.
+    GMI, GRI and its components are null unless 14 local days and 70 % of the expected readings are there; LBGI and HBGI
+    are null without readings, and so is tir_config, the time in the configured range.
     """
     rows = between(cgm, "timestamp", since, until)
-    rows = rows.withColumn("grp", F.col(group) if group else F.lit("all"))
+    rows = rows.withColumn("grp", F.col(group) if group else F.lit("all")).withColumn("bg_mgdl", m.valid_bg())
     bg, bands = m.bg_column(), m.time_in_bands()
     expected = expected_readings(since, until)
     one = rows.groupBy("grp").agg(
         F.count("bg_mgdl").alias("n_readings"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.when(bg.isNotNull(), local_date("timestamp", tz))).alias("n_days"),
-        *(c.alias(k) for k, c in bands.items()), F.avg(bg).alias("mean_bg"), F.median(bg).alias("median_bg"), F.stddev_samp(bg).alias("sd_bg"), m.lbgi().alias("lbgi"), m.hbgi().alias("hbgi"),
+        *(c.alias(k) for k, c in bands.items()), m.time_in_range(bg, low, high, None).alias("tir_config"), F.avg(bg).alias("mean_bg"), F.median(bg).alias("median_bg"), F.stddev_samp(bg).alias("sd_bg"), m.lbgi().alias("lbgi"), m.hbgi().alias("hbgi"),
         F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"),
     )
     active = 100.0 * F.col("n_rows") / expected
@@ -34,7 +35,8 @@ def cgm_report(cgm: DataFrame, since: datetime, until: datetime, tz: str, group:
     one = one.select(
         "*", F.lit(expected).cast("long").alias("n_expected"), active.alias("active_percent"), ((F.col("n_days") >= MIN_DAYS) & (active >= MIN_ACTIVE)).alias("sufficient"),
         m.cv_percent(F.col("mean_bg"), F.col("sd_bg")).alias("cv_percent"), F.when(enough, m.gmi(F.col("mean_bg"))).alias("gmi"), F.when(some, m.ea1c(F.col("mean_bg"))).alias("ea1c"),
-        F.when(enough, m.gri(F.col("tbr_level2"), F.col("tbr_level1"), F.col("tar_level1"), F.col("tar_level2"))).alias("gri"), m.j_index(F.col("mean_bg"), F.col("sd_bg")).alias("j_index"),
+        F.when(enough, m.gri(F.col("tbr_level2"), F.col("tbr_level1"), F.col("tar_level1"), F.col("tar_level2"))).alias("gri"),
+        F.when(enough, m.gri_hypo(F.col("tbr_level2"), F.col("tbr_level1"))).alias("gri_hypo"), F.when(enough, m.gri_hyper(F.col("tar_level1"), F.col("tar_level2"))).alias("gri_hyper"), m.j_index(F.col("mean_bg"), F.col("sd_bg")).alias("j_index"),
     )
     one = one.withColumn("cv_stable", F.col("cv_percent") <= 36).withColumn("lbgi", F.when(some, F.col("lbgi"))).withColumn("hbgi", F.when(some, F.col("hbgi")))
     known = rows.where("bg_mgdl is not null")

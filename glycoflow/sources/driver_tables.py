@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.time import use_utc
-from ..operators.build import build_requests, build_suspension
+from ..operators.build import build_basal, build_requests, build_suspension
 from ..operators.enrich import cgm_gaps, enrich_requests, site_issues, tag_forced
 from ..config import SiteChange
 
@@ -76,6 +76,34 @@ def pump_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source(spark, sf_dir).where("event_type = 'signup'").select("pump_serial", "seqnum", "timestamp", F.lit("site_change").alias("event_type"), subtype.alias("event_subtype"), F.lit(None).cast("string").alias("previous_mode"), F.to_json(F.struct((k * 3).alias("insulin_volume"))).alias("details"))
 
 
+def basal_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_basal(basal_raw(spark, sf_dir))
+
+
+def all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site changes, and user mode changes from purchases."""
+    modes = source(spark, sf_dir).where("event_type = 'purchase' and k % 5 = 0").select("pump_serial", "seqnum", "timestamp", F.lit("mode_change").alias("event_type"))
+    return pump_events(spark, sf_dir).unionByName(modes, allowMissingColumns=True)
+
+
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts sent: one for each activated alarm."""
+    delivery = F.when(F.col("alarm_id") % 2 == 0, "sent").when(F.col("alarm_id") % 5 == 0, "failed").otherwise("pending")
+    return alarms(spark, sf_dir).where("action = 'activated'").select(F.col("seqnum").alias("id"), F.col("timestamp").alias("fired_at"), "pump_serial", F.col("alarm_name").alias("alert_kind"), delivery.alias("delivery"))
+
+
+def fetch_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bookmark for each pump, and the live loop's heartbeat."""
+    e = source(spark, sf_dir)
+    pumps = e.groupBy(F.col("pump_serial").alias("source_id")).agg(F.lit("pump").alias("source_kind"), F.max("timestamp").alias("last_synced_at"))
+    live = e.where("event_type = 'click'").agg(F.lit("live_cron").alias("source_id"), F.lit("heartbeat").alias("source_kind"), F.max("timestamp").alias("last_synced_at"))
+    return pumps.unionByName(live)
+
+
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source(spark, sf_dir).where("event_type = 'view'").select(F.lit("meal_rise").alias("kind"), F.col("timestamp").alias("created_at"))
+
+
 def frames(spark: SparkSession, sf_dir: str, c: SiteChange | None = None) -> dict[str, DataFrame]:
     """All nine enriched tables."""
     c = c or SiteChange()
