@@ -65,6 +65,15 @@ class MealRun:
     meal_windows: tuple[tuple[int, int], ...] = ((6, 10), (11, 14), (17, 23))
 
 
+@dataclass(frozen=True)
+class Clustering:
+    method: str = "kmeans"
+    n_clusters: int = 5
+    feature_mode: str = "daily"
+    random_seed: int = 42
+    model_dir: str = "models"
+
+
 @dataclass(frozen=True)
 class Config:
     timezone: str = "America/Los_Angeles"
@@ -74,28 +83,56 @@ class Config:
     site_change: SiteChange = field(default_factory=SiteChange)
     anomaly: Anomaly = field(default_factory=Anomaly)
     meal_run: MealRun = field(default_factory=MealRun)
+    clustering: Clustering = field(default_factory=Clustering)
 
 
-_BLOCKS = {"bg_targets": BgTargets, "meal_rise": MealRise, "meal_rise_calibration": Calibration, "site_change_detection": SiteChange, "anomaly_detection": Anomaly, "meal_detection": MealRun}
+_BLOCKS = {"bg_targets": BgTargets, "meal_rise": MealRise, "meal_rise_calibration": Calibration, "site_change_detection": SiteChange, "anomaly_detection": Anomaly, "meal_detection": MealRun, "clustering": Clustering}
+#: Blocks that older configurations lack.
+_OPTIONAL = {"meal_rise_calibration"}
 _NAMES = {"meal_rise_calibration": "calibration", "site_change_detection": "site_change", "anomaly_detection": "anomaly", "meal_detection": "meal_run"}
 
 
+def _require(holds: bool, what: str) -> None:
+    if not holds:
+        raise ValueError(what)
+
+
+def _windows(block: str, raw: list[Any]) -> tuple[tuple, ...]:
+    """Windows as [start, end], or as start_hour, end_hour and multiplier for fast rises."""
+    rise, out = block == "meal_rise", []
+    for w in raw:
+        _require(isinstance(w, dict) if rise else isinstance(w, (list, tuple)) and len(w) == 2, f"{block}.meal_windows: {w!r} has another form than expected")
+        got = (int(w["start_hour"]), int(w["end_hour"]), float(w["multiplier"])) if rise else (int(w[0]), int(w[1]))
+        _require(0 <= got[0] < got[1] <= 24, f"{block}.meal_windows: hours from 0 to 24, start before end, not {got[:2]}")
+        _require(not rise or got[2] > 0, f"{block}.meal_windows: a multiplier is positive")
+        out.append(got)
+    return tuple(out)
+
+
 def parse(raw: dict[str, Any]) -> Config:
     """KeyError for a missing block, ValueError for values that can't be."""
-    got: dict[str, Any] = {"timezone": raw["ingestion"]["timezone"]}
+    zone = raw["ingestion"].get("timezone")
+    if not zone:
+        raise KeyError("ingestion.timezone")
+    got: dict[str, Any] = {"timezone": str(zone)}
     for block, kind in _BLOCKS.items():
-        values = {k: v for k, v in raw[block].items() if k in {f.name for f in fields(kind)}}
+        given = raw.get(block, {}) if block in _OPTIONAL else raw[block]
+        values = {k: v for k, v in given.items() if k in {f.name for f in fields(kind)}}
         if "meal_windows" in values:
-            values["meal_windows"] = tuple((w["start_hour"], w["end_hour"], w["multiplier"]) if isinstance(w, dict) else tuple(w) for w in values["meal_windows"])
+            values["meal_windows"] = _windows(block, values["meal_windows"])
         got[_NAMES.get(block, block)] = kind(**values)
     config = Config(**got)
-    t, m = config.bg_targets, config.meal_rise
-    if not 0 < t.low < t.high:
-        raise ValueError("bg_targets: 0 < low < high")
-    if not (m.window_minutes > 0 and m.min_samples >= 2 and 0 <= m.min_coverage <= 1 and m.start_level_min < m.start_level_max):
-        raise ValueError("meal_rise: window, samples, coverage or start levels out of range")
-    if any(not 0 <= w[0] <= w[1] <= 24 for w in (*m.meal_windows, *config.meal_run.meal_windows)):
-        raise ValueError("meal windows: hours from 0 to 24, in order")
+    t, m, a, c = config.bg_targets, config.meal_rise, config.anomaly, config.calibration
+    _require(0 < t.low < t.target < t.high, "bg_targets: 0 < low < target < high")
+    _require(m.window_minutes > 0 and m.min_samples >= 2, "meal_rise: a window and two samples at least")
+    _require(0 < m.min_coverage <= 1, "meal_rise.min_coverage: over 0, at most 1")
+    _require(m.start_level_min < m.start_level_max, "meal_rise: start_level_min below start_level_max")
+    _require(min(m.refractory_minutes, m.expected_interval_minutes, m.max_reading_age_minutes) > 0, "meal_rise: refractory time, interval and reading age are positive")
+    _require(min(m.fetch_buffer_minutes, m.fetch_readings_padding) >= 0, "meal_rise: buffer and padding aren't negative")
+    _require(min(c.pre_bolus_lookback_minutes, c.late_bolus_lookahead_minutes, c.correction_lookahead_minutes) > 0, "meal_rise_calibration: minutes are positive")
+    _require(a.drop_threshold < a.spike_threshold, "anomaly_detection: drop_threshold below spike_threshold")
+    _require(a.flatline_consecutive_intervals >= 2, "anomaly_detection.flatline_consecutive_intervals: 2 at least")
+    _require(config.clustering.n_clusters >= 2, "clustering.n_clusters: 2 at least")
     return config
 
 

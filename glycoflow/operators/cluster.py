@@ -1,27 +1,59 @@
-"""Groups of similar days: median imputation, population z-scores, k-means."""
+"""Groups of similar days: median imputation, population z-scores, k-means; the model keeps its own medians and scales."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SCALE = "place int, name string, median double, mean double, deviation double"
+
+
+@dataclass(frozen=True)
+class DayModel:
+    """Medians, means and deviations of the days it was fitted on, and the clusters; days still to come use the same."""
+
+    scale: list[tuple[str, float, float, float]]
+    clusters: KMeansModel
+
+    def prepared(self, days: DataFrame) -> DataFrame:
+        """Adds _x: nulls become the fitted median; then (x - mean) / deviation, 0 for what was constant."""
+        names = [f"_z{i}" for i in range(len(self.scale))]
+        z = [((F.coalesce(F.col(c).cast("double"), F.lit(median)) - mean) / (sd or 1.0)).alias(n) for n, (c, median, mean, sd) in zip(names, self.scale)]
+        return VectorAssembler(inputCols=names, outputCol="_x").transform(days.select("*", *z)).drop(*names)
+
+    def assign(self, days: DataFrame) -> DataFrame:
+        """Adds cluster_id and the distance from its centre."""
+        got = self.clusters.transform(self.prepared(days))
+        centres = F.array(*(F.array(*map(F.lit, map(float, c))) for c in self.clusters.clusterCenters()))
+        apart = F.aggregate(F.zip_with(vector_to_array("_x"), F.get(centres, F.col("cluster_id")), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y)
+        return got.withColumn("distance", F.sqrt(apart)).drop("_x")
 
-def standardised(features: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls become the median (0 where all are null); then (x - mean) / population deviation, 0 for constants."""
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.clusters.write().overwrite().save(f"{path}/clusters")
+        spark.createDataFrame([(i, *row) for i, row in enumerate(self.scale)], _SCALE).coalesce(1).write.mode("overwrite").json(f"{path}/scale")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> DayModel:
+        rows = spark.read.schema(_SCALE).json(f"{path}/scale").orderBy("place").collect()
+        return DayModel([(r["name"], r["median"], r["mean"], r["deviation"]) for r in rows], KMeansModel.load(f"{path}/clusters"))
+
+
+def fit_days(features: DataFrame, columns: list[str], k: int = 5, seed: int = 42) -> DayModel:
+    """Medians (0 where all are null), means and population deviations after filling, then k-means."""
     medians = features.agg(*(F.coalesce(F.median(c), F.lit(0.0)).alias(c) for c in columns)).first()
-    filled = features.fillna({c: float(medians[c]) for c in columns})
-    s = filled.agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_pop(c).alias(f"s_{c}") for c in columns)).first()
-    return filled.select(*[c for c in features.columns if c not in columns], *((((F.col(c) - (s[f"m_{c}"] or 0.0)) / (s[f"s_{c}"] or 1.0))).alias(c) for c in columns))
-
-
-def cluster_days(features: DataFrame, columns: list[str], k: int = 5, seed: int = 42, model: KMeansModel | None = None) -> tuple[DataFrame, KMeansModel]:
-    """Adds cluster_id and the distance from its centre; returns the model too, for days still to come."""
-    x = VectorAssembler(inputCols=columns, outputCol="_x").transform(standardised(features, columns)).cache()
-    model = model or KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="cluster_id", initSteps=5).fit(x)
-    got = model.transform(x)
-    centres = F.array(*(F.array(*map(F.lit, map(float, c))) for c in model.clusterCenters()))
-    apart = F.aggregate(F.zip_with(vector_to_array("_x"), F.get(centres, F.col("cluster_id")), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y)
-    return got.withColumn("distance", F.sqrt(apart)).drop("_x", *columns), model
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c]))) for c in columns]
+    s = features.agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(filled)), *(F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(filled))).first()
+    scale = [(c, float(medians[c]), s[f"m{i}"] or 0.0, s[f"s{i}"] or 0.0) for i, c in enumerate(columns)]
+    x = DayModel(scale, None).prepared(features).select("_x")
+    return DayModel(scale, KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="cluster_id", initSteps=5).fit(x))
+
+
+def cluster_days(features: DataFrame, columns: list[str], k: int = 5, seed: int = 42, model: DayModel | None = None) -> tuple[DataFrame, DayModel]:
+    """Days with cluster_id and distance, without the columns that they were clustered by; and the model."""
+    model = model or fit_days(features, columns, k, seed)
+    return model.assign(features).drop(*columns), model

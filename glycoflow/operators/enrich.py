@@ -81,6 +81,23 @@ def original_view(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def backfill(frames: dict[str, DataFrame], c: SiteChange) -> dict[str, DataFrame]:
-    """Enriches only what lacks its derived columns or tables."""
-    done = "bolus_category" in frames.get("requests", frames[next(iter(frames))]).columns and {"site_issues", "cgm_gaps"} <= set(frames)
-    return frames if done else {**enrich_all(frames, c), **{k: frames[k] for k in ("site_issues", "cgm_gaps") if k in frames}}
+    """Enriches what lacks its derived columns, or holds rows but none of their values; table by table, others stay.
+
+    A derived table that is missing or empty is derived again.  Emptiness is looked at on single rows.
+    """
+    out = dict(frames)
+
+    def lacks(name: str, column: str) -> bool:
+        df = out.get(name)
+        return df is not None and (column not in df.columns or not df.where(F.col(column).isNotNull()).take(1) and bool(df.take(1)))
+
+    if lacks("requests", "bolus_category"):
+        out["requests"] = enrich_requests(out["requests"].drop("bolus_category", "override_delta"))
+    if "alarms" in out:
+        if lacks("events", "forced_by_alarm"):
+            out["events"] = tag_forced(out["events"].drop("forced_by_alarm"), out["alarms"], c)
+        if "events" in out and ("site_issues" not in out or not out["site_issues"].take(1)):
+            out["site_issues"] = site_issues(out["alarms"], out["events"], c)
+        if "cgm_gaps" not in out or not out["cgm_gaps"].take(1):
+            out["cgm_gaps"] = cgm_gaps(out["alarms"])
+    return out

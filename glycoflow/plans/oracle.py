@@ -242,7 +242,8 @@ ORACLE_SQL: dict[str, str] = {
     "same_second_stacking": _with(f"SELECT {_T('b')} AS bucket, count(*) AS n FROM (SELECT date_trunc('second', ts) AS b FROM cgm) GROUP BY b HAVING count(*) >= 2"),
     "pump_is_single": _with("SELECT backfilled, CASE WHEN count(DISTINCT pump) = 1 THEN min(pump) END AS pump_serial, count(DISTINCT pump) AS n_pumps FROM cgm GROUP BY backfilled"),
     "bounded_scan": _with(f"SELECT pump AS pump_serial, seqnum, {_T('ts')} AS timestamp, bg AS bg_mgdl, backfilled FROM cgm WHERE pump = '0' AND ts >= TIMESTAMP '2024-01-09 08:00:00' AND ts < TIMESTAMP '2024-01-11 08:00:00'"),
-    "upsert_result": _with(f"SELECT pump AS pump_serial, seqnum, {_T('ts')} AS timestamp, CASE WHEN seqnum % 3 = 0 THEN bg ELSE 1 END AS bg_mgdl FROM cgm WHERE seqnum % 3 = 0 OR seqnum % 2 = 0"),
+    "upsert_result": _with(f"SELECT pump AS pump_serial, seqnum, {_T('ts')} AS timestamp, CASE WHEN backfilled THEN 1 ELSE bg END AS bg_mgdl, backfilled FROM cgm"),
+    "live_latest": _with(f"SELECT pump AS pump_serial, seqnum, {_T('ts')} AS timestamp, bg AS bg_mgdl FROM cgm QUALIFY row_number() OVER (PARTITION BY pump ORDER BY ts DESC, seqnum DESC) <= 12"),
     "delete_range_result": _with("SELECT pump AS pump_serial, count(*) AS n, max(seqnum) AS last FROM cgm WHERE NOT (ts >= TIMESTAMP '2024-01-10 08:00:00' AND ts < TIMESTAMP '2024-01-11 08:00:00' AND pump = '0') GROUP BY pump"),
     "alerts_page": _with(f"SELECT seqnum AS id, {_T('ts')} AS fired_at, pump AS pump_serial, name AS alert_kind, count(*) OVER () AS total FROM alarms WHERE action = 'activated' ORDER BY ts DESC, seqnum DESC LIMIT 10 OFFSET 20"),
     "alert_retries": _with(f"SELECT ref AS event_ref, count(*) AS attempts, bool_or(action = 'ack') AS delivered, {_T('max(ts)')} AS last_ts, NOT bool_or(action = 'ack') AND count(*) < 3 AS retry FROM (SELECT *, name || ':' || pump || ':' || strftime(ts, '%Y-%m-%d') AS ref FROM alarms) GROUP BY ref"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date, datetime, timezone
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, TimestampType
 
-from ..config import Anomaly, Calibration, Config, MealRise, MealRun, SiteChange
+from ..config import Anomaly, Calibration, Config, MealRise, MealRun, SiteChange, poll_depth
 from ..functions import metrics as m
 from ..functions.time import between, iso_minute, local, local_date, midnight, overlaps, window_bounds
 from ..operators import build, cluster, detect, enrich, features
@@ -19,7 +20,10 @@ from ..operators.agp import hourly, profile
 from ..operators.joins import range_join
 from ..operators.variability import conga, mage, modd
 from ..schema import FOOD_CARRYING
+from ..shipping import shared_folder
 from ..sources import driver_tables as d
+from ..sources.storage import ParquetStore
+from ..streaming.alerts import live_readings, newest
 from . import dashboard, sync
 from .report import cgm_report
 
@@ -408,22 +412,36 @@ def bounded_scan(s, p):
     return between(d.cgm(s, p).where("pump_serial = '0'"), "timestamp", since, until)
 
 
+def _store(s: SparkSession) -> ParquetStore:
+    """A store of its own for one query, in the folder that the session's executors share."""
+    return ParquetStore(s, f"{shared_folder(s)}/store-{uuid.uuid4().hex}")
+
+
 @query
 def upsert_result(s, p):
-    """What an insert-only upsert of a batch with repeats into a table leaves: stored rows win, then the batch's first."""
-    c = d.cgm(s, p).drop("backfilled")
-    have = c.where("seqnum % 3 = 0")
-    batch = c.where("seqnum % 2 = 0").withColumn("bg_mgdl", F.lit(1)).withColumn("o", F.lit(0)).unionByName(c.where("seqnum % 4 = 0").withColumn("bg_mgdl", F.lit(2)).withColumn("o", F.lit(1)))
-    key = ["pump_serial", "seqnum"]
-    new = build.first_rows(batch, key, ["o"]).drop("o").join(have.select(*key), key, "left_anti")
-    return have.unionByName(new.select(have.columns))
+    """Live readings are stored; then all readings come as one batch, each twice: stored rows win, then the batch's first."""
+    store, c = _store(s), d.cgm(s, p)
+    store.upsert("cgm", c.where("not backfilled"))
+    twice = F.explode(F.array(F.lit(1), F.lit(2)))
+    store.upsert("cgm", c.withColumn("o", twice).withColumn("bg_mgdl", F.col("o")), order="o")
+    return store.read_all("cgm").drop("sensor_timestamp")
 
 
 @query
 def delete_range_result(s, p):
+    """One local day of one pump is deleted from a stored table."""
     since, until = window_bounds(date(2024, 1, 10), 1, TZ)
-    hit = (F.col("timestamp") >= F.lit(since)) & (F.col("timestamp") < F.lit(until)) & (F.col("pump_serial") == "0")
-    return d.cgm(s, p).where(~hit).groupBy("pump_serial").agg(F.count(F.lit(1)).alias("n"), F.max("seqnum").alias("last"))
+    store = _store(s)
+    store.upsert("cgm", d.cgm(s, p))
+    store.delete_range("cgm", since, until, "0")
+    return store.read_all("cgm").groupBy("pump_serial").agg(F.count(F.lit(1)).alias("n"), F.max("seqnum").alias("last"))
+
+
+@query
+def live_latest(s, p):
+    """What a live poll gets: each pump's newest readings, from wall-clock times."""
+    raw = d.cgm(s, p).select("pump_serial", "seqnum", local("timestamp", TZ).alias("wall_time"), F.col("bg_mgdl").cast("string").alias("bg_mgdl"))
+    return newest(live_readings(raw, CONFIG), poll_depth(CONFIG.meal_rise))
 
 
 @query

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.time import between, local_date, overlaps, window_bounds
 from ..operators import build
-from ..operators.enrich import enrich_all
-from ..schema import SPECS
-from ..sources.storage import ParquetStore, UpsertResult, fetch_window
+from ..operators.enrich import backfill, enrich_all, original_view
+from ..schema import TABLES, time_of
+from ..sources.storage import ParquetStore, UpsertResult
 
 #: Event classes that a builder takes; all others are counted and left.
 KNOWN = ["cgm", "bolus", "request1", "request2", "request3", "basal", "suspend", "resume", "event", "alarm"]
@@ -47,40 +47,52 @@ def build_all(raw: DataFrame, config: Config) -> tuple[dict[str, DataFrame], Dat
 
 def time_bounds(frames: dict[str, DataFrame]) -> DataFrame:
     """First and last instant over all tables, in one job."""
-    parts = [df.agg(F.min(SPECS[n].time_column).alias("a"), F.max(SPECS[n].time_column).alias("b")) for n, df in frames.items()]
+    parts = [df.agg(F.min(time_of(n)).alias("a"), F.max(time_of(n)).alias("b")) for n, df in frames.items()]
     return reduce(DataFrame.unionByName, parts).agg(F.min("a").alias("first_ts"), F.max("b").alias("last_ts"))
 
 
-def sync(store: ParquetStore, raw: DataFrame, config: Config, now: datetime, pumps: list[str], override: datetime | None = None) -> dict[str, dict[str, UpsertResult]]:
-    """For each pump: the events since its bookmark, built, upserted, and the bookmark moved on.
+#: Tables that enrichment or pairing derives: open intervals in them must be replaced, or they would never be closed.
+DERIVED = ("site_issues", "cgm_gaps", "suspension")
 
-    Tables that enrichment derives are replaced over the window, as stored open intervals would never be closed otherwise.
+
+def sync(store: ParquetStore, raw: DataFrame, config: Config, now: datetime, pumps: list[str] | None = None, override: datetime | None = None, overlap_days: int = 1) -> dict[str, UpsertResult]:
+    """Events of all pumps since their bookmarks, built and upserted in one plan for each table; bookmarks move on.
+
+    A pump's window begins with `override`; or a day before its bookmark, but not before its first event; or with its
+    first event.  Results are by table, over all pumps.  Derived tables are replaced over the windows.
     """
-    out: dict[str, dict[str, UpsertResult]] = {}
-    for pump in pumps:
-        mine = raw.where(F.col("pump_serial") == pump)
-        state = store.get_fetch_state(pump)
-        first = mine.agg(F.min("timestamp")).first()[0]
-        if first is None:
-            continue
-        zone = now.tzinfo
-        aware = lambda t: t if t is None or t.tzinfo else t.astimezone(zone)
-        since, until = fetch_window(now, aware(state["last_synced_at"]) if state else None, aware(first), override)
-        frames, _ = build_all(between(mine, "timestamp", since, until), config)
-        out[pump] = {}
-        for name, df in frames.items():
-            if name in ("site_issues", "cgm_gaps", "suspension"):
-                store.delete_range(name, since=since, pump_serial=pump)
-            out[pump][name] = store.upsert(name, df)
-        edge = time_bounds({n: store.read_all(n).where(F.col("pump_serial") == pump) for n in frames}).first()
-        store.set_fetch_state(pump, "pump", until, edge["first_ts"].date() if edge["first_ts"] else None, edge["last_ts"].date() if edge["last_ts"] else None)
+    mine = raw if pumps is None else raw.where(F.col("pump_serial").isin(pumps))
+    first = mine.groupBy("pump_serial").agg(F.min("timestamp").alias("first"))
+    state = store.fetch_states().select(F.col("source_id").alias("pump_serial"), "last_synced_at")
+    back = F.greatest(F.col("first"), F.col("last_synced_at") - F.expr(f"interval {overlap_days} days"))
+    start = F.lit(override).cast("timestamp") if override else F.when(F.col("last_synced_at").isNull(), F.col("first")).otherwise(back)
+    since = first.join(state, "pump_serial", "left").select("pump_serial", start.alias("since"))
+    window = mine.join(since, "pump_serial").where((F.col("timestamp") >= F.col("since")) & (F.col("timestamp") < F.lit(now))).drop("since")
+    frames, _ = build_all(window, config)
+    out: dict[str, UpsertResult] = {}
+    for name, df in frames.items():
+        if name in DERIVED:
+            n = store.replace_from(name, df, since)
+            out[name] = UpsertResult(n, n, 0)
+        else:
+            out[name] = store.upsert(name, df)
+    edges = reduce(DataFrame.unionByName, [store.read_all(n).groupBy("pump_serial").agg(F.min(time_of(n)).alias("a"), F.max(time_of(n)).alias("b")) for n in frames])
+    edges = edges.groupBy("pump_serial").agg(F.to_date(F.min("a")).alias("actual_min_date"), F.to_date(F.max("b")).alias("actual_max_date"))
+    marks = first.select("pump_serial").join(edges, "pump_serial", "left")
+    store.set_fetch_states(marks.select(F.col("pump_serial").alias("source_id"), F.lit("pump").alias("source_kind"), F.lit(now).cast("timestamp").alias("last_synced_at"), "actual_min_date", "actual_max_date"))
     return out
 
 
+def load_view(store: ParquetStore, config: Config, enriched: bool = False) -> dict[str, DataFrame]:
+    """All nine tables of a store: as the pump gave them, or with everything that enrichment adds."""
+    frames = {n: store.read_all(n) for n in TABLES}
+    return backfill(frames, config.site_change) if enriched else original_view(frames)
+
+
 def bulk_copy(source: ParquetStore, target: ParquetStore, only: list[str] | None = None, dry_run: bool = False) -> dict[str, UpsertResult | int | str]:
     """Upserts whole tables from one store to another; a table that fails is reported, the others go on."""
     report: dict[str, UpsertResult | int | str] = {}
-    for name in only or list(SPECS):
+    for name in only or list(TABLES):
         try:
             df = source.read_all(name)
             report[name] = df.count() if dry_run else target.upsert(name, df)
@@ -91,7 +103,7 @@ def bulk_copy(source: ParquetStore, target: ParquetStore, only: list[str] | None
 
 def health(store: ParquetStore, version: int) -> dict[str, object]:
     """Version, tables without rows, and instants at which three readings or more share a second."""
-    empty = [n for n in SPECS if not store.read_all(n).take(1)]
+    empty = [n for n in TABLES if not store.read_all(n).take(1)]
     stacked = store.read_all("cgm").groupBy(F.date_trunc("second", "timestamp").alias("s")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
     worst = stacked.agg(F.count(F.lit(1)).alias("buckets"), F.max("n").alias("worst")).first()
     return {"version_matches": store.get_pipeline_version() == version, "empty_tables": empty, "stacked_seconds": worst["buckets"], "worst_stack": worst["worst"]}
@@ -107,12 +119,19 @@ def day_slice(frames: dict[str, DataFrame], day: date, tz: str) -> dict[str, Dat
     """All tables of one local day: points by instant, intervals by overlap."""
     since, until = window_bounds(day, 1, tz)
     ends = {"suspension": ("suspend_timestamp", "resume_timestamp"), "cgm_gaps": ("start_ts", "end_ts"), "site_issues": ("first_occlusion_ts", "resolved_by_site_change_ts")}
-    return {n: df.where(overlaps(*ends[n], F.lit(since), F.lit(until))) if n in ends else between(df, SPECS[n].time_column, since, until) for n, df in frames.items()}
-
-
-def score_report(scored: DataFrame, path: str) -> None:
-    """Label counts by hour as JSON lines, for a report."""
-    scored.groupBy("hour_of_day", "label").agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.mode("overwrite").json(path)
+    return {n: df.where(overlaps(*ends[n], F.lit(since), F.lit(until))) if n in ends else between(df, time_of(n), since, until) for n, df in frames.items()}
+
+
+def score_report(scored: DataFrame, path: str, title: str = "Fast rises") -> None:
+    """Label counts by hour, as JSON lines and as a markdown table beside them."""
+    labels = ["pre_bolused", "late_bolused", "uncovered"]
+    counts = scored.groupBy("hour_of_day", "label").agg(F.count(F.lit(1)).alias("n"))
+    counts.coalesce(1).write.mode("overwrite").json(path)
+    wide = counts.groupBy("hour_of_day").pivot("label", labels).agg(F.first("n")).fillna(0, labels)
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("hour_of_day").cast("string"), *(F.col(x).cast("string") for x in labels)), F.lit(" |"))
+    head = [f"# {title}", "", f"| Hour | {' | '.join(labels)} |", "|---|---|---|---|"]
+    lines = scored.sparkSession.createDataFrame(list(enumerate(head, -len(head))), "o int, value string").unionByName(wide.select(F.col("hour_of_day").alias("o"), row.alias("value")))
+    lines.coalesce(1).sortWithinPartitions("o").select("value").write.mode("overwrite").text(f"{path}.md")
 
 
 def page_count(total: int, page_size: int) -> int:

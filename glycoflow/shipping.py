@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -32,3 +33,18 @@ def _ship(application: str, spark: SparkSession) -> None:
     if application not in _shipped:
         spark.sparkContext.addPyFile(_archive())
         _shipped.add(application)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; where none is set, one of its own, if all runs on this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder(spark.sparkContext.applicationId)
+
+
+@functools.cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"glycoflow-{application}-")

@@ -1,8 +1,10 @@
 """Storage contract over parquet: bounded reads, insert-only upserts, deletes, bookmarks, alerts, detection log.
 
-Each write makes a new version directory and then moves a small pointer file, so readers see the old table or the
-new one, never half of it, and nothing is overwritten while it is read.  The store's own files go through Spark's
-file system, so any store that Spark reaches will do.  One writer at a time is assumed, as in the alert loop.
+A table is a list of batches, folders of parquet files that are never changed.  The list is a small numbered file; the
+newest complete one holds.  A write adds batches first and then the next list, under a new name, by one rename: readers
+see the old table or the new one, and a crash in between leaves the old one.  So an upsert writes its new rows alone.
+All files go through Spark's file system, so any store that Spark reaches will do.  One writer at a time is assumed,
+as in the alert loop.  The names of the methods are the storage contract's.
 """
 
 from __future__ import annotations
@@ -11,11 +13,13 @@ import json
 import uuid
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
-from ..schema import SPECS, get_spec
+from ..schema import TABLES, conform, key_of, table, time_of
 
 _STATE = "source_id string, source_kind string, last_synced_at timestamp, actual_min_date date, actual_max_date date, meta string, updated_at timestamp, ord long"
 _ALERTS = "id string, alert_kind string, pump_serial string, event_ref string, fired_at timestamp, payload string, delivery string"
@@ -32,132 +36,208 @@ class UpsertResult:
 class ParquetStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    # -- versions ---------------------------------------------------------------------------------------------
+    # -- lists of batches -------------------------------------------------------------------------------------
 
-    def _read_pointer(self, name: str) -> str | None:
-        at = self._path(f"{self.root}/{name}/CURRENT.json")
-        if not self._fs.exists(at):
-            return None
-        return json.loads("".join(r[0] for r in self.spark.read.text(at.toString()).collect()))["dir"]
+    def _lists(self, name: str) -> list[str]:
+        found = self._fs.globStatus(self._path(f"{self.root}/{name}/list-*.json"))
+        return sorted(s.getPath().toString() for s in found) if found else []
 
-    def _write(self, name: str, df: DataFrame, partition_by: str | None = None) -> None:
-        version = f"{self.root}/{name}/v-{uuid.uuid4().hex}"
-        writer = df.write
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(version)
-        tmp, at = self._path(f"{self.root}/{name}/.next.json"), self._path(f"{self.root}/{name}/CURRENT.json")
+    def _batches(self, name: str) -> list[dict[str, Any]]:
+        """Batches of the newest list: {"batch": folder, "without": pumps whose rows in it don't count}."""
+        lists = self._lists(name)
+        return json.loads("".join(r[0] for r in self.spark.read.text(lists[-1]).collect())) if lists else []
+
+    def _publish(self, name: str, batches: list[dict[str, Any]]) -> None:
+        lists = self._lists(name)
+        number = int(lists[-1].rsplit("-", 1)[1].split(".")[0]) + 1 if lists else 0
+        tmp = self._path(f"{self.root}/{name}/next-{uuid.uuid4().hex}")
         out = self._fs.create(tmp, True)
-        out.write(bytearray(json.dumps({"dir": version}).encode()))
+        out.write(bytearray(json.dumps(batches).encode()))
         out.close()
-        self._fs.delete(at, False)
-        self._fs.rename(tmp, at)
-
-    def _table(self, name: str, ddl: str) -> DataFrame:
-        version = self._read_pointer(name)
-        if version is None:
-            return self.spark.createDataFrame([], ddl)
-        columns = [c.strip().split()[0] for c in ddl.split(",")]
-        return self.spark.read.schema(ddl).parquet(version).select(columns)
+        if not self._fs.rename(tmp, self._path(f"{self.root}/{name}/list-{number:012d}.json")):
+            raise OSError(f"couldn't publish {name}, list {number}")
+
+    def _add(self, name: str, df: DataFrame, partition_by: str | None = None) -> tuple[str, int]:
+        """Writes a batch; its name and number of rows."""
+        batch = f"b{uuid.uuid4().hex}"
+        path = f"{self.root}/{name}/data/batch={batch}"
+        (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+        return batch, self.spark.read.schema(df.schema).parquet(path).count()  # from the files' footers
+
+    def _read(self, name: str, schema: StructType) -> DataFrame:
+        batches = self._batches(name)
+        if not batches:
+            return self.spark.createDataFrame([], schema)
+        base, columns = f"{self.root}/{name}/data", [f.name for f in schema.fields]
+        typed = StructType([*schema.fields]).add("batch", StringType())
+        df = self.spark.read.schema(typed).option("basePath", base).parquet(*(f"{base}/batch={b['batch']}" for b in batches))
+        for b in batches:
+            if b["without"]:
+                df = df.where(~((F.col("batch") == b["batch"]) & F.col("pump_serial").isin(b["without"])))
+        return df.select(columns)
+
+    def _replace(self, name: str, df: DataFrame, partition_by: str | None = None) -> None:
+        self._publish(name, [{"batch": self._add(name, df, partition_by)[0], "without": []}])
+
+    def vacuum(self, name: str, keep: int = 5) -> int:
+        """Deletes lists but the newest `keep`, and batches that none of those names; the number of batches deleted."""
+        lists = self._lists(name)
+        named = {b["batch"] for at in lists[-keep:] for b in json.loads("".join(r[0] for r in self.spark.read.text(at).collect()))}
+        for at in lists[:-keep]:
+            self._fs.delete(self._path(at), False)
+        found = self._fs.globStatus(self._path(f"{self.root}/{name}/data/batch=*")) or []
+        old = [s.getPath() for s in found if s.getPath().getName().removeprefix("batch=") not in named]
+        for path in old:
+            self._fs.delete(path, True)
+        return len(old)
+
+    def compact(self, name: str) -> None:
+        """Puts all batches of a table into one."""
+        self._replace(name, self._spread(self.read_all(name), name), "pump_serial")
 
     # -- tables -----------------------------------------------------------------------------------------------
 
+    def _spread(self, df: DataFrame, name: str) -> DataFrame:
+        """Dealt by pump and day, so that no pump is one task's, and sorted for the readers' statistics."""
+        t = time_of(name)
+        return df.repartition("pump_serial", F.to_date(t)).sortWithinPartitions("pump_serial", t)
+
     def read_all(self, name: str) -> DataFrame:
-        return self._table(name, get_spec(name).ddl)
+        return self._read(name, table(name))
 
     def read(self, name: str, since: datetime, until: datetime, pump_serial: str | None = None) -> DataFrame:
         """Rows in [since, until); bounds must carry a zone.  Filters reach the scan."""
         if since.tzinfo is None or until.tzinfo is None:
             raise ValueError("bounds must be time-zone aware")
-        t = F.col(get_spec(name).time_column)
+        t = F.col(time_of(name))
         df = self.read_all(name).where((t >= F.lit(since)) & (t < F.lit(until)))
         return df if pump_serial is None else df.where(F.col("pump_serial") == pump_serial)
 
     def upsert(self, name: str, df: DataFrame, order: str | None = None) -> UpsertResult:
-        """Inserts rows with new keys; stored rows win, of a batch's repeats the first by `order`."""
-        spec = get_spec(name)
-        key = list(spec.primary_key)
+        """Inserts rows with new keys; stored rows win, of a batch's repeats the first by `order`.  Writes the new rows alone."""
+        key, received = key_of(name), df.count()
         rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(order) if order else F.monotonically_increasing_id()))
         batch = df.withColumn("_n", rank).where("_n = 1").drop("_n")
         have = self.read_all(name)
-        new = spec.conform(batch).join(have.select(*key), key, "left_anti").select(have.columns)
-        received, before = df.count(), have.count()
-        self._write(name, have.unionByName(new).repartition("pump_serial").sortWithinPartitions("pump_serial", spec.time_column), "pump_serial")
-        inserted = self.read_all(name).count() - before
+        new = conform(batch, name).join(have.select(*key), key, "left_anti").select(have.columns)
+        added, inserted = self._add(name, self._spread(new, name), "pump_serial")
+        if inserted:
+            self._publish(name, [*self._batches(name), {"batch": added, "without": []}])
         return UpsertResult(received, inserted, received - inserted)
 
     def delete_range(self, name: str, since: datetime | None = None, until: datetime | None = None, pump_serial: str | None = None) -> int:
+        """Deletes rows in [since, until) of one pump or of all; with a pump given, only that pump's rows are written anew."""
         if since is None and until is None and pump_serial is None:
             raise ValueError("give since, until or pump_serial")
-        t, hit = F.col(get_spec(name).time_column), F.lit(True)
-        for value, condition in ((since, t >= F.lit(since)), (until, t < F.lit(until)), (pump_serial, F.col("pump_serial") == F.lit(pump_serial))):
+        t, hit = F.col(time_of(name)), F.lit(True)
+        for value, condition in ((since, t >= F.lit(since)), (until, t < F.lit(until))):
             if value is not None:
                 hit = hit & condition
         have = self.read_all(name)
-        n = have.where(hit).count()
+        mine = have if pump_serial is None else have.where(F.col("pump_serial") == pump_serial)
+        n = mine.where(hit).count()
         if n:
-            self._write(name, have.where(~F.coalesce(hit, F.lit(False))), "pump_serial")
+            rest, _ = self._add(name, self._spread(mine.where(~F.coalesce(hit, F.lit(False))), name), "pump_serial")
+            before = [] if pump_serial is None else [{**b, "without": [*b["without"], pump_serial]} for b in self._batches(name)]
+            self._publish(name, [*before, {"batch": rest, "without": []}])
+        return n
+
+    def replace_from(self, name: str, df: DataFrame, since: DataFrame) -> int:
+        """For each pump of `since` (pump_serial, since), rows from then on are replaced by df's; the number of df's rows."""
+        t = F.col(time_of(name))
+        kept = self.read_all(name).join(since, "pump_serial", "left").where(F.col("since").isNull() | (t < F.col("since"))).drop("since")
+        new, n = self._add(name, self._spread(conform(df, name), name), "pump_serial")
+        rest, _ = self._add(name, self._spread(kept, name), "pump_serial")
+        self._publish(name, [{"batch": b, "without": []} for b in (rest, new)])
         return n
 
     def clean_all(self) -> None:
-        for name in (*SPECS, "fetch_state", "alerts", "detection_results", "pipeline_version"):
+        for name in (*TABLES, "fetch_state", "alerts", "detection_results", "pipeline_version"):
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
 
     # -- bookmarks and version --------------------------------------------------------------------------------
 
+    def set_fetch_states(self, states: DataFrame) -> None:
+        """Sets bookmarks (source_id, source_kind, last_synced_at, actual_min_date, actual_max_date) of many sources at once."""
+        have = self.fetch_states()
+        last = have.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("last"))
+        rank = F.row_number().over(Window.orderBy("source_id"))  # one row a source: small
+        new = states.join(have.select("source_id", F.col("ord").alias("old")), "source_id", "left").withColumn("ord", F.coalesce("old", last.scalar() + rank))
+        rows = new.select("source_id", "source_kind", "last_synced_at", "actual_min_date", "actual_max_date", F.lit("{}").alias("meta"), F.current_timestamp().alias("updated_at"), F.col("ord").cast("long"))
+        self._replace("fetch_state", have.join(states.select("source_id"), "source_id", "left_anti").select(have.columns).unionByName(rows).coalesce(1))
+
     def set_fetch_state(self, source_id: str, source_kind: str, last_synced_at: datetime | None = None, actual_min_date=None, actual_max_date=None, meta: dict | None = None) -> None:
-        have = self._table("fetch_state", _STATE)
+        have = self.fetch_states()
         old = have.where(F.col("source_id") == source_id).first()
         order = old["ord"] if old else have.count()
         row = (source_id, source_kind, last_synced_at, actual_min_date, actual_max_date, json.dumps(meta or {}), datetime.now(timezone.utc), order)
-        self._write("fetch_state", have.where(F.col("source_id") != source_id).unionByName(self.spark.createDataFrame([row], _STATE)))
+        self._replace("fetch_state", have.where(F.col("source_id") != source_id).unionByName(self.spark.createDataFrame([row], _STATE)).coalesce(1))
+
+    def fetch_states(self) -> DataFrame:
+        return self._read("fetch_state", StructType.fromDDL(_STATE))
 
     def get_fetch_state(self, source_id: str):
-        return self._table("fetch_state", _STATE).where(F.col("source_id") == source_id).first()
+        return self.fetch_states().where(F.col("source_id") == source_id).first()
 
     def list_fetch_state(self) -> DataFrame:
-        return self._table("fetch_state", _STATE).orderBy("ord").drop("ord")
+        return self.fetch_states().orderBy("ord").drop("ord")
 
     def set_pipeline_version(self, version: int) -> None:
-        self._write("pipeline_version", self.spark.createDataFrame([(version,)], "version int"))
+        self._replace("pipeline_version", self.spark.createDataFrame([(version,)], "version int"))
 
     def get_pipeline_version(self) -> int | None:
-        row = self._table("pipeline_version", "version int").first()
+        row = self._read("pipeline_version", StructType.fromDDL("version int")).first()
         return row["version"] if row else None
 
     # -- alerts and detection log -----------------------------------------------------------------------------
 
+    def alerts(self) -> DataFrame:
+        return self._read("alerts", StructType.fromDDL(_ALERTS))
+
     def record_alerts(self, alerts: DataFrame) -> DataFrame:
         """Inserts alerts whose (kind, event_ref) is new, or whose event_ref is null; returns the inserted ones.
 
-        alerts: alert_kind, pump_serial, event_ref, fired_at, payload.  Running it again inserts nothing.
+        alerts: alert_kind, pump_serial, event_ref, fired_at (instants), payload.  Running it again inserts nothing.
         """
-        have = self._table("alerts", _ALERTS)
-        ref = F.coalesce("event_ref", F.uuid())
-        once = alerts.withColumn("_ref", ref).dropDuplicates(["alert_kind", "_ref"]).drop("_ref")
-        known = have.where("event_ref is not null").select("alert_kind", "event_ref")
+        if dict(alerts.dtypes)["fired_at"] != "timestamp":
+            raise ValueError("fired_at must be an instant (timestamp with a zone)")
+        known = self.alerts().where("event_ref is not null").select("alert_kind", "event_ref")
+        once = alerts.withColumn("_ref", F.coalesce("event_ref", F.uuid())).dropDuplicates(["alert_kind", "_ref"]).drop("_ref")
         new = once.join(known, ["alert_kind", "event_ref"], "left_anti").select(F.uuid().alias("id"), "alert_kind", "pump_serial", "event_ref", "fired_at", "payload", F.lit("pending").alias("delivery"))
-        before = have.select("id")
-        self._write("alerts", have.unionByName(new))
-        return self._table("alerts", _ALERTS).join(before, "id", "left_anti")
+        added, n = self._add("alerts", new.coalesce(1))
+        if n:
+            self._publish("alerts", [*self._batches("alerts"), {"batch": added, "without": []}])
+        return self.spark.read.schema(_ALERTS).parquet(f"{self.root}/alerts/data/batch={added}") if n else self.spark.createDataFrame([], _ALERTS)
+
+    def insert_or_get_alert(self, kind: str, event_ref: str, pump_serial: str, fired_at: datetime, payload: str = "{}") -> tuple[Any, bool]:
+        """The alert with this kind and reference, and whether it was inserted just now."""
+        if fired_at.tzinfo is None:
+            raise ValueError("fired_at must be time-zone aware")
+        row = self.spark.createDataFrame([(kind, pump_serial, event_ref, fired_at, payload)], "alert_kind string, pump_serial string, event_ref string, fired_at timestamp, payload string")
+        new = self.record_alerts(row).first()
+        return (new, True) if new else (self.find_alert(kind, event_ref), False)
 
     def find_alert(self, kind: str, event_ref: str):
-        return self._table("alerts", _ALERTS).where((F.col("alert_kind") == kind) & (F.col("event_ref") == event_ref)).orderBy(F.col("fired_at").desc()).limit(1).first()
+        return self.alerts().where((F.col("alert_kind") == kind) & (F.col("event_ref") == event_ref)).orderBy(F.col("fired_at").desc()).limit(1).first()
 
     def recent_alerts(self, kind: str, within: timedelta, now: datetime | None = None) -> DataFrame:
         since = (now or datetime.now(timezone.utc)) - within
-        return self._table("alerts", _ALERTS).where((F.col("alert_kind") == kind) & (F.col("fired_at") >= F.lit(since))).orderBy(F.col("fired_at").desc())
+        return self.alerts().where((F.col("alert_kind") == kind) & (F.col("fired_at") >= F.lit(since))).orderBy(F.col("fired_at").desc())
 
     def record_results(self, results: DataFrame) -> None:
         """Appends (kind, anchor_timestamp, payload) to the detection log."""
         rows = results.select(F.uuid().alias("id"), "kind", "anchor_timestamp", "payload", F.current_timestamp().alias("created_at"))
         rows.write.mode("append").parquet(f"{self.root}/detection_results/log")
 
-    def list_results(self, kind: str | None = None, since: datetime | None = None, limit: int = 100) -> DataFrame:
+    def results(self) -> DataFrame:
         at = f"{self.root}/detection_results/log"
-        df = self.spark.read.schema(_RESULTS).parquet(at) if self._fs.exists(self._path(at)) else self.spark.createDataFrame([], _RESULTS)
+        return self.spark.read.schema(_RESULTS).parquet(at) if self._fs.exists(self._path(at)) else self.spark.createDataFrame([], _RESULTS)
+
+    def list_results(self, kind: str | None = None, since: datetime | None = None, limit: int = 100) -> DataFrame:
+        df = self.results()
         df = df if kind is None else df.where(F.col("kind") == kind)
         df = df if since is None else df.where(F.col("created_at") >= F.lit(since))
         return df.orderBy(F.col("created_at").desc(), "id").limit(limit)
@@ -172,3 +252,14 @@ def shift_times(df: DataFrame, column: str, hours: int, since: datetime, until:
     """Moves one pump's timestamps of a range by so many hours; the table is rewritten at once, so keys can't clash."""
     hit = (F.col("pump_serial") == pump_serial) & (F.col(column) >= F.lit(since)) & (F.col(column) < F.lit(until))
     return df.withColumn(column, F.when(hit, F.col(column) + F.expr(f"interval {hours} hours")).otherwise(F.col(column)))
+
+
+def repair_shift(store: ParquetStore, name: str, hours: int, since: datetime, until: datetime, pump_serial: str, column: str | None = None) -> int:
+    """Moves a stored pump's timestamps of a range; the number of rows moved."""
+    column = column or time_of(name)
+    have = store.read_all(name).where(F.col("pump_serial") == pump_serial)
+    n = have.where((F.col(column) >= F.lit(since)) & (F.col(column) < F.lit(until))).count()
+    if n:
+        moved, _ = store._add(name, store._spread(shift_times(have, column, hours, since, until, pump_serial), name), "pump_serial")
+        store._publish(name, [*({**b, "without": [*b["without"], pump_serial]} for b in store._batches(name)), {"batch": moved, "without": []}])
+    return n

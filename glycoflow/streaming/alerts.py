@@ -11,7 +11,7 @@ from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -41,10 +41,11 @@ def _rises(config: Config) -> Callable:
 
     def rises(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         t, v, m, fired = state.get if state.exists else ([], [], [], -(2**62))
+        oldest = c.max_reading_age_minutes * 60
         kept = {a // step: (a, b, w) for a, b, w in zip(t, v, m)}
         new = pd.concat(list(batches)).sort_values(["t", "seqnum"])
         out = []
-        for a, b, w in new[["t", "bg_mgdl", "multiplier"]].itertuples(index=False):
+        for a, b, w, seen in new[["t", "bg_mgdl", "multiplier", "seen"]].itertuples(index=False):
             if kept and a < max(x[0] for x in kept.values()):
                 continue  # late readings are left to the batch path
             kept[a // step] = (int(a), int(b), float(w))  # the latest of a bucket wins
@@ -54,7 +55,8 @@ def _rises(config: Config) -> Callable:
                 continue
             slope = theil_sen(np.array([x[0] for x in rows]), np.array([x[1] for x in rows], float))
             needed = c.base_slope_mgdl_per_min * w
-            if slope is not None and slope >= needed and a - fired >= c.refractory_minutes * 60:
+            # A rise that is stale when it arrives isn't sent, and so doesn't begin a pause either.
+            if slope is not None and slope >= needed and a - fired >= c.refractory_minutes * 60 and seen - a <= oldest:
                 fired = int(a)
                 out.append((key[0], pd.Timestamp(int(a), unit="s"), rows[0][1], rows[-1][1], slope, needed))
         rows = sorted(kept.values())
@@ -64,26 +66,47 @@ def _rises(config: Config) -> Callable:
     return rises
 
 
-def detections(readings: DataFrame, config: Config) -> DataFrame:
-    """Streaming (pump_serial, seqnum, timestamp, bg_mgdl) to rises that fire, at least the refractory time apart."""
+def live_readings(raw: DataFrame, config: Config) -> DataFrame:
+    """What a live source gives (pump_serial, seqnum, wall_time, bg_mgdl), as readings: the wall clock becomes an instant.
+
+    Values that aren't numbers over zero go.  Works on streams and on tables.
+    """
+    bg = F.expr("try_cast(bg_mgdl as int)")
+    return raw.select("pump_serial", "seqnum", F.to_utc_timestamp("wall_time", config.timezone).alias("timestamp"), bg.alias("bg_mgdl")).where("bg_mgdl > 0 and timestamp is not null")
+
+
+def newest(readings: DataFrame, n: int) -> DataFrame:
+    """Each pump's n newest readings of a table, as one poll asks for."""
+    last = Window.partitionBy("pump_serial").orderBy(F.col("timestamp").desc(), F.col("seqnum").desc())
+    return readings.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= n).drop("_n")
+
+
+def detections(readings: DataFrame, config: Config, seen: Column | None = None) -> DataFrame:
+    """Streaming (pump_serial, seqnum, timestamp, bg_mgdl) to rises that fire, at least the refractory time apart.
+
+    seen: when readings arrive, by default the micro-batch's time; rises older than the config allows don't fire.
+    """
     ship(readings.sparkSession)
     hour: Column = F.hour(local("timestamp", config.timezone))
-    rows = readings.where("bg_mgdl is not null").select("pump_serial", "seqnum", F.unix_seconds("timestamp").alias("t"), "bg_mgdl", hour_multiplier(hour, config.meal_rise).alias("multiplier"))
+    rows = readings.where("bg_mgdl is not null").select("pump_serial", "seqnum", F.unix_seconds("timestamp").alias("t"), "bg_mgdl", hour_multiplier(hour, config.meal_rise).alias("multiplier"), F.unix_seconds(F.current_timestamp() if seen is None else seen).alias("seen"))
     return rows.groupBy("pump_serial").applyInPandasWithState(_rises(config), _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def claim(store: ParquetStore, config: Config, send: Callable[[Row], bool], now: Callable[[], datetime] = lambda: datetime.now(timezone.utc)) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: drops stale rises, claims alerts by event_ref, sends what is new, logs, marks the beat."""
+    """A foreachBatch sink: claims alerts by event_ref, sends what is new and what is due again, logs, marks the beat.
+
+    An alert that was claimed but never logged, as after a crash, is due like one whose delivery failed.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         at = now()
-        fresh = batch.where(F.col("anchor_ts") >= F.lit(at - timedelta(minutes=config.meal_rise.max_reading_age_minutes)))
-        alerts = fresh.select(
-            F.lit(KIND).alias("alert_kind"), "pump_serial", F.concat(F.lit("meal_rise:"), "pump_serial", F.lit(":"), iso_minute(F.col("anchor_ts"), config.timezone)).alias("event_ref"), F.lit(at).alias("fired_at"),
-            F.to_json(F.struct("start_level", "end_level", "slope", "needed")).alias("payload"), "anchor_ts",
+        alerts = batch.where(F.col("anchor_ts") >= F.lit(at - timedelta(minutes=config.meal_rise.max_reading_age_minutes))).select(
+            F.lit(KIND).alias("alert_kind"), "pump_serial", F.concat(F.lit("meal_rise:"), "pump_serial", F.lit(":"), iso_minute(F.col("anchor_ts"), config.timezone)).alias("event_ref"), F.lit(at).cast("timestamp").alias("fired_at"),
+            F.to_json(F.struct("start_level", "end_level", "slope", "needed")).alias("payload"),
         )
-        new = store.record_alerts(alerts.drop("anchor_ts")).collect()  # a micro-batch's new alerts: one a pump and hour at most
-        log = [(KIND, r["fired_at"], r["event_ref"] if send(r) else f"failed:{r['event_ref']}") for r in new]
+        due = due_retries(store.alerts().where(F.col("alert_kind") == KIND), store.results().where(F.col("kind") == KIND), at).collect()
+        new = store.record_alerts(alerts).collect()  # a micro-batch's new alerts: one a pump and hour at most
+        log = [(KIND, r["fired_at"], r["event_ref"] if send(r) else f"failed:{r['event_ref']}") for r in [*new, *due]]
         if log:
             store.record_results(batch.sparkSession.createDataFrame(log, "kind string, anchor_timestamp timestamp, payload string"))
         store.set_fetch_state("live_cron", "heartbeat", at)
@@ -91,14 +114,17 @@ def claim(store: ParquetStore, config: Config, send: Callable[[Row], bool], now:
     return sink
 
 
-def due_retries(log: DataFrame, now: datetime, attempts: int = 3, pause_minutes: int = 15, within_hours: int = 24) -> DataFrame:
-    """References whose delivery failed, fewer than `attempts` times, not just now, and not too long ago."""
+def due_retries(alerts: DataFrame, log: DataFrame, now: datetime, attempts: int = 3, pause_minutes: int = 15, within_hours: int = 24) -> DataFrame:
+    """Alerts of the last hours that no log entry says went out, with fewer than `attempts` failures, and none just now."""
     ref, failed = F.regexp_replace("payload", "^failed:", ""), F.col("payload").startswith("failed:")
-    got = log.where(F.col("created_at") >= F.lit(now - timedelta(hours=within_hours))).groupBy(ref.alias("event_ref")).agg(F.count_if(failed).alias("attempts"), F.bool_or(~failed).alias("delivered"), F.max("created_at").alias("last_ts"))
-    return got.where(~F.col("delivered") & (F.col("attempts") < attempts) & (F.col("last_ts") <= F.lit(now - timedelta(minutes=pause_minutes))))
+    tried = log.groupBy(ref.alias("event_ref")).agg(F.count_if(failed).alias("n"), F.bool_or(~failed).alias("delivered"), F.max("created_at").alias("last_ts"))
+    got = alerts.where(F.col("fired_at") >= F.lit(now - timedelta(hours=within_hours))).join(tried, "event_ref", "left")
+    open_ = ~F.coalesce("delivered", F.lit(False)) & (F.coalesce("n", F.lit(0)) < attempts)
+    return got.where(open_ & (F.coalesce("last_ts", "fired_at") <= F.lit(now - timedelta(minutes=pause_minutes)))).select(alerts.columns)
 
 
 def start(readings: DataFrame, store: ParquetStore, config: Config, send: Callable[[Row], bool], checkpoint: str, now: Callable[[], datetime] = lambda: datetime.now(timezone.utc), available_now: bool = False):
-    """Runs the loop: every five minutes, or over all that is there."""
-    writer = detections(readings, config).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(claim(store, config, send, now))
+    """Runs the loop: every five minutes, or over all that is there, at one instant."""
+    seen = F.lit(now()).cast("timestamp") if available_now else None
+    writer = detections(readings, config, seen).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(claim(store, config, send, now))
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 minutes")).start()

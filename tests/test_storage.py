@@ -3,8 +3,8 @@ from datetime import datetime, timedelta, timezone
 import pytest
 
 from glycoflow.config import Config, clamp, one_of, parse, parse_date, poll_depth
-from glycoflow.schema import SPECS, get_spec
-from glycoflow.sources.storage import ParquetStore, fetch_window, shift_times
+from glycoflow.schema import TABLES, key_of, table, time_of
+from glycoflow.sources.storage import ParquetStore, fetch_window, repair_shift, shift_times
 
 T = datetime(2026, 5, 13, tzinfo=timezone.utc)
 
@@ -15,11 +15,11 @@ def store(spark, tmp_path):
 
 
 def cgm(spark, rows):
-    return spark.createDataFrame([(p, s, T + timedelta(minutes=m), b, False, None) for p, s, m, b in rows], get_spec("cgm").schema)
+    return spark.createDataFrame([(p, s, T + timedelta(minutes=m), b, False, None) for p, s, m, b in rows], table("cgm"))
 
 
 def test_upsert_read_delete(spark, store):
-    assert store.read_all("cgm").count() == 0 and store.read_all("cgm").columns == [f.name for f in get_spec("cgm").schema]
+    assert store.read_all("cgm").count() == 0 and store.read_all("cgm").columns == [f.name for f in table("cgm")]
     r = store.upsert("cgm", cgm(spark, [("a", 1, 0, 100), ("a", 2, 5, 110), ("a", 2, 5, 999), ("b", 1, 10, 120)]).coalesce(1))
     assert (r.received, r.inserted, r.skipped) == (4, 3, 1)
     r = store.upsert("cgm", cgm(spark, [("a", 1, 0, 555), ("a", 3, 15, 130)]))
@@ -36,7 +36,7 @@ def test_upsert_read_delete(spark, store):
         store.delete_range("cgm")
     assert store.delete_range("cgm", until=T + timedelta(minutes=6), pump_serial="a") == 2
     assert store.delete_range("cgm", since=T) == 2 and store.read_all("cgm").count() == 0
-    with pytest.raises(ValueError, match="known: alarms"):
+    with pytest.raises(LookupError, match="there are cgm"):
         store.read_all("nope")
 
 
@@ -52,12 +52,59 @@ def test_bookmarks_version_clean(spark, store):
     assert store.get_pipeline_version() is None and store.list_fetch_state().count() == 0
 
 
+def test_a_crash_before_the_list_moves_leaves_the_old_table(spark, store, monkeypatch):
+    store.upsert("cgm", cgm(spark, [("a", 1, 0, 100)]))
+
+    class Broken:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def rename(self, *_):
+            raise OSError("killed here")
+
+    whole = store._fs
+    store._fs = Broken(whole)
+    with pytest.raises(OSError):
+        store.upsert("cgm", cgm(spark, [("a", 2, 5, 110)]))
+    store._fs = whole
+    assert [r["seqnum"] for r in store.read_all("cgm").collect()] == [1]
+    store.upsert("cgm", cgm(spark, [("a", 2, 5, 110)]))
+    assert store.read_all("cgm").count() == 2
+    assert store.vacuum("cgm", keep=1) == 1 and store.read_all("cgm").count() == 2  # the batch that no list names
+
+
+def test_batches(spark, store):
+    """An upsert adds a batch; deletes and repairs of one pump write that pump alone; compaction keeps all rows."""
+    for i in range(3):
+        store.upsert("cgm", cgm(spark, [(p, i, 5 * i, 100 + i) for p in "ab"]))
+    assert len(store._batches("cgm")) == 3
+    assert store.upsert("cgm", cgm(spark, [("a", 1, 5, 0)])).inserted == 0 and len(store._batches("cgm")) == 3
+    assert store.delete_range("cgm", since=T + timedelta(minutes=10), pump_serial="a") == 1
+    assert repair_shift(store, "cgm", 3, T, T + timedelta(hours=1), "b") == 3
+    want = [("a", 0, 0), ("a", 1, 5), ("b", 0, 180), ("b", 1, 185), ("b", 2, 190)]
+    rows = lambda: sorted((r["pump_serial"], r["seqnum"], (r["timestamp"].timestamp() - T.timestamp()) // 60) for r in store.read_all("cgm").collect())
+    assert rows() == want
+    store.compact("cgm")
+    assert len(store._batches("cgm")) == 1 and rows() == want and store.vacuum("cgm", keep=1) >= 3 and rows() == want
+    since = spark.createDataFrame([("b", T + timedelta(minutes=185))], "pump_serial string, since timestamp")
+    assert store.replace_from("cgm", cgm(spark, [("b", 7, 200, 1)]), since) == 1
+    assert rows() == [*want[:3], ("b", 7, 200)]
+
+
 def test_alerts_and_log(spark, store):
     rows = spark.createDataFrame([("rise", "a", "r1", T, "{}"), ("rise", "a", "r1", T, "{}"), ("rise", "a", None, T, "{}"), ("rise", "a", None, T, "{}")], "alert_kind string, pump_serial string, event_ref string, fired_at timestamp, payload string")
     assert store.record_alerts(rows).count() == 3
     assert store.record_alerts(rows.where("event_ref is not null")).count() == 0
+    got, new = store.insert_or_get_alert("rise", "r2", "b", T)
+    again, second = store.insert_or_get_alert("rise", "r2", "c", T)
+    assert new and not second and got["id"] == again["id"] and again["pump_serial"] == "b"
+    with pytest.raises(ValueError):
+        store.insert_or_get_alert("rise", "r3", "b", datetime(2026, 5, 13))
     assert store.find_alert("rise", "r1")["pump_serial"] == "a" and store.find_alert("rise", "zz") is None
-    assert store.recent_alerts("rise", timedelta(minutes=60), T + timedelta(minutes=60)).count() == 3
+    assert store.recent_alerts("rise", timedelta(minutes=60), T + timedelta(minutes=60)).count() == 4
     assert store.recent_alerts("rise", timedelta(minutes=59), T + timedelta(minutes=60)).count() == 0
     store.record_results(spark.createDataFrame([("rise", T, "x"), ("rise", T, "x"), ("other", T, "y")], "kind string, anchor_timestamp timestamp, payload string"))
     assert store.list_results("rise").count() == 2 and store.list_results(limit=1).count() == 1
@@ -70,7 +117,18 @@ def test_windows_and_config(spark):
     assert one_of("14", ((7, 14, 30), 14)) == 14 and one_of("9", ((7, 14, 30), 14)) == 14 and one_of(None, ((7,), 7)) == 7
     assert clamp("500", 1, 100, 30) == 100 and clamp("x", 1, 100, 30) == 30 and parse_date("2026-02-30") is None
     assert poll_depth(Config().meal_rise) == 12
-    raw = {"ingestion": {"timezone": "UTC"}, "bg_targets": {"low": 70, "high": 180}, "meal_rise": {"meal_windows": [{"start_hour": 6, "end_hour": 10, "multiplier": 0.7}]}, "meal_rise_calibration": {}, "site_change_detection": {}, "anomaly_detection": {}, "meal_detection": {"meal_windows": [[6, 10]]}}
+    raw = {"ingestion": {"timezone": "UTC"}, "bg_targets": {"low": 70, "high": 180}, "meal_rise": {"meal_windows": [{"start_hour": 6, "end_hour": 10, "multiplier": 0.7}]}, "site_change_detection": {}, "anomaly_detection": {}, "meal_detection": {"meal_windows": [[6, 10]]}, "clustering": {"n_clusters": 4}}
+    assert parse(raw).clustering.n_clusters == 4 and parse(raw).calibration.late_bolus_lookahead_minutes == 45
+    wrong = [
+        {"bg_targets": {"low": 70, "high": 180, "target": 190}}, {"anomaly_detection": {"spike_threshold": 60}}, {"anomaly_detection": {"flatline_consecutive_intervals": 1}}, {"clustering": {"n_clusters": 1}},
+        {"meal_detection": {"meal_windows": [[10, 6]]}}, {"meal_rise": {"meal_windows": [{"start_hour": 6, "end_hour": 25, "multiplier": 1}]}}, {"meal_rise": {"min_coverage": 0}}, {"meal_rise": {"refractory_minutes": 0}},
+        {"meal_rise_calibration": {"correction_lookahead_minutes": 0}}, {"meal_rise": {"meal_windows": [[6, 10]]}},
+    ]
+    for block in wrong:
+        with pytest.raises(ValueError):
+            parse(raw | block)
+    with pytest.raises(KeyError):
+        parse(raw | {"ingestion": {}})
     assert parse(raw).meal_rise.meal_windows == ((6, 10, 0.7),)
     with pytest.raises(KeyError):
         parse({k: v for k, v in raw.items() if k != "meal_rise"})
@@ -78,4 +136,5 @@ def test_windows_and_config(spark):
         parse(raw | {"bg_targets": {"low": 200, "high": 180}})
     moved = shift_times(cgm(spark, [("a", 1, 0, 1), ("b", 1, 0, 1)]), "timestamp", 3, T, T + timedelta(hours=1), "a")
     assert sorted(r["n"] for r in moved.groupBy("timestamp").count().withColumnRenamed("count", "n").collect()) == [1, 1]
-    assert set(SPECS) == {"cgm", "bolus", "requests", "basal", "suspension", "events", "alarms", "site_issues", "cgm_gaps"}
+    assert key_of("basal") == ["pump_serial", "timestamp"] and time_of("suspension") == "suspend_timestamp"
+    assert set(TABLES) == {"cgm", "bolus", "requests", "basal", "suspension", "events", "alarms", "site_issues", "cgm_gaps"}

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta, timezone
 
 from glycoflow.config import Config, MealRise
 from glycoflow.sources.storage import ParquetStore
-from glycoflow.streaming.alerts import due_retries, start
+from glycoflow.streaming.alerts import claim, due_retries, live_readings, newest, start
 
 T = datetime(2026, 5, 13, 20, tzinfo=timezone.utc)
 DDL = "pump_serial string, seqnum long, timestamp timestamp, bg_mgdl int"
@@ -36,7 +36,39 @@ def test_alerts_once(spark, tmp_path):
     assert store.list_results("meal_rise").count() == 1
 
 
+def test_a_stale_rise_starts_no_pause(spark, tmp_path):
+    """Readings that arrive late would fire, but are too old: the next rise, within the pause of the first, is sent."""
+    config = replace(Config(), meal_rise=MealRise(meal_windows=(), off_hours_multiplier=1.0))
+    source, store, sent = str(tmp_path / "in"), ParquetStore(spark, str(tmp_path / "store")), []
+    for first, values, minutes in ((0, [100, 112, 124, 136, 148, 160, 172], 60), (7, [184, 196], 41)):
+        spark.createDataFrame([("p", first + i, T + timedelta(minutes=5 * (first + i)), v) for i, v in enumerate(values)], DDL).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(DDL).parquet(source)
+        start(stream, store, config, lambda r: sent.append(r["event_ref"]) or True, str(tmp_path / "check"), now=lambda m=minutes: T + timedelta(minutes=m), available_now=True).awaitTermination()
+    assert len(sent) == 1
+
+
+def test_claimed_but_never_logged(spark, tmp_path):
+    """An alert that was claimed before a crash is sent by the next micro-batch after the pause."""
+    store, sent = ParquetStore(spark, str(tmp_path / "store")), []
+    row = ("meal_rise", "p", "meal_rise:p:x", T, "{}")
+    store.record_alerts(spark.createDataFrame([row], "alert_kind string, pump_serial string, event_ref string, fired_at timestamp, payload string"))
+    empty = spark.createDataFrame([], "pump_serial string, anchor_ts timestamp, start_level int, end_level int, slope double, needed double")
+    sink = lambda minutes: claim(store, Config(), lambda r: sent.append(r["event_ref"]) or True, lambda: T + timedelta(minutes=minutes))(empty, 0)
+    sink(5)
+    assert sent == []
+    sink(20)
+    sink(25)
+    assert sent == ["meal_rise:p:x"]
+
+
+def test_live_readings(spark):
+    raw = spark.createDataFrame([("p", i, f"2026-05-13 06:{i:02d}:00", v) for i, v in enumerate(["100", "x", "0", "110", None, "120"])], "pump_serial string, seqnum long, wall_time string, bg_mgdl string")
+    got = newest(live_readings(raw.withColumn("wall_time", raw["wall_time"].cast("timestamp")), Config()), 2).orderBy("seqnum").collect()
+    assert [(r["seqnum"], r["bg_mgdl"], r["timestamp"].astimezone(timezone.utc).hour) for r in got] == [(3, 110, 13), (5, 120, 13)]
+
+
 def test_retries(spark):
     row = lambda ref, minutes: ("meal_rise", T, ref, T - timedelta(minutes=minutes))
     log = spark.createDataFrame([row("failed:a", 60), row("failed:b", 60), row("b", 30), row("failed:c", 5), *[row("failed:d", 100 + i) for i in range(3)], row("failed:e", 2000)], "kind string, anchor_timestamp timestamp, payload string, created_at timestamp")
-    assert [r["event_ref"] for r in due_retries(log, T).collect()] == ["a"]
+    alerts = spark.createDataFrame([(x, T - timedelta(minutes=2000 if x == "e" else 300 if x != "g" else 5)) for x in "abcdefg"], "event_ref string, fired_at timestamp")
+    assert sorted(r["event_ref"] for r in due_retries(alerts, log, T).collect()) == ["a", "f"]

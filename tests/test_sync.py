@@ -4,6 +4,7 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import functions as F
 
 from glycoflow.config import Config
+from glycoflow.operators.cluster import DayModel, cluster_days
 from glycoflow.operators.enrich import backfill, original_view
 from glycoflow.plans import sync
 from glycoflow.sources.storage import ParquetStore
@@ -35,7 +36,11 @@ def raw(spark):
     add("suspend", 10, reason=1, insulin=100)
     add("resume", 40)
     add("event", 60, kind="cartridge_filled", code=None, previous_code=None, volume=240)
-    add("event", 70, kind="user_mode", code=7, previous_code=0, volume=None)
+    add("event", 70, kind="user_mode", code=7, previous_code=0, volume=None, requested_action=1)
+    add("event", 75, kind="pcm", code=3, previous_code=1)
+    add("event", 76, kind="session_join")
+    add("event", 77, kind="daily_status", pump_control_state=2, status_user_mode=0)
+    add("event", 78, kind="something_else")
     add("mystery", 80)
     return spark.createDataFrame(rows, sync.RAW)
 
@@ -50,25 +55,37 @@ def test_router(spark):
     i = frames["site_issues"].first()
     assert (i["occlusion_count"], i["resolution_delay_minutes"]) == (2, 40.0)
     assert frames["cgm_gaps"].first()["ongoing"]
-    assert sorted((r["event_subtype"], r["previous_mode"], r["forced_by_alarm"]) for r in frames["events"].collect()) == [("cartridge", None, False), ("unknown_7", "normal", None)]
+    assert sorted((r["event_subtype"], r["previous_mode"], r["forced_by_alarm"]) for r in frames["events"].collect()) == [("cartridge", None, False), ("closed_loop", None, None), ("daily_status", None, None), ("join", None, None), ("unknown_7", "normal", None)]
+    assert {r["event_subtype"]: json.loads(r["details"]) for r in frames["events"].collect()} == {
+        "cartridge": {"insulin_volume": 240}, "closed_loop": {"previous_pcm": 1}, "daily_status": {"pump_control_state": 2, "user_mode": 0}, "join": {}, "unknown_7": {"requested_action": 1, "exercise_time": None}
+    }
     plain = original_view(frames)
     assert "bolus_category" not in plain["requests"].columns and "cgm_gaps" not in plain
-    assert set(backfill(plain, Config().site_change)) == set(frames) and backfill(frames, Config().site_change) is frames
+    filled = backfill(plain, Config().site_change)
+    assert set(filled) == set(frames) and filled["events"].where("forced_by_alarm is not null").count() == 1
+    again = backfill(frames, Config().site_change)
+    assert all(again[n] is frames[n] for n in frames)
+    partly = backfill({**frames, "events": frames["events"].drop("forced_by_alarm")}, Config().site_change)
+    assert partly["requests"] is frames["requests"] and "forced_by_alarm" in partly["events"].columns
 
 
 def test_sync_twice(spark, tmp_path):
     store, other = ParquetStore(spark, str(tmp_path / "a")), ParquetStore(spark, str(tmp_path / "b"))
     events = raw(spark)
-    first = sync.sync(store, events, Config(), T + timedelta(hours=5), ["a", "absent"])
-    assert first["a"]["cgm"].inserted == 30 and list(first) == ["a"]
+    second = events.where("event_class = 'cgm'").withColumn("pump_serial", F.lit("b"))
+    first = sync.sync(store, events.unionByName(second), Config(), T + timedelta(hours=5), ["a", "b", "absent"])
+    assert first["cgm"].inserted == 60 and [r["source_id"] for r in store.list_fetch_state().collect()] == ["a", "b"]
     assert store.read_all("cgm_gaps").first()["ongoing"]
     close = spark.createDataFrame([("alarm", T + timedelta(minutes=200), 99, "a", 99, json.dumps({"category": "cgm_alert", "action": "cleared", "alarm_id": 14}))], sync.RAW)
     again = sync.sync(store, events.unionByName(close), Config(), T + timedelta(hours=6), ["a"])
-    assert again["a"]["cgm"].inserted == 0 and again["a"]["alarms"].inserted == 1
+    assert again["cgm"].inserted == 0 and again["alarms"].inserted == 1
+    assert again["cgm"].received == 30 and store.get_fetch_state("b")["last_synced_at"] < store.get_fetch_state("a")["last_synced_at"]
+    view = sync.load_view(store, Config(), enriched=True)
+    assert set(view) == set(sync.TABLES) and "forced_by_alarm" in view["events"].columns and "bolus_category" not in sync.load_view(store, Config())["requests"].columns
     gap = store.read_all("cgm_gaps").collect()
     assert len(gap) == 1 and not gap[0]["ongoing"] and gap[0]["duration_minutes"] == 170
     assert str(store.get_fetch_state("a")["actual_max_date"]) == "2026-05-13"
-    assert sync.bulk_copy(store, other, dry_run=True)["cgm"] == 30 and sync.bulk_copy(store, other)["cgm"].inserted == 30 and other.read_all("cgm").count() == 30
+    assert sync.bulk_copy(store, other, dry_run=True)["cgm"] == 60 and sync.bulk_copy(store, other)["cgm"].inserted == 60 and other.read_all("cgm").count() == 60
     store.set_pipeline_version(4)
     got = sync.health(store, 4)
     assert got["version_matches"] and got["empty_tables"] == [] and got["stacked_seconds"] == 0
@@ -82,3 +99,11 @@ def test_small_things(spark, tmp_path):
     scored = spark.createDataFrame([(1, "uncovered"), (1, "uncovered"), (2, "late_bolused")], "hour_of_day int, label string")
     sync.score_report(scored, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).agg(F.sum("n")).first()[0] == 3
+    text = [r[0] for r in spark.read.text(str(tmp_path / "r.md")).collect()]
+    assert text[0] == "# Fast rises" and text[-2:] == ["| 1 | 0 | 0 | 2 |", "| 2 | 0 | 1 | 0 |"]
+    days = spark.createDataFrame([(float(i), None if i % 3 else float(i % 2), "d") for i in range(20)], "a double, b double, day string")
+    got, model = cluster_days(days, ["a", "b"], k=2)
+    model.save(spark, str(tmp_path / "model"))
+    later = spark.createDataFrame([(3.0, None, "x"), (15.0, None, "y")], "a double, b double, day string")
+    one, two = (sorted((r["day"], r["cluster_id"], round(r["distance"], 6)) for r in m.assign(later).collect()) for m in (model, DayModel.load(spark, str(tmp_path / "model"))))
+    assert one == two and got.count() == 20
