@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import functools
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import shared_folder, ship
 from .kernels import pack_ints, text_bytes, unpack_ints
 
 TEXT_MB = 8  # of text in a block that one group holds
@@ -40,26 +38,16 @@ def size_of(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     return int(row["b"] or 0), int(row["n"])
 
 
+def partitions_for(n_bytes: int) -> int:
+    """Shuffle partitions for so many bytes: about 8 MB each while they are few, 64 MB each beyond that."""
+    return max(8, min(64, n_bytes // 8_000_000), n_bytes // 64_000_000)
+
+
 def blocks_for(n_bytes: int, mb: float = TEXT_MB, least: int = 61) -> int:
     """How many blocks of about `mb` MB; it grows with the input, so a block doesn't."""
     return prime(max(least, n_bytes / (mb * 1e6)))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is set, one of its own, if all runs on this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own_dir(spark.sparkContext.applicationId)
-
-
-@functools.cache
-def _own_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"glycoflow-{application}-")
-
-
 #: Rows of a stored table that one file holds at least, where their number is known.
 FILE_ROWS = 5000
 
@@ -70,7 +58,7 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     rows: about how many there are at most; small tables then come in a few files instead of one for each partition.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     (df if rows is None else df.coalesce(max(8, -(-rows // FILE_ROWS)))).write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_path = path

@@ -48,27 +48,37 @@ def _slot(h: np.ndarray, k: int) -> np.ndarray:
     return ((h + np.uint64(k)) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def _table(texts: DataFrame, text_col: str, lengths: list[int], used: np.ndarray | None = None) -> np.ndarray:
-    """How many shingles of the given lengths fall into each slot, of all or only of the used ones; fixed in size."""
+def _table(texts: DataFrame, text_col: str, shingle: int, used: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles fall into each slot, and how many there are of each length; fixed in size.
+
+    Without `used`, of items: shingles as long as each item's windows have.  With it, the slots and lengths of the items,
+    of documents: shingles of those lengths in those slots.
+    """
     wide = SLOTS // RANGES
-    mask = texts.sparkSession.sparkContext.broadcast(np.packbits(used)) if used is not None else None
+    mask = texts.sparkSession.sparkContext.broadcast((np.packbits(used[0] > 0), np.flatnonzero(used[1]).tolist())) if used is not None else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, part = np.zeros(SLOTS, np.int64), TaskContext.get().partitionId()
-        bits = np.unpackbits(mask.value).astype(bool) if mask else None
+        n, of_length, part = np.zeros(SLOTS, np.int64), np.zeros(shingle + 1, np.int64), TaskContext.get().partitionId()
+        bits, lengths = (np.unpackbits(mask.value[0]).astype(bool), mask.value[1]) if mask else (None, range(1, shingle + 1))
         for batch in slices(batches, text_col):
             h, of = _words(batch.column(0))
+            own = np.minimum(np.diff(of), shingle)
             for k in lengths:
-                slot = _slot(_shingles(h, of, k)[1], k)
-                np.add.at(n, slot[bits[slot]] if bits is not None else slot, 1)
+                at, key = _shingles(h, of, k)
+                slot = _slot(key, k)
+                slot = slot[bits[slot]] if mask else slot[own[owner(of)[at]] == k]
+                of_length[k] += len(slot)
+                np.add.at(n, slot, 1)
         some = [r for r in range(RANGES) if n[r * wide : (r + 1) * wide].any()]
-        sums = [pack_ints(n[r * wide : (r + 1) * wide]) for r in some]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([part] * len(some), pa.int32()), pa.array(sums, pa.binary())], ["key", "part", "sums"])
+        sums = [pack_ints(n[r * wide : (r + 1) * wide]) for r in some] + [pack_ints(of_length)]
+        yield pa.RecordBatch.from_arrays([pa.array([*some, RANGES], pa.int32()), pa.array([part] * len(sums), pa.int32()), pa.array(sums, pa.binary())], ["key", "part", "sums"])
 
     out = np.zeros(SLOTS, np.int64)
-    for r, n in summed(texts.select(text_col).mapInArrow(count, "key int, part int, sums binary"), np.int64).items():
+    got = summed(texts.select(text_col).mapInArrow(count, "key int, part int, sums binary"), np.int64)
+    of_length = got.pop(RANGES, np.zeros(shingle + 1, np.int64))
+    for r, n in got.items():
         out[r * wide : (r + 1) * wide] = n
-    return out
+    return out, of_length
 
 
 class Windows:
@@ -148,8 +158,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     new = ["n_words_", "n_hit_", "n_items_", "items_"]
     docs = docs.drop(*new, "row__")
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).alias("t")).where("length(t) > 0")
-    lengths = list(range(1, shingle + 1))
-    rarity = spark.sparkContext.broadcast(_table(docs, text_col, lengths, _table(items, "t", lengths) > 0))
+    rarity = spark.sparkContext.broadcast(_table(docs, text_col, shingle, _table(items, "t", shingle))[0])
     if (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) <= broadcast_mb * 1e6:
         return _judged_in_place(docs, items, rarity, window, shingle, text_col, new)
     return _joined(docs, items, rarity, window, shingle, text_col, new)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for, prepare, size_of, slices
+from .common import blocks_for, partitions_for, prepare, size_of, slices
 from .kernels import NULL_ID, doc_ids, pack_ints, text_bytes, unpack_ints
 
 #: Entries that a map task gathers before it sends them on.
@@ -94,7 +94,7 @@ def _answers(ids: np.ndarray, pos: np.ndarray, n_blocks: int, kind: int) -> Iter
         yield _blob(int(block[a]), kind, ids[a:b], pos[a:b], None)
 
 
-def answers(docs: DataFrame, rule: Rule, n_buckets: int, n_blocks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def answers(docs: DataFrame, rule: Rule, n_buckets: int, n_blocks: int, n_parts: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (block, ids, of, pos): packed (document, position) pairs that the rule answers."""
 
     def flush(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +147,7 @@ def answers(docs: DataFrame, rule: Rule, n_buckets: int, n_blocks: int, id_col:
     def group(table: pa.Table) -> pa.Table:
         return table.select(_OUT.names) if table["kind"][0].as_py() == _ANSWER else judge(table)
 
-    return made.withColumn("key", key).groupBy("key").applyInArrow(group, _OUT_DDL).select(F.col("bucket").alias("block"), "ids", "of", "pos")
+    return made.withColumn("key", key).repartition(n_parts, "key").groupBy("key").applyInArrow(group, _OUT_DDL).select(F.col("bucket").alias("block"), "ids", "of", "pos")
 
 
 def apply_answers(docs: DataFrame, rule: Rule, apply: Callable, ddl: str, id_col: str = "doc_id", text_col: str = "text", entries_per_mb: float = 160_000) -> DataFrame:
@@ -156,7 +156,8 @@ def apply_answers(docs: DataFrame, rule: Rule, apply: Callable, ddl: str, id_col
     n_bytes, _ = size_of(docs, text_col)
     n_blocks = blocks_for(n_bytes)
     n_buckets = blocks_for(n_bytes * entries_per_mb / 160_000, mb=12)
-    back = answers(docs, rule, n_buckets, n_blocks, id_col, text_col)
+    n_parts = partitions_for(n_bytes)
+    back = answers(docs, rule, n_buckets, n_blocks, n_parts, id_col, text_col).repartition(n_parts, "block")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.drop_columns(["__block__"])
@@ -170,5 +171,5 @@ def apply_answers(docs: DataFrame, rule: Rule, apply: Callable, ddl: str, id_col
             found = {int(ids[a]): pos[a:b] for a, b in zip(cuts, [*cuts[1:], len(ids)])}
         return apply(left, found)
 
-    texts = docs.withColumn("__block__", block_of(n_blocks, id_col))
+    texts = docs.withColumn("__block__", block_of(n_blocks, id_col)).repartition(n_parts, "__block__")
     return texts.groupBy("__block__").cogroup(back.groupBy("block")).applyInArrow(meet, ddl)
