@@ -1,4 +1,9 @@
-"""A corpus pipeline from raw documents to packed sequences; every stage works on all that the one before it kept."""
+"""A corpus pipeline from raw documents to packed sequences; every stage works on all that the one before it kept.
+
+Stages take tables with null and repeated ids, null and empty texts, no rows, and extra columns of any name: rules and
+line dedup treat each as their operators do, near dedup keeps the smallest id of each group (rows that share an id stay
+or go together), and all but the last return the columns they were given.
+"""
 
 from __future__ import annotations
 
@@ -15,15 +20,22 @@ from glycoflow.llm.packing import pack
 from glycoflow.llm.quality_rules import quality_rules
 
 
+def _shielded(docs: DataFrame, apply: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Applies an operator and returns the columns of docs, whatever their names are; doc_id and text as it leaves them."""
+    names = {c: c if c in ("doc_id", "text") else f"column_{i}__" for i, c in enumerate(docs.columns)}
+    got = apply(docs.withColumnsRenamed(names))
+    return got.select(*(F.col(new).alias(old) for old, new in names.items()))
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules(docs).where("kept").select(docs.columns)
+    return _shielded(docs, lambda d: quality_rules(d).where("kept"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share go; n_chars follows the text."""
-    kept = dedup_lines(docs).select(docs.columns)
-    return kept.withColumn("n_chars", F.length("text").cast("long"))
+    """Lines that many documents share go; n_chars, where there is one, follows the text."""
+    kept = _shielded(docs, dedup_lines)
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in kept.columns else kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +46,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit_ = 0").select(docs.columns)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _shielded(docs, lambda d: decontaminate(d, benchmark).where("n_hit_ = 0"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,5 +53,49 @@ SELECT t.doc_id, len(t.ws) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(m
 FROM texts t LEFT JOIN hit_words h ON h.doc_id = t.doc_id LEFT JOIN hit_items m ON m.doc_id = t.doc_id
 """
 
-#: The others depend on a trained model, sampling, packing, a vocabulary or a suffix array.
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op8_line_dedup": OP8, "op10_decontamination": OP10}
+OP5 = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM texts),
+windows AS (
+  SELECT doc_id, i, md5(string_agg(word, ' ') OVER five) AS w5, count(*) OVER five AS n5, md5(string_agg(word, ' ') OVER long) AS w101, count(*) OVER long AS n101
+  FROM words WINDOW five AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING), long AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 100 FOLLOWING)),
+twice AS (SELECT doc_id, i FROM windows WHERE n5 = 5 QUALIFY count(*) OVER (PARTITION BY doc_id, w5) > 1),
+covered AS (
+  SELECT w.doc_id, count(t.i) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) > 0 AS hit
+  FROM words w LEFT JOIN twice t ON t.doc_id = w.doc_id AND t.i = w.i),
+repeats AS (SELECT doc_id, count(*) FILTER (hit) AS n FROM covered GROUP BY doc_id),
+longer AS (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM windows WHERE n101 = 101 GROUP BY doc_id, w101 HAVING count(*) > 1)),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+counted AS (
+  SELECT t.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(d.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, l.doc_id IS NOT NULL AS long_repeat
+  FROM texts t LEFT JOIN dup d ON d.doc_id = t.doc_id LEFT JOIN repeats r ON r.doc_id = t.doc_id LEFT JOIN longer l ON l.doc_id = t.doc_id)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT long_repeat AS kept
+FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted)
+"""
+
+#: All pairs that share a shingle, with exact document frequencies; classes by following links to the end.
+OP9 = r"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM texts WHERE len(ws) >= 5),
+windows AS (SELECT doc_id, md5(string_agg(word, ' ') OVER five) AS s, count(*) OVER five AS n FROM words WINDOW five AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+shingles AS (SELECT doc_id, s FROM windows WHERE n = 5 UNION ALL SELECT doc_id, md5(array_to_string(ws, ' ')) FROM texts WHERE len(ws) BETWEEN 1 AND 4),
+bags AS (SELECT doc_id, s, count(*) AS k FROM shingles GROUP BY doc_id, s),
+frequency AS (SELECT s, count(*) AS df FROM bags GROUP BY s),
+total AS (SELECT count(*) AS n FROM documents),
+weighted AS MATERIALIZED (SELECT doc_id, s, (1 + ln(k)) * (1 + ln((1 + n) / (1.0::DOUBLE + df)) / ln(2 + n)) AS w FROM bags JOIN frequency USING (s), total),
+mass AS MATERIALIZED (SELECT doc_id, sum(w) AS m FROM weighted GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.w, b.w)) AS both_ FROM weighted a JOIN weighted b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT a, b, both_ / (x.m + y.m - both_) AS similarity FROM pairs JOIN mass x ON x.doc_id = a JOIN mass y ON y.doc_id = b WHERE both_ >= 0.8 * (x.m + y.m - both_) * (1 - 1e-12)),
+edges AS MATERIALIZED (SELECT a, b, similarity FROM links UNION ALL SELECT b, a, similarity FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+same AS MATERIALIZED (SELECT d.doc_id, least(d.doc_id, min(e.b)) AS rep FROM documents d LEFT JOIN edges e ON e.a = d.doc_id AND e.similarity > 1 - 1e-9 GROUP BY d.doc_id),
+degree AS (SELECT s.rep, count(DISTINCT t.rep) AS n FROM edges e JOIN same s ON s.doc_id = e.a JOIN same t ON t.doc_id = e.b WHERE s.rep <> t.rep GROUP BY s.rep)
+SELECT r.a AS doc_id, min(r.b) AS class_id, CAST(coalesce(any_value(d.n), 0) AS BIGINT) AS n_links
+FROM reach r JOIN same s ON s.doc_id = r.a LEFT JOIN degree d ON d.rep = s.rep GROUP BY r.a
+"""
+
+#: The others depend on a trained model, packing or a vocabulary.
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op5_quality_rules": OP5, "op8_line_dedup": OP8, "op9_minhash": OP9, "op10_decontamination": OP10}

@@ -52,7 +52,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(_documents(spark, sf_dir)).drop("text")
+    return quality_rules(_documents(spark, sf_dir)).drop("text", "longest_repeat")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

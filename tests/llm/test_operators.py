@@ -366,6 +366,52 @@ def test_empty_nulls_repeats_and_clashing_names(spark, name):
         assert [r["class_id"] for r in got if r["doc_id"] is None] == [None, None] and {r["class_id"] for r in got if r["doc_id"] in (2, 3)} == {2, 3}
 
 
+ROWS = [(None, SHARED), (None, None), (1, SHARED), (1, SHARED), (1, BASE), (2, None), (3, ""), (4, "mail a.b@c.de, token = 'abcdef123'")]
+
+
+@pytest.mark.parametrize("name", ["rules", "secrets", "pii", "decontaminate", "quality", "urls"])
+def test_rows_are_judged_by_their_text_alone(spark, name):
+    """With null and repeated ids and clashing names, each row has the values that its text has in a plain table."""
+    f = every(spark)[name]
+    plain = spark.createDataFrame([(100 + i, t) for i, (_, t) in enumerate(ROWS)], DDL)
+    odd = spark.createDataFrame([(i, t, "b", 1, 2.0, 7, "x") for i, t in ROWS], f"{DDL}, block string, kept int, score double, n_words_ int, spans string").repartition(3)
+    skip = {"doc_id", "page_id", "text", "block", "kept", "score", "n_words_", "spans", "n_words", "predicted"} if name == "quality" else {"doc_id", "page_id", "text", "block"}
+    cols = [c for c in f(plain).columns if c not in skip]
+    assert Counter(str(tuple(r[c] for c in cols)) for r in f(odd).collect()) == Counter(str(tuple(r[c] for c in cols)) for r in f(plain).collect())
+
+
+def test_null_and_repeated_ids_across_documents(spark):
+    """A null id sorts before all others; rows that share an id are one document."""
+    df = spark.createDataFrame([(None, SHARED), (1, SHARED), (1, SHARED), (2, f"{SHARED} end"), (None, None)], DDL).repartition(3)
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in dedup_substrings(df).collect())
+    assert got == [(False, 0, 0, 0), (False, 0, 70, 0), (True, 1, 70, 70), (True, 1, 70, 70), (True, 2, 71, 70)]
+    lines = spark.createDataFrame([(None, LINE), (1, f"{LINE}\nown"), (2, LINE), (2, LINE)], DDL).repartition(3)
+    got = sorted((r["doc_id"] or 0, r["line_count_"], r["line_dropped_"], r["text"]) for r in dedup_lines(lines).collect())
+    assert got == [(0, 1, 1, ""), (1, 2, 1, "own"), (2, 1, 0, LINE), (2, 1, 0, LINE)]
+    packed = pack(df).collect()
+    assert len(packed) == 5 and sum(r["length"] for r in packed if r["doc_id"] is None) > 70
+
+
+def test_very_long_texts(spark):
+    """Texts of hundreds of thousands of words: what lies at their very end counts, and long near copies are found."""
+    long = prose(150_000)
+    near = long.split()
+    near[5000:5000] = ["three", "more", "words"]
+    docs = [(1, f"{long} write to x.y@z.org or call (212) 555-0187 now {SHARED}"), (2, f"{' '.join(near)} write to x.y@z.org or call (212) 555-0187 now {SHARED}"), (3, "short")]
+    df = spark.createDataFrame(docs, DDL)
+    spans = {r["doc_id"]: r["spans"] for r in find_pii(df).collect()}
+    assert [[docs[i - 1][1][int(a) : int(b)] for _, a, b in (x.split(":") for x in spans[i].split(","))] for i in (1, 2)] == [["x.y@z.org", "(212) 555-0187"]] * 2 and spans[3] == ""
+    bench = spark.createDataFrame([("b", " ".join(SHARED.split()[:30]))], "item_id string, text string")
+    assert {r["doc_id"]: r["n_hit_"] for r in decontaminate(df, bench).collect()} == {1: 30, 2: 30, 3: 0}
+    assert {r["doc_id"]: r["n_hit_"] for r in decontaminate(df, bench, broadcast_mb=0).collect()} == {1: 30, 2: 30, 3: 0}
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_duplicates(df).collect()} == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+    assert {r["doc_id"]: r["n_removed"] > 149_000 for r in dedup_substrings(df).collect()} == {1: False, 2: True, 3: False}
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    assert all(0 <= r["score"] <= 1 for r in quality_scores(df, labels).collect())
+    urls = spark.createDataFrame([(1, "http://a.net/" + "x" * 2_000_000), (2, "y" * 2_000_000)], "page_id long, url string")
+    assert [(r["rule"], len(r["path"])) for r in filter_urls(urls, URL_RULES).orderBy("page_id").collect()] == [("net/", 2_000_001), (None, 0)]
+
+
 def test_clean_text_has_no_spans(spark):
     clean = spark.createDataFrame([(i, f"Version 2.{i} of 2024-05-{10 + i}, page 12, CC BY-NC 4.0. {prose(20)} 12:30, $4,500, 35 %.") for i in range(20)], DDL)
     assert clean.transform(find_pii).where("spans <> ''").count() == 0 and clean.transform(scan_secrets).where("spans <> ''").count() == 0
