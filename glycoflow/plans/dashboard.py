@@ -183,10 +183,8 @@ def series_breaks(cgm: DataFrame, minutes: int = 15) -> DataFrame:
     return cgm.withColumn("is_break", F.coalesce(gap > minutes * 60, F.lit(False))).withColumn("bg_class", m.bg_class(m.bg_column()))
 
 
-def clipped(intervals: DataFrame, start: str, end: str, tz: str, day: date) -> DataFrame:
-    """Intervals that touch a local day, cut to it, in minutes from its midnight; one without an end lasts all day."""
-    since, until = midnight(F.lit(day), tz), midnight(F.lit(day) + F.expr("interval 1 day"), tz)
-    rows = intervals.where((F.col(start) < until) & (F.col(end).isNull() | (F.col(end) >= since)))
-    s, e = F.greatest(F.col(start), since), F.least(F.coalesce(F.col(end), until), until)
-    minute = lambda x: (F.unix_seconds(x) - F.unix_seconds(since)) / 60
-    return rows.select("pump_serial", F.col(start).alias("start_ts"), minute(s).alias("start_minute"), minute(e).alias("end_minute"))
+def trends_digest(windows: DataFrame) -> DataFrame:
+    """Trailing windows of time in range as lines of text, shortest first; a dash where there are no readings."""
+    line = F.concat(F.col("days").cast("string"), F.lit("-day: "), F.coalesce(F.concat(F.bround("tir_percent", 0).cast("int").cast("string"), F.lit(" %")), F.lit("—")))
+    lines = F.array_sort(F.collect_list(F.struct("days", line.alias("line"))))
+    return windows.agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("digest"))

@@ -247,6 +247,22 @@ ORACLE_SQL: dict[str, str] = {
     "delete_range_result": _with("SELECT pump AS pump_serial, count(*) AS n, max(seqnum) AS last FROM cgm WHERE NOT (ts >= TIMESTAMP '2024-01-10 08:00:00' AND ts < TIMESTAMP '2024-01-11 08:00:00' AND pump = '0') GROUP BY pump"),
     "alerts_page": _with(f"SELECT seqnum AS id, {_T('ts')} AS fired_at, pump AS pump_serial, name AS alert_kind, count(*) OVER () AS total FROM alarms WHERE action = 'activated' ORDER BY ts DESC, seqnum DESC LIMIT 10 OFFSET 20"),
     "alert_retries": _with(f"SELECT ref AS event_ref, count(*) AS attempts, bool_or(action = 'ack') AS delivered, {_T('max(ts)')} AS last_ts, NOT bool_or(action = 'ack') AND count(*) < 3 AS retry FROM (SELECT *, name || ':' || pump || ':' || strftime(ts, '%Y-%m-%d') AS ref FROM alarms) GROUP BY ref"),
+    "day_chart": _with(f"""
+        SELECT pump AS pump_serial, 'cgm' AS layer, CAST(hour(l)*60 + minute(l) AS INTEGER) AS minute, NULL::INTEGER AS until_minute, bg::DOUBLE AS value, backfilled FROM cgm WHERE day = DATE '2024-01-10'
+        UNION ALL SELECT pump, 'bolus', CAST(hour({_LOCAL('ts')})*60 + minute({_LOCAL('ts')}) AS INTEGER), NULL, round(units, 4), NULL FROM bolus WHERE day = DATE '2024-01-10'
+        UNION ALL SELECT pump, 'basal', CAST(hour({_LOCAL('ts')})*60 + minute({_LOCAL('ts')}) AS INTEGER), NULL, round(rate, 4), NULL FROM basal WHERE day = DATE '2024-01-10'
+        UNION ALL SELECT pump, layer, CAST(hour({_LOCAL('x1')})*60 + minute({_LOCAL('x1')}) AS INTEGER), CAST(hour({_LOCAL('x2')})*60 + minute({_LOCAL('x2')}) AS INTEGER), NULL, NULL FROM laid WHERE x1 < x2""",
+        *_OC,
+        "lo AS (SELECT TIMESTAMP '2024-01-10 08:00:00' AS a, TIMESTAMP '2024-01-11 08:00:00' AS b)",
+        "areas AS (SELECT pump, layer, greatest(s, a) AS s, least(e, b) AS e FROM (SELECT pump, 'gap' AS layer, s, coalesce(e, TIMESTAMP '2024-01-11 08:00:00') AS e FROM gaps UNION ALL SELECT pump, 'site_issue', f, g FROM oc), lo)",
+        """laid AS (
+            SELECT x.pump, layer, coalesce((SELECT max(c.ts) FROM cgm c WHERE c.pump = x.pump AND c.day = DATE '2024-01-10' AND c.ts <= x.s), (SELECT min(c.ts) FROM cgm c WHERE c.pump = x.pump AND c.day = DATE '2024-01-10')) AS x1,
+                coalesce((SELECT min(c.ts) FROM cgm c WHERE c.pump = x.pump AND c.day = DATE '2024-01-10' AND c.ts >= x.e), (SELECT max(c.ts) FROM cgm c WHERE c.pump = x.pump AND c.day = DATE '2024-01-10')) AS x2
+            FROM areas x WHERE s < e
+        )"""),
+    "trends_digest": _with("""
+        SELECT string_agg(days || '-day: ' || coalesce(CAST(round_even(tir, 0) AS INTEGER) || ' %', '—'), chr(10) ORDER BY days) AS digest
+        FROM (SELECT d AS days, 100.0*count(*) FILTER (bg BETWEEN 70 AND 180)/nullif(count(bg),0) AS tir FROM (VALUES (7),(14),(30)) w(d) JOIN cgm ON ts < TIMESTAMP '2024-01-31 08:00:00' AND ts >= TIMESTAMP '2024-01-31 08:00:00' - to_days(d) GROUP BY d)"""),
     "day_sanity": _with(f"""
         SELECT pump AS pump_serial, readings, mean_bg, min_bg, max_bg, tir_percent, coverage_percent, boluses, round(bolus_units, 4) AS bolus_units, requests, meals, carbs_g,
             basal_entries, round(u + 1e-9, 4) AS basal_units, basal_sources, suspensions, suspect_suspensions, suspended_minutes, mode_changes, site_changes, alarms_activated, alarm_rows, round(bolus_units + u + 1e-9, 4) AS total_units

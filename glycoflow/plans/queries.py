@@ -15,7 +15,7 @@ from pyspark.sql.types import DateType, DoubleType, TimestampType
 from ..config import Anomaly, Calibration, Config, MealRise, MealRun, SiteChange, poll_depth
 from ..functions import metrics as m
 from ..functions.time import between, iso_minute, local, local_date, midnight, overlaps, window_bounds
-from ..operators import build, cluster, detect, enrich, features
+from ..operators import build, cluster, detect, enrich, features, overlay
 from ..operators.agp import hourly, profile
 from ..operators.joins import range_join
 from ..operators.variability import conga, mage, modd
@@ -261,7 +261,7 @@ def series_breaks(s, p):
 
 @query
 def gaps_on_day(s, p):
-    return dashboard.clipped(d.frames(s, p)["cgm_gaps"], "start_ts", "end_ts", TZ, date(2024, 1, 10))
+    return overlay.clipped(d.frames(s, p)["cgm_gaps"], "start_ts", "end_ts", TZ, date(2024, 1, 10))
 
 
 @query
@@ -273,24 +273,23 @@ def suspensions_overlapping(s, p):
 @query
 def out_of_range_shading(s, p):
     """Each activation and the first clearing strictly after it."""
-    a = d.alarms(s, p).where("alarm_name = 'cgm_out_of_range'")
-    t = F.col("timestamp")
-    w = Window.partitionBy("pump_serial").orderBy("timestamp").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    cleared = a.where("action = 'cleared'").select("pump_serial", t.alias("timestamp"), t.alias("c"), F.lit(-1).cast("long").alias("seqnum"))
-    opened = a.where("action = 'activated'").select("pump_serial", (t + F.expr("interval 1 microsecond")).alias("timestamp"), F.lit(None).cast("timestamp").alias("c"), "seqnum")
-    return opened.unionByName(cleared).withColumn("end_ts", F.min("c").over(w)).where("c is null").select("pump_serial", "seqnum", F.date_trunc("second", "timestamp").alias("start_ts"), "end_ts")
+    return overlay.first_after(d.alarms(s, p).where("alarm_name = 'cgm_out_of_range'"), F.col("action") == "activated", F.col("action") == "cleared")
 
 
 @query
 def gaps_snapped(s, p):
     """Gaps with the last reading at or before their start and the first at or after their end."""
-    g = d.frames(s, p)["cgm_gaps"].where("not ongoing").select("pump_serial", "start_ts", "end_ts")
-    c = d.cgm(s, p).select("pump_serial", F.col("timestamp").alias("t"), F.col("timestamp").alias("r"))
-    w = Window.partitionBy("pump_serial").orderBy("t")
-    back = g.select("pump_serial", F.col("start_ts").alias("t"), "start_ts", "end_ts").unionByName(c, allowMissingColumns=True)
-    back = back.withColumn("snap_start", F.max("r").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))).where("start_ts is not null").drop("t", "r")
-    ahead = back.withColumn("t", F.col("end_ts")).unionByName(c, allowMissingColumns=True)
-    return ahead.withColumn("snap_end", F.min("r").over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))).where("start_ts is not null").select("pump_serial", "start_ts", "end_ts", "snap_start", "snap_end")
+    return overlay.snapped(d.frames(s, p)["cgm_gaps"].where("not ongoing").select("pump_serial", "start_ts", "end_ts"), d.cgm(s, p))
+
+
+@query
+def day_chart(s, p):
+    return overlay.day_chart(d.frames(s, p), date(2024, 1, 10), TZ)
+
+
+@query
+def trends_digest(s, p):
+    return dashboard.trends_digest(dashboard.tir_windows(d.cgm(s, p), TZ, END))
 
 
 @query

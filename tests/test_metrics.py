@@ -4,6 +4,7 @@ from datetime import date, datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from glycoflow.plans.report import cgm_report
 from glycoflow.functions import metrics as m
 from glycoflow.functions.time import expected_readings, iso_minute, midnight, window_bounds
 from glycoflow.operators.agp import profile
@@ -98,3 +99,13 @@ def test_agp(spark):
     flat = [(day + timedelta(minutes=15 * i), 400 if i == 95 else 100) for i in range(96)]
     got = {r["minute"]: r["p50"] for r in profile(readings(spark, flat), "UTC", 15, 3).collect()}
     assert got[0] > 100 and got[720] == 100 and len(got) == 96
+
+
+def test_report_ignores_readings_that_are_no_numbers(spark):
+    """NaN and null readings count as rows, not as readings; the configured range is null without any."""
+    start = datetime(2026, 5, 1, 8, tzinfo=UTC)
+    rows = [("p", i, start + timedelta(minutes=5 * i), v) for i, v in enumerate([100.0, float("nan"), 200.0, None])]
+    df = spark.createDataFrame(rows, "pump_serial string, seqnum long, timestamp timestamp, bg_mgdl double")
+    r = cgm_report(df, start, start + timedelta(days=1), "UTC", None, low=90, high=250).first()
+    assert (r["n_readings"], r["n_rows"], r["mean_bg"], r["tir_config"], r["tir"], r["gri_hypo"]) == (2, 4, 150.0, 100.0, 50.0, None)
+    assert cgm_report(df.where("bg_mgdl is null"), start, start + timedelta(days=1), "UTC", None).first()["tir_config"] is None
