@@ -49,7 +49,7 @@ def blocks_for(n_bytes: int, mb: float = TEXT_MB, least: int = 61) -> int:
 
 
 #: Rows of a stored table that one file holds at least, where their number is known.
-FILE_ROWS = 5000
+FILE_ROWS = 20_000
 
 
 def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -59,7 +59,7 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    (df if rows is None else df.coalesce(max(8, -(-rows // FILE_ROWS)))).write.parquet(path)
+    (df if rows is None else df.coalesce(max(4, -(-rows // FILE_ROWS)))).write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_path = path
     return table

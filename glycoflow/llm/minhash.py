@@ -74,7 +74,7 @@ class Weights:
     """TF-IDF weights from the number of documents and the number of documents in each slot of shingles."""
 
     def __init__(self, n_docs: int, df: np.ndarray):
-        self.n_docs = n_docs
+        self.n_docs, self.n_shingles = n_docs, int(df.sum())
         self.level = np.rint(LEVELS * np.log2(1.0 + df)).astype(np.uint8)
         self.idf = 1 + (np.log(1 + n_docs) - np.arange(256) * np.log(2) / LEVELS) / np.log(2 + n_docs)
 
@@ -385,7 +385,7 @@ def classes(links: DataFrame, rows: int | None = None) -> DataFrame:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, rows = now, now[0]
     return edges.unionByName(edges.select(F.col("v").alias("u"), "v").distinct()).groupBy("u").agg(F.min("v").alias("class_id")).select(F.col("u").alias("doc_id"), "class_id")
 
 
@@ -406,7 +406,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bucket: int = 1000
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     weights = spark.sparkContext.broadcast(document_frequencies(texts))
     n = weights.value.n_docs
-    sketches = stored(_sketches(texts, weights), "sketches", n)
+    # Where texts or whole sets are worked on, long ones count as several rows.
+    work = max(n, weights.value.n_shingles // 200)
+    sketches = stored(_sketches(texts, weights), "sketches", work)
     single = stored(sketches.groupBy("bag").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "singles", n)
     members = stored(sketches.select("doc_id", "bag").join(single.select("bag", F.col("doc_id").alias("first")).hint("merge"), "bag").select("doc_id", "first"), "members", n)
     discard(sketches)
@@ -415,11 +417,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bucket: int = 1000
     unsettled = proposed.where("key is not null").select("key")
     open_rows = stored(single.select("doc_id", "sig", "bands", F.explode("bands").alias("key")).join(unsettled, "key", "left_semi"), "open", n)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(open_rows.select("doc_id")).distinct()
-    vectors = stored(_vectors(texts.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")), "vectors", n)
-    links = stored(_links(pairs, vectors, weights, similarity), "verified", n)
+    vectors = stored(_vectors(texts.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")), "vectors", work)
+    links = stored(_links(pairs, vectors, weights, similarity), "verified", work)
     found = stored(classes(links.unionByName(_repeated(members)), n), "found", n)
     rest = stored(open_rows.join(found, "doc_id", "left").select("doc_id", "sig", "bands", "key", F.coalesce("class_id", "doc_id").alias("class_id")), "rest", n)
-    more = stored(_across(rest, vectors, weights, similarity), "more", n)
+    more = stored(_across(rest, vectors, weights, similarity), "more", work)
     discard(open_rows, proposed, vectors, rest, single)
     joined = classes(found.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).unionByName(more), n)
     every = links.unionByName(more).where("a != b").distinct()
