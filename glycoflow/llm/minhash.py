@@ -406,8 +406,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bucket: int = 1000
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     weights = spark.sparkContext.broadcast(document_frequencies(texts))
     n = weights.value.n_docs
-    # Where texts or whole sets are worked on, long ones count as several rows.
-    work = max(n, weights.value.n_shingles // 200)
+    # Where texts or whole sets are worked on, each counts as several rows, long ones as more.
+    work = max(4 * n, weights.value.n_shingles // 50)
     sketches = stored(_sketches(texts, weights), "sketches", work)
     single = stored(sketches.groupBy("bag").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "singles", n)
     members = stored(sketches.select("doc_id", "bag").join(single.select("bag", F.col("doc_id").alias("first")).hint("merge"), "bag").select("doc_id", "first"), "members", n)
