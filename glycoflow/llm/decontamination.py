@@ -48,17 +48,44 @@ def _slot(h: np.ndarray, k: int) -> np.ndarray:
     return ((h + np.uint64(k)) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
+_SUMS = "key int, part int, sums binary"
+
+
+def _packed(n: np.ndarray, more: np.ndarray | None = None) -> pa.RecordBatch:
+    """A task's counts by slot, in ranges, without empty ones; and counts of another kind."""
+    wide, part = SLOTS // RANGES, TaskContext.get().partitionId()
+    some = [r for r in range(RANGES) if n[r * wide : (r + 1) * wide].any()]
+    sums = [pack_ints(n[r * wide : (r + 1) * wide]) for r in some] + ([] if more is None else [pack_ints(more)])
+    keys = some if more is None else [*some, RANGES]
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([part] * len(keys), pa.int32()), pa.array(sums, pa.binary())], ["key", "part", "sums"])
+
+
+def _added_up(parts: DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
+    wide, got, out = SLOTS // RANGES, summed(parts, np.int64), np.zeros(SLOTS, np.int64)
+    more = got.pop(RANGES, None)
+    for r, n in got.items():
+        out[r * wide : (r + 1) * wide] = n
+    return out, more
+
+
+def _prefix_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        slot = (batch.column("hash").to_numpy().view(np.uint64) + batch.column("k").to_numpy().astype(np.uint64)) & np.uint64(SLOTS - 1)
+        n[slot.astype(np.int64)] = 1
+    yield _packed(n)
+
+
 def _table(texts: DataFrame, text_col: str, shingle: int, used: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """How many shingles fall into each slot, and how many there are of each length; fixed in size.
 
     Without `used`, of items: shingles as long as each item's windows have.  With it, the slots and lengths of the items,
     of documents: shingles of those lengths in those slots.
     """
-    wide = SLOTS // RANGES
     mask = texts.sparkSession.sparkContext.broadcast((np.packbits(used[0] > 0), np.flatnonzero(used[1]).tolist())) if used is not None else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, of_length, part = np.zeros(SLOTS, np.int64), np.zeros(shingle + 1, np.int64), TaskContext.get().partitionId()
+        n, of_length = np.zeros(SLOTS, np.int64), np.zeros(shingle + 1, np.int64)
         bits, lengths = (np.unpackbits(mask.value[0]).astype(bool), mask.value[1]) if mask else (None, range(1, shingle + 1))
         for batch in slices(batches, text_col):
             h, of = _words(batch.column(0))
@@ -69,16 +96,10 @@ def _table(texts: DataFrame, text_col: str, shingle: int, used: tuple[np.ndarray
                 slot = slot[bits[slot]] if mask else slot[own[owner(of)[at]] == k]
                 of_length[k] += len(slot)
                 np.add.at(n, slot, 1)
-        some = [r for r in range(RANGES) if n[r * wide : (r + 1) * wide].any()]
-        sums = [pack_ints(n[r * wide : (r + 1) * wide]) for r in some] + [pack_ints(of_length)]
-        yield pa.RecordBatch.from_arrays([pa.array([*some, RANGES], pa.int32()), pa.array([part] * len(sums), pa.int32()), pa.array(sums, pa.binary())], ["key", "part", "sums"])
+        yield _packed(n, of_length)
 
-    out = np.zeros(SLOTS, np.int64)
-    got = summed(texts.select(text_col).mapInArrow(count, "key int, part int, sums binary"), np.int64)
-    of_length = got.pop(RANGES, np.zeros(shingle + 1, np.int64))
-    for r, n in got.items():
-        out[r * wide : (r + 1) * wide] = n
-    return out, of_length
+    out, of_length = _added_up(texts.select(text_col).mapInArrow(count, _SUMS))
+    return out, np.zeros(shingle + 1, np.int64) if of_length is None else of_length
 
 
 class Windows:
@@ -207,9 +228,7 @@ def _joined(docs: DataFrame, items: DataFrame, rarity, window: int, shingle: int
 
     wanted = stored(items.mapInArrow(prefixes, "item string, hash long, k long, lead long, win binary").groupBy("item", "hash", "k", "lead", "win").agg(F.count(F.lit(1)).alias("n")), "prefixes")
     texts = stored(docs.mapInArrow(numbered, f"{ddl}, n_words_ long, row__ long"), "numbered")
-    used = np.zeros(SLOTS, bool)
-    used[[r["s"] for r in wanted.select(F.expr(f"(hash + k) & {SLOTS - 1}").alias("s")).distinct().collect()]] = True
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(used))
+    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(_added_up(wanted.select("hash", "k").mapInArrow(_prefix_slots, _SUMS))[0] > 0))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.unpackbits(bits.value).astype(bool)
