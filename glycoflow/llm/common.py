@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import uuid
 from collections.abc import Iterator
 
@@ -85,14 +84,19 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str, most: int = 2 << 20
 def summed(parts: DataFrame, dtype: type) -> dict[int, np.ndarray]:
     """Adds up packed arrays (key int, part int, sums binary) of equal length by key.
 
-    First within each of 64 shares of the parts, then over these: a group holds one short array of each part in its
-    share, and the driver gets one array a key, whatever the number of parts.
+    First in tasks that take a key's arrays of a share of the parts, then by key alone.  Tasks add as they read, so
+    they hold one array a key, and the driver gets one array a key, whatever the number of parts.
     """
 
-    def add(t: pa.Table) -> pa.Table:
-        total = functools.reduce(np.add, (unpack_ints(x, dtype) for x in t["sums"].to_pylist()))
-        return t.slice(0, 1).set_column(2, "sums", pa.array([pack_ints(total)]))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, packed in zip(batch.column("key").to_pylist(), batch.column("sums")):
+                got = unpack_ints(packed.as_py(), dtype)
+                total[key] = total[key] + got if key in total else got
+        sums = [pack_ints(x) for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([0] * len(total), pa.int32()), pa.array(sums, pa.binary())], ["key", "part", "sums"])
 
     ddl = "key int, part int, sums binary"
-    some = parts.withColumn("part", F.pmod("part", F.lit(64))).groupBy("key", "part").applyInArrow(add, ddl)
-    return {r["key"]: unpack_ints(r["sums"], dtype) for r in some.groupBy("key").applyInArrow(add, ddl).collect()}
+    some = parts.repartition("key", F.pmod("part", F.lit(64))).mapInArrow(add, ddl)
+    return {r["key"]: unpack_ints(r["sums"], dtype) for r in some.repartition("key").mapInArrow(add, ddl).collect()}
