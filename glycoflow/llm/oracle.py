@@ -97,5 +97,45 @@ SELECT r.a AS doc_id, min(r.b) AS class_id, CAST(coalesce(any_value(d.n), 0) AS
 FROM reach r JOIN same s ON s.doc_id = r.a LEFT JOIN degree d ON d.rep = s.rep GROUP BY r.a
 """
 
-#: The others depend on a trained model, packing or a vocabulary.
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op5_quality_rules": OP5, "op8_line_dedup": OP8, "op9_minhash": OP9, "op10_decontamination": OP10}
+
+
+def _op13(rounds: int = 6) -> str:
+    """Integer parts and distances are whole doubles far below 2**53, so all of it is exact."""
+    steps = [
+        r"""
+WITH kept AS (
+  SELECT vec_id, label, [floor(CAST(e AS DOUBLE) * 4096) FOR e IN embedding] AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len([e FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0),
+parts AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS x FROM kept, range(8) AS r(p)),
+books0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, x AS e FROM parts QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= 16)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(rf"""
+near{i} AS MATERIALIZED (
+  SELECT t.vec_id, t.p, t.x, min(struct_pack(d := list_dot_product(t.x, t.x) - 2 * list_dot_product(t.x, b.e) + list_dot_product(b.e, b.e), k := b.k)) AS m
+  FROM parts t JOIN books{i} b ON b.p = t.p GROUP BY t.vec_id, t.p, t.x)""")
+        if i < rounds:
+            steps.append(rf"""
+means{i} AS (
+  SELECT p, k, list(e ORDER BY j) AS e FROM (
+    SELECT p, k, j, floor(sum(y) / count(*)) AS e
+    FROM (SELECT p, m.k AS k, unnest(x) AS y, generate_subscripts(x, 1) AS j FROM near{i}) GROUP BY p, k, j)
+  GROUP BY p, k),
+books{i + 1} AS MATERIALIZED (SELECT b.p, b.k, coalesce(n.e, b.e) AS e FROM books{i} b LEFT JOIN means{i} n ON n.p = b.p AND n.k = b.k)""")
+    steps.append(rf"""
+coded AS (SELECT vec_id, string_agg(format('{{:02x}}', m.k), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id),
+printed AS (
+  SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY p, k, j)) AS codebooks_sha256
+  FROM (SELECT p, k, unnest(e) AS y, generate_subscripts(e, 1) AS j FROM books{rounds}))
+SELECT c.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error, b.codebooks_sha256
+FROM coded c JOIN kept v ON v.vec_id = c.vec_id, printed b
+""")
+    return ",".join(steps[:-1]) + "," + steps[-1]
+
+
+OP13 = _op13()
+
+#: The others depend on a trained model, packing, a vocabulary or eigenvectors.
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": OP1, "op5_quality_rules": OP5, "op8_line_dedup": OP8, "op9_minhash": OP9, "op10_decontamination": OP10, "op13_vector_codes": OP13,
+}

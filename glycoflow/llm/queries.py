@@ -17,7 +17,10 @@ from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .secrets import scan_secrets
 from .substring_dedup import dedup_substrings
+from .token_counts import count_tokens
 from .url_filter import filter_urls
+from .vector_codes import compress_vectors
+from .whitening import whiten
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -76,7 +79,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", F.col("n_words_").alias("n_words"), F.col("n_hit_").alias("n_hit"), F.col("n_items_").alias("n_items"), F.sha2(F.array_join("items_", ","), 256).alias("items_sha256"), (F.col("n_hit_") > 0).alias("contaminated"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_documents(spark, sf_dir))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = compress_vectors(_table(spark, sf_dir, "embeddings"))
+    # Two digits an index, in part order: the code's bytes in hex.
+    return got.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.sha2("codebooks", 256).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_pii, op3_url_filter, op4_quality_classifier, op5_quality_rules, op6_packing, op7_secrets, op8_line_dedup, op9_minhash, op10_decontamination)
+    for f in (op1_substring_dedup, op2_pii, op3_url_filter, op4_quality_classifier, op5_quality_rules, op6_packing, op7_secrets, op8_line_dedup, op9_minhash, op10_decontamination, op11_token_counts, op12_whitening, op13_vector_codes)
 }
