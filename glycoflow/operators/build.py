@@ -32,22 +32,38 @@ def sensor_time(raw: Column, tz: str) -> Column:
     return F.when(raw > 0, F.to_utc_timestamp(F.timestamp_seconds(raw + SENSOR_EPOCH), tz))
 
 
-def build_cgm(raw: DataFrame, tz: str) -> DataFrame:
-    """pump_serial, seqnum, timestamp, bg_mgdl, backfilled, sensor_timestamp from (pump_serial, seqnum, event_ts, bg, data_type, egv_seconds, ingest_ord).
-
-    Backfilled rows with a usable sensor time carry it as their timestamp and keep the pump's in sensor_timestamp, which
-    is null in all other rows.  Of a repeated key the first row in order of arrival stays; then rows under a minute after
-    the row before go unless backfilled, judged in one pass.
-    """
+def read_cgm(raw: DataFrame, tz: str) -> DataFrame:
+    """Readings of raw events: backfilled ones with a usable sensor time carry it as their timestamp and keep the pump's
+    in sensor_timestamp, which is null in all other rows.  Columns of raw that aren't a reading's own go along."""
     backfilled = F.coalesce(F.col("data_type") == 2, F.lit(False))
     sensor = sensor_time(F.col("egv_seconds"), tz)
     moved = backfilled & sensor.isNotNull()
-    rows = first_rows(raw, ["pump_serial", "seqnum"], ["ingest_ord"]).select(
+    own = ("pump_serial", "seqnum", "event_ts", "bg", "data_type", "egv_seconds")
+    return raw.select(
         "pump_serial", "seqnum", F.when(moved, sensor).otherwise(F.col("event_ts")).alias("timestamp"),
-        F.col("bg").cast("int").alias("bg_mgdl"), backfilled.alias("backfilled"), F.when(moved, F.col("event_ts")).alias("sensor_timestamp"),
+        F.col("bg").cast("int").alias("bg_mgdl"), backfilled.alias("backfilled"), F.when(moved, F.col("event_ts")).alias("sensor_timestamp"), *(c for c in raw.columns if c not in own),
     )
+
+
+#: Microseconds that a live reading must be after the one before it.
+STEP = 60_000_000
+
+
+def apart(readings: DataFrame) -> DataFrame:
+    """Without live readings under a minute after the row before them, judged in one pass.
+
+    That row may itself have gone: so a live reading goes if any other that comes before it is under a minute away.
+    """
     before = F.lag("timestamp").over(Window.partitionBy("pump_serial").orderBy("timestamp", "seqnum"))
-    return rows.withColumn("_before", before).where(F.col("_before").isNull() | (F.unix_micros("timestamp") - F.unix_micros("_before") >= 60_000_000) | F.col("backfilled")).drop("_before")
+    return readings.withColumn("_before", before).where(F.col("_before").isNull() | (F.unix_micros("timestamp") - F.unix_micros("_before") >= STEP) | F.col("backfilled")).drop("_before")
+
+
+def build_cgm(raw: DataFrame, tz: str) -> DataFrame:
+    """pump_serial, seqnum, timestamp, bg_mgdl, backfilled, sensor_timestamp from (pump_serial, seqnum, event_ts, bg, data_type, egv_seconds, ingest_ord).
+
+    Of a repeated key the first row in order of arrival stays; then rows too near to the one before them go.
+    """
+    return apart(read_cgm(first_rows(raw, ["pump_serial", "seqnum"], ["ingest_ord"]), tz).drop("ingest_ord"))
 
 
 def bolus_source(options: Column, override: Column) -> Column:

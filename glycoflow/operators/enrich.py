@@ -42,19 +42,34 @@ def tag_forced(events: DataFrame, alarms: DataFrame, c: SiteChange) -> DataFrame
     return got.withColumn("forced_by_alarm", F.when(F.col("event_type") == "site_change", F.coalesce("inside", F.lit(False)) & ~filled)).drop("inside")
 
 
-def site_issues(alarms: DataFrame, events: DataFrame, c: SiteChange) -> DataFrame:
-    """Runs of occlusion alarms, and the first site change after each that no alarm forced."""
-    occlusions = alarms.where("alarm_name = 'OcclusionAlarm' and action = 'activated'")
-    runs = sessions(occlusions, "pump_serial", ["timestamp", "seqnum"], F.unix_seconds("timestamp"), c.occlusion_cluster_window_minutes * 60)
-    clusters = runs.groupBy("pump_serial", "session").agg(F.min("timestamp").alias("first_occlusion_ts"), F.max("timestamp").alias("last_occlusion_ts"), F.count(F.lit(1)).alias("occlusion_count")).where(F.col("occlusion_count") >= c.min_occlusions_for_cluster)
-    # Next site change: a backward sweep over clusters' ends and site changes in one order; changes come before ends of the same instant.
+def occlusions(alarms: DataFrame) -> DataFrame:
+    return alarms.where("alarm_name = 'OcclusionAlarm' and action = 'activated'")
+
+
+def occlusion_runs(alarms: DataFrame, c: SiteChange) -> DataFrame:
+    """Runs of occlusion alarms that are long enough to count."""
+    runs = sessions(occlusions(alarms), "pump_serial", ["timestamp", "seqnum"], F.unix_seconds("timestamp"), c.occlusion_cluster_window_minutes * 60)
+    got = runs.groupBy("pump_serial", "session").agg(F.min("timestamp").alias("first_occlusion_ts"), F.max("timestamp").alias("last_occlusion_ts"), F.count(F.lit(1)).alias("occlusion_count"))
+    return got.where(F.col("occlusion_count") >= c.min_occlusions_for_cluster).drop("session")
+
+
+def resolved(runs: DataFrame, events: DataFrame) -> DataFrame:
+    """Runs with the first site change after each that no alarm forced.
+
+    A backward sweep over runs' ends and site changes in one order; changes come before ends of the same instant.
+    """
     change = events.where("event_type = 'site_change' and not coalesce(forced_by_alarm, false)").select("pump_serial", F.col("timestamp").alias("t"), F.lit(0).alias("o"), F.col("timestamp").alias("change"))
-    ends = clusters.select("pump_serial", F.col("last_occlusion_ts").alias("t"), F.lit(1).alias("o"), F.lit(None).cast("timestamp").alias("change"), "session", "first_occlusion_ts", "last_occlusion_ts", "occlusion_count")
+    ends = runs.select("pump_serial", F.col("last_occlusion_ts").alias("t"), F.lit(1).alias("o"), F.lit(None).cast("timestamp").alias("change"), "first_occlusion_ts", "last_occlusion_ts", "occlusion_count")
     ahead = Window.partitionBy("pump_serial").orderBy("t", "o").rowsBetween(1, Window.unboundedFollowing)
     both = ends.unionByName(change, allowMissingColumns=True).withColumn("resolved", F.first("change", ignorenulls=True).over(ahead)).where("o = 1")
     return both.select("pump_serial", "first_occlusion_ts", "last_occlusion_ts", "occlusion_count", F.col("resolved").alias("resolved_by_site_change_ts"), ((F.unix_micros("resolved") - F.unix_micros("last_occlusion_ts")) / 60e6).alias("resolution_delay_minutes"))
 
 
+def site_issues(alarms: DataFrame, events: DataFrame, c: SiteChange) -> DataFrame:
+    """Runs of occlusion alarms, and the first site change after each that no alarm forced."""
+    return resolved(occlusion_runs(alarms, c), events)
+
+
 def cgm_gaps(alarms: DataFrame) -> DataFrame:
     """Out-of-range alarms from activation to the next activation or clearing; acknowledgements don't count."""
     rows = pair(alarms.where("alarm_name = 'cgm_out_of_range'"), "pump_serial", ["timestamp", "seqnum"], F.col("action") == "activated", F.col("action") == "cleared")

@@ -14,33 +14,60 @@ from ..operators import build
 from ..operators.enrich import backfill, enrich_all, original_view
 from ..schema import TABLES, time_of
 from ..sources.storage import ParquetStore, UpsertResult
+from . import carry
 
 #: Event classes that a builder takes; all others are counted and left.
 KNOWN = ["cgm", "bolus", "request1", "request2", "request3", "basal", "suspend", "resume", "event", "alarm"]
 #: Columns of a raw event: its class, when and where it came from, and a JSON payload.
 RAW = "event_class string, timestamp timestamp, seqnum long, pump_serial string, ingest_ord long, payload string"
-_PAYLOADS = {
+#: Fields of payloads by class; a name means the same wherever it stands.
+PAYLOADS = {
     "cgm": "bg int, data_type int, egv_seconds long", "bolus": "bolus_id long, insulin_units double", "request1": "bolus_id long, carbs_g int, bg_mgdl int, iob double", "request2": "bolus_id long, options int, user_override int",
-    "request3": "bolus_id long, food_insulin double, correction_insulin double, total_requested double", "basal": "commanded_rate_milli long, rate_source_code int", "suspend": "reason int, insulin int",
+    "request3": "bolus_id long, food_insulin double, correction_insulin double, total_requested double", "basal": "commanded_rate_milli long, rate_source_code int", "suspend": "reason int, insulin int", "resume": "",
     "event": "kind string, code int, previous_code int, volume int, prime_size int, requested_action int, exercise_time int, commanded_basal_rate double, pump_control_state int, status_user_mode int",
     "alarm": "category string, action string, alarm_id int, raw_name string, param1 double, param2 double",
 }
+_FIELDS = {x.split()[0]: x for p in PAYLOADS.values() for x in p.split(", ") if x}
+_HEAD = ["pump_serial", "seqnum", "timestamp", "ingest_ord"]
 
 
-def _class(raw: DataFrame, name: str) -> DataFrame:
-    return raw.where(F.col("event_class") == name).withColumn("p", F.from_json("payload", _PAYLOADS[name])).select("pump_serial", "seqnum", "timestamp", "ingest_ord", "p.*")
+def parsed(raw: DataFrame) -> DataFrame:
+    """Raw events with the fields of all classes as columns, from one parse of each payload."""
+    return raw.withColumn("_p", F.from_json("payload", ", ".join(_FIELDS.values()))).select("event_class", *_HEAD, "_p.*")
+
+
+def of_class(events: DataFrame, name: str, key: list[str] | None = None) -> DataFrame:
+    """One class's events; with a key, of repeated ones the first to arrive, without its number."""
+    rows = events.where(F.col("event_class") == name).select(*_HEAD, *(f.split()[0] for f in PAYLOADS[name].split(", ") if f))
+    return rows if key is None else build.first_rows(rows, key, ["ingest_ord"]).drop("ingest_ord")
+
+
+def _messages(events: DataFrame) -> list[DataFrame]:
+    return [of_class(events, f"request{i}").drop(*(["seqnum"] if i == 1 else ["seqnum", "timestamp"])) for i in (1, 2, 3)]
+
+
+def _stops_and_goes(events: DataFrame) -> DataFrame:
+    stops = of_class(events, "suspend").select("pump_serial", "seqnum", "timestamp", F.lit("suspend").alias("kind"), build.named(F.col("reason"), build.SUSPEND_REASONS).alias("suspend_reason"), F.col("insulin").alias("insulin_at_suspend"))
+    goes = of_class(events, "resume").select("pump_serial", "seqnum", "timestamp", F.lit("resume").alias("kind"))
+    return stops.unionByName(goes, allowMissingColumns=True)
+
+
+def _simple(events: DataFrame) -> dict[str, DataFrame]:
+    """Tables whose rows depend on one event each."""
+    numbered = ["pump_serial", "seqnum"]
+    return {
+        "bolus": of_class(events, "bolus", ["pump_serial", "bolus_id"]).select("pump_serial", "bolus_id", "timestamp", "insulin_units"), "basal": build.build_basal(of_class(events, "basal", ["pump_serial", "timestamp"])),
+        "alarms": build.build_alarms(of_class(events, "alarm", numbered)), "events": build.build_events(of_class(events, "event", numbered)),
+    }
 
 
 def build_all(raw: DataFrame, config: Config) -> tuple[dict[str, DataFrame], DataFrame]:
     """All nine tables, lazily, and counts of the event classes that no builder takes."""
-    messages = [_class(raw, f"request{i}").drop(*(["seqnum"] if i == 1 else ["seqnum", "timestamp"])) for i in (1, 2, 3)]
-    stops = _class(raw, "suspend").select("pump_serial", "seqnum", "timestamp", F.lit("suspend").alias("kind"), build.named(F.col("reason"), build.SUSPEND_REASONS).alias("suspend_reason"), F.col("insulin").alias("insulin_at_suspend"))
-    goes = raw.where("event_class = 'resume'").select("pump_serial", "seqnum", "timestamp", F.lit("resume").alias("kind"), F.lit(None).cast("string").alias("suspend_reason"), F.lit(None).cast("int").alias("insulin_at_suspend"))
-    alarms = build.build_alarms(_class(raw, "alarm"))
-    frames = {
-        "cgm": build.build_cgm(_class(raw, "cgm").withColumnRenamed("timestamp", "event_ts"), config.timezone),
-        "bolus": _class(raw, "bolus").select("pump_serial", "bolus_id", "timestamp", "insulin_units"), "requests": build.build_requests(*messages), "basal": build.build_basal(_class(raw, "basal")),
-        "suspension": build.build_suspension(stops.unionByName(goes), alarms), "events": build.build_events(_class(raw, "event")), "alarms": alarms,
+    events = parsed(raw)
+    frames = _simple(events)
+    frames |= {
+        "cgm": build.build_cgm(of_class(events, "cgm").withColumnRenamed("timestamp", "event_ts"), config.timezone),
+        "requests": build.build_requests(*_messages(events)), "suspension": build.build_suspension(_stops_and_goes(events), frames["alarms"]),
     }
     return enrich_all(frames, config.site_change), build.unhandled(raw, KNOWN)
 
@@ -51,36 +78,59 @@ def time_bounds(frames: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).agg(F.min("a").alias("first_ts"), F.max("b").alias("last_ts"))
 
 
-#: Tables that enrichment or pairing derives: open intervals in them must be replaced, or they would never be closed.
-DERIVED = ("site_issues", "cgm_gaps", "suspension")
+#: Version of the tables that sync writes.
+VERSION = 5
 
 
 def sync(store: ParquetStore, raw: DataFrame, config: Config, now: datetime, pumps: list[str] | None = None, override: datetime | None = None, overlap_days: int = 1) -> dict[str, UpsertResult]:
-    """Events of all pumps since their bookmarks, built and upserted in one plan for each table; bookmarks move on.
+    """Events of all pumps since their bookmarks, built and merged in one plan for each table; bookmarks move on.
 
     A pump's window begins with `override`; or a day before its bookmark, but not before its first event; or with its
-    first event.  Results are by table, over all pumps.  Derived tables are replaced over the windows.
+    first event.  Raw events are read and their payloads parsed once, into files by class, of which each builder reads its own.
+    Tables then hold what all events so far would give (see `carry`), however they were cut into windows, if events
+    come in order and a bolus's first message comes before the others.  Results are by table, over all pumps.
     """
     mine = raw if pumps is None else raw.where(F.col("pump_serial").isin(pumps))
     first = mine.groupBy("pump_serial").agg(F.min("timestamp").alias("first"))
-    state = store.fetch_states().select(F.col("source_id").alias("pump_serial"), "last_synced_at")
+    state = store.fetch_states().select(F.col("source_id").alias("pump_serial"), "last_synced_at", "actual_min_date", "actual_max_date")
     back = F.greatest(F.col("first"), F.col("last_synced_at") - F.expr(f"interval {overlap_days} days"))
     start = F.lit(override).cast("timestamp") if override else F.when(F.col("last_synced_at").isNull(), F.col("first")).otherwise(back)
-    since = first.join(state, "pump_serial", "left").select("pump_serial", start.alias("since"))
-    window = mine.join(since, "pump_serial").where((F.col("timestamp") >= F.col("since")) & (F.col("timestamp") < F.lit(now))).drop("since")
-    frames, _ = build_all(window, config)
+    marks = store.staged(first.join(state, "pump_serial", "left").select("pump_serial", start.alias("since"), "actual_min_date", "actual_max_date"), "marks")
+    since = marks.select("pump_serial", "since")
+    earliest = since.agg(F.min("since")).first()[0]
+    if earliest is None:
+        store.unstage(marks)
+        return {n: UpsertResult(0, 0, 0) for n in TABLES}
+    t, reach = F.col("timestamp"), timedelta(seconds=carry.LOOK_BACK)
+    recent = mine.where((t >= F.lit(earliest - reach)) & (t < F.lit(now)) & F.col("event_class").isin(KNOWN))
+    own, near = t >= F.col("since"), t >= F.col("since") - F.make_dt_interval(secs=F.lit(carry.LOOK_BACK))
+    inside = recent.join(since, "pump_serial").where(own | near & (F.col("event_class") == "cgm"))
+    staged = store.staged(parsed(inside.withColumn("event_class", F.when(own, F.col("event_class")).otherwise("cgm_before"))), "raw", "event_class")
+    w = carry.Window(store, since, earliest, config)
     out: dict[str, UpsertResult] = {}
-    for name, df in frames.items():
-        if name in DERIVED:
-            n = store.replace_from(name, df, since)
-            out[name] = UpsertResult(n, n, 0)
-        else:
-            out[name] = store.upsert(name, df)
-    edges = reduce(DataFrame.unionByName, [store.read_all(n).groupBy("pump_serial").agg(F.min(time_of(n)).alias("a"), F.max(time_of(n)).alias("b")) for n in frames])
-    edges = edges.groupBy("pump_serial").agg(F.to_date(F.min("a")).alias("actual_min_date"), F.to_date(F.max("b")).alias("actual_max_date"))
-    marks = first.select("pump_serial").join(edges, "pump_serial", "left")
-    store.set_fetch_states(marks.select(F.col("pump_serial").alias("source_id"), F.lit("pump").alias("source_kind"), F.lit(now).cast("timestamp").alias("last_synced_at"), "actual_min_date", "actual_max_date"))
-    return out
+    new = {n: store.staged(df, n) for n, df in _simple(staged).items()}
+    # What depends on stored alarms and events is read before those of the window join them.
+    tagged = store.staged(carry.events(w, new["events"], new["alarms"]), "tagged")
+    derived = {"cgm_gaps": carry.gaps(w, new["alarms"]), "suspension": carry.suspensions(w, _stops_and_goes(staged), new["alarms"]), "site_issues": carry.issues(w, new["alarms"], tagged), "requests": carry.requests(w, _messages(staged))}
+    both = F.col("event_class").isin("cgm", "cgm_before")
+    kept, close = carry.readings(w, of_class(staged.where(both).withColumn("event_class", F.lit("cgm")), "cgm").withColumnRenamed("timestamp", "event_ts"))
+    out["cgm"] = store.merge("cgm", kept, close)
+    for name, rows in derived.items():
+        out[name] = store.merge(name, rows)
+    for name in ("bolus", "basal", "alarms"):
+        out[name] = store.upsert(name, new[name])
+    out["events"] = store.upsert("events", tagged)
+    received = staged.where("event_class <> 'cgm_before'")
+    days = received.groupBy("pump_serial").agg(F.to_date(F.min("timestamp")).alias("a"), F.to_date(F.max("timestamp")).alias("b"), F.max("timestamp").alias("last_event"))
+    moved = marks.join(days, "pump_serial", "left")
+    store.set_fetch_states(moved.select(
+        F.col("pump_serial").alias("source_id"), F.lit("pump").alias("source_kind"), F.lit(now).cast("timestamp").alias("last_synced_at"), F.least("actual_min_date", "a").alias("actual_min_date"), F.greatest("actual_max_date", "b").alias("actual_max_date"),
+        F.to_json(F.struct(F.date_format(F.lit(now).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_good_chunk_end"), F.date_format("last_event", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_event"))).alias("meta"),
+    ))
+    if any(r.inserted for r in out.values()):
+        store.set_pipeline_version(VERSION)
+    store.unstage(marks, staged, tagged, *new.values())
+    return {n: out[n] for n in TABLES}
 
 
 def load_view(store: ParquetStore, config: Config, enriched: bool = False) -> dict[str, DataFrame]:

@@ -54,7 +54,7 @@ def table(name: str) -> StructType:
     try:
         return TABLES[name]
     except KeyError:
-        raise LookupError(f"no table is called {name!r}; there are {', '.join(TABLES)}") from None
+        raise ValueError(f"no table is called {name!r}; there are {', '.join(TABLES)}") from None
 
 
 def key_of(name: str) -> list[str]:
@@ -65,10 +65,11 @@ def time_of(name: str) -> str:
     return next(f.name for f in table(name).fields if f.metadata["time"])
 
 
-def conform(df: DataFrame, name: str) -> DataFrame:
-    """Columns in order, cast null-safely; missing ones are null, others go."""
+def conform(df: DataFrame, name: str, keep: list[str] | None = None) -> DataFrame:
+    """Columns in order, cast null-safely; missing ones are null, others go, but for those in `keep`, which get a leading underscore."""
     have = {c.lower() for c in df.columns}
-    return df.select(*((F.col(f.name).cast(f.dataType) if f.name.lower() in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in table(name).fields))
+    columns = ((F.col(f.name).cast(f.dataType) if f.name.lower() in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in table(name).fields)
+    return df.select(*columns, *(F.col(c).alias(f"_{c}") for c in keep or []))
 
 
 def valid(column: str, vocabulary: list[str]) -> Column:

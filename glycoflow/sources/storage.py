@@ -2,9 +2,12 @@
 
 A table is a list of batches, folders of parquet files that are never changed.  The list is a small numbered file; the
 newest complete one holds.  A write adds batches first and then the next list, under a new name, by one rename: readers
-see the old table or the new one, and a crash in between leaves the old one.  So an upsert writes its new rows alone.
-All files go through Spark's file system, so any store that Spark reaches will do.  One writer at a time is assumed,
-as in the alert loop.  The names of the methods are the storage contract's.
+see the old table or the new one, and a crash in between leaves the old one.  So an upsert writes its new rows alone,
+and reads of the stored keys only those that the batch's pumps and key ranges leave.
+
+One writer at a time is assumed, as in the alert loop: a second one that takes the same number fails where the file
+system's rename refuses an existing target (HDFS does), but object stores' renames neither refuse nor are atomic, so
+there the rule must be kept from outside.  The names of the methods are the storage contract's.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ import json
 import uuid
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,6 +28,8 @@ from ..schema import TABLES, conform, key_of, table, time_of
 
 _STATE = "source_id string, source_kind string, last_synced_at timestamp, actual_min_date date, actual_max_date date, meta string, updated_at timestamp, ord long"
 _ALERTS = "id string, alert_kind string, pump_serial string, event_ref string, fired_at timestamp, payload string, delivery string"
+#: Pumps of a batch whose key ranges are told apart.
+PUMPS = 100
 _RESULTS = "id string, kind string, anchor_timestamp timestamp, payload string, created_at timestamp"
 
 
@@ -57,8 +64,9 @@ class ParquetStore:
         out = self._fs.create(tmp, True)
         out.write(bytearray(json.dumps(batches).encode()))
         out.close()
-        if not self._fs.rename(tmp, self._path(f"{self.root}/{name}/list-{number:012d}.json")):
-            raise OSError(f"couldn't publish {name}, list {number}")
+        target = self._path(f"{self.root}/{name}/list-{number:012d}.json")
+        if self._fs.exists(target) or not self._fs.rename(tmp, target):
+            raise OSError(f"couldn't publish {name}, list {number}: another writer may have taken it")
 
     def _add(self, name: str, df: DataFrame, partition_by: str | None = None) -> tuple[str, int]:
         """Writes a batch; its name and number of rows."""
@@ -101,9 +109,9 @@ class ParquetStore:
     # -- tables -----------------------------------------------------------------------------------------------
 
     def _spread(self, df: DataFrame, name: str) -> DataFrame:
-        """Dealt by pump and day, so that no pump is one task's, and sorted for the readers' statistics."""
+        """Dealt by ranges of pump and time, so that no pump is one task's and each file's statistics cover a short time."""
         t = time_of(name)
-        return df.repartition("pump_serial", F.to_date(t)).sortWithinPartitions("pump_serial", t)
+        return df.repartitionByRange("pump_serial", t).sortWithinPartitions("pump_serial", t)
 
     def read_all(self, name: str) -> DataFrame:
         return self._read(name, table(name))
@@ -116,18 +124,84 @@ class ParquetStore:
         df = self.read_all(name).where((t >= F.lit(since)) & (t < F.lit(until)))
         return df if pump_serial is None else df.where(F.col("pump_serial") == pump_serial)
 
-    def upsert(self, name: str, df: DataFrame, order: str | None = None) -> UpsertResult:
-        """Inserts rows with new keys; stored rows win, of a batch's repeats the first by `order`.  Writes the new rows alone."""
-        key, received = key_of(name), df.count()
-        rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(order) if order else F.monotonically_increasing_id()))
-        batch = df.withColumn("_n", rank).where("_n = 1").drop("_n")
+    def staged(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+        """df as files of its own, so that plans over it don't work it out again; `unstage` deletes them."""
+        path = f"{self.root}/staging/{name}-{uuid.uuid4().hex}"
+        (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+        got = self.spark.read.schema(df.schema).parquet(path)
+        got.staged_path = path
+        return got
+
+    def unstage(self, *frames: DataFrame) -> None:
+        for df in frames:
+            self._fs.delete(self._path(df.staged_path), True)
+
+    def near(self, name: str, batch: DataFrame) -> DataFrame:
+        """Stored rows among which any with a key of the batch must be: of its pumps, with keys in each pump's range.
+
+        Pumps choose folders and key ranges choose row groups by their statistics, so what is read follows the batch,
+        not the years that are stored.  For many pumps one range holds for all.
+        """
+        key = key_of(name)[1]
+        per = batch.groupBy("pump_serial").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+        rows = per.limit(PUMPS + 1).collect()
         have = self.read_all(name)
-        new = conform(batch, name).join(have.select(*key), key, "left_anti").select(have.columns)
+        if not rows:
+            return have.where("false")
+        if len(rows) > PUMPS:
+            edge = per.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+            return have.where(F.col(key).between(F.lit(edge["lo"]), F.lit(edge["hi"])))
+        lo, hi = min(r["lo"] for r in rows), max(r["hi"] for r in rows)
+        mine = reduce(or_, ((F.col("pump_serial") == r["pump_serial"]) & F.col(key).between(F.lit(r["lo"]), F.lit(r["hi"])) for r in rows))
+        return have.where(F.col("pump_serial").isin([r["pump_serial"] for r in rows]) & F.col(key).between(F.lit(lo), F.lit(hi)) & mine)
+
+    def upsert(self, name: str, df: DataFrame, order: str | None = None) -> UpsertResult:
+        """Inserts rows with new keys; stored rows win, of a batch's repeats the first by `order`.  Writes the new rows alone.
+
+        Without an order the smallest row stays, so results don't depend on how the batch is partitioned.  The batch is
+        worked out once.  Stored keys meet it in a semi join, for which Spark can build a Bloom filter at run time.
+        """
+        key, columns = key_of(name), [f.name for f in table(name).fields]
+        batch = self.staged(conform(df, name, [order] if order else []), name)
+        received = batch.count()  # from the files' footers
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy(*([f"_{order}"] if order else columns)))
+        known = self.near(name, batch).select(*key).join(batch.select(*key), key, "left_semi")
+        new = batch.join(known, key, "left_anti").withColumn("_n", rank).where("_n = 1").select(columns)
         added, inserted = self._add(name, self._spread(new, name), "pump_serial")
         if inserted:
             self._publish(name, [*self._batches(name), {"batch": added, "without": []}])
+        self.unstage(batch)
         return UpsertResult(received, inserted, received - inserted)
 
+    def merge(self, name: str, rows: DataFrame, gone: DataFrame | None = None) -> UpsertResult:
+        """Rows with new keys are added, those with stored keys replace them where any value differs, keys in `gone` are deleted.
+
+        inserted counts what was added or replaced.  Only pumps with a replaced or deleted row are written anew.
+        """
+        key, columns = key_of(name), [f.name for f in table(name).fields]
+        batch = self.staged(conform(rows, name), name)
+        received, have = batch.count(), self.near(name, batch)
+        other = [c for c in columns if c not in key]
+        side = have.select(*key, F.struct(*other).alias("_old"))
+        state = F.when(F.col("_old").isNull(), "new").when(~F.struct(*other).eqNullSafe(F.col("_old")), "changed")
+        marked = self.staged(batch.join(side, key, "left").withColumn("_state", state).where("_state is not null").select(*columns, "_state"), name)
+        changed = marked.where("_state = 'changed'").select(columns)
+        drop = changed.select(*key) if gone is None else changed.select(*key).unionByName(gone.select(*key).distinct())
+        touched = [r["pump_serial"] for r in drop.select("pump_serial").distinct().collect()]
+        batches = self._batches(name)
+        if touched:
+            mine = self.read_all(name).where(F.col("pump_serial").isin(touched))
+            rest = mine.join(drop, key, "left_anti").select(columns).unionByName(changed)
+            batches = [{**b, "without": sorted({*b["without"], *touched})} for b in batches] + [{"batch": self._add(name, self._spread(rest, name), "pump_serial")[0], "without": []}]
+        added, n = self._add(name, self._spread(marked.where("_state = 'new'").select(columns), name), "pump_serial")
+        if n:
+            batches = [*batches, {"batch": added, "without": []}]
+        if n or touched:
+            self._publish(name, batches)
+        n += changed.count()
+        self.unstage(batch, marked)
+        return UpsertResult(received, n, received - n)
+
     def delete_range(self, name: str, since: datetime | None = None, until: datetime | None = None, pump_serial: str | None = None) -> int:
         """Deletes rows in [since, until) of one pump or of all; with a pump given, only that pump's rows are written anew."""
         if since is None and until is None and pump_serial is None:
@@ -145,15 +219,6 @@ class ParquetStore:
             self._publish(name, [*before, {"batch": rest, "without": []}])
         return n
 
-    def replace_from(self, name: str, df: DataFrame, since: DataFrame) -> int:
-        """For each pump of `since` (pump_serial, since), rows from then on are replaced by df's; the number of df's rows."""
-        t = F.col(time_of(name))
-        kept = self.read_all(name).join(since, "pump_serial", "left").where(F.col("since").isNull() | (t < F.col("since"))).drop("since")
-        new, n = self._add(name, self._spread(conform(df, name), name), "pump_serial")
-        rest, _ = self._add(name, self._spread(kept, name), "pump_serial")
-        self._publish(name, [{"batch": b, "without": []} for b in (rest, new)])
-        return n
-
     def clean_all(self) -> None:
         for name in (*TABLES, "fetch_state", "alerts", "detection_results", "pipeline_version"):
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
@@ -161,12 +226,12 @@ class ParquetStore:
     # -- bookmarks and version --------------------------------------------------------------------------------
 
     def set_fetch_states(self, states: DataFrame) -> None:
-        """Sets bookmarks (source_id, source_kind, last_synced_at, actual_min_date, actual_max_date) of many sources at once."""
+        """Sets bookmarks (source_id, source_kind, last_synced_at, actual_min_date, actual_max_date and, if given, meta) of many sources at once."""
         have = self.fetch_states()
         last = have.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("last"))
         rank = F.row_number().over(Window.orderBy("source_id"))  # one row a source: small
         new = states.join(have.select("source_id", F.col("ord").alias("old")), "source_id", "left").withColumn("ord", F.coalesce("old", last.scalar() + rank))
-        rows = new.select("source_id", "source_kind", "last_synced_at", "actual_min_date", "actual_max_date", F.lit("{}").alias("meta"), F.current_timestamp().alias("updated_at"), F.col("ord").cast("long"))
+        rows = new.select("source_id", "source_kind", "last_synced_at", "actual_min_date", "actual_max_date", (F.col("meta") if "meta" in states.columns else F.lit("{}")).alias("meta"), F.current_timestamp().alias("updated_at"), F.col("ord").cast("long"))
         self._replace("fetch_state", have.join(states.select("source_id"), "source_id", "left_anti").select(have.columns).unionByName(rows).coalesce(1))
 
     def set_fetch_state(self, source_id: str, source_kind: str, last_synced_at: datetime | None = None, actual_min_date=None, actual_max_date=None, meta: dict | None = None) -> None:

@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from glycoflow.config import Config, clamp, one_of, parse, parse_date, poll_depth
 from glycoflow.schema import TABLES, key_of, table, time_of
@@ -36,7 +37,7 @@ def test_upsert_read_delete(spark, store):
         store.delete_range("cgm")
     assert store.delete_range("cgm", until=T + timedelta(minutes=6), pump_serial="a") == 2
     assert store.delete_range("cgm", since=T) == 2 and store.read_all("cgm").count() == 0
-    with pytest.raises(LookupError, match="there are cgm"):
+    with pytest.raises(ValueError, match="there are cgm"):
         store.read_all("nope")
 
 
@@ -89,9 +90,67 @@ def test_batches(spark, store):
     assert rows() == want
     store.compact("cgm")
     assert len(store._batches("cgm")) == 1 and rows() == want and store.vacuum("cgm", keep=1) >= 3 and rows() == want
-    since = spark.createDataFrame([("b", T + timedelta(minutes=185))], "pump_serial string, since timestamp")
-    assert store.replace_from("cgm", cgm(spark, [("b", 7, 200, 1)]), since) == 1
-    assert rows() == [*want[:3], ("b", 7, 200)]
+
+
+def test_merge(spark, store):
+    """New rows are added, changed ones replaced, keys deleted; pumps without a change aren't written again."""
+    store.upsert("cgm", cgm(spark, [(p, i, 5 * i, 100 + i) for p in "abc" for i in range(3)]))
+    r = store.merge("cgm", cgm(spark, [("a", 0, 0, 100), ("a", 1, 5, 555), ("b", 7, 35, 1)]), spark.createDataFrame([("a", 2)], "pump_serial string, seqnum long"))
+    assert (r.received, r.inserted, r.skipped) == (3, 2, 1)
+    want = [("a", 0, 100), ("a", 1, 555), ("b", 0, 100), ("b", 1, 101), ("b", 2, 102), ("b", 7, 1), ("c", 0, 100), ("c", 1, 101), ("c", 2, 102)]
+    rows = lambda: sorted((x["pump_serial"], x["seqnum"], x["bg_mgdl"]) for x in store.read_all("cgm").collect())
+    assert rows() == want and [b["without"] for b in store._batches("cgm")] == [["a"], [], []]
+    assert store.merge("cgm", store.read_all("cgm")).inserted == 0 and len(store._batches("cgm")) == 3
+    store.merge("cgm", cgm(spark, []), spark.createDataFrame([("c", 1)], "pump_serial string, seqnum long"))
+    assert rows() == [x for x in want if x != ("c", 1, 101)]
+
+
+def test_repeats_in_a_batch(spark, store):
+    """The first by the order given; without one the smallest row, however the batch is partitioned."""
+    rows = spark.createDataFrame([("a", 1, 9, 300), ("a", 1, 2, 200), ("a", 1, 5, 100)], "pump_serial string, seqnum long, o int, bg_mgdl int").withColumn("timestamp", F.lit(T))
+    store.upsert("cgm", rows.repartition(3), order="o")
+    store.upsert("cgm", rows.withColumn("seqnum", F.lit(2)).repartition(3))
+    assert sorted((r["seqnum"], r["bg_mgdl"]) for r in store.read_all("cgm").collect()) == [(1, 200), (2, 100)]
+
+
+def bytes_read(spark, run):
+    """Bytes that the stages of run() read from files, by Spark's own metrics."""
+    sc, gw = spark.sparkContext, spark.sparkContext._gateway
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        empty = gw.jvm.java.util.ArrayList
+        stages = sc._jsc.sc().statusStore().stageList(empty(), False, False, gw.new_array(gw.jvm.double, 0), empty())
+        return sum(stages.apply(i).inputBytes() for i in range(stages.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_an_upsert_reads_what_the_batch_needs(spark, store):
+    """What the upsert of a day reads of the stored keys doesn't grow with the days that are stored."""
+    day = lambda first, days: spark.range(288 * days).select(F.lit("a").alias("pump_serial"), (F.col("id") + 288 * first).alias("seqnum"), (F.lit(T) + F.make_dt_interval(mins=(F.col("id") + 288 * first) * 5)).alias("timestamp"), F.lit(100).alias("bg_mgdl"))
+    for i in range(4):
+        store.upsert("cgm", day(400 * i, 400))
+    batch = store.staged(day(1599, 2), "batch")
+    near = store.near("cgm", batch)
+    assert near.count() == 288
+    few = bytes_read(spark, near.select("seqnum").collect)
+    short = ParquetStore(spark, store.root + "-short")
+    short.upsert("cgm", day(1200, 400))
+    # Four times the years: beyond what is read of files' footers, nothing more.
+    assert few <= bytes_read(spark, short.near("cgm", batch).select("seqnum").collect) + 50_000
+    assert few < bytes_read(spark, store.read_all("cgm").select("seqnum").collect)
+    assert store.upsert("cgm", batch).inserted == 288
+
+
+def test_second_writer_fails(spark, store, monkeypatch):
+    store.upsert("cgm", cgm(spark, [("a", 1, 0, 100)]))
+    first = store._lists("cgm")
+    monkeypatch.setattr(store, "_lists", lambda name: first[:-1])  # as if the other writer's list came in between
+    with pytest.raises(OSError, match="another writer"):
+        store._publish("cgm", [])
 
 
 def test_alerts_and_log(spark, store):

@@ -1,12 +1,15 @@
 import json
+import random
 from datetime import date, datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from glycoflow.config import Config
 from glycoflow.operators.cluster import DayModel, cluster_days
 from glycoflow.operators.enrich import backfill, original_view
 from glycoflow.plans import sync
+from glycoflow.schema import conform
 from glycoflow.sources.storage import ParquetStore
 
 T = datetime(2026, 5, 13, 12, tzinfo=timezone.utc)
@@ -86,9 +89,95 @@ def test_sync_twice(spark, tmp_path):
     assert len(gap) == 1 and not gap[0]["ongoing"] and gap[0]["duration_minutes"] == 170
     assert str(store.get_fetch_state("a")["actual_max_date"]) == "2026-05-13"
     assert sync.bulk_copy(store, other, dry_run=True)["cgm"] == 60 and sync.bulk_copy(store, other)["cgm"].inserted == 60 and other.read_all("cgm").count() == 60
-    store.set_pipeline_version(4)
-    got = sync.health(store, 4)
+    got = sync.health(store, sync.VERSION)
     assert got["version_matches"] and got["empty_tables"] == [] and got["stacked_seconds"] == 0
+    meta = json.loads(store.get_fetch_state("a")["meta"])
+    assert meta == {"last_good_chunk_end": "2026-05-13T18:00:00Z", "last_event": "2026-05-13T15:20:00Z"}
+
+
+def random_stream(spark, seed, days=6, n=420):
+    """Events of all classes in order of arrival: long gaps, suspensions and alarm runs, messages hours apart, backfilled readings days late."""
+    rng, rows = random.Random(seed), []
+    zone = timedelta(hours=-7)  # the pump's wall clock in May
+    at = {p: sorted(rng.uniform(0, days * 1440) for _ in range(n)) for p in "ab"}
+    for pump, minutes in at.items():
+        bolus, waiting = 0, []
+        for i, m in enumerate(minutes):
+            t = T + timedelta(seconds=round(m * 60))
+
+            def add(event_class, **payload):
+                rows.append((event_class, t, len(rows), pump, len(rows), json.dumps(payload)))  # noqa: B023
+
+            roll = rng.random()
+            if roll < 0.3:
+                for _ in range(rng.choice([1, 1, 2, 3])):  # some under a minute apart
+                    add("cgm", bg=rng.randint(60, 250), data_type=1, egv_seconds=0)
+                    t += timedelta(seconds=rng.choice([20, 40, 70]))
+            elif roll < 0.42:
+                late = t - timedelta(minutes=rng.choice([10, 60, 1500, 4000]), seconds=rng.randint(0, 59))
+                near = [r for r in rows if r[0] == "cgm" and r[3] == pump and json.loads(r[5])["data_type"] == 1]
+                if near and rng.random() < 0.7:  # just before a reading that may be stored already
+                    late = rng.choice(near)[1] - timedelta(seconds=rng.choice([5, 30, 59, 60, 90]))
+                add("cgm", bg=rng.randint(60, 250), data_type=2, egv_seconds=int((late + zone).timestamp()) - 1199145600)
+            elif roll < 0.5:
+                bolus += 1
+                add("request1", bolus_id=bolus, carbs_g=rng.choice([0, 30]), bg_mgdl=120, iob=0.5)
+                waiting += [("request2", dict(bolus_id=bolus, options=rng.randint(0, 8), user_override=rng.randint(0, 1))), ("request3", dict(bolus_id=bolus, food_insulin=2.0, correction_insulin=rng.choice([0.0, 1.0]), total_requested=3.0))]
+            elif roll < 0.56 and waiting:
+                kind, payload = waiting.pop(0)
+                add(kind, **payload)
+            elif roll < 0.6:
+                add("bolus", bolus_id=bolus, insulin_units=1.5)
+            elif roll < 0.66:
+                add("basal", commanded_rate_milli=rng.randint(0, 900), rate_source_code=rng.randint(0, 5))
+            elif roll < 0.7:
+                add("alarm", category="cgm_alert", action=rng.choice(["activated", "cleared", "ack"]), alarm_id=14)
+            elif roll < 0.8:
+                add("alarm", category="alarm", action="activated", alarm_id=3, raw_name="OcclusionAlarm")
+            elif roll < 0.84:
+                add("alarm", category="alarm", action="activated", alarm_id=4, raw_name="BatteryShutdownAlarm")
+                add("suspend", reason=1, insulin=50)
+            elif roll < 0.88:
+                add("suspend", reason=rng.choice([0, 1]), insulin=100)
+            elif roll < 0.9:
+                add("resume")
+            elif roll < 0.94:
+                add("event", kind=rng.choice(["cartridge_filled", "cannula_filled"]), volume=rng.choice([100, 240]), prime_size=1)
+            else:
+                add("event", kind="user_mode", code=rng.randint(0, 3), previous_code=0)
+    return spark.createDataFrame(rows, sync.RAW)
+
+
+def everything(store):
+    return {n: sorted(map(str, store.read_all(n).collect())) for n in sync.TABLES}
+
+
+@pytest.mark.parametrize("seed, cuts, overlap", [(1, [900, 4400], 0), (2, [2600], 1)])
+def test_incremental_sync_equals_a_rebuild(spark, tmp_path, seed, cuts, overlap):
+    """However the stream is cut, all nine tables are what one sync of everything gives."""
+    whole, parts = ParquetStore(spark, str(tmp_path / "whole")), ParquetStore(spark, str(tmp_path / "parts"))
+    stream = random_stream(spark, seed).cache()
+    end = T + timedelta(days=9)
+    sync.sync(whole, stream, Config(), end)
+    for minute in cuts:
+        sync.sync(parts, stream, Config(), T + timedelta(minutes=minute), overlap_days=overlap)
+    sync.sync(parts, stream, Config(), end, overlap_days=overlap)
+    want, got = everything(whole), everything(parts)
+    assert {n: len(rows) > 1 for n, rows in want.items()} == {n: True for n in sync.TABLES}
+    for n in sync.TABLES:
+        assert got[n] == want[n], n
+    if not overlap:
+        return
+    direct, _ = sync.build_all(stream, Config())
+    for n in sync.TABLES:
+        assert sorted(map(str, conform(direct[n], n).collect())) == want[n], n
+    # Nothing new: nothing is written.  And one pump's news leaves the other's rows alone.
+    before = {n: parts._batches(n) for n in sync.TABLES}
+    assert not any(r.inserted for r in sync.sync(parts, stream, Config(), end, overlap_days=1).values()) and {n: parts._batches(n) for n in sync.TABLES} == before
+    close = spark.createDataFrame([("alarm", end - timedelta(hours=1), 10_000, "a", 10_000, json.dumps({"category": "cgm_alert", "action": "activated", "alarm_id": 14}))], sync.RAW)
+    sync.sync(parts, stream.unionByName(close), Config(), end, overlap_days=1)
+    old, new = before["cgm_gaps"], parts._batches("cgm_gaps")
+    assert len(new) > len(old) and [("b" in b["without"], b["batch"]) for b in new[: len(old)]] == [("b" in b["without"], b["batch"]) for b in old]
 
 
 def test_small_things(spark, tmp_path):
