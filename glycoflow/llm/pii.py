@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, slices
 from .kernels import text_bytes
 from .spans import Span, byte_kind, joined, texts_with, texts_with_run
 
@@ -275,15 +275,29 @@ def _sequences(text: str) -> list[tuple[list[tuple[int, int]], int, int]]:
     return out
 
 
+#: Between what stands before and behind it, what makes an address of two words, and what stands between parts of a domain.
+_AT_MARK = re.compile(r"[\w%+)-]\s*(?:@|[(\[{]\s*at\s*[)\]}]|(?<=\s)at(?=\s))\s*[\w(]", re.I)
+_DOT_MARK = re.compile(r"\w\s*(?:\.|[(\[{]\s*(?:dot|punto)\s*[)\]}]|(?<=\s)(?:dot|punto)(?=\s))\s*\w", re.I)
+#: Words of an e-mail address at most, each of its marks written apart.
+_ADDRESS = 12
+
+
 def _bounded(kind: int, value: str) -> bool:
-    """What defines a kind, whatever the model says: card numbers pass Luhn, parts of an ip are at most 255, phones have 7 to 15 digits."""
+    """What defines a kind, whatever the model says.
+
+    An e-mail address has one mark or word for `at`, behind it one for a dot, and twelve words at most; card numbers
+    pass Luhn; parts of an ip are at most 255; phones have 7 to 15 digits.
+    """
+    if kind == 0:
+        at = [m.end() for m in _AT_MARK.finditer(value)]
+        return len(at) == 1 and _DOT_MARK.search(value, at[0] - 1) is not None and len(value.split()) <= _ADDRESS
     digits = re.sub("[^0-9]", "", value)
     if kind == 1:
         parts = re.findall("[0-9]+", value)
         return len(parts) >= 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts[:4])
     if kind == 2:
         return 14 <= len(digits) <= 19 and _luhn(digits)
-    return 7 <= len(digits) <= 15 if kind == 3 else len(value) >= 6
+    return 7 <= len(digits) <= 15
 
 
 def find_pii(docs: DataFrame, labelled: DataFrame | None = None, cut: float = 0.8, max_labelled: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,7 +321,7 @@ def find_pii(docs: DataFrame, labelled: DataFrame | None = None, cut: float = 0.
     special = byte_kind("0123456789")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             buf, off = text_bytes(batch.column(1))
             look = np.flatnonzero(texts_with_run(buf, off, special, 1) | _spelled(buf, off)).tolist()
             texts = {i: batch.column(1)[i].as_py() for i in look}
