@@ -15,6 +15,8 @@ from .kernels import owner, rolling, text_bytes
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DIM, GRAMS = 1 << 14, (3, 4, 5)
+_SHAPE = np.arange(256, dtype=np.uint8)
+_SHAPE[0x30:0x3A] = 0x30
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -46,9 +48,9 @@ def training_table(spark: SparkSession) -> DataFrame:
 
 
 def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, hashed feature) of every character n-gram, over UTF-8 bytes."""
+    """(text index, hashed feature) of every character n-gram, over UTF-8 bytes; digits are all one: numbers in paths say nothing."""
     buf, off = text_bytes(column)
-    of, values = owner(off), buf.astype(np.uint64) + np.uint64(1)
+    of, values = owner(off), _SHAPE[buf].astype(np.uint64) + np.uint64(1)
     rows, features = [], []
     for k in GRAMS:
         h = rolling(values, k)
@@ -78,7 +80,7 @@ def fit(keys: list[str], labels: np.ndarray, steps: int = 300, rate: float = 0.5
     return w
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None, cut: float = 0.75, max_labelled: int = 20_000, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None, cut: float = 0.6, max_labelled: int = 20_000, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """host, path, rule, verdict and score of every url; one pass, no shuffle.
 
     rules are (allow or block, rule) pairs; the longest that fits gives the verdict.  Elsewhere it is block where the
