@@ -1,11 +1,12 @@
 """Near duplicates: consistent weighted sampling of TF-IDF word shingles, banded, verified by weighted Jaccard similarity.
 
-1. A shingle weighs (1 + ln tf) * (1 + ln((1 + N) / (1 + df)) / ln(1 + N)): term frequency is logarithmic, so that one
-   line repeated over and over doesn't outweigh all else; inverse document frequency is scaled to between 1 (in every
-   document) and 2 (in none), so that the few shingles an edit makes, always rare, don't outweigh the many that a large
-   group of copies shares.  Document frequencies of all shingles are counted over all documents in a table of 4 million
-   slots, six levels an octave (4 MB, broadcast).  A slot counts all its shingles: df is never too low, and too high
-   by (distinct shingles / 4 million) on average; the level's rounding changes ln(1 + df) by 0.058 at most.
+1. A shingle weighs (1 + ln tf) * (1 + ln((1 + N) / (1 + max(df, floor))) / ln 1000): term frequency is logarithmic, so
+   that one line repeated over and over doesn't outweigh all else; inverse document frequency goes from 1 (in every
+   document) to 2 (in one of a thousand or fewer), so that the few shingles an edit makes, always rare, don't outweigh
+   the many that a large group of copies shares, and so that weights are alike at every size.  floor is the largest of
+   1, N / 1000 and T / 2**21, T being the documents' distinct shingles added up.  Document frequencies above it are
+   exact.  As they add up to T at most, fewer than 2**21 shingles have one: that bounds what is broadcast.  A table of 4
+   million slots, in which all shingles are counted first, tells which can; only those are counted one by one.
 2. Improved consistent weighted sampling gives each document 48 samples; two documents share a sample with a
    probability equal to their weighted Jaccard similarity.  Twelve bands of four samples make candidates.
 3. Texts with equal shingles, each as often, count as one from here on.  Rows are sorted by bucket and, inside it, by
@@ -35,8 +36,10 @@ from .kernels import NULL_ID, doc_ids, mix, owner, pack_ints, rolling, span_hash
 
 SHINGLE, SAMPLES, ROWS = 5, 48, 4
 BANDS = SAMPLES // ROWS
-#: Slots of the table of document frequencies, ranges of slots that are added up on their own, levels an octave.
-SLOTS, RANGES, LEVELS = 1 << 22, 64, 6
+#: Slots of the table that finds frequent shingles, and ranges of slots that are added up on their own.
+SLOTS, RANGES = 1 << 22, 64
+#: Frequencies of one document in so many and less count alike; at most so many shingles are more frequent.
+SPREAD, FREQUENT = 1000, 1 << 21
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,23 +73,38 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return (keys & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
+def floor_of(n_docs: int, n_shingles: int) -> float:
+    """Document frequencies up to this count as this."""
+    return max(1.0, n_docs / SPREAD, n_shingles / FREQUENT)
+
+
 class Weights:
-    """TF-IDF weights from the number of documents and the number of documents in each slot of shingles."""
+    """TF-IDF weights from the numbers of documents and of their distinct shingles, and the frequent shingles' exact frequencies."""
 
-    def __init__(self, n_docs: int, df: np.ndarray):
-        self.n_docs, self.n_shingles = n_docs, int(df.sum())
-        self.level = np.rint(LEVELS * np.log2(1.0 + df)).astype(np.uint8)
-        self.idf = 1 + (np.log(1 + n_docs) - np.arange(256) * np.log(2) / LEVELS) / np.log(2 + n_docs)
+    def __init__(self, n_docs: int, n_shingles: int, keys: np.ndarray, df: np.ndarray):
+        self.n_docs, self.n_shingles = n_docs, n_shingles
+        order = np.argsort(keys)
+        floor = floor_of(n_docs, n_shingles)
+        idf = 1 + (np.log(1 + n_docs) - np.log(1 + np.append(np.maximum(df[order], floor), min(floor, n_docs)))) / np.log(SPREAD)
+        self.keys, self.idf, self.rare = keys[order], idf[:-1], max(idf[-1], 1.0)
+        self.some = np.zeros(SLOTS, bool)
+        self.some[_slot(keys)] = True
 
     def of(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        out = self.idf[self.level[_slot(keys)]]
+        out = np.full(len(keys), self.rare)
+        look = np.flatnonzero(self.some[_slot(keys)])
+        if len(look):
+            at = np.minimum(np.searchsorted(self.keys, keys[look]), len(self.keys) - 1)
+            same = self.keys[at] == keys[look]
+            out[look[same]] = self.idf[at[same]]
         more = np.flatnonzero(counts > 1)
         out[more] *= 1 + np.log(counts[more])
         return out
 
 
 def document_frequencies(texts: DataFrame) -> Weights:
-    """Counts all documents' distinct shingles by slot: arrays of a fixed size, added up in Spark whatever the input."""
+    """Counts all documents' distinct shingles by slot, arrays of a fixed size added up in Spark; then, one by one, those
+    in slots that hold more than the floor.  Tasks add up their own counts before they are shuffled."""
     width = SLOTS // RANGES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,11 +119,28 @@ def document_frequencies(texts: DataFrame) -> Weights:
             yield pa.RecordBatch.from_arrays([pa.array([*some, RANGES], pa.int32()), pa.array([part] * len(sums), pa.int32()), pa.array(sums, pa.binary())], ["key", "part", "sums"])
 
     got = summed(texts.mapInArrow(count, "key int, part int, sums binary"), np.int64)
-    df = np.zeros(SLOTS, np.int64)
+    slots = np.zeros(SLOTS, np.int64)
     for r in range(RANGES):
         if r in got:
-            df[r * width : (r + 1) * width] = got[r]
-    return Weights(int(got[RANGES][0]) if RANGES in got else 0, df)
+            slots[r * width : (r + 1) * width] = got[r]
+    n_docs, n_shingles = int(got[RANGES][0]) if RANGES in got else 0, int(slots.sum())
+    floor = floor_of(n_docs, n_shingles)
+    maybe = texts.sparkSession.sparkContext.broadcast(np.packbits(slots > floor))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look, parts, n = np.unpackbits(maybe.value).astype(bool), [], 0
+        for batch in itertools.chain(slices(batches, "text"), [None]):
+            if batch is not None:
+                _, key, _, _ = shingle_bags(batch.column(1))
+                parts.append(key[look[_slot(key)]])
+                n += len(parts[-1])
+            if n >= 2_000_000 or batch is None and n:
+                keys, times = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times)], ["key", "n"])
+                parts, n = [], 0
+
+    counted = texts.mapInArrow(each, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > floor).toArrow()
+    return Weights(n_docs, n_shingles, counted["key"].to_numpy().view(np.uint64), counted["n"].to_numpy())
 
 
 def weighted_samples(offsets: np.ndarray, keys: np.ndarray, weight: np.ndarray) -> np.ndarray:

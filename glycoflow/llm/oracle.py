@@ -75,7 +75,7 @@ SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_d
 FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted)
 """
 
-#: All pairs that share a shingle, with exact document frequencies; classes by following links to the end.
+#: All pairs that share a shingle, with exact document frequencies and the floor under them; classes by following links to the end.
 OP9 = r"""
 WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM texts WHERE len(ws) >= 5),
@@ -83,8 +83,10 @@ windows AS (SELECT doc_id, md5(string_agg(word, ' ') OVER five) AS s, count(*) O
 shingles AS (SELECT doc_id, s FROM windows WHERE n = 5 UNION ALL SELECT doc_id, md5(array_to_string(ws, ' ')) FROM texts WHERE len(ws) BETWEEN 1 AND 4),
 bags AS (SELECT doc_id, s, count(*) AS k FROM shingles GROUP BY doc_id, s),
 frequency AS (SELECT s, count(*) AS df FROM bags GROUP BY s),
-total AS (SELECT count(*) AS n FROM documents),
-weighted AS MATERIALIZED (SELECT doc_id, s, (1 + ln(k)) * (1 + ln((1 + n) / (1.0::DOUBLE + df)) / ln(2 + n)) AS w FROM bags JOIN frequency USING (s), total),
+total AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM bags) AS t),
+weighted AS MATERIALIZED (
+  SELECT doc_id, s, (1 + ln(k)) * (1 + ln((1 + n) / (1.0::DOUBLE + greatest(df, 1, n / 1000.0::DOUBLE, t / 2097152.0::DOUBLE))) / ln(1000)) AS w
+  FROM bags JOIN frequency USING (s), total),
 mass AS MATERIALIZED (SELECT doc_id, sum(w) AS m FROM weighted GROUP BY doc_id),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.w, b.w)) AS both_ FROM weighted a JOIN weighted b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS MATERIALIZED (

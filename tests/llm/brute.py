@@ -145,10 +145,11 @@ def bags(docs):
 
 
 def tf_idf(docs):
-    """Weighted shingles of each document, with exact document frequencies."""
+    """Weighted shingles of each document, with exact document frequencies above the floor."""
     all_bags, n = bags(docs), len(docs)
     df = collections.Counter(s for bag in all_bags.values() for s in bag)
-    return {i: {s: (1 + math.log(k)) * (1 + math.log((1 + n) / (1 + df[s])) / math.log(2 + n)) for s, k in bag.items()} for i, bag in all_bags.items()}
+    floor = max(1, n / 1000, sum(map(len, all_bags.values())) / 2**21)
+    return {i: {s: (1 + math.log(k)) * (1 + math.log((1 + n) / (1 + max(df[s], floor))) / math.log(1000)) for s, k in bag.items()} for i, bag in all_bags.items()}
 
 
 def jaccard(a, b):
@@ -209,7 +210,7 @@ def logistic(keys, labels, texts, dim, steps=300, rate=0.5, ridge=1e-3):
     from glycoflow.llm.kernels import rolling
 
     def row(key):
-        raw, x = np.frombuffer(key.encode(), np.uint8).astype(np.uint64) + np.uint64(1), np.zeros(dim + 1)
+        raw, x = np.frombuffer(re.sub("[0-9]", "0", key).encode(), np.uint8).astype(np.uint64) + np.uint64(1), np.zeros(dim + 1)
         grams = [int(rolling(raw[i : i + k], k)[0]) % dim for k in (3, 4, 5) for i in range(len(raw) - k + 1)]
         for g in grams:
             x[g] += 1 / np.sqrt(len(grams))
