@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,16 @@ def blocks_for(n_bytes: int, mb: float = TEXT_MB, least: int = 61) -> int:
 FILE_ROWS = 20_000
 
 
+def under_own_names(docs: DataFrame, columns: list[str], apply: Callable[..., DataFrame], new: list[str]) -> DataFrame:
+    """apply(docs, *columns) on docs whose columns have numbers for names, so that no name can clash with one used inside.
+
+    apply gives docs' columns in their order and the new ones behind them; docs' get their own names back.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    have = [c.lower() for c in docs.columns]
+    return apply(docs.toDF(*names), *(names[have.index(c.lower())] for c in columns)).toDF(*docs.columns, *new)
+
+
 def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and returns the table: lineage ends there, lost executors don't matter.
 

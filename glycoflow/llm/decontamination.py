@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, stored, summed
+from .common import prepare, slices, stored, summed, under_own_names
 from .kernels import ALNUM, LOWER, covered, owner, pack_ints, per_text, rolling, span_hashes, text_bytes, words
 
 WINDOW, SHINGLE = 10, 3
@@ -166,7 +166,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     A-Z are lower-cased and words are runs of digits, letters and characters beyond ASCII.  A window is `window`
     consecutive words of an item; an item of fewer words, but not none, is one window.  A benchmark of up to
-    `broadcast_mb` MB of text, measured first, is broadcast as arrays of about eight times that size; a larger one is
+    `broadcast_mb` MB, measured first (texts, ids and 64 bytes an item), is broadcast as arrays of about eight times that size; a larger one is
     joined by shuffles, with the same results.
 
     Returns docs' columns, n_words_, n_hit_, n_items_ (long), items_ (sorted array of item ids as strings).  A null
@@ -177,12 +177,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     spark = docs.sparkSession
     prepare(spark)
     new = ["n_words_", "n_hit_", "n_items_", "items_"]
-    docs = docs.drop(*new, "row__")
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).alias("t")).where("length(t) > 0")
     rarity = spark.sparkContext.broadcast(_table(docs, text_col, shingle, _table(items, "t", shingle))[0])
-    if (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) <= broadcast_mb * 1e6:
-        return _judged_in_place(docs, items, rarity, window, shingle, text_col, new)
-    return _joined(docs, items, rarity, window, shingle, text_col, new)
+    size = items.agg(F.sum(F.octet_length("t") + F.octet_length("i") + 64)).first()[0] or 0
+    way = _judged_in_place if size <= broadcast_mb * 1e6 else _joined
+    return under_own_names(docs.drop(*new), [text_col], lambda d, t: way(d, items, rarity, window, shingle, t, new), new)
 
 
 def _judged_in_place(docs: DataFrame, items: DataFrame, rarity, window: int, shingle: int, text_col: str, new: list[str]) -> DataFrame:

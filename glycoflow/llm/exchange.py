@@ -160,7 +160,7 @@ def apply_answers(docs: DataFrame, rule: Rule, apply: Callable, ddl: str, id_col
     back = answers(docs, rule, n_buckets, n_blocks, n_parts, id_col, text_col).repartition(n_parts, "block")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.drop_columns(["__block__"])
+        left = left.drop_columns(["block__"])
         found: dict[int, np.ndarray] = {}
         if right.num_rows:
             got = [read_blob(r["ids"], r["of"], r["pos"]) for r in right.to_pylist()]
@@ -171,5 +171,5 @@ def apply_answers(docs: DataFrame, rule: Rule, apply: Callable, ddl: str, id_col
             found = {int(ids[a]): pos[a:b] for a, b in zip(cuts, [*cuts[1:], len(ids)])}
         return apply(left, found)
 
-    texts = docs.withColumn("__block__", block_of(n_blocks, id_col)).repartition(n_parts, "__block__")
-    return texts.groupBy("__block__").cogroup(back.groupBy("block")).applyInArrow(meet, ddl)
+    texts = docs.withColumn("block__", block_of(n_blocks, id_col)).repartition(n_parts, "block__")
+    return texts.groupBy("block__").cogroup(back.groupBy("block")).applyInArrow(meet, ddl)

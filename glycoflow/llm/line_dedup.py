@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import under_own_names
 from .exchange import Rule, apply_answers
 from .kernels import LOWER, PLAIN, doc_ids, mix, owner, per_text, span_hashes, text_bytes
 
@@ -89,7 +90,11 @@ def dedup_lines(docs: DataFrame, threshold: int = 3, least: int = 20, id_col: st
     sorts before all others.  An empty table gives an empty result.  Other columns pass through; earlier columns with
     the two new names are replaced.
     """
-    docs = docs.drop("line_count_", "line_dropped_")
+    new = ["line_count_", "line_dropped_"]
+    return under_own_names(docs.drop(*new), [id_col, text_col], lambda d, i, t: _dedup(d, threshold, least, i, t), new)
+
+
+def _dedup(docs: DataFrame, threshold: int, least: int, id_col: str, text_col: str) -> DataFrame:
     rule = line_rule(threshold, least)
 
     def apply(table: pa.Table, found: dict) -> pa.Table:

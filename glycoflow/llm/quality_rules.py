@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices
+from .common import prepare, slices, under_own_names
 from .kernels import PLAIN, covered, mix, owner, per_text, powers, span_hashes, text_bytes, words
 from .line_dedup import lines
 
@@ -130,8 +130,10 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = 10,
     """
     prepare(docs.sparkSession)
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat", "base_failed", "kept"]
-    docs = docs.drop(*new)
+    return under_own_names(docs.drop(*new), [text_col], lambda d, t: _counted(d, t, min_words, max_repeat_percent, max_longest, new), new)
 
+
+def _counted(docs: DataFrame, text_col: str, min_words: int, max_repeat_percent: int, max_longest: int, new: list[str]) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             got = rule_counts(batch.column(text_col))

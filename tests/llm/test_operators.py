@@ -139,6 +139,34 @@ def test_large_buckets_are_banded_again(spark):
     assert {r["class_id"] for r in near_duplicates(df, bucket=20).collect()} == {0}
 
 
+def test_weights_are_alike_at_every_size(spark):
+    """Exact frequencies above the floor; never below 1 nor above 2; the same text weighs the same in ten times the data."""
+    import numpy as np
+
+    from glycoflow.llm import minhash
+
+    def weigh(df):
+        w = minhash.document_frequencies(df)
+        offsets, keys, counts, _ = minhash.shingle_bags(pa.array([SHARED, BASE]))
+        return w, w.of(keys, np.ones(len(keys), np.int64)), offsets
+
+    import pyarrow as pa
+
+    one = [(i, f"{SHARED if i % 4 == 0 else BASE if i == 1 else ''} {prose(30)}") for i in range(400)]
+    w, got, off = weigh(spark.createDataFrame(one, DDL).repartition(5))
+    assert np.allclose(got[: off[1]], 1 + np.log(401 / 101) / np.log(1000)) and np.allclose(got[off[1] :], 1 + np.log(401 / 2) / np.log(1000))
+    ten = spark.createDataFrame(one, DDL).crossJoin(spark.range(10).withColumnRenamed("id", "k")).select("doc_id", F.concat_ws(" ", "text", F.when(F.col("k") > 0, F.concat(F.lit("own"), "k", "doc_id"))).alias("text"))
+    w10, got10, _ = weigh(ten)
+    # The ones in (1 + N) / (1 + df) change ln by ln 2 at most.
+    assert w10.n_docs == 4000 and np.abs(got10 - got).max() <= np.log(2) / np.log(1000)
+    # One huge text beside a short one: every weight is 1 or more.
+    few, _, _ = weigh(spark.createDataFrame([(1, prose(300_000)), (2, "a b c d e f")], DDL))
+    for x in (w, w10, few, Weights(0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)), Weights(10**9, 5 * 10**11, np.array([1], np.uint64), np.array([10**9]))):
+        assert 1 <= x.rare <= 2.001 and (x.idf >= 1).all() and (x.idf <= 2.001).all()
+    huge = Weights(10**9, 5 * 10**11, np.array([1], np.uint64), np.array([10**9]))
+    assert huge.rare > 1.99 and huge.of(np.array([1, 2], np.uint64), np.array([1, 1])).tolist() == [1.0, huge.rare]
+
+
 def test_long_runs_are_searched_across(spark):
     """A link between rows a run apart isn't proposed; its bucket is named as unsettled, and cells of blocks find it."""
     import numpy as np
@@ -156,7 +184,7 @@ def test_long_runs_are_searched_across(spark):
     keys = [np.arange(20, dtype=np.uint64) + np.uint64(1000 * (29 if i == 50 else i)) for i in range(n)]
     vectors = [(i, pack_ints(np.diff(k, prepend=np.uint64(0))), ones) for i, k in enumerate(keys)]
     df = spark.createDataFrame(rows, "doc_id long, sig binary, bands array<long>, key long, class_id long")
-    links = minhash._across(df, spark.createDataFrame(vectors, "doc_id long, h binary, c binary"), spark.sparkContext.broadcast(Weights(1, np.zeros(minhash.SLOTS))), 0.8, block=10)
+    links = minhash._across(df, spark.createDataFrame(vectors, "doc_id long, h binary, c binary"), spark.sparkContext.broadcast(Weights(1, 1, np.zeros(0, np.uint64), np.zeros(0, np.int64))), 0.8, block=10)
     assert {(x["a"], x["b"]) for x in links.collect()} == {(29, 50)}
 
 
@@ -287,7 +315,7 @@ def test_urls_on_a_whole_table(spark):
     for r in got:
         host, path = keys[r["page_id"]]
         fits = [(len(rule), rule, what) for what, rule in URL_RULES if (host == rule.split("/")[0] or host.endswith("." + rule.split("/")[0])) and path.startswith("/" + rule.split("/", 1)[1])]
-        want = max(fits)[1:] if fits else (None, "block" if score[r["page_id"]] >= 0.75 else "allow")
+        want = max(fits)[1:] if fits else (None, "block" if score[r["page_id"]] >= 0.6 else "allow")
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, *want) and abs(r["score"] - score[r["page_id"]]) < 1e-6
 
 
@@ -298,9 +326,19 @@ def test_url_model_on_rows_it_hasnt_seen():
     rows = url_filter.labelled_urls()
     keys, y, p = ["".join(parts_of(u)) for u, _ in rows], np.array([x for _, x in rows], float), np.zeros(len(rows))
     for fold in range(5):
-        rest = [i for i in range(len(rows)) if i % 5 != fold]
-        p[fold::5] = url_filter._score(url_filter.fit([keys[i] for i in rest], y[rest]), pa.array(keys[fold::5]))
-    assert (p[y == 1][:, None] > p[y == 0]).mean() > 0.93 and y[p >= 0.75].mean() > 0.93 and (p[y == 1] >= 0.75).mean() > 0.6
+        # A bad url and the harmless one beside it, which has the same path, stay in one fold.
+        own = np.arange(len(rows)) // 2 % 5 == fold
+        weights = url_filter.fit([k for k, x in zip(keys, own) if not x], y[~own])
+        p[own] = url_filter._score(weights, pa.array([k for k, x in zip(keys, own) if x]))
+    assert (p[y == 1][:, None] > p[y == 0]).mean() > 0.95 and y[p >= 0.6].mean() > 0.93 and (p[y == 1] >= 0.6).mean() > 0.85
+
+
+def test_url_model_blocks_most_bad_hosts_of_pages(spark):
+    """Pages whose host names say what they are, outside the rules: most are blocked, of the others next to none."""
+    got = QUERIES["op3_url_filter"](spark, "/root/testdata/sf0.1").where("rule is null and host <> ''").collect()
+    bad = [r for r in got if re.search("casino|pills|bets|adult|spam|ads-", r["host"])]
+    rest = [r for r in got if r not in bad]
+    assert sum(r["verdict"] == "block" for r in bad) > 0.75 * len(bad) and sum(r["verdict"] == "block" for r in rest) <= 0.01 * len(rest)
 
 
 def test_quality_scores(spark):
@@ -380,6 +418,23 @@ def test_rows_are_judged_by_their_text_alone(spark, name):
     assert Counter(str(tuple(r[c] for c in cols)) for r in f(odd).collect()) == Counter(str(tuple(r[c] for c in cols)) for r in f(plain).collect())
 
 
+CLASHES = ["__block__", "block__", "row__", "block", "c0", "c1", "bucket", "key", "line_count", "Hash", "span.s", "of", "at", "item", "items", "n"]
+
+
+@pytest.mark.parametrize("name", ["lines", "rules", "decontaminate", "joined"])
+def test_any_column_name_passes_through(spark, name):
+    """Columns of whatever name keep their values, and rows are those of a table without them."""
+    bench = spark.createDataFrame([("b", SHARED)], "item_id string, text string")
+    f = every(spark).get(name, lambda d: decontaminate(d, bench, broadcast_mb=0))
+    plain = spark.createDataFrame([(i, t) for i, t in ROWS], DDL)
+    more = spark.createDataFrame([(i, t, *range(len(CLASHES))) for i, t in ROWS], f"{DDL}, " + ", ".join(f"`{c}` int" for c in CLASHES)).repartition(3)
+    got, want = f(more), f(plain)
+    assert set(got.columns) == {*want.columns, *CLASHES}
+    shown = lambda rows, cols: Counter(str([r[c] for c in cols]) for r in rows)
+    rows_ = got.collect()
+    assert shown(rows_, want.columns) == shown(want.collect(), want.columns) and {tuple(r[c] for c in CLASHES) for r in rows_} == {tuple(range(len(CLASHES)))}
+
+
 def test_null_and_repeated_ids_across_documents(spark):
     """A null id sorts before all others; rows that share an id are one document."""
     df = spark.createDataFrame([(None, SHARED), (1, SHARED), (1, SHARED), (2, f"{SHARED} end"), (None, None)], DDL).repartition(3)
