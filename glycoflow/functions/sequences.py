@@ -1,4 +1,4 @@
-"""Expressions over small sorted arrays: slopes of a window, greedy thinning, circular smoothing."""
+"""Expressions over small sorted arrays: slopes of a window, circular smoothing."""
 
 from __future__ import annotations
 
@@ -14,12 +14,6 @@ def theil_sen(samples: str) -> Column:
             else (element_at(s, cast((size(s) + 1) div 2 as int)) + element_at(s, cast(size(s) div 2 + 1 as int))) / 2D end)[0]""")
 
 
-def greedy_thin(rows: str, position: str, gap: int) -> Column:
-    """Of a sorted array of structs keeps the first, then each whose position is the last kept one's or `gap` or more beyond."""
-    last = f"element_at(kept, -1).{position}"
-    return F.expr(f"aggregate({rows}, filter({rows}, x -> false), (kept, x) -> case when size(kept) = 0 or x.{position} - {last} >= {gap} or x.{position} = {last} then concat(kept, array(x)) else kept end)")
-
-
 def smooth_circular(values: str, half: int) -> Column:
     """Triangular weights 1..h+1..1 around each value, wrapping over the values there are; fewer than h stay as they are."""
     n = f"size({values})"

@@ -145,15 +145,18 @@ def meal_runs(cgm: DataFrame, requests: DataFrame, m: MealRun, high: float, min_
     ok = F.coalesce(F.col("gap").between(min_gap, max_gap) & (F.col("rise") >= m.rise_threshold_per_5min), F.lit(False))
     ahead = w.rowsBetween(0, s - 1)
     rows = rows.withColumn("_ok", ok.cast("int")).withColumn("_run", F.sum("_ok").over(ahead)).withColumn("rate", F.avg("rise").over(ahead))
-    food = requests.where(F.col("bolus_category").isin(FOOD_CARRYING)).select("pump_serial", F.unix_seconds("timestamp").alias("ft"))
     runs = thin(rows.where(F.col("_run") == s), "pump_serial", "row", s)
-    taken = range_join(runs.select("pump_serial", "row", "t"), food, "pump_serial", "t", "ft", m.no_bolus_window_minutes * 60, 0).select("pump_serial", "row").distinct()
-    free = runs.join(taken, ["pump_serial", "row"], "left_anti")
+    # Food boluses before and readings after a run come from one side of one join; the runs themselves are read once.
+    food = requests.where(F.col("bolus_category").isin(FOOD_CARRYING)).select("pump_serial", F.unix_seconds("timestamp").alias("pt"), F.lit(None).cast("int").alias("pbg"))
     later = cgm.select("pump_serial", F.unix_seconds("timestamp").alias("pt"), F.col("bg_mgdl").alias("pbg"))
-    peaks = range_join(free.select("pump_serial", "row", "t"), later, "pump_serial", "t", "pt", 0, 7200).groupBy("pump_serial", "row").agg(F.max("pbg").alias("bg_peak"))
+    gap, peak = F.col("_r_pt") - F.col("_t"), F.col("_r_pbg")
+    before = m.no_bolus_window_minutes * 60
+    take = {"_taken": (F.col("_r_food") & (gap >= -before) & (gap <= 0), gap, F.lit(True)), "bg_peak": (~F.col("_r_food") & (gap >= 0), -peak, peak)}
+    side = food.withColumn("food", F.lit(True)).unionByName(later.withColumn("food", F.lit(False)))
+    free = best_matches(runs, side, "pump_serial", ["row"], "t", "pt", before, 7200, take).where("_taken is null")
     hour = F.hour(local("timestamp", tz) if tz else F.col("timestamp"))
     label = F.lit("off_window")
     for i, (a, b) in reversed(list(enumerate(m.meal_windows))):
         label = F.when((hour >= a) & (hour < b), f"window_{i}").otherwise(label)
     sure = F.least(F.lit(1.0), F.col("rate") / (2 * m.rise_threshold_per_5min)) + F.when(label != "off_window", 0.1).otherwise(0.0) + F.when(F.col("bg_peak") > high, 0.1).otherwise(0.0)
-    return free.join(peaks, ["pump_serial", "row"]).select("pump_serial", "seqnum", "timestamp", F.col("before").cast("int").alias("bg_start"), "bg_peak", F.col("rate").alias("rise_rate_per_5min"), label.alias("meal_window"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)).alias("confidence"))
+    return free.select("pump_serial", "seqnum", "timestamp", F.col("before").cast("int").alias("bg_start"), "bg_peak", F.col("rate").alias("rise_rate_per_5min"), label.alias("meal_window"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)).alias("confidence"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import greedy_thin
+from ..shipping import ship
 
 
 def pair(df: DataFrame, by: str, order: list[str], opens: Column, closes: Column, t: str = "timestamp") -> DataFrame:
@@ -25,15 +29,61 @@ def sessions(df: DataFrame, by: str, order: list[str], t: Column, gap_seconds: i
     return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def thin(df: DataFrame, by: str, position: str, gap: int) -> DataFrame:
+#: Gaps that one chunk of a series spans when it is thinned.
+SPAN = 168
+
+
+def _kept(positions: np.ndarray, gap: int) -> np.ndarray:
+    """For each of the ascending positions the place of the last one that stays if thinning starts there: pointers to the
+    first position a gap or more beyond, doubled until all have come to an end."""
+    ahead = np.searchsorted(positions, positions + gap)
+    last = np.where(ahead < len(positions), ahead, np.arange(len(positions)))
+    while True:
+        beyond = last[last]
+        if (beyond == last).all():
+            return last
+        last = beyond
+
+
+def thin(df: DataFrame, by: str, position: str, gap: int, span: int = SPAN) -> DataFrame:
     """Greedy thinning by position: the first of each series stays, then each one `gap` or more after the last that stayed.
 
-    Positions a gap or more apart start anew, so a series is cut there first and no array holds more than one run.
-    Whole rows travel in the arrays: the input is read once, and dealt by series once.
+    A chunk of `span` gaps maps where thinning may start in it (only positions in its first gap and one beyond can) to
+    where it then stands at its end.  These maps, a few numbers a chunk, are followed along a series; each chunk is then
+    thinned from its own start.  So a series is shared among tasks and takes time in line with its rows, however
+    dense it is.  Both passes over the rows take them from one shuffle.  Rows at a position that stays all stay.
     """
-    w = Window.partitionBy(by).orderBy(position)
-    new = F.when(F.col(position) - F.lag(position).over(w) < gap, 0).otherwise(1)
-    runs = df.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
-    row = F.struct(F.col(position), *(F.col(c) for c in df.columns if c not in (by, position)))
-    arrays = runs.groupBy(by, "_run").agg(F.sort_array(F.collect_list(row)).alias("_all"))
-    return arrays.select(by, F.explode(greedy_thin("_all", position, gap)).alias("_row")).select(by, "_row.*").select(df.columns)
+    ship(df.sparkSession)
+    kind, width = df.schema[by].dataType.simpleString(), gap * span
+    dealt = df.withColumn("_chunk", F.floor(F.col(position) / width).cast("long"))
+
+    def reach(table: pa.Table) -> pa.Table:
+        p, chunk = np.unique(table[position].to_numpy()), table["_chunk"][0].as_py()
+        starts = p[: np.searchsorted(p, chunk * width + gap) + 1]
+        ends = p[_kept(p, gap)[: len(starts)]]
+        return pa.table({by: table[by][:1], "_chunk": table["_chunk"][:1], "starts": pa.array([starts.tolist()], pa.list_(pa.int64())), "ends": pa.array([ends.tolist()], pa.list_(pa.int64()))})
+
+    def follow(table: pa.Table) -> pa.Table:
+        rows, free = [], None
+        for chunk, starts, ends in sorted(zip(*(table[c].to_pylist() for c in ("_chunk", "starts", "ends")))):
+            i = 0 if free is None else bisect_left(starts, free)
+            if i < len(starts):
+                rows.append((chunk, starts[i]))
+                free = ends[i] + gap
+        one = table[by].take(pa.array([0] * len(rows), pa.int64()))
+        return pa.table({by: one, "_chunk": pa.array([c for c, _ in rows], pa.int64()), "_start": pa.array([s for _, s in rows], pa.int64())})
+
+    def stay(rows: pa.Table, start: pa.Table) -> pa.Table:
+        if not start.num_rows or not rows.num_rows:
+            return rows.slice(0, 0).drop_columns(["_chunk"])
+        at, free, kept = rows[position].to_numpy(), start["_start"][0].as_py(), []
+        p = np.unique(at)
+        i = int(np.searchsorted(p, free))
+        while i < len(p):
+            kept.append(p[i])
+            i = int(np.searchsorted(p, p[i] + gap))
+        return rows.filter(pa.array(np.isin(at, kept))).drop_columns(["_chunk"])
+
+    maps = dealt.groupBy(by, "_chunk").applyInArrow(reach, f"`{by}` {kind}, _chunk long, starts array<long>, ends array<long>")
+    starts = maps.groupBy(by).applyInArrow(follow, f"`{by}` {kind}, _chunk long, _start long")
+    return dealt.groupBy(by, "_chunk").cogroup(starts.groupBy(by, "_chunk")).applyInArrow(stay, df.schema)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as m
-from ..functions.time import between, expected_readings, local_date
-from ..operators.variability import conga, mage, modd
+from ..functions.time import between, expected_readings, local, second_of_day
+from ..operators.variability import mage_of, swings
 
 MIN_DAYS, MIN_ACTIVE = 14, 70.0
 
@@ -19,13 +19,18 @@ def cgm_report(cgm: DataFrame, since: datetime, until: datetime, tz: str, group:
 
     GMI, GRI and its components are null unless 14 local days and 70 % of the expected readings are there; LBGI and HBGI
     are null without readings, and so is tir_config, the time in the configured range.
+
+    Two scans: one deals readings by second of the day, where MODD compares consecutive days, and then adds everything
+    up; the other deals them by chunk of time for CONGA and MAGE.  A pooled group's chunks are shorter.
     """
     rows = between(cgm, "timestamp", since, until)
     rows = rows.withColumn("grp", F.col(group) if group else F.lit("all")).withColumn("bg_mgdl", m.valid_bg())
     bg, bands = m.bg_column(), m.time_in_bands()
-    expected = expected_readings(since, until)
-    one = rows.groupBy("grp").agg(
-        F.count("bg_mgdl").alias("n_readings"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.when(bg.isNotNull(), local_date("timestamp", tz))).alias("n_days"),
+    expected, wall = expected_readings(since, until), local("timestamp", tz)
+    same_second = Window.partitionBy("grp", "_second").orderBy("_day", "seqnum").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = rows.withColumns({"_second": second_of_day(wall), "_day": F.to_date(wall)}).withColumn("_diff", F.abs(bg - F.last(bg, ignorenulls=True).over(same_second)))
+    one = dealt.groupBy("grp").agg(
+        F.count("bg_mgdl").alias("n_readings"), F.count(F.lit(1)).alias("n_rows"), F.size(F.collect_set(F.when(bg.isNotNull(), F.col("_day")))).cast("long").alias("n_days"), F.avg("_diff").alias("modd"),
         *(c.alias(k) for k, c in bands.items()), m.time_in_range(bg, low, high, None).alias("tir_config"), F.avg(bg).alias("mean_bg"), F.median(bg).alias("median_bg"), F.stddev_samp(bg).alias("sd_bg"), m.lbgi().alias("lbgi"), m.hbgi().alias("hbgi"),
         F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"),
     )
@@ -40,6 +45,5 @@ def cgm_report(cgm: DataFrame, since: datetime, until: datetime, tz: str, group:
     )
     one = one.withColumn("cv_stable", F.col("cv_percent") <= 36).withColumn("lbgi", F.when(some, F.col("lbgi"))).withColumn("hbgi", F.when(some, F.col("hbgi")))
     known = rows.where("bg_mgdl is not null")
-    for side in (modd(known, "grp", tz), conga(known, "grp"), mage(known, "grp")):
-        one = one.join(side, "grp", "left")
-    return one
+    got = one.join(swings(known, "grp", 7 * 86400 if group else 6 * 3600), "grp", "left")
+    return got.withColumn("modd", F.when(F.col("n_days") >= 2, F.col("modd"))).withColumn("mage", F.when(some, mage_of(F.col("sd_bg"), F.col("n_readings")))).drop("amplitude", "times")

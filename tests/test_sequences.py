@@ -4,7 +4,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import functions as F
 
 from glycoflow.config import MealRise
-from glycoflow.operators import detect
+from glycoflow.operators import detect, variability
 from glycoflow.operators.build import build_suspension
 from glycoflow.operators.joins import range_join
 from glycoflow.operators.sequences import sessions, thin
@@ -21,7 +21,37 @@ def test_thin(spark):
     for x in xs:
         if not kept or x - kept[-1] >= 37:
             kept.append(x)
-    assert sorted(r["x"] for r in thin(spark.createDataFrame([("a", x) for x in xs], "s string, x long"), "s", "x", 37).collect()) == kept
+    two = spark.createDataFrame([(s, x - 2500, i % 3) for s in "ab" for x in xs for i in range(1 + (x % 5 == 0))], "s string, x long, other int").repartition(3)
+    for span in (1, 3, 168):
+        got = thin(two, "s", "x", 37, span)
+        assert got.columns == two.columns and sorted((r["s"], r["x"]) for r in got.select("s", "x").distinct().collect()) == sorted((s, x - 2500) for s in "ab" for x in kept)
+        assert got.count() == 2 * sum(1 + (x % 5 == 0) for x in kept)
+    assert thin(two.where("false"), "s", "x", 37).count() == 0
+
+
+def test_thinning_a_dense_series_takes_linear_time(spark):
+    """Half a million rows without a gap: one run, shared among tasks."""
+    df = spark.range(500_000).select(F.lit("a").alias("s"), F.col("id").alias("x"))
+    assert thin(df, "s", "x", 12).agg(F.count("x"), F.max("x")).first()[:] == (41_667, 499_992)
+
+
+def test_swings_are_conga_and_mage_of_any_chunks(spark):
+    """Flat stretches, repeated instants, chunks of one reading or none: as the window pipelines over whole series give."""
+    rng = random.Random(6)
+    rows, n = [], 0
+    for pump, spread in (("a", 3), ("b", 60), ("c", 0), ("d", 40)):
+        t = 0
+        for _ in range(400 if pump != "d" else 2):
+            t += rng.choice([0, 300, 300, 300, 299, 900, 9000])
+            rows.append((pump, n, START + timedelta(seconds=t), 100 + rng.randint(-spread, spread)))
+            n += 1
+    cgm = spark.createDataFrame(rows, "pump_serial string, seqnum long, timestamp timestamp, bg_mgdl int").repartition(5)
+    stats = cgm.groupBy("pump_serial").agg(F.stddev_samp("bg_mgdl").alias("sd"), F.count("bg_mgdl").alias("n"))
+    shown = lambda df: {r["pump_serial"]: [x if x is None else round(x, 9) for x in (r["conga"], r["mage"])] for r in df.collect()}
+    want = shown(variability.conga(cgm, "pump_serial").join(variability.mage(cgm, "pump_serial"), "pump_serial"))
+    for chunk in (301, 3600, 40_000, 10**7):
+        got = variability.swings(cgm, "pump_serial", chunk).join(stats, "pump_serial").withColumn("mage", variability.mage_of(F.col("sd"), F.col("n")))
+        assert shown(got) == want and len(want) == 4, chunk
 
 
 def test_pairing_like_a_state_machine(spark):
