@@ -1,19 +1,21 @@
 """The live loop: readings stream in, fast rises are detected with state for each pump, alerts are claimed once.
 
-State holds a pump's last window of readings, one for each sensor bucket, and when it last fired.  A micro-batch may run
-again after a failure; claiming by event_ref makes that harmless.
+A pump's state is its last window of readings, when it last fired and how many readings came too late.  A timer at the
+end of an idle time, by the stream's watermark, clears the state of pumps that fall silent.  A micro-batch may run again
+after a failure; claiming by event_ref makes that harmless.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta, timezone
+from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import Config
 from ..functions.time import iso_minute
@@ -24,46 +26,98 @@ from ..sources.storage import ParquetStore
 
 KIND = "meal_rise"
 _OUT = "pump_serial string, anchor_ts timestamp, start_level int, end_level int, slope double, needed double"
-_STATE = "t array<long>, v array<int>, m array<double>, fired long"
-
-
-def theil_sen(t: np.ndarray, v: np.ndarray) -> float | None:
-    i, j = np.triu_indices(len(t), 1)
-    dt = t[j] - t[i]
-    slopes = (v[j] - v[i])[dt > 0] * 60.0 / dt[dt > 0]
-    return float(np.median(slopes)) if len(slopes) else None
-
-
-def _rises(config: Config) -> Callable:
-    c = config.meal_rise
-    width, step = c.window_minutes * 60, c.expected_interval_minutes * 60
-    slots = c.window_minutes // c.expected_interval_minutes + 1
-
-    def rises(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        t, v, m, fired = state.get if state.exists else ([], [], [], -(2**62))
-        oldest = c.max_reading_age_minutes * 60
-        kept = {a // step: (a, b, w) for a, b, w in zip(t, v, m)}
-        new = pd.concat(list(batches)).sort_values(["t", "seqnum"])
-        out = []
-        for a, b, w, seen in new[["t", "bg_mgdl", "multiplier", "seen"]].itertuples(index=False):
-            if kept and a < max(x[0] for x in kept.values()):
-                continue  # late readings are left to the batch path
-            kept[a // step] = (int(a), int(b), float(w))  # the latest of a bucket wins
-            kept = {k: x for k, x in kept.items() if x[0] >= a - width}
-            rows = sorted(kept.values())
-            if len(rows) < c.min_samples or len(rows) / slots < c.min_coverage or not c.start_level_min <= rows[0][1] <= c.start_level_max:
-                continue
-            slope = theil_sen(np.array([x[0] for x in rows]), np.array([x[1] for x in rows], float))
-            needed = c.base_slope_mgdl_per_min * w
-            # A rise that is stale when it arrives isn't sent, and so doesn't begin a pause either.
-            if slope is not None and slope >= needed and a - fired >= c.refractory_minutes * 60 and seen - a <= oldest:
-                fired = int(a)
-                out.append((key[0], pd.Timestamp(int(a), unit="s"), rows[0][1], rows[-1][1], slope, needed))
-        rows = sorted(kept.values())
-        state.update(([x[0] for x in rows], [x[1] for x in rows], [x[2] for x in rows], fired))
+#: How late readings may be for the watermark, and how long after its last reading a pump's state is kept.
+LATE, IDLE_HOURS = "1 hour", 6
+#: The state store that timers and state variables need.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def slopes_of(t: np.ndarray, v: np.ndarray, first: np.ndarray, last: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Theil-Sen slopes of many windows of one series at once: number of samples, first value and slope of each.
+
+    Window i holds the readings from first[i] to last[i] for which keep(j, last) holds: those not followed by another
+    of their sensor bucket up to last[i].  A window has few samples, so all pairs of all windows are one small array.
+    """
+    width = int((last - first).max()) + 1 if len(first) else 0
+    at = first[:, None] + np.arange(width)
+    at = np.minimum(at, last[:, None])
+    inside = (first[:, None] + np.arange(width) <= last[:, None]) & ((at == last[:, None]) | keep[at])
+    order = np.argsort(~inside, axis=1, kind="stable")
+    at, n = np.take_along_axis(at, order, axis=1), inside.sum(axis=1)
+    most = int(n.max()) if len(n) else 0
+    at, valid = at[:, :most], np.arange(most) < n[:, None]
+    i, j = np.triu_indices(most, 1)
+    dt = (t[at[:, j]] - t[at[:, i]]).astype(float)
+    ok = valid[:, j] & valid[:, i] & (dt > 0)
+    slopes = np.where(ok, (v[at[:, j]] - v[at[:, i]]) * 60.0 / np.where(ok, dt, 1.0), np.nan)
+    median = np.full(len(n), np.nan)
+    some = ok.any(axis=1)
+    median[some] = np.nanmedian(slopes[some], axis=1)
+    return n, v[at[:, 0]] if most else v[:0], median
+
+
+class Rises(StatefulProcessor):
+    """Fires where a pump's trailing window rises fast enough, at least the refractory time after it last fired."""
+
+    def __init__(self, config: Config, idle_hours: float = IDLE_HOURS):
+        self.rise, self.idle = config.meal_rise, idle_hours
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "t array<bigint>, v array<int>, m array<double>")
+        self.fired = handle.getValueState("fired", "t bigint")
+        self.late = handle.getValueState("late", "n bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        c = self.rise
+        width, step = c.window_minutes * 60, c.expected_interval_minutes * 60
+        t0, v0, m0 = (np.array(x) for x in self.window.get()) if self.window.exists() else (np.zeros(0),) * 3
+        new = pd.concat(list(rows)).sort_values(["t", "seqnum"], kind="stable")
+        fresh = new[new["t"] >= t0.max()] if len(t0) else new
+        if len(fresh) < len(new):  # late readings are counted, and left to the batch path
+            self.late.update(((self.late.get()[0] if self.late.exists() else 0) + len(new) - len(fresh),))
+        if not len(fresh):
+            return
+        t = np.concatenate([t0, fresh["t"]]).astype(np.int64)
+        v, m = np.concatenate([v0, fresh["bg_mgdl"]]).astype(float), np.concatenate([m0, fresh["multiplier"]]).astype(float)
+        bucket = t // step
+        keep = np.append(bucket[1:] != bucket[:-1], True)  # of a bucket the latest counts
+        last = np.arange(len(t0), len(t))
+        first = np.searchsorted(t, t[last] - width, "left")
+        n, start, slope = slopes_of(t, v, first, last, keep)
+        needed = c.base_slope_mgdl_per_min * m[last]
+        slots = c.window_minutes // c.expected_interval_minutes + 1
+        hit = (n >= c.min_samples) & (n / slots >= c.min_coverage) & (start >= c.start_level_min) & (start <= c.start_level_max)
+        # A rise that is stale when it arrives isn't sent, and so doesn't begin a pause either.
+        hit &= (slope >= needed) & (fresh["seen"].to_numpy() - t[last] <= c.max_reading_age_minutes * 60)
+        fired, out = self.fired.get()[0] if self.fired.exists() else -(2**62), []
+        for i in np.flatnonzero(hit).tolist():
+            if t[last[i]] - fired >= c.refractory_minutes * 60:
+                fired = int(t[last[i]])
+                out.append((key[0], pd.Timestamp(fired, unit="s"), int(start[i]), int(v[last[i]]), float(slope[i]), float(needed[i])))
+        if out:
+            self.fired.update((fired,))
+        stay = np.flatnonzero((t >= t[-1] - width) & keep)
+        self.window.update((t[stay].tolist(), v[stay].astype(int).tolist(), m[stay].tolist()))
+        for old in self.handle.listTimers():
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(int(t[-1] * 1000 + self.idle * 3_600_000))
         yield pd.DataFrame(out, columns=["pump_serial", "anchor_ts", "start_level", "end_level", "slope", "needed"])
 
-    return rises
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        """An idle pump's readings and pause are over by then."""
+        self.window.clear()
+        self.fired.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def state_of(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
+    """A state variable of the loop by pump, read from its checkpoint: `window`, `fired` or `late` (readings too late so far)."""
+    got = spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    return got.select(F.col("key.pump_serial").alias("pump_serial"), "value.*")
 
 
 def live_readings(raw: DataFrame, config: Config) -> DataFrame:
@@ -85,11 +139,13 @@ def detections(readings: DataFrame, config: Config, seen: Column | None = None)
     """Streaming (pump_serial, seqnum, timestamp, bg_mgdl) to rises that fire, at least the refractory time apart.
 
     seen: when readings arrive, by default the micro-batch's time; rises older than the config allows don't fire.
+    Readings behind the watermark are dropped and counted by Spark; those behind their pump's newest, by its state.
     """
     ship(readings.sparkSession)
+    readings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     hour: Column = F.hour(local("timestamp", config.timezone))
-    rows = readings.where("bg_mgdl is not null").select("pump_serial", "seqnum", F.unix_seconds("timestamp").alias("t"), "bg_mgdl", hour_multiplier(hour, config.meal_rise).alias("multiplier"), F.unix_seconds(F.current_timestamp() if seen is None else seen).alias("seen"))
-    return rows.groupBy("pump_serial").applyInPandasWithState(_rises(config), _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = readings.where("bg_mgdl is not null").withWatermark("timestamp", LATE).select("pump_serial", "timestamp", "seqnum", F.unix_seconds("timestamp").alias("t"), "bg_mgdl", hour_multiplier(hour, config.meal_rise).alias("multiplier"), F.unix_seconds(F.current_timestamp() if seen is None else seen).alias("seen"))
+    return rows.groupBy("pump_serial").transformWithStateInPandas(Rises(config), _OUT, "Append", "EventTime")
 
 
 def claim(store: ParquetStore, config: Config, send: Callable[[Row], bool], now: Callable[[], datetime] = lambda: datetime.now(timezone.utc)) -> Callable[[DataFrame, int], None]:

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta, timezone
 
 from glycoflow.config import Config, MealRise
 from glycoflow.sources.storage import ParquetStore
-from glycoflow.streaming.alerts import claim, due_retries, live_readings, newest, start
+from glycoflow.streaming.alerts import claim, due_retries, live_readings, newest, slopes_of, start, state_of
 
 T = datetime(2026, 5, 13, 20, tzinfo=timezone.utc)
 DDL = "pump_serial string, seqnum long, timestamp timestamp, bg_mgdl int"
@@ -72,3 +72,54 @@ def test_retries(spark):
     log = spark.createDataFrame([row("failed:a", 60), row("failed:b", 60), row("b", 30), row("failed:c", 5), *[row("failed:d", 100 + i) for i in range(3)], row("failed:e", 2000)], "kind string, anchor_timestamp timestamp, payload string, created_at timestamp")
     alerts = spark.createDataFrame([(x, T - timedelta(minutes=2000 if x == "e" else 300 if x != "g" else 5)) for x in "abcdefg"], "event_ref string, fired_at timestamp")
     assert sorted(r["event_ref"] for r in due_retries(alerts, log, T).collect()) == ["a", "f"]
+
+
+def test_late_rows_are_counted_and_idle_state_expires(spark, tmp_path):
+    """Restarted for each step: late readings change nothing but a count; a pump silent for hours loses its state, others keep theirs."""
+    config = replace(Config(), meal_rise=MealRise(meal_windows=(), off_hours_multiplier=1.0))
+    source, checkpoint, store, sent = str(tmp_path / "in"), str(tmp_path / "check"), ParquetStore(spark, str(tmp_path / "store")), []
+
+    def feed(pump, minutes):
+        rows = [(pump, m, T + timedelta(minutes=m), 100 + 2 * (m % 60)) for m in minutes]
+        spark.createDataFrame(rows, DDL).coalesce(1).write.mode("append").parquet(source)
+
+    def run(minutes):
+        stream = spark.readStream.schema(DDL).parquet(source)
+        start(stream, store, config, lambda r: sent.append(r["event_ref"]) or True, checkpoint, now=lambda: T + timedelta(minutes=minutes), available_now=True).awaitTermination()
+
+    late = lambda: {r["pump_serial"]: r["n"] for r in state_of(spark, checkpoint, "late").collect()}
+    held = lambda: {r["pump_serial"]: r["t"] for r in state_of(spark, checkpoint, "window").collect()}
+    feed("p", [0, 5, 10, 15, 20])
+    feed("q", [0, 5])
+    run(20)
+    assert len(sent) == 1 and late() == {} and {p: len(t) for p, t in held().items()} == {"p": 5, "q": 2}
+    before = held()["p"]
+    feed("p", [12, 14])  # behind the newest of the pump
+    run(21)
+    assert late() == {"p": 2} and held()["p"] == before and len(sent) == 1
+    feed("q", [450])
+    run(451)
+    feed("q", [455])
+    run(456)
+    assert set(held()) == {"q"} and len(held()["q"]) == 2  # p has been silent for more than six hours
+    feed("p", [420, 425, 430, 435, 440])
+    run(441)
+    assert len(held()["p"]) == 5 and len(sent) == 2  # as a pump that is new
+
+
+def test_slopes_of_many_windows(spark):
+    """As one window at a time gives, with repeated instants, several readings of a bucket and gaps."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    t = np.sort(rng.integers(0, 20_000, 300))
+    v = rng.integers(60, 250, 300).astype(float)
+    bucket = t // 300
+    keep = np.append(bucket[1:] != bucket[:-1], True)
+    last = np.arange(40, 300)
+    first = np.searchsorted(t, t[last] - 1800)
+    n, begin, slope = slopes_of(t, v, first, last, keep)
+    for i, (a, b) in enumerate(zip(first, last)):
+        rows = [j for j in range(a, b + 1) if j == b or keep[j]]
+        pairs = [(v[y] - v[x]) * 60 / (t[y] - t[x]) for k, x in enumerate(rows) for y in rows[k + 1 :] if t[y] > t[x]]
+        assert n[i] == len(rows) and begin[i] == v[rows[0]] and (abs(slope[i] - np.median(pairs)) < 1e-9 if pairs else np.isnan(slope[i]))
