@@ -188,3 +188,18 @@ def trends_digest(windows: DataFrame) -> DataFrame:
     line = F.concat(F.col("days").cast("string"), F.lit("-day: "), F.coalesce(F.concat(F.bround("tir_percent", 0).cast("int").cast("string"), F.lit(" %")), F.lit("—")))
     lines = F.array_sort(F.collect_list(F.struct("days", line.alias("line"))))
     return windows.agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("digest"))
+
+
+def status_digest(signals: DataFrame, now: Column) -> DataFrame:
+    """The latest reading, detection and alert of `status_signals` as lines of text with their age, or the alert's delivery."""
+    at, minutes = F.col("signal_ts"), (F.unix_seconds(now) - F.unix_seconds("signal_ts")) / 60
+    age = F.when(at.isNull(), "none recorded").when(minutes < 0, "just now").otherwise(m.age_label(minutes))
+    shown = F.coalesce(F.date_format(at, "yyyy-MM-dd HH:mm 'UTC'"), F.lit("—"))
+    names = {"cgm_data": "Latest CGM", "last_detection": "Last detection", "last_alert": "Last alert"}
+    text = F.when((F.col("label") == "last_alert") & at.isNull(), F.lit("none recorded")).otherwise(F.concat(shown, F.lit(" ("), F.when(F.col("label") == "last_alert", F.col("detail")).otherwise(age), F.lit(")")))
+    order, title = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for i, (label, name) in enumerate(names.items(), 1):
+        order, title = F.when(F.col("label") == label, i).otherwise(order), F.when(F.col("label") == label, name).otherwise(title)
+    lines = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.concat(title, F.lit(": "), text).alias("line"))))
+    wanted = signals.where(F.col("label").isin(list(names)))
+    return wanted.agg(F.concat(F.lit("Status\n"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n")).alias("digest"))

@@ -665,3 +665,85 @@ ORACLE_SQL: dict[str, str] = {
         )"""),
     "rate_source_counts": _with(f"SELECT {_SOURCE} AS rate_source, count(*) AS n FROM basal GROUP BY 1"),
 }
+
+_ROUTED = f"""
+cgmt AS (SELECT * FROM (SELECT *, lag(ts) OVER (PARTITION BY pump ORDER BY ts, seqnum) AS b FROM cgm)
+  WHERE b IS NULL OR backfilled OR epoch_us(ts) - epoch_us(b) >= 60000000),
+bas1 AS (SELECT * FROM basal QUALIFY row_number() OVER (PARTITION BY pump, ts ORDER BY seqnum) = 1),
+issue AS (
+  SELECT oc.*, (SELECT min(x.ts) FROM forced x WHERE x.pump = oc.pump AND x.ts > oc.g AND NOT x.forced) AS r FROM oc)"""
+_TABLES = {
+    "cgm": ("cgmt", "ts", "sum(bg)", None), "bolus": ("bolus", "ts", "sum(seqnum)", None), "requests": ("req", "ts", "sum(length(cat) * (seqnum % 7 + 1))", None), "basal": ("bas1", "ts", "sum(milli)", None),
+    "suspension": ("sus", "s", "sum(floor(mins))", "e"), "events": ("forced", "ts", "count(*) FILTER (forced)", None), "alarms": ("alarms", "ts", "sum(length(name) * (seqnum % 7 + 1))", None),
+    "site_issues": ("issue", "f", "sum(n * 1000 + coalesce(floor((epoch_us(r) - epoch_us(g))/60e6), 0))", "r"), "cgm_gaps": ("gaps", "s", "sum(floor((epoch_us(e) - epoch_us(s))/60e6))", "e"),
+}
+_EXTENT = " UNION ALL ".join(
+    f"SELECT '{n}' AS name, count(*) AS n, {_T(f'min({t})')} AS first_ts, {_T(f'max({t})')} AS last_ts, CAST({total} AS BIGINT) AS total, {f'count({end})' if end else 'NULL::BIGINT'} AS ended FROM {source}"
+    for n, (source, t, total, end) in _TABLES.items()
+)
+_ROUTER = _with(_EXTENT, *_OC, _ROUTED)
+_LABELS = "CASE WHEN action = 'activated' THEN NULL WHEN action = 'ack' THEN ref ELSE 'failed:' || ref END"
+_REFS = "refs AS (SELECT *, name || ':' || pump || ':' || strftime(day, '%Y-%m-%d') AS ref FROM alarms)"
+
+ORACLE_SQL |= {
+    "router_tables": _ROUTER,
+    # Stored suspensions have one row a key: of two in one second the one that the other ends at once.
+    "sync_in_steps": _with(_EXTENT.replace("FROM sus ", "FROM sus1 ").replace("FROM sus UNION", "FROM sus1 UNION"), *_OC, _ROUTED, "sus1 AS (SELECT * FROM sus QUALIFY row_number() OVER (PARTITION BY pump, s ORDER BY e NULLS FIRST) = 1)"),
+    "router_unhandled": _with("SELECT 'heartbeat' AS event_class, count(*) AS n FROM ev WHERE et = 'view' AND k % 10 = 9"),
+    "sync_state": _with(
+        f"""
+        SELECT 'pump:' || pump AS label, concat_ws(' ', '2024-01-20', strftime(min(ts), '%Y-%m-%d'), strftime(max(ts), '%Y-%m-%d'), strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ')) AS value
+        FROM ev WHERE ts < TIMESTAMP '2024-01-20' GROUP BY pump
+        UNION ALL SELECT 'version_matches', 'true'
+        UNION ALL SELECT 'empty_tables', ''
+        UNION ALL SELECT 'stacked_seconds', CAST(count(*) AS VARCHAR) FROM (SELECT ts FROM cgmt WHERE ts < TIMESTAMP '2024-01-20' GROUP BY ts HAVING count(*) >= 3)""",
+        *_OC,
+        _ROUTED,
+    ),
+    "alerts_claimed": _with(
+        f"""
+        SELECT name AS alert_kind, ref AS event_ref, pump AS pump_serial, {_T('min(ts)')} AS fired_at, 'pending' AS delivery
+        FROM refs WHERE action = 'activated' AND name = 'OcclusionAlarm' GROUP BY ALL HAVING min(ts) >= TIMESTAMP '2024-01-21'""",
+        _REFS,
+    ),
+    "detection_log": _with(f"""
+        SELECT name AS kind, action AS payload, count(*) AS n, {_T('min(ts)')} AS first_ts, {_T('max(ts)')} AS last_ts
+        FROM alarms WHERE action IN ('activated', 'cleared') AND name IN ('OcclusionAlarm', 'LowInsulinAlert') GROUP BY ALL"""),
+    "retries_due": _with(
+        f"""
+        SELECT ref AS event_ref, {_T('fired')} AS fired_at
+        FROM (SELECT ref, min(ts) FILTER (action = 'activated') AS fired, count(*) FILTER (said AND action = 'cleared') AS failures,
+            count(*) FILTER (said AND action = 'ack') AS delivered, max(ts) FILTER (said) AS last
+          FROM (SELECT *, length({_LABELS}) % 3 = 0 AS said FROM refs) GROUP BY ref)
+        WHERE fired >= TIMESTAMP '2024-01-26' AND delivered = 0 AND failures < 4 AND coalesce(last, fired) <= TIMESTAMP '2024-01-30 14:00:00'""",
+        _REFS,
+    ),
+    "repaired_times": _with(f"""
+        SELECT pump AS pump_serial, CAST({_DAY('at_')} AS VARCHAR) AS day, count(*) AS n, CAST(sum(seqnum) AS BIGINT) AS seqnums
+        FROM (SELECT *, CASE WHEN pump = '0' AND day BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' THEN ts + INTERVAL 7 HOUR ELSE ts END AS at_ FROM cgm)
+        GROUP BY ALL"""),
+    "enriched_view": _with(
+        """
+        SELECT cat AS label, count(*) AS n FROM req GROUP BY cat
+        UNION ALL SELECT 'forced:' || forced, count(*) FROM forced GROUP BY forced
+        UNION ALL SELECT 'ongoing:' || (e IS NULL), count(*) FROM gaps GROUP BY e IS NULL
+        UNION ALL SELECT 'site_issues', count(*) FROM oc""",
+        *_OC,
+    ),
+    "bulk_copied": _with("""
+        SELECT 'bolus' AS name, count(*) AS received, count(*) FILTER (units <= 1) AS inserted, count(*) FILTER (units > 1) AS skipped, count(*) AS stored FROM bolus
+        UNION ALL SELECT 'alarms', count(*), count(*), 0, count(*) FROM alarms"""),
+    "pump_list": _with("""
+        SELECT pump AS pump_serial, CASE WHEN count(*) FILTER (k % 2 = 0) % 2 = 0 THEN 'x2' ELSE 'unknown' END AS model, strftime(min(ts), '%Y-%m-%d') AS first_day,
+          strftime(max(ts), '%Y-%m-%d') AS last_day FROM ev GROUP BY pump"""),
+    "report_files": _with("SELECT h AS hour_of_day, label, count(*) AS n FROM sc GROUP BY ALL", _WIN + _THIN + _SCORE, recursive=True),
+    "nearest_day": _with("""
+        SELECT strftime(arg_min(day, (abs(day - DATE '2024-02-15'), day)), '%Y-%m-%d') AS nearest, CAST(ceil(count(DISTINCT day) / 10.0) AS BIGINT) AS pages FROM cgm"""),
+    "status_digest": _with(f"""
+        SELECT 'Status' || chr(10) || string_agg(title || ': ' || coalesce(strftime(at_, '%Y-%m-%d %H:%M UTC'), '—') || ' (' || CASE WHEN o = 3 THEN detail ELSE {{age}} END || ')', chr(10) ORDER BY o) AS digest
+        FROM (
+            SELECT 1 AS o, 'Latest CGM' AS title, max(ts) AS at_, NULL AS detail FROM cgm
+            UNION ALL SELECT 2, 'Last detection', max(ts), NULL FROM ev WHERE et = 'view'
+            UNION ALL SELECT 3, 'Last alert', max(ts), arg_max(CASE WHEN k % 2 = 0 THEN 'sent' WHEN k % 5 = 0 THEN 'failed' ELSE 'pending' END, (ts, seqnum)) FROM alarms WHERE action = 'activated'
+        ), LATERAL (SELECT (epoch(TIMESTAMP '2024-01-31') - epoch(at_)) / 60 AS mins)""".replace("{age}", "CASE WHEN at_ IS NULL THEN 'none recorded' WHEN mins < 0 THEN 'just now' WHEN mins < 90 THEN CAST(round_even(mins, 0) AS INTEGER) || ' min ago' WHEN mins < 2880 THEN CAST(round_even(mins/60, 0) AS INTEGER) || ' h ago' ELSE CAST(round_even(mins/1440, 0) AS INTEGER) || ' d ago' END")),
+}

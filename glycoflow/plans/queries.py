@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
-from datetime import date, datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,11 +19,12 @@ from ..operators import build, cluster, detect, enrich, features, overlay
 from ..operators.agp import hourly, profile
 from ..operators.joins import range_join
 from ..operators.variability import conga, mage, modd
-from ..schema import FOOD_CARRYING
+from ..operators.enrich import original_view
+from ..schema import FOOD_CARRYING, TABLES, time_of
 from ..shipping import shared_folder
 from ..sources import driver_tables as d
-from ..sources.storage import ParquetStore
-from ..streaming.alerts import live_readings, newest
+from ..sources.storage import ParquetStore, repair_shift
+from ..streaming.alerts import due_retries, live_readings, newest
 from . import dashboard, sync
 from .report import cgm_report
 
@@ -478,6 +479,148 @@ def status_signals(s, p):
     return dashboard.status_signals(d.cgm(s, p), d.fetch_state(s, p), d.detections(s, p), d.alerts(s, p), F.lit(datetime(2024, 1, 31, tzinfo=timezone.utc)))
 
 
+@query
+def status_digest(s, p):
+    now = F.lit(datetime(2024, 1, 31, tzinfo=timezone.utc))
+    return dashboard.status_digest(dashboard.status_signals(d.cgm(s, p), d.fetch_state(s, p), d.detections(s, p), d.alerts(s, p), now), now)
+
+
+def _extent(frames: dict[str, DataFrame]) -> DataFrame:
+    """One row for each of the nine tables: rows, first and last instant, a sum over rows that tells wrong ones, intervals with an end."""
+    sums = {
+        "cgm": F.sum("bg_mgdl"), "bolus": F.sum("bolus_id"), "requests": F.sum(F.length("bolus_category") * (F.col("bolus_id") % 7 + 1)), "basal": F.sum(F.round(F.col("commanded_rate") * 1000)), "suspension": F.sum(F.floor("duration_minutes")),
+        "events": F.count_if("forced_by_alarm"), "alarms": F.sum(F.length("alarm_name") * (F.col("seqnum") % 7 + 1)), "site_issues": F.sum(F.col("occlusion_count") * 1000 + F.coalesce(F.floor("resolution_delay_minutes"), F.lit(0))), "cgm_gaps": F.sum(F.floor("duration_minutes")),
+    }
+    ends = {"suspension": "resume_timestamp", "site_issues": "resolved_by_site_change_ts", "cgm_gaps": "end_ts"}
+    one = lambda n: frames[n].agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n"), F.min(time_of(n)).alias("first_ts"), F.max(time_of(n)).alias("last_ts"), sums[n].cast("long").alias("total"), (F.count(ends[n]) if n in ends else F.lit(None).cast("long")).alias("ended"))
+    return reduce(DataFrame.unionByName, [one(n) for n in TABLES])
+
+
+@query
+def router_tables(s, p):
+    """All nine tables from raw events by the router."""
+    return _extent(sync.build_all(d.raw_events(s, p), CONFIG)[0])
+
+
+@query
+def router_unhandled(s, p):
+    return sync.build_all(d.raw_events(s, p), CONFIG)[1]
+
+
+@query
+def sync_in_steps(s, p):
+    """Raw events synced into a store in two steps, cut in the middle: the same tables as from all events at once."""
+    store, raw = _store(s), d.raw_events(s, p)
+    for day in (15, 31):
+        sync.sync(store, raw, CONFIG, datetime(2024, 1, day, 12, tzinfo=timezone.utc))
+    return _extent(sync.load_view(store, CONFIG, enriched=True))
+
+
+@query
+def sync_state(s, p):
+    """After a sync: each pump's bookmark and what was last seen of it; the store's version, empty tables, stacked readings."""
+    store = _store(s)
+    sync.sync(store, d.raw_events(s, p), CONFIG, datetime(2024, 1, 20, tzinfo=timezone.utc))
+    marks = store.list_fetch_state().select(F.concat(F.lit("pump:"), "source_id").alias("label"), F.concat_ws(" ", F.date_format("last_synced_at", "yyyy-MM-dd"), F.col("actual_min_date").cast("string"), F.col("actual_max_date").cast("string"), F.get_json_object("meta", "$.last_event")).alias("value"))
+    found = sync.health(store, sync.VERSION)
+    rows = [("version_matches", str(found["version_matches"]).lower()), ("empty_tables", ",".join(found["empty_tables"])), ("stacked_seconds", str(found["stacked_seconds"]))]
+    return marks.unionByName(s.createDataFrame(rows, "label string, value string"))
+
+
+def _alert_refs(s, p):
+    """Alerts by kind, pump and local day: an alarm that is activated again on the same day has the same reference."""
+    ref = F.concat_ws(":", "alert_kind", "pump_serial", local_date("fired_at", TZ).cast("string"))
+    return d.alerts(s, p).select("alert_kind", "pump_serial", ref.alias("event_ref"), "fired_at", F.lit("{}").alias("payload"))
+
+
+@query
+def alerts_claimed(s, p):
+    """Alerts are claimed by reference, all of them twice; each reference stands once, with its earliest alarm.  The last ten days of one kind, latest first."""
+    store, alerts = _store(s), _alert_refs(s, p)
+    store.record_alerts(alerts)
+    store.record_alerts(alerts)
+    got = store.recent_alerts("OcclusionAlarm", timedelta(days=10), datetime(2024, 1, 31, tzinfo=timezone.utc))
+    return got.select("alert_kind", "event_ref", "pump_serial", "fired_at", "delivery")
+
+
+@query
+def detection_log(s, p):
+    """Detections are appended to the log in two parts, twice as many rows as kinds of alarms; counts by kind."""
+    store, alarms = _store(s), d.alarms(s, p)
+    for action in ("activated", "cleared"):
+        store.record_results(alarms.where(F.col("action") == action).select(F.col("alarm_name").alias("kind"), F.col("timestamp").alias("anchor_timestamp"), F.col("action").alias("payload")))
+    kinds = reduce(DataFrame.unionByName, [store.list_results(k, limit=1_000_000) for k in ("OcclusionAlarm", "LowInsulinAlert")])
+    return kinds.groupBy("kind", "payload").agg(F.count(F.lit(1)).alias("n"), F.min("anchor_timestamp").alias("first_ts"), F.max("anchor_timestamp").alias("last_ts"))
+
+
+@query
+def retries_due(s, p):
+    """Alerts of the last five days that may be sent again: claimed, never delivered, few failures, none just now."""
+    log = d.alarms(s, p).where("action <> 'activated'").select(
+        F.when(F.col("action") == "ack", F.concat_ws(":", "alarm_name", "pump_serial", local_date("timestamp", TZ).cast("string"))).otherwise(F.concat(F.lit("failed:"), F.concat_ws(":", "alarm_name", "pump_serial", local_date("timestamp", TZ).cast("string")))).alias("payload"),
+        F.col("timestamp").alias("created_at"),
+    )
+    first = _alert_refs(s, p).groupBy("event_ref").agg(F.min("fired_at").alias("fired_at"))
+    return due_retries(first, log.where(F.length("payload") % 3 == 0), datetime(2024, 1, 31, tzinfo=timezone.utc), attempts=4, pause_minutes=600, within_hours=120)
+
+
+@query
+def repaired_times(s, p):
+    """One pump's readings of three local days are moved by seven hours in a store; days by pump."""
+    store = _store(s)
+    store.upsert("cgm", d.cgm(s, p))
+    since, until = window_bounds(date(2024, 1, 12), 3, TZ)
+    repair_shift(store, "cgm", 7, since, until, "0")
+    return store.read_all("cgm").groupBy("pump_serial", local_date("timestamp", TZ).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("seqnum").alias("seqnums"))
+
+
+@query
+def enriched_view(s, p):
+    """Tables stored as the pump gave them; the enriched view derives what is missing: categories, forced changes, gaps, issues."""
+    store = _store(s)
+    for name, df in original_view(d.frames(s, p)).items():
+        store.upsert(name, df)
+    view = sync.load_view(store, CONFIG, enriched=True)
+    counts = lambda df, label: df.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    forced = F.concat(F.lit("forced:"), F.col("forced_by_alarm").cast("string"))
+    ongoing = F.concat(F.lit("ongoing:"), F.col("ongoing").cast("string"))
+    return reduce(DataFrame.unionByName, [counts(view["requests"], F.col("bolus_category")), counts(view["events"], forced), counts(view["cgm_gaps"], ongoing), counts(view["site_issues"], F.lit("site_issues"))])
+
+
+@query
+def bulk_copied(s, p):
+    """Tables of one store copied to another that has a part of them already: rows received, inserted and skipped."""
+    one, two = _store(s), _store(s)
+    for name, df in (("bolus", d.bolus(s, p)), ("alarms", d.alarms(s, p))):
+        one.upsert(name, df)
+    two.upsert("bolus", d.bolus(s, p).where("insulin_units > 1"))
+    report = sync.bulk_copy(one, two, ["bolus", "alarms"])
+    rows = [(n, r.received, r.inserted, r.skipped, two.read_all(n).count()) for n, r in report.items()]
+    return s.createDataFrame(rows, "name string, received long, inserted long, skipped long, stored long")
+
+
+@query
+def pump_list(s, p):
+    """Pumps by their first day, names trimmed; the model is unknown for some."""
+    raw = d.source(s, p).groupBy("pump_serial").agg(F.min("timestamp").alias("min_date"), F.when(F.min("k") >= 0, F.max("timestamp")).alias("max_date"), F.count_if(F.col("k") % 2 == 0).alias("even"))
+    return sync.pump_metadata(raw.select(F.concat(F.lit(" "), "pump_serial", F.lit(" ")).alias("serial"), F.when(F.col("even") % 2 == 0, "x2").alias("model"), "min_date", "max_date"))
+
+
+@query
+def report_files(s, p):
+    """Label counts by hour, as the report's file holds them."""
+    path = f"{shared_folder(s)}/report-{uuid.uuid4().hex}"
+    sync.score_report(_scored(s, p), path)
+    return s.read.schema("hour_of_day int, label string, n long").json(path)
+
+
+@query
+def nearest_day(s, p):
+    """Of the days with readings the nearest to one without, and how many pages of ten days there are."""
+    days = [r["day"] for r in sync.reading_days(d.cgm(s, p), TZ).collect()]
+    return s.createDataFrame([(sync.nearest_date(days, date(2024, 2, 15)), sync.page_count(len(days), 10))], "nearest date, pages long")
+
+
 @query
 def rate_source_counts(s, p):
     return d.basal_named(s, p).groupBy("rate_source").agg(F.count(F.lit(1)).alias("n"))

@@ -104,6 +104,35 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source(spark, sf_dir).where("event_type = 'view'").select(F.lit("meal_rise").alias("kind"), F.col("timestamp").alias("created_at"))
 
 
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tables as raw events with JSON payloads, from one scan; and some of a class that no builder takes."""
+    k, kind = F.col("k"), F.col("event_type")
+    own = kind.isin("purchase", "signup")
+    food, fix = F.when(k % 5 == 0, 0.0).otherwise(F.col("value") / 25), F.when(k % 3 == 0, F.col("value") / 50).otherwise(0.0)
+    extra = F.when(k % 4 == 1, 0.5).when(k % 4 == 2, -0.25).otherwise(0.0)
+    bg = F.floor(F.least(F.lit(400.0), 40 + 2 * F.col("value"))).cast("int")
+    category = F.when(k % 4 == 1, "cgm_alert").when(k % 4 == 3, "alert").otherwise("alarm")
+    name = F.when(k % 4 == 0, "OcclusionAlarm").when(k % 4 == 2, "BatteryShutdownAlarm").when(k % 4 == 3, "LowInsulinAlert")
+    number, action = F.when(k % 4 == 1, 14).otherwise(7), F.when(k % 3 == 0, "activated").when(k % 3 == 1, "cleared").otherwise("ack")
+    filled = F.when(k % 3 == 0, "cartridge_filled").when(k % 3 == 1, "cannula_filled").otherwise("tubing_filled")
+    classes = {
+        "cgm": (F.lit(True), [bg.alias("bg"), F.when(kind == "error", 2).otherwise(1).alias("data_type"), F.lit(0).alias("egv_seconds")]),
+        "bolus": (kind == "purchase", [F.col("seqnum").alias("bolus_id"), (F.col("value") / 20).alias("insulin_units")]),
+        "request1": (own, [F.col("seqnum").alias("bolus_id"), k.alias("carbs_g"), bg.alias("bg_mgdl"), (F.col("value") / 100).alias("iob")]),
+        "request2": ((own | (kind == "error")) & (k % 7 != 0), [F.col("seqnum").alias("bolus_id"), (k % 9).alias("options"), (k % 2).alias("user_override")]),
+        "request3": (own & (k % 11 != 0), [F.col("seqnum").alias("bolus_id"), food.alias("food_insulin"), fix.alias("correction_insulin"), (food + fix + extra).alias("total_requested")]),
+        "basal": (kind == "view", [F.floor(F.col("value") * 20).cast("long").alias("commanded_rate_milli"), (k % 6).alias("rate_source_code")]),
+        "suspend": ((kind == "click") & (k % 2 == 0), [F.when(k % 4 == 0, 1).otherwise(0).alias("reason"), F.floor("value").cast("int").alias("insulin")]),
+        "resume": ((kind == "click") & (k % 2 == 1), [k.alias("reason")]),
+        "alarm": (kind.isin("error", "click"), [category.alias("category"), action.alias("action"), number.alias("alarm_id"), name.alias("raw_name")]),
+        "event": (kind == "signup", [filled.alias("kind"), (k * 3).alias("volume"), (k % 25).alias("prime_size")]),
+        "heartbeat": ((kind == "view") & (k % 10 == 9), [k.alias("beat")]),
+    }
+    each = F.array(*(F.when(holds, F.struct(F.lit(c).alias("event_class"), F.to_json(F.struct(*fields)).alias("payload"))) for c, (holds, fields) in classes.items()))
+    rows = source(spark, sf_dir).withColumn("e", F.explode(F.filter(each, lambda x: x.isNotNull())))
+    return rows.select("e.event_class", "timestamp", "seqnum", "pump_serial", F.col("seqnum").alias("ingest_ord"), "e.payload")
+
+
 def frames(spark: SparkSession, sf_dir: str, c: SiteChange | None = None) -> dict[str, DataFrame]:
     """All nine enriched tables."""
     c = c or SiteChange()

@@ -176,10 +176,11 @@ class ParquetStore:
     def merge(self, name: str, rows: DataFrame, gone: DataFrame | None = None) -> UpsertResult:
         """Rows with new keys are added, those with stored keys replace them where any value differs, keys in `gone` are deleted.
 
-        inserted counts what was added or replaced.  Only pumps with a replaced or deleted row are written anew.
+        Of rows with one key the smallest counts.  inserted counts what was added or replaced.  Only pumps with a replaced or deleted row are written anew.
         """
         key, columns = key_of(name), [f.name for f in table(name).fields]
-        batch = self.staged(conform(rows, name), name)
+        smallest = F.row_number().over(Window.partitionBy(*key).orderBy(*columns))
+        batch = self.staged(conform(rows, name).withColumn("_n", smallest).where("_n = 1").drop("_n"), name)
         received, have = batch.count(), self.near(name, batch)
         other = [c for c in columns if c not in key]
         side = have.select(*key, F.struct(*other).alias("_old"))
@@ -263,14 +264,15 @@ class ParquetStore:
         return self._read("alerts", StructType.fromDDL(_ALERTS))
 
     def record_alerts(self, alerts: DataFrame) -> DataFrame:
-        """Inserts alerts whose (kind, event_ref) is new, or whose event_ref is null; returns the inserted ones.
+        """Inserts alerts whose (kind, event_ref) is new, or whose event_ref is null; returns the inserted ones.  Of several with one reference the earliest counts.
 
         alerts: alert_kind, pump_serial, event_ref, fired_at (instants), payload.  Running it again inserts nothing.
         """
         if dict(alerts.dtypes)["fired_at"] != "timestamp":
             raise ValueError("fired_at must be an instant (timestamp with a zone)")
         known = self.alerts().where("event_ref is not null").select("alert_kind", "event_ref")
-        once = alerts.withColumn("_ref", F.coalesce("event_ref", F.uuid())).dropDuplicates(["alert_kind", "_ref"]).drop("_ref")
+        first = Window.partitionBy("alert_kind", "event_ref").orderBy("fired_at", "pump_serial", "payload")
+        once = alerts.withColumn("_n", F.when(F.col("event_ref").isNull(), 1).otherwise(F.row_number().over(first))).where("_n = 1").drop("_n")
         new = once.join(known, ["alert_kind", "event_ref"], "left_anti").select(F.uuid().alias("id"), "alert_kind", "pump_serial", "event_ref", "fired_at", "payload", F.lit("pending").alias("delivery"))
         added, n = self._add("alerts", new.coalesce(1))
         if n:
