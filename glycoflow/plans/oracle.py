@@ -747,3 +747,29 @@ ORACLE_SQL |= {
             UNION ALL SELECT 3, 'Last alert', max(ts), arg_max(CASE WHEN k % 2 = 0 THEN 'sent' WHEN k % 5 = 0 THEN 'failed' ELSE 'pending' END, (ts, seqnum)) FROM alarms WHERE action = 'activated'
         ), LATERAL (SELECT (epoch(TIMESTAMP '2024-01-31') - epoch(at_)) / 60 AS mins)""".replace("{age}", "CASE WHEN at_ IS NULL THEN 'none recorded' WHEN mins < 0 THEN 'just now' WHEN mins < 90 THEN CAST(round_even(mins, 0) AS INTEGER) || ' min ago' WHEN mins < 2880 THEN CAST(round_even(mins/60, 0) AS INTEGER) || ' h ago' ELSE CAST(round_even(mins/1440, 0) AS INTEGER) || ' d ago' END")),
 }
+
+
+def _clusters(columns: list[str], k: int = 5, rounds: int = 10) -> str:
+    """k-means over the rows of daily_features: farthest-first seeds, fixed rounds, as one chain of tables."""
+    z = ", ".join(f"(coalesce(f.{c}, s.md_{c}) - s.m_{c}) / CASE WHEN s.s_{c} = 0 THEN 1 ELSE s.s_{c} END" for c in columns)
+    medians = ", ".join(f"coalesce(median({c}), 0) AS md_{c}" for c in columns)
+    scales = ", ".join(f"avg(coalesce({c}, md_{c})) AS m_{c}, stddev_pop(coalesce({c}, md_{c})) AS s_{c}, any_value(md_{c}) AS md_{c}" for c in columns)
+    d = " + ".join(f"(z.x[{i}] - c.c[{i}]) * (z.x[{i}] - c.c[{i}])" for i in range(1, len(columns) + 1))
+    steps = [
+        f"f AS ({ORACLE_SQL['daily_features']})", f"md AS (SELECT {medians} FROM f)", f"s AS (SELECT {scales} FROM f, md)", f"z AS MATERIALIZED (SELECT pump_serial, day, [{z}] AS x FROM f, s)",
+        "seed0 AS (SELECT 0 AS k, x AS c FROM z ORDER BY pump_serial, day LIMIT 1)",
+    ]
+    for j in range(1, k):
+        steps.append(f"seed{j} AS MATERIALIZED (SELECT * FROM seed{j - 1} UNION ALL (SELECT {j}, z.x FROM z, seed{j - 1} c GROUP BY pump_serial, day, z.x ORDER BY min({d}) DESC, pump_serial, day LIMIT 1))")
+    before = f"seed{k - 1}"
+    for i in range(rounds + 1):
+        steps.append(f"near{i} AS MATERIALIZED (SELECT pump_serial, day, z.x, min(struct_pack(d := {d}, k := c.k)) AS m FROM z, {before} c GROUP BY pump_serial, day, z.x)")
+        if i < rounds:
+            means = ", ".join(f"avg(x[{j}])" for j in range(1, len(columns) + 1))
+            steps.append(f"mean{i} AS (SELECT m.k AS k, [{means}] AS c FROM near{i} GROUP BY m.k)")
+            steps.append(f"round{i} AS MATERIALIZED (SELECT b.k, coalesce(n.c, b.c) AS c FROM {before} b LEFT JOIN mean{i} n ON n.k = b.k)")
+            before = f"round{i}"
+    return f"WITH {', '.join(steps)} SELECT pump_serial, day, m.k AS cluster_id, round(sqrt(m.d), 4) AS distance FROM near{rounds}"
+
+
+ORACLE_SQL["cluster_days"] = _clusters(["mean_bg", "sd_bg", "tir", "tdi", "carbs_g"])

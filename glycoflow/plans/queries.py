@@ -35,6 +35,7 @@ SINCE, UNTIL = window_bounds(END, DAYS, TZ)
 #: The generic tables are sparser than a sensor: longer windows and steps, as parameters.
 RISE = replace(MealRise(), window_minutes=60, expected_interval_minutes=10, min_coverage=0.5)
 ANOMALY = replace(Anomaly(), flatline_consecutive_intervals=3, flatline_tolerance=60.0)
+CLUSTERED = ["mean_bg", "sd_bg", "tir", "tdi", "carbs_g"]
 RUN = replace(MealRun(), sustained_intervals=2, rise_threshold_per_5min=4.0)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -641,6 +642,6 @@ def report_segments(s, p):
 
 @query
 def cluster_days(s, p):
-    """Cluster numbers depend on the library; sizes and distances don't have an SQL form."""
-    f = features.daily_features(d.frames(s, p), CONFIG, "2024-01-30")
-    return cluster.cluster_days(f.select("pump_serial", "day", "mean_bg", "sd_bg", "tir", "tdi", F.col("carbs_g").cast("double").alias("carbs_g")), ["mean_bg", "sd_bg", "tir", "tdi", "carbs_g"])[0]
+    """Days grouped by features as the features' query shows them."""
+    f = QUERIES["daily_features"](s, p).select("pump_serial", "day", *CLUSTERED)
+    return cluster.cluster_days(f, CLUSTERED, ["pump_serial", "day"], CONFIG.clustering.n_clusters)[0]

@@ -191,7 +191,7 @@ def test_small_things(spark, tmp_path):
     text = [r[0] for r in spark.read.text(str(tmp_path / "r.md")).collect()]
     assert text[0] == "# Fast rises" and text[-2:] == ["| 1 | 0 | 0 | 2 |", "| 2 | 0 | 1 | 0 |"]
     days = spark.createDataFrame([(float(i), None if i % 3 else float(i % 2), "d") for i in range(20)], "a double, b double, day string")
-    got, model = cluster_days(days, ["a", "b"], k=2)
+    got, model = cluster_days(days, ["a", "b"], ["day", "a"], k=2)
     model.save(spark, str(tmp_path / "model"))
     later = spark.createDataFrame([(3.0, None, "x"), (15.0, None, "y")], "a double, b double, day string")
     one, two = (sorted((r["day"], r["cluster_id"], round(r["distance"], 6)) for r in m.assign(later).collect()) for m in (model, DayModel.load(spark, str(tmp_path / "model"))))
