@@ -13,6 +13,7 @@ from ..functions.time import between, local_date, overlaps, window_bounds
 from ..operators import build
 from ..operators.enrich import backfill, enrich_all, original_view
 from ..schema import TABLES, time_of
+from ..sources.event_files import fetched
 from ..sources.storage import ParquetStore, UpsertResult
 from . import carry
 
@@ -88,9 +89,12 @@ def sync(store: ParquetStore, raw: DataFrame, config: Config, now: datetime, pum
     A pump's window begins with `override`; or a day before its bookmark, but not before its first event; or with its
     first event.  Raw events are read and their payloads parsed once, into files by class, of which each builder reads its own.
     Tables then hold what all events so far would give (see `carry`), however they were cut into windows, if events
-    come in order and a bolus's first message comes before the others.  Results are by table, over all pumps.
+    come in order and a bolus's first message comes before the others.  Rows of class `chunk`, which the event files'
+    source leaves, tell which days couldn't be read: bookmarks stop there.  Results are by table, over all pumps.
     """
     mine = raw if pumps is None else raw.where(F.col("pump_serial").isin(pumps))
+    reports = fetched(mine)
+    mine = mine.where("event_class <> 'chunk'")
     first = mine.groupBy("pump_serial").agg(F.min("timestamp").alias("first"))
     state = store.fetch_states().select(F.col("source_id").alias("pump_serial"), "last_synced_at", "actual_min_date", "actual_max_date")
     back = F.greatest(F.col("first"), F.col("last_synced_at") - F.expr(f"interval {overlap_days} days"))
@@ -122,10 +126,13 @@ def sync(store: ParquetStore, raw: DataFrame, config: Config, now: datetime, pum
     out["events"] = store.upsert("events", tagged)
     received = staged.where("event_class <> 'cgm_before'")
     days = received.groupBy("pump_serial").agg(F.to_date(F.min("timestamp")).alias("a"), F.to_date(F.max("timestamp")).alias("b"), F.max("timestamp").alias("last_event"))
-    moved = marks.join(days, "pump_serial", "left")
+    moved = marks.join(days, "pump_serial", "left").join(reports, "pump_serial", "left")
+    # Where a chunk couldn't be read, the next sync begins with it; a pump all of whose chunks failed keeps its bookmark.
+    until = F.least(F.lit(now).cast("timestamp"), F.col("failed_from").cast("timestamp"))
+    shown = F.coalesce(F.date_format("last_good_end", "yyyy-MM-dd"), F.date_format(until, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     store.set_fetch_states(moved.select(
-        F.col("pump_serial").alias("source_id"), F.lit("pump").alias("source_kind"), F.lit(now).cast("timestamp").alias("last_synced_at"), F.least("actual_min_date", "a").alias("actual_min_date"), F.greatest("actual_max_date", "b").alias("actual_max_date"),
-        F.to_json(F.struct(F.date_format(F.lit(now).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_good_chunk_end"), F.date_format("last_event", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_event"))).alias("meta"),
+        F.col("pump_serial").alias("source_id"), F.lit("pump").alias("source_kind"), until.alias("last_synced_at"), F.least("actual_min_date", "a").alias("actual_min_date"), F.greatest("actual_max_date", "b").alias("actual_max_date"),
+        F.to_json(F.struct(shown.alias("last_good_chunk_end"), F.date_format("last_event", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_event"))).alias("meta"),
     ))
     if any(r.inserted for r in out.values()):
         store.set_pipeline_version(VERSION)
