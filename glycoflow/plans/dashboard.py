@@ -65,8 +65,9 @@ def day_search(cgm: DataFrame, alarms: DataFrame, tz: str, tir_below: float | No
     for column, value, keep in (("tir_percent", tir_below, lambda c, v: c < v), ("low_count", min_low, lambda c, v: c >= v), ("alarm_count", min_alarms, lambda c, v: c >= v)):
         if value is not None:
             got = got.where(keep(F.col(column), value))
-    total = got.agg(F.count(F.lit(1))).scalar()
-    return got.orderBy(F.col("day").desc()).offset((page - 1) * page_size).limit(page_size).withColumn("total", total)
+    # A row a day is left: one window counts them, so readings are added up once.
+    total = F.count(F.lit(1)).over(Window.partitionBy())
+    return got.withColumn("total", total).orderBy(F.col("day").desc()).offset((page - 1) * page_size).limit(page_size)
 
 
 def alert_page(alerts: DataFrame, page: int = 1, page_size: int = 30) -> DataFrame:
