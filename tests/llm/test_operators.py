@@ -467,6 +467,23 @@ def test_very_long_texts(spark):
     assert [(r["rule"], len(r["path"])) for r in filter_urls(urls, URL_RULES).orderBy("page_id").collect()] == [("net/", 2_000_001), (None, 0)]
 
 
+def test_texts_of_very_many_words(spark):
+    """What lies at the very end of 150,000 words counts for rules, packing, secrets and lines as well."""
+    long = prose(150_000)
+    secret = "password = Zx81kQpw77"
+    rows = [(1, f"{long}\n{LINE}\n{secret}"), (2, f"{LINE}\nshort"), (3, f"x\n{LINE}"), (4, f"{long} {SHARED} {SHARED}")]
+    df = spark.createDataFrame(rows, DDL).repartition(2)
+    text = dict(rows)
+    got = {r["doc_id"]: r for r in quality_rules(df).collect()}
+    assert [got[i]["n_words"] for i in (1, 4)] == [len(text[i].split()) for i in (1, 4)] and got[4]["n_repeat_words"] >= got[1]["n_repeat_words"] + 130
+    spans = {r["doc_id"]: r["spans"] for r in scan_secrets(df).collect()}
+    assert [text[1][int(a) : int(b)] for _, a, b in (x.split(":") for x in spans[1].split(","))] == [secret] and spans[4] == ""
+    lines = {r["doc_id"]: r for r in dedup_lines(df).collect()}
+    assert [lines[i]["line_dropped_"] for i in (1, 2, 3, 4)] == [1, 1, 0, 0] and lines[1]["text"] == f"{long}\n{secret}"
+    packed = [r for r in pack(df).collect() if r["doc_id"] == 4]
+    assert [r["start"] for r in sorted(packed, key=lambda r: r["piece"])] == [4096 * i for i in range(len(packed))] and len(packed) > 30
+
+
 def test_clean_text_has_no_spans(spark):
     clean = spark.createDataFrame([(i, f"Version 2.{i} of 2024-05-{10 + i}, page 12, CC BY-NC 4.0. {prose(20)} 12:30, $4,500, 35 %.") for i in range(20)], DDL)
     assert clean.transform(find_pii).where("spans <> ''").count() == 0 and clean.transform(scan_secrets).where("spans <> ''").count() == 0
