@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SiteChange
-from .joins import last_before
-from .sequences import pair, sessions
+from .joins import with_last
+from .sequences import CHUNK, pair, sessions
 
 EPSILON = 0.01
 
@@ -34,7 +34,7 @@ def tag_forced(events: DataFrame, alarms: DataFrame, c: SiteChange) -> DataFrame
     shut = alarms.where("alarm_name = 'BatteryShutdownAlarm' and action = 'activated'").select("pump_serial", "timestamp", F.lit(-1).cast("long").alias("seqnum"), F.col("timestamp").alias("shut"))
     sites = events.where("event_type = 'site_change'").select("pump_serial", "timestamp", "seqnum", F.lit(None).cast("timestamp").alias("shut"))
     line = shut.unionByName(sites)
-    near = line.withColumn("last", last_before(line, F.col("shut"), [F.col("timestamp"), F.col("seqnum")], "pump_serial")).where("shut is null")
+    near = with_last(line.withColumn("_at", F.unix_seconds("timestamp")), "pump_serial", "_at", CHUNK, ["timestamp", "seqnum"], F.col("shut"), "last").where("shut is null")
     forced = near.select("pump_serial", "seqnum", (F.unix_micros("timestamp") - F.unix_micros("last") <= c.forced_window_minutes * 60_000_000).alias("inside"))
     volume = F.expr("try_cast(get_json_object(details, '$.insulin_volume') as double)")
     filled = (F.col("event_subtype") == "cartridge") & F.coalesce(volume >= c.cartridge_real_fill_threshold, F.lit(False))
@@ -60,8 +60,8 @@ def resolved(runs: DataFrame, events: DataFrame) -> DataFrame:
     """
     change = events.where("event_type = 'site_change' and not coalesce(forced_by_alarm, false)").select("pump_serial", F.col("timestamp").alias("t"), F.lit(0).alias("o"), F.col("timestamp").alias("change"))
     ends = runs.select("pump_serial", F.col("last_occlusion_ts").alias("t"), F.lit(1).alias("o"), F.lit(None).cast("timestamp").alias("change"), "first_occlusion_ts", "last_occlusion_ts", "occlusion_count")
-    ahead = Window.partitionBy("pump_serial").orderBy("t", "o").rowsBetween(1, Window.unboundedFollowing)
-    both = ends.unionByName(change, allowMissingColumns=True).withColumn("resolved", F.first("change", ignorenulls=True).over(ahead)).where("o = 1")
+    back = ends.unionByName(change, allowMissingColumns=True).withColumns({"_t": -F.unix_micros("t"), "_o": -F.col("o")})
+    both = with_last(back, "pump_serial", "_t", CHUNK * 1_000_000, ["_t", "_o"], F.col("change"), "resolved").where("o = 1")
     return both.select("pump_serial", "first_occlusion_ts", "last_occlusion_ts", "occlusion_count", F.col("resolved").alias("resolved_by_site_change_ts"), ((F.unix_micros("resolved") - F.unix_micros("last_occlusion_ts")) / 60e6).alias("resolution_delay_minutes"))
 
 

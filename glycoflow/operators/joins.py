@@ -64,6 +64,18 @@ def with_neighbours(df: DataFrame, by: str, t: str, chunk: int, order: list[str]
     return rows.withColumns(found).drop("_chunk", "_value", "_among")
 
 
-def last_before(df: DataFrame, value: Column, order: list[Column], by: str) -> Column:
-    """The last non-null value up to and with the row."""
-    return F.last(value, ignorenulls=True).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+def with_last(df: DataFrame, by: str, t: str, chunk: int, order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds the last non-null value up to and with each row of a series.
+
+    Within (series, chunk of t) by a window.  What a chunk takes over from those before it is found among the first and
+    last rows of chunks alone, and then handed from its first row to the others; so no task gets a whole series.
+    """
+    inside = Window.partitionBy(by, "_chunk").orderBy(*order)
+    rows = df.withColumn("_chunk", F.floor(F.col(t) / chunk)).withColumn("_value", value)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_here": F.last("_value", ignorenulls=True).over(upto), "_first": F.lag(F.lit(True), 1, False).over(inside) == F.lit(False), "_end": F.lead(F.lit(True), 1, False).over(inside) == F.lit(False)})
+    rows = rows.withColumn("_among", F.when(F.col("_first") | F.col("_end"), F.lit(-(2**60))).otherwise(F.col("_chunk")))
+    before = Window.partitionBy(by, "_among").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_carry", F.when(F.col("_first"), F.last(F.when(F.col("_end"), F.col("_here")), ignorenulls=True).over(before)))
+    taken = F.first("_carry", ignorenulls=True).over(upto)
+    return rows.withColumn(name, F.coalesce("_here", taken)).drop("_chunk", "_value", "_here", "_first", "_end", "_among", "_carry")

@@ -6,27 +6,36 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .joins import with_last, with_neighbours
 
 
-def pair(df: DataFrame, by: str, order: list[str], opens: Column, closes: Column, t: str = "timestamp") -> DataFrame:
+#: Seconds of a series that one task looks at.
+CHUNK = 28 * 86400
+
+
+def pair(df: DataFrame, by: str, order: list[str], opens: Column, closes: Column, t: str = "timestamp", chunk: int = CHUNK) -> DataFrame:
     """Opening rows with end_ts and end_open: the next opening or closing row decides, others are ignored.
 
-    Null end: still open.  end_open: another opening came first.  Closing rows that nothing precedes go.
+    Null end: still open.  end_open: another opening came first.  Closing rows that nothing precedes go.  A series is
+    looked at in chunks of time; t comes first in the order.
     """
-    w = Window.partitionBy(by).orderBy(*order)
-    only = df.withColumn("_open", opens).where(opens | closes)
-    return only.withColumn("end_ts", F.lead(t).over(w)).withColumn("end_open", F.lead("_open").over(w)).where("_open").drop("_open")
+    only = df.withColumn("_open", opens).where(opens | closes).withColumns({"_at": F.unix_seconds(t), "_self": F.struct(F.col(t).alias("t"), F.col("_open").alias("open"))})
+    got = with_neighbours(only, by, "_at", chunk, order, "_self").where("_open")
+    return got.withColumns({"end_ts": F.col("after_.v.t"), "end_open": F.col("after_.v.open")}).drop("_open", "_at", "_self", "before_", "after_")
 
 
-def sessions(df: DataFrame, by: str, order: list[str], t: Column, gap_seconds: int) -> DataFrame:
-    """Adds `session`: a new one begins where the row before is more than the gap away."""
-    w = Window.partitionBy(by).orderBy(*order)
-    new = F.when(t - F.lag(t).over(w) <= gap_seconds, 0).otherwise(1)
-    return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def sessions(df: DataFrame, by: str, order: list[str], t: Column, gap_seconds: int, chunk: int = CHUNK) -> DataFrame:
+    """Adds `session`, the time at which the row's session began: where the row before is more than the gap away.
+
+    t, in seconds, comes first in the order; a series is looked at in chunks of it.
+    """
+    near = with_neighbours(df.withColumn("_at", t), by, "_at", chunk, order, "_at")
+    begin = F.when(F.coalesce(F.col("_at") - F.col("before_.v") <= gap_seconds, F.lit(False)), None).otherwise(F.col("_at"))
+    return with_last(near.withColumn("_begin", begin).drop("before_", "after_"), by, "_at", chunk, order, F.col("_begin"), "session").drop("_at", "_begin")
 
 
 #: Gaps that one chunk of a series spans when it is thinned.

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from glycoflow.config import MealRise
 from glycoflow.operators import detect, variability
 from glycoflow.operators.build import build_suspension
-from glycoflow.operators.joins import range_join
-from glycoflow.operators.sequences import sessions, thin
+from glycoflow.operators.joins import range_join, with_last
+from glycoflow.operators.sequences import pair, sessions, thin
 
 START = datetime(2026, 5, 1, 15, tzinfo=timezone.utc)
 
@@ -76,7 +76,26 @@ def test_pairing_like_a_state_machine(spark):
 
 def test_sessions_keep_equal_gaps(spark):
     df = spark.createDataFrame([("p", t) for t in (0, 100, 200, 301, 302)], "pump_serial string, t long")
-    assert sorted((r["t"], r["session"]) for r in sessions(df, "pump_serial", ["t"], F.col("t"), 100).collect()) == [(0, 1), (100, 1), (200, 1), (301, 2), (302, 2)]
+    for chunk in (1, 150, 10_000):
+        assert sorted((r["t"], r["session"]) for r in sessions(df, "pump_serial", ["t"], F.col("t"), 100, chunk).collect()) == [(0, 0), (100, 0), (200, 0), (301, 301), (302, 301)]
+
+
+def test_carried_values_and_pairs_in_any_chunks(spark):
+    """As windows over whole series give, with ties, long stretches without a value and chunks of a single row."""
+    from pyspark.sql import Window
+
+    rng = random.Random(4)
+    rows = [(p, i, START + timedelta(seconds=rng.randint(0, 40) * 500), rng.choice([None, None, None, i]), rng.choice("oc-")) for p in "ab" for i in range(120)]
+    df = spark.createDataFrame(rows, "p string, seqnum long, timestamp timestamp, v long, kind string").withColumn("t", F.unix_seconds("timestamp")).repartition(4)
+    w = Window.partitionBy("p").orderBy("timestamp", "seqnum")
+    want = df.withColumn("last", F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    only = df.where("kind <> '-'")
+    ends = only.withColumn("end_ts", F.lead("timestamp").over(w)).withColumn("end_open", F.lead(F.col("kind") == "o").over(w)).where("kind = 'o'")
+    shown = lambda x, *c: sorted(str([r["p"], r["seqnum"], *(r[k] for k in c)]) for r in x.collect())
+    for chunk in (400, 3000, 10**6):
+        got = with_last(df, "p", "t", chunk, ["timestamp", "seqnum"], F.col("v"), "last")
+        assert got.columns == want.columns and shown(got, "last") == shown(want, "last")
+        assert shown(pair(df, "p", ["timestamp", "seqnum"], F.col("kind") == "o", F.col("kind") == "c", chunk=chunk), "end_ts", "end_open") == shown(ends, "end_ts", "end_open")
 
 
 def test_range_join_is_exact_and_hashed(spark):
