@@ -682,7 +682,6 @@ _EXTENT = " UNION ALL ".join(
     for n, (source, t, total, end) in _TABLES.items()
 )
 _ROUTER = _with(_EXTENT, *_OC, _ROUTED)
-_LABELS = "CASE WHEN action = 'activated' THEN NULL WHEN action = 'ack' THEN ref ELSE 'failed:' || ref END"
 _REFS = "refs AS (SELECT *, name || ':' || pump || ':' || strftime(day, '%Y-%m-%d') AS ref FROM alarms)"
 
 ORACLE_SQL |= {
@@ -711,11 +710,11 @@ ORACLE_SQL |= {
         FROM alarms WHERE action IN ('activated', 'cleared') AND name IN ('OcclusionAlarm', 'LowInsulinAlert') GROUP BY ALL"""),
     "retries_due": _with(
         f"""
-        SELECT ref AS event_ref, {_T('fired')} AS fired_at
+        SELECT ref AS event_ref, {_T('fired')} AS fired_at, CAST(failures AS INTEGER) AS attempts
         FROM (SELECT ref, min(ts) FILTER (action = 'activated') AS fired, count(*) FILTER (said AND action = 'cleared') AS failures,
             count(*) FILTER (said AND action = 'ack') AS delivered, max(ts) FILTER (said) AS last
-          FROM (SELECT *, length({_LABELS}) % 3 = 0 AS said FROM refs) GROUP BY ref)
-        WHERE fired >= TIMESTAMP '2024-01-26' AND delivered = 0 AND failures < 4 AND coalesce(last, fired) <= TIMESTAMP '2024-01-30 14:00:00'""",
+          FROM (SELECT *, action = 'cleared' OR action = 'ack' AND name = 'LowInsulinAlert' AS said FROM refs) GROUP BY ref)
+        WHERE fired >= TIMESTAMP '2024-01-26' AND delivered = 0 AND failures < 30 AND coalesce(last, fired) <= TIMESTAMP '2024-01-30 14:00:00'""",
         _REFS,
     ),
     "repaired_times": _with(f"""

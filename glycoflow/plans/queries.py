@@ -557,12 +557,12 @@ def detection_log(s, p):
 @query
 def retries_due(s, p):
     """Alerts of the last five days that may be sent again: claimed, never delivered, few failures, none just now."""
-    log = d.alarms(s, p).where("action <> 'activated'").select(
-        F.when(F.col("action") == "ack", F.concat_ws(":", "alarm_name", "pump_serial", local_date("timestamp", TZ).cast("string"))).otherwise(F.concat(F.lit("failed:"), F.concat_ws(":", "alarm_name", "pump_serial", local_date("timestamp", TZ).cast("string")))).alias("payload"),
-        F.col("timestamp").alias("created_at"),
-    )
+    ref = F.concat_ws(":", "alarm_name", "pump_serial", local_date("timestamp", TZ).cast("string"))
+    said = F.to_json(F.struct(ref.alias("event_ref"), (F.col("action") == "ack").alias("delivered")))
+    # Clearings stand for failed tries, acknowledgements of one kind for deliveries.
+    log = d.alarms(s, p).where("action = 'cleared' or action = 'ack' and alarm_name = 'LowInsulinAlert'").select(said.alias("payload"), F.col("timestamp").alias("created_at"))
     first = _alert_refs(s, p).groupBy("event_ref").agg(F.min("fired_at").alias("fired_at"))
-    return due_retries(first, log.where(F.length("payload") % 3 == 0), datetime(2024, 1, 31, tzinfo=timezone.utc), attempts=4, pause_minutes=600, within_hours=120)
+    return due_retries(first, log, datetime(2024, 1, 31, tzinfo=timezone.utc), attempts=30, pause_minutes=600, within_hours=120)
 
 
 @query

@@ -7,6 +7,7 @@ after a failure; claiming by event_ref makes that harmless.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta, timezone
 from typing import Any
@@ -148,6 +149,11 @@ def detections(readings: DataFrame, config: Config, seen: Column | None = None)
     return rows.groupBy("pump_serial").transformWithStateInPandas(Rises(config), _OUT, "Append", "EventTime")
 
 
+def entry(event_ref: str, delivered: bool, attempt: int, message: str | None = None) -> str:
+    """A log entry's payload: what was tried for an alert, the how many-th time, how it went, and the text, so that it can be sent again."""
+    return json.dumps({"event_ref": event_ref, "delivered": delivered, "attempt": attempt, "stage": "first" if attempt == 1 else "retry", "message": message, "error": None if delivered else "delivery_failed"})
+
+
 def claim(store: ParquetStore, config: Config, send: Callable[[Row], bool], now: Callable[[], datetime] = lambda: datetime.now(timezone.utc)) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: claims alerts by event_ref, sends what is new and what is due again, logs, marks the beat.
 
@@ -156,13 +162,16 @@ def claim(store: ParquetStore, config: Config, send: Callable[[Row], bool], now:
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         at = now()
+        per_minute = F.format_number("slope", 1)
+        message = F.concat(F.lit("Glucose rises: "), "start_level", F.lit(" to "), "end_level", F.lit(" mg/dL, "), per_minute, F.lit(" a minute"))
         alerts = batch.where(F.col("anchor_ts") >= F.lit(at - timedelta(minutes=config.meal_rise.max_reading_age_minutes))).select(
             F.lit(KIND).alias("alert_kind"), "pump_serial", F.concat(F.lit("meal_rise:"), "pump_serial", F.lit(":"), iso_minute(F.col("anchor_ts"), config.timezone)).alias("event_ref"), F.lit(at).cast("timestamp").alias("fired_at"),
-            F.to_json(F.struct("start_level", "end_level", "slope", "needed")).alias("payload"),
+            F.to_json(F.struct("start_level", "end_level", "slope", "needed", message.alias("message"))).alias("payload"),
         )
         due = due_retries(store.alerts().where(F.col("alert_kind") == KIND), store.results().where(F.col("kind") == KIND), at).collect()
         new = store.record_alerts(alerts).collect()  # a micro-batch's new alerts: one a pump and hour at most
-        log = [(KIND, r["fired_at"], r["event_ref"] if send(r) else f"failed:{r['event_ref']}") for r in [*new, *due]]
+        tries = [(r, 1) for r in new] + [(r, r["attempts"] + 1) for r in due]
+        log = [(KIND, r["fired_at"], entry(r["event_ref"], send(r), n, json.loads(r["payload"]).get("message"))) for r, n in tries]
         if log:
             store.record_results(batch.sparkSession.createDataFrame(log, "kind string, anchor_timestamp timestamp, payload string"))
         store.set_fetch_state("live_cron", "heartbeat", at)
@@ -171,12 +180,14 @@ def claim(store: ParquetStore, config: Config, send: Callable[[Row], bool], now:
 
 
 def due_retries(alerts: DataFrame, log: DataFrame, now: datetime, attempts: int = 3, pause_minutes: int = 15, within_hours: int = 24) -> DataFrame:
-    """Alerts of the last hours that no log entry says went out, with fewer than `attempts` failures, and none just now."""
-    ref, failed = F.regexp_replace("payload", "^failed:", ""), F.col("payload").startswith("failed:")
-    tried = log.groupBy(ref.alias("event_ref")).agg(F.count_if(failed).alias("n"), F.bool_or(~failed).alias("delivered"), F.max("created_at").alias("last_ts"))
-    got = alerts.where(F.col("fired_at") >= F.lit(now - timedelta(hours=within_hours))).join(tried, "event_ref", "left")
-    open_ = ~F.coalesce("delivered", F.lit(False)) & (F.coalesce("n", F.lit(0)) < attempts)
-    return got.where(open_ & (F.coalesce("last_ts", "fired_at") <= F.lit(now - timedelta(minutes=pause_minutes)))).select(alerts.columns)
+    """Alerts of the last hours that no log entry says went out, with fewer than `attempts` tries, and none just now.
+
+    Adds attempts, the tries so far: the largest that a log entry names, or as many as failed."""
+    p = F.from_json("payload", "event_ref string, delivered boolean, attempt int")
+    said = log.select(p.alias("p"), "created_at").where("p.event_ref is not null")
+    tried = said.groupBy(F.col("p.event_ref").alias("event_ref")).agg(F.coalesce(F.max("p.attempt"), F.count_if(~F.col("p.delivered")).cast("int")).alias("attempts"), F.bool_or("p.delivered").alias("delivered"), F.max("created_at").alias("last_ts"))
+    got = alerts.where(F.col("fired_at") >= F.lit(now - timedelta(hours=within_hours))).join(tried, "event_ref", "left").fillna({"attempts": 0, "delivered": False})
+    return got.where(~F.col("delivered") & (F.col("attempts") < attempts) & (F.coalesce("last_ts", "fired_at") <= F.lit(now - timedelta(minutes=pause_minutes)))).select(*alerts.columns, "attempts")
 
 
 def start(readings: DataFrame, store: ParquetStore, config: Config, send: Callable[[Row], bool], checkpoint: str, now: Callable[[], datetime] = lambda: datetime.now(timezone.utc), available_now: bool = False):

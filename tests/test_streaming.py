@@ -1,6 +1,9 @@
+import json
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import functions as F
+
 from glycoflow.config import Config, MealRise
 from glycoflow.sources.storage import ParquetStore
 from glycoflow.streaming.alerts import claim, due_retries, live_readings, newest, slopes_of, start, state_of
@@ -68,10 +71,27 @@ def test_live_readings(spark):
 
 
 def test_retries(spark):
-    row = lambda ref, minutes: ("meal_rise", T, ref, T - timedelta(minutes=minutes))
-    log = spark.createDataFrame([row("failed:a", 60), row("failed:b", 60), row("b", 30), row("failed:c", 5), *[row("failed:d", 100 + i) for i in range(3)], row("failed:e", 2000)], "kind string, anchor_timestamp timestamp, payload string, created_at timestamp")
-    alerts = spark.createDataFrame([(x, T - timedelta(minutes=2000 if x == "e" else 300 if x != "g" else 5)) for x in "abcdefg"], "event_ref string, fired_at timestamp")
-    assert sorted(r["event_ref"] for r in due_retries(alerts, log, T).collect()) == ["a", "f"]
+    row = lambda ref, delivered, minutes, attempt=None: ("meal_rise", T, json.dumps({"event_ref": ref, "delivered": delivered, "attempt": attempt}), T - timedelta(minutes=minutes))
+    log = [row("a", False, 60, 1), row("b", False, 60, 1), row("b", True, 30, 2), row("c", False, 5, 1), *[row("d", False, 100 + i) for i in range(3)], row("e", False, 2000), row("h", False, 50, 3), ("meal_rise", T, "no json", T)]
+    log = spark.createDataFrame(log, "kind string, anchor_timestamp timestamp, payload string, created_at timestamp")
+    alerts = spark.createDataFrame([(x, T - timedelta(minutes=2000 if x == "e" else 300 if x != "g" else 5)) for x in "abcdefgh"], "event_ref string, fired_at timestamp")
+    assert sorted((r["event_ref"], r["attempts"]) for r in due_retries(alerts, log, T).collect()) == [("a", 1), ("f", 0)]
+
+
+def test_a_failed_alert_is_sent_again_with_its_text(spark, tmp_path):
+    """Three tries in all, each logged with its number and the message."""
+    store, clock, sent = ParquetStore(spark, str(tmp_path / "store")), {"at": T}, []
+    batch = spark.createDataFrame([("p", T, 100, 172, 2.4, 1.8)], "pump_serial string, anchor_ts timestamp, start_level int, end_level int, slope double, needed double")
+    sink = claim(store, Config(), lambda r: sent.append(json.loads(r["payload"])["message"]) or False, lambda: clock["at"])
+    sink(batch, 0)
+    for i in range(1, 4):
+        # The log's own time is the wall clock's: look from far enough ahead.
+        clock["at"] = datetime.now(timezone.utc) + timedelta(minutes=20 * i)
+        store._replace("alerts", store.staged(store.alerts().withColumn("fired_at", F.lit(clock["at"] - timedelta(hours=1))), "alerts"))
+        sink(batch.where("false"), i)
+    assert sent == ["Glucose rises: 100 to 172 mg/dL, 2.4 a minute"] * 3
+    log = [json.loads(r["payload"]) for r in store.list_results("meal_rise").collect()]
+    assert sorted((x["attempt"], x["stage"], x["delivered"], x["error"], x["message"] == sent[0]) for x in log) == [(1, "first", False, "delivery_failed", True), (2, "retry", False, "delivery_failed", True), (3, "retry", False, "delivery_failed", True)]
 
 
 def test_late_rows_are_counted_and_idle_state_expires(spark, tmp_path):
