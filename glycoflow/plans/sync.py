@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime, timedelta
 from functools import reduce
 
@@ -79,6 +81,12 @@ def time_bounds(frames: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).agg(F.min("a").alias("first_ts"), F.max("b").alias("last_ts"))
 
 
+def together(calls: dict[str, Callable]) -> dict:
+    """Results of calls that don't depend on one another, their Spark jobs side by side."""
+    with ThreadPoolExecutor(len(calls)) as pool:
+        return {name: done.result() for name, done in [(n, pool.submit(call)) for n, call in calls.items()]}
+
+
 #: Version of the tables that sync writes.
 VERSION = 5
 
@@ -111,19 +119,16 @@ def sync(store: ParquetStore, raw: DataFrame, config: Config, now: datetime, pum
     inside = recent.join(since, "pump_serial").where(own | near & (F.col("event_class") == "cgm"))
     staged = store.staged(parsed(inside.withColumn("event_class", F.when(own, F.col("event_class")).otherwise("cgm_before"))), "raw", "event_class")
     w = carry.Window(store, since, earliest, config)
-    out: dict[str, UpsertResult] = {}
-    new = {n: store.staged(df, n) for n, df in _simple(staged).items()}
+    new = together({n: lambda n=n, df=df: store.staged(df, n) for n, df in _simple(staged).items()})
     # What depends on stored alarms and events is read before those of the window join them.
     tagged = store.staged(carry.events(w, new["events"], new["alarms"]), "tagged")
     derived = {"cgm_gaps": carry.gaps(w, new["alarms"]), "suspension": carry.suspensions(w, _stops_and_goes(staged), new["alarms"]), "site_issues": carry.issues(w, new["alarms"], tagged), "requests": carry.requests(w, _messages(staged))}
     both = F.col("event_class").isin("cgm", "cgm_before")
     kept, close = carry.readings(w, of_class(staged.where(both).withColumn("event_class", F.lit("cgm")), "cgm").withColumnRenamed("timestamp", "event_ts"))
-    out["cgm"] = store.merge("cgm", kept, close)
-    for name, rows in derived.items():
-        out[name] = store.merge(name, rows)
-    for name in ("bolus", "basal", "alarms"):
-        out[name] = store.upsert(name, new[name])
-    out["events"] = store.upsert("events", tagged)
+    writes = {"cgm": lambda: store.merge("cgm", kept, close), "events": lambda: store.upsert("events", tagged)}
+    writes |= {name: lambda name=name, rows=rows: store.merge(name, rows) for name, rows in derived.items()}
+    writes |= {name: lambda name=name: store.upsert(name, new[name]) for name in ("bolus", "basal", "alarms")}
+    out = together(writes)
     received = staged.where("event_class <> 'cgm_before'")
     days = received.groupBy("pump_serial").agg(F.to_date(F.min("timestamp")).alias("a"), F.to_date(F.max("timestamp")).alias("b"), F.max("timestamp").alias("last_event"))
     moved = marks.join(days, "pump_serial", "left").join(reports, "pump_serial", "left")
