@@ -14,6 +14,8 @@ from .sequences import thin
 
 #: Seconds of one halo chunk: what one task needs of a series to judge its anchors.
 CHUNK = 7 * 86400
+#: Rows of one chunk where thinning goes by row numbers.
+ROWS = 8192
 
 
 def anchored_windows(cgm: DataFrame, c: MealRise, chunk: int = CHUNK) -> DataFrame:
@@ -134,7 +136,7 @@ def flatlines(cgm: DataFrame, a: Anomaly, max_gap_minutes: float = 7.0) -> DataF
     rows = cgm.withColumn("bg", F.col("bg_mgdl").cast("double")).withColumn("row", F.row_number().over(w).cast("long")).withColumn("gap", (F.unix_seconds("timestamp") - F.unix_seconds(F.lag("timestamp").over(w))) / 60)
     rows = rows.withColumn("var", F.when(F.count("bg").over(inside) == k, F.var_samp("bg").over(inside))).withColumn("longest", F.max("gap").over(w.rowsBetween(-(k - 2), 0)))
     hits = rows.where((F.col("var") < a.flatline_tolerance) & (F.col("longest") <= max_gap_minutes))
-    return thin(hits, "pump_serial", "row", k).select("pump_serial", "seqnum", "timestamp", F.lit("flatline").alias("anomaly_type"), F.col("bg_mgdl").alias("bg_at_event"), F.lit(0.0).alias("rate_mgdl_per_min"), F.greatest(F.lit(0.0), 1 - F.col("var") / a.flatline_tolerance).alias("confidence"), F.col("backfilled").alias("is_backfilled_context"))
+    return thin(hits, "pump_serial", "row", k, max(1, ROWS // k)).select("pump_serial", "seqnum", "timestamp", F.lit("flatline").alias("anomaly_type"), F.col("bg_mgdl").alias("bg_at_event"), F.lit(0.0).alias("rate_mgdl_per_min"), F.greatest(F.lit(0.0), 1 - F.col("var") / a.flatline_tolerance).alias("confidence"), F.col("backfilled").alias("is_backfilled_context"))
 
 
 def meal_runs(cgm: DataFrame, requests: DataFrame, m: MealRun, high: float, min_gap: float = 4.0, max_gap: float = 7.0, tz: str | None = None) -> DataFrame:
@@ -145,7 +147,7 @@ def meal_runs(cgm: DataFrame, requests: DataFrame, m: MealRun, high: float, min_
     ok = F.coalesce(F.col("gap").between(min_gap, max_gap) & (F.col("rise") >= m.rise_threshold_per_5min), F.lit(False))
     ahead = w.rowsBetween(0, s - 1)
     rows = rows.withColumn("_ok", ok.cast("int")).withColumn("_run", F.sum("_ok").over(ahead)).withColumn("rate", F.avg("rise").over(ahead))
-    runs = thin(rows.where(F.col("_run") == s), "pump_serial", "row", s)
+    runs = thin(rows.where(F.col("_run") == s), "pump_serial", "row", s, max(1, ROWS // s))
     # Food boluses before and readings after a run come from one side of one join; the runs themselves are read once.
     food = requests.where(F.col("bolus_category").isin(FOOD_CARRYING)).select("pump_serial", F.unix_seconds("timestamp").alias("pt"), F.lit(None).cast("int").alias("pbg"))
     later = cgm.select("pump_serial", F.unix_seconds("timestamp").alias("pt"), F.col("bg_mgdl").alias("pbg"))
