@@ -71,9 +71,9 @@ def site_issues(alarms: DataFrame, events: DataFrame, c: SiteChange) -> DataFram
 
 
 def cgm_gaps(alarms: DataFrame) -> DataFrame:
-    """Out-of-range alarms from activation to the next activation or clearing; acknowledgements don't count."""
+    """Out-of-range alarms from activation to the next activation or clearing; acknowledgements don't count.  seqnum is the activation's."""
     rows = pair(alarms.where("alarm_name = 'cgm_out_of_range'"), "pump_serial", ["timestamp", "seqnum"], F.col("action") == "activated", F.col("action") == "cleared")
-    return rows.select("pump_serial", F.col("timestamp").alias("start_ts"), "end_ts", ((F.unix_micros("end_ts") - F.unix_micros("timestamp")) / 60e6).alias("duration_minutes"), F.col("end_ts").isNull().alias("ongoing"))
+    return rows.select("pump_serial", F.col("timestamp").alias("start_ts"), "end_ts", ((F.unix_micros("end_ts") - F.unix_micros("timestamp")) / 60e6).alias("duration_minutes"), F.col("end_ts").isNull().alias("ongoing"), "seqnum")
 
 
 def enrich_all(frames: dict[str, DataFrame], c: SiteChange) -> dict[str, DataFrame]:

@@ -44,7 +44,7 @@ class Window:
 def gaps(w: Window, alarms: DataFrame) -> DataFrame:
     """Sensor gaps of the window's alarms; one that was still open before stands for the alarm that opened it."""
     opened = w.stored("cgm_gaps", "start_ts").where("end_ts is null")
-    seeds = opened.select("pump_serial", F.lit(-1).cast("long").alias("seqnum"), F.col("start_ts").alias("timestamp"), F.lit("activated").alias("action"), F.lit("cgm_out_of_range").alias("alarm_name"))
+    seeds = opened.select("pump_serial", "seqnum", F.col("start_ts").alias("timestamp"), F.lit("activated").alias("action"), F.lit("cgm_out_of_range").alias("alarm_name"))
     return enrich.cgm_gaps(seeds.unionByName(alarms.select(*seeds.columns)))
 
 

@@ -88,7 +88,7 @@ def together(calls: dict[str, Callable]) -> dict:
 
 
 #: Version of the tables that sync writes.
-VERSION = 5
+VERSION = 6
 
 
 def sync(store: ParquetStore, raw: DataFrame, config: Config, now: datetime, pumps: list[str] | None = None, override: datetime | None = None, overlap_days: int = 1) -> dict[str, UpsertResult]:

@@ -46,7 +46,8 @@ TABLES: dict[str, StructType] = {
         "pump_serial string, first_occlusion_ts timestamp, last_occlusion_ts timestamp, occlusion_count long, resolved_by_site_change_ts timestamp, resolution_delay_minutes double",
         "first_occlusion_ts", "first_occlusion_ts",
     ),
-    "cgm_gaps": _table("pump_serial string, start_ts timestamp, end_ts timestamp, duration_minutes double, ongoing boolean", "start_ts", "start_ts"),
+    # By the number of the alarm that opened it: two may begin in one second.
+    "cgm_gaps": _table("pump_serial string, start_ts timestamp, end_ts timestamp, duration_minutes double, ongoing boolean, seqnum long", "seqnum", "start_ts"),
 }
 
 

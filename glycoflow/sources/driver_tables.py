@@ -140,5 +140,5 @@ def frames(spark: SparkSession, sf_dir: str, c: SiteChange | None = None) -> dic
     events = tag_forced(pump_events(spark, sf_dir), a, c)
     return {
         "cgm": cgm(spark, sf_dir), "bolus": bolus(spark, sf_dir), "requests": requests(spark, sf_dir), "basal": basal(spark, sf_dir), "suspension": suspension(spark, sf_dir),
-        "events": events, "alarms": a, "site_issues": site_issues(a, events, c), "cgm_gaps": cgm_gaps(a),
+        "events": events, "alarms": a, "site_issues": site_issues(a, events, c), "cgm_gaps": cgm_gaps(a).drop("seqnum"),
     }

@@ -196,3 +196,17 @@ def test_small_things(spark, tmp_path):
     later = spark.createDataFrame([(3.0, None, "x"), (15.0, None, "y")], "a double, b double, day string")
     one, two = (sorted((r["day"], r["cluster_id"], round(r["distance"], 6)) for r in m.assign(later).collect()) for m in (model, DayModel.load(spark, str(tmp_path / "model"))))
     assert one == two and got.count() == 20
+
+
+def test_gaps_that_begin_in_one_second(spark, tmp_path):
+    """Two alarms of one second are two gaps, the first without length; a sync in steps keeps both."""
+    def alarm(n, minute, action):
+        return ("alarm", T + timedelta(minutes=minute), n, "a", n, json.dumps({"category": "cgm_alert", "action": action, "alarm_id": 14}))
+
+    stream = spark.createDataFrame([alarm(1, 0, "activated"), alarm(2, 0, "activated"), alarm(3, 3000, "cleared"), alarm(4, 3010, "activated"), alarm(5, 3010, "activated"), alarm(6, 3020, "cleared")], sync.RAW)
+    store = ParquetStore(spark, str(tmp_path / "store"))
+    for minute in (10, 2900, 4000):
+        sync.sync(store, stream, Config(), T + timedelta(minutes=minute))
+    direct = sync.build_all(stream, Config())[0]["cgm_gaps"]
+    assert sorted(map(str, store.read_all("cgm_gaps").collect())) == sorted(map(str, conform(direct, "cgm_gaps").collect()))
+    assert sorted(r["duration_minutes"] for r in store.read_all("cgm_gaps").collect()) == [0, 0, 10, 3000]
