@@ -28,7 +28,7 @@ from ..schema import TABLES, conform, key_of, table, time_of
 
 _STATE = "source_id string, source_kind string, last_synced_at timestamp, actual_min_date date, actual_max_date date, meta string, updated_at timestamp, ord long"
 _ALERTS = "id string, alert_kind string, pump_serial string, event_ref string, fired_at timestamp, payload string, delivery string"
-#: Pumps of a batch whose key ranges are told apart.
+#: Pumps of a batch whose key ranges are told apart, and that have folders of their own in it.
 PUMPS = 100
 _RESULTS = "id string, kind string, anchor_timestamp timestamp, payload string, created_at timestamp"
 
@@ -53,7 +53,7 @@ class ParquetStore:
         return sorted(s.getPath().toString() for s in found) if found else []
 
     def _batches(self, name: str) -> list[dict[str, Any]]:
-        """Batches of the newest list: {"batch": folder, "without": pumps whose rows in it don't count}."""
+        """Batches of the newest list: {"batch": folder, "without": pumps whose rows in it don't count, "flat": whether pumps have no folders}."""
         lists = self._lists(name)
         return json.loads("".join(r[0] for r in self.spark.read.text(lists[-1]).collect())) if lists else []
 
@@ -68,27 +68,43 @@ class ParquetStore:
         if self._fs.exists(target) or not self._fs.rename(tmp, target):
             raise OSError(f"couldn't publish {name}, list {number}: another writer may have taken it")
 
-    def _add(self, name: str, df: DataFrame, partition_by: str | None = None) -> tuple[str, int]:
-        """Writes a batch; its name and number of rows."""
+    def _add(self, name: str, df: DataFrame, partition_by: str | None = None) -> tuple[dict[str, Any], int]:
+        """Writes a batch; its entry in the list, and its number of rows."""
         batch = f"b{uuid.uuid4().hex}"
-        path = f"{self.root}/{name}/data/batch={batch}"
+        path = f"{self.root}/{name}/{'data' if partition_by else 'flat'}/batch={batch}"
         (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
-        return batch, self.spark.read.schema(df.schema).parquet(path).count()  # from the files' footers
+        return {"batch": batch, "without": [], "flat": not partition_by}, self.spark.read.schema(df.schema).parquet(path).count()  # from the files' footers
+
+    def _add_rows(self, name: str, df: DataFrame, pumps: int) -> tuple[dict[str, Any], int]:
+        """Writes a batch of a table's rows by ranges of pump and time.
+
+        Few pumps get folders of their own.  Of many, each would be one more file to commit, list and open, however small;
+        their rows go to files of usual size, and the files' statistics tell pumps and times apart.
+        """
+        return self._add(name, self._spread(df, name), "pump_serial" if pumps <= PUMPS else None)
+
+    def _pumps(self, df: DataFrame) -> int:
+        """Pumps of df, but no more than one above PUMPS."""
+        return df.select("pump_serial").distinct().limit(PUMPS + 1).count()
 
     def _read(self, name: str, schema: StructType) -> DataFrame:
         batches = self._batches(name)
         if not batches:
             return self.spark.createDataFrame([], schema)
-        base, columns = f"{self.root}/{name}/data", [f.name for f in schema.fields]
+        columns, parts = [f.name for f in schema.fields], []
         typed = StructType([*schema.fields]).add("batch", StringType())
-        df = self.spark.read.schema(typed).option("basePath", base).parquet(*(f"{base}/batch={b['batch']}" for b in batches))
-        for b in batches:
-            if b["without"]:
-                df = df.where(~((F.col("batch") == b["batch"]) & F.col("pump_serial").isin(b["without"])))
-        return df.select(columns)
+        for flat in (False, True):
+            mine, base = [b for b in batches if b.get("flat", False) == flat], f"{self.root}/{name}/{'flat' if flat else 'data'}"
+            if mine:
+                df = self.spark.read.schema(typed).option("basePath", base).parquet(*(f"{base}/batch={b['batch']}" for b in mine))
+                for b in mine:
+                    if b["without"]:
+                        df = df.where(~((F.col("batch") == b["batch"]) & F.col("pump_serial").isin(b["without"])))
+                parts.append(df.select(columns))
+        return reduce(DataFrame.unionByName, parts)
 
     def _replace(self, name: str, df: DataFrame, partition_by: str | None = None) -> None:
-        self._publish(name, [{"batch": self._add(name, df, partition_by)[0], "without": []}])
+        self._publish(name, [self._add(name, df, partition_by)[0]])
 
     def vacuum(self, name: str, keep: int = 5) -> int:
         """Deletes lists but the newest `keep`, and batches that none of those names; the number of batches deleted."""
@@ -96,7 +112,7 @@ class ParquetStore:
         named = {b["batch"] for at in lists[-keep:] for b in json.loads("".join(r[0] for r in self.spark.read.text(at).collect()))}
         for at in lists[:-keep]:
             self._fs.delete(self._path(at), False)
-        found = self._fs.globStatus(self._path(f"{self.root}/{name}/data/batch=*")) or []
+        found = self._fs.globStatus(self._path(f"{self.root}/{name}/{{data,flat}}/batch=*")) or []
         old = [s.getPath() for s in found if s.getPath().getName().removeprefix("batch=") not in named]
         for path in old:
             self._fs.delete(path, True)
@@ -104,7 +120,8 @@ class ParquetStore:
 
     def compact(self, name: str) -> None:
         """Puts all batches of a table into one."""
-        self._replace(name, self._spread(self.read_all(name), name), "pump_serial")
+        have = self.read_all(name)
+        self._publish(name, [self._add_rows(name, have, self._pumps(have))[0]])
 
     # -- tables -----------------------------------------------------------------------------------------------
 
@@ -142,18 +159,23 @@ class ParquetStore:
         Pumps choose folders and key ranges choose row groups by their statistics, so what is read follows the batch,
         not the years that are stored.  For many pumps one range holds for all.
         """
-        key = key_of(name)[1]
+        return self._near(name, batch)[0]
+
+    def _near(self, name: str, batch: DataFrame) -> tuple[DataFrame, int]:
+        """`near`, and the batch's pumps, counted up to one above PUMPS."""
+        key, have = key_of(name)[1], self.read_all(name)
+        if not self._lists(name):
+            return have, self._pumps(batch)
         per = batch.groupBy("pump_serial").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
         rows = per.limit(PUMPS + 1).collect()
-        have = self.read_all(name)
         if not rows:
-            return have.where("false")
+            return have.where("false"), 0
         if len(rows) > PUMPS:
-            edge = per.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
-            return have.where(F.col(key).between(F.lit(edge["lo"]), F.lit(edge["hi"])))
+            edge = batch.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+            return have.where(F.col(key).between(F.lit(edge["lo"]), F.lit(edge["hi"]))), len(rows)
         lo, hi = min(r["lo"] for r in rows), max(r["hi"] for r in rows)
         mine = reduce(or_, ((F.col("pump_serial") == r["pump_serial"]) & F.col(key).between(F.lit(r["lo"]), F.lit(r["hi"])) for r in rows))
-        return have.where(F.col("pump_serial").isin([r["pump_serial"] for r in rows]) & F.col(key).between(F.lit(lo), F.lit(hi)) & mine)
+        return have.where(F.col("pump_serial").isin([r["pump_serial"] for r in rows]) & F.col(key).between(F.lit(lo), F.lit(hi)) & mine), len(rows)
 
     def upsert(self, name: str, df: DataFrame, order: str | None = None) -> UpsertResult:
         """Inserts rows with new keys; stored rows win, of a batch's repeats the first by `order`.  Writes the new rows alone.
@@ -165,11 +187,12 @@ class ParquetStore:
         batch = self.staged(conform(df, name, [order] if order else []), name)
         received = batch.count()  # from the files' footers
         rank = F.row_number().over(Window.partitionBy(*key).orderBy(*([f"_{order}"] if order else columns)))
-        known = self.near(name, batch).select(*key).join(batch.select(*key), key, "left_semi")
-        new = batch.join(known, key, "left_anti").withColumn("_n", rank).where("_n = 1").select(columns)
-        added, inserted = self._add(name, self._spread(new, name), "pump_serial")
+        have, pumps = self._near(name, batch)
+        known = have.select(*key).join(batch.select(*key), key, "left_semi")
+        fresh = batch.join(known, key, "left_anti") if self._lists(name) else batch
+        added, inserted = self._add_rows(name, fresh.withColumn("_n", rank).where("_n = 1").select(columns), pumps)
         if inserted:
-            self._publish(name, [*self._batches(name), {"batch": added, "without": []}])
+            self._publish(name, [*self._batches(name), added])
         self.unstage(batch)
         return UpsertResult(received, inserted, received - inserted)
 
@@ -181,7 +204,7 @@ class ParquetStore:
         key, columns = key_of(name), [f.name for f in table(name).fields]
         smallest = F.row_number().over(Window.partitionBy(*key).orderBy(*columns))
         batch = self.staged(conform(rows, name).withColumn("_n", smallest).where("_n = 1").drop("_n"), name)
-        received, have = batch.count(), self.near(name, batch)
+        received, (have, pumps) = batch.count(), self._near(name, batch)
         other = [c for c in columns if c not in key]
         side = have.select(*key, F.struct(*other).alias("_old"))
         state = F.when(F.col("_old").isNull(), "new").when(~F.struct(*other).eqNullSafe(F.col("_old")), "changed")
@@ -193,10 +216,10 @@ class ParquetStore:
         if touched:
             mine = self.read_all(name).where(F.col("pump_serial").isin(touched))
             rest = mine.join(drop, key, "left_anti").select(columns).unionByName(changed)
-            batches = [{**b, "without": sorted({*b["without"], *touched})} for b in batches] + [{"batch": self._add(name, self._spread(rest, name), "pump_serial")[0], "without": []}]
-        added, n = self._add(name, self._spread(marked.where("_state = 'new'").select(columns), name), "pump_serial")
+            batches = [{**b, "without": sorted({*b["without"], *touched})} for b in batches] + [self._add_rows(name, rest, len(touched))[0]]
+        added, n = self._add_rows(name, marked.where("_state = 'new'").select(columns), pumps)
         if n:
-            batches = [*batches, {"batch": added, "without": []}]
+            batches = [*batches, added]
         if n or touched:
             self._publish(name, batches)
         n += changed.count()
@@ -215,9 +238,10 @@ class ParquetStore:
         mine = have if pump_serial is None else have.where(F.col("pump_serial") == pump_serial)
         n = mine.where(hit).count()
         if n:
-            rest, _ = self._add(name, self._spread(mine.where(~F.coalesce(hit, F.lit(False))), name), "pump_serial")
+            left = mine.where(~F.coalesce(hit, F.lit(False)))
+            rest, _ = self._add_rows(name, left, self._pumps(left) if pump_serial is None else 1)
             before = [] if pump_serial is None else [{**b, "without": [*b["without"], pump_serial]} for b in self._batches(name)]
-            self._publish(name, [*before, {"batch": rest, "without": []}])
+            self._publish(name, [*before, rest])
         return n
 
     def clean_all(self) -> None:
@@ -276,8 +300,8 @@ class ParquetStore:
         new = once.join(known, ["alert_kind", "event_ref"], "left_anti").select(F.uuid().alias("id"), "alert_kind", "pump_serial", "event_ref", "fired_at", "payload", F.lit("pending").alias("delivery"))
         added, n = self._add("alerts", new.coalesce(1))
         if n:
-            self._publish("alerts", [*self._batches("alerts"), {"batch": added, "without": []}])
-        return self.spark.read.schema(_ALERTS).parquet(f"{self.root}/alerts/data/batch={added}") if n else self.spark.createDataFrame([], _ALERTS)
+            self._publish("alerts", [*self._batches("alerts"), added])
+        return self.spark.read.schema(_ALERTS).parquet(f"{self.root}/alerts/flat/batch={added['batch']}") if n else self.spark.createDataFrame([], _ALERTS)
 
     def insert_or_get_alert(self, kind: str, event_ref: str, pump_serial: str, fired_at: datetime, payload: str = "{}") -> tuple[Any, bool]:
         """The alert with this kind and reference, and whether it was inserted just now."""
@@ -327,6 +351,6 @@ def repair_shift(store: ParquetStore, name: str, hours: int, since: datetime, un
     have = store.read_all(name).where(F.col("pump_serial") == pump_serial)
     n = have.where((F.col(column) >= F.lit(since)) & (F.col(column) < F.lit(until))).count()
     if n:
-        moved, _ = store._add(name, store._spread(shift_times(have, column, hours, since, until, pump_serial), name), "pump_serial")
-        store._publish(name, [*({**b, "without": [*b["without"], pump_serial]} for b in store._batches(name)), {"batch": moved, "without": []}])
+        moved, _ = store._add_rows(name, shift_times(have, column, hours, since, until, pump_serial), 1)
+        store._publish(name, [*({**b, "without": [*b["without"], pump_serial]} for b in store._batches(name)), moved])
     return n

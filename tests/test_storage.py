@@ -105,6 +105,23 @@ def test_merge(spark, store):
     assert rows() == [x for x in want if x != ("c", 1, 101)]
 
 
+def test_many_pumps_have_no_folders_of_their_own(spark, store, tmp_path):
+    """Files follow rows, not pumps; batches of many and of few pumps are read, merged and deleted together."""
+    many = cgm(spark, [(f"p{i}", 1, i, 100) for i in range(150)])
+    assert store.upsert("cgm", many).inserted == 150 and store.upsert("cgm", many).inserted == 0
+    assert len(list((tmp_path / "store" / "cgm").rglob("*.parquet"))) < 20
+    assert store.upsert("cgm", cgm(spark, [("p7", 2, 0, 101), ("q", 1, 0, 102)])).inserted == 2
+    assert store.merge("cgm", cgm(spark, [("p7", 1, 7, 555), ("p8", 1, 8, 100)])).inserted == 1
+    assert store.delete_range("cgm", pump_serial="p9") == 1
+    rows = lambda: sorted((r["pump_serial"], r["seqnum"], r["bg_mgdl"]) for r in store.read_all("cgm").collect())
+    want = sorted([(f"p{i}", 1, 555 if i == 7 else 100) for i in range(150) if i != 9] + [("p7", 2, 101), ("q", 1, 102)])
+    assert rows() == want
+    assert store.merge("cgm", many.withColumn("bg_mgdl", F.lit(1))).inserted == 150
+    assert len(list((tmp_path / "store" / "cgm").rglob("*.parquet"))) < 40
+    store.compact("cgm")
+    assert store.vacuum("cgm", keep=1) >= 3 and [r[2] for r in rows()].count(1) == 150 and len(rows()) == 152
+
+
 def test_repeats_in_a_batch(spark, store):
     """The first by the order given; without one the smallest row, however the batch is partitioned."""
     rows = spark.createDataFrame([("a", 1, 9, 300), ("a", 1, 2, 200), ("a", 1, 5, 100)], "pump_serial string, seqnum long, o int, bg_mgdl int").withColumn("timestamp", F.lit(T))
