@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import shared_folder
+from ..shipping import shared_folder, stored
 
 _SCALE = "place int, name string, median double, mean double, deviation double"
 _CENTRES = "cluster_id int, centre array<double>"
@@ -78,5 +78,7 @@ def fit_days(features: DataFrame, columns: list[str], key: list[str], k: int = 5
 
 def cluster_days(features: DataFrame, columns: list[str], key: list[str], k: int = 5, model: DayModel | None = None) -> tuple[DataFrame, DayModel]:
     """Days with cluster_id and distance, without the columns that they were clustered by; and the model."""
-    model = model or fit_days(features, columns, key, k)
+    if model is None:
+        features = stored(features, "features")  # fitting reads them three times, assigning once more
+        model = fit_days(features, columns, key, k)
     return model.assign(features).drop(*columns), model

@@ -5,10 +5,11 @@ from __future__ import annotations
 import functools
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -45,6 +46,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder(spark.sparkContext.applicationId)
 
 
+def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """df as files in the shared folder: plans over it don't work it out again.  They stay, as plans run later."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @functools.cache
 def _own_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"glycoflow-{application}-")

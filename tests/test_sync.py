@@ -210,3 +210,21 @@ def test_gaps_that_begin_in_one_second(spark, tmp_path):
     direct = sync.build_all(stream, Config())[0]["cgm_gaps"]
     assert sorted(map(str, store.read_all("cgm_gaps").collect())) == sorted(map(str, conform(direct, "cgm_gaps").collect()))
     assert sorted(r["duration_minutes"] for r in store.read_all("cgm_gaps").collect()) == [0, 0, 10, 3000]
+
+
+def counted(df):
+    """df, and how many of its rows have been worked out so far."""
+    rows = df.sparkSession.sparkContext.accumulator(0)
+
+    def add(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(add, df.schema), rows
+
+
+def test_days_are_worked_out_once(spark):
+    days, rows = counted(spark.createDataFrame([(float(i), float(i % 2), "d") for i in range(20)], "a double, b double, day string"))
+    got, _ = cluster_days(days, ["a", "b"], ["day", "a"], k=2)
+    assert len(got.collect()) == 20 and rows.value == 20
