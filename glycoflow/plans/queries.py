@@ -21,7 +21,7 @@ from ..operators.joins import range_join
 from ..operators.variability import conga, mage, modd
 from ..operators.enrich import original_view
 from ..schema import FOOD_CARRYING, TABLES, time_of
-from ..shipping import shared_folder
+from ..shipping import shared_folder, stored
 from ..sources import driver_tables as d
 from ..sources.storage import ParquetStore, repair_shift
 from ..streaming.alerts import due_retries, live_readings, newest
@@ -499,8 +499,8 @@ def _extent(frames: dict[str, DataFrame]) -> DataFrame:
 
 @query
 def router_tables(s, p):
-    """All nine tables from raw events by the router."""
-    return _extent(sync.build_all(d.raw_events(s, p), CONFIG)[0])
+    """All nine tables from raw events by the router; the events are read and parsed once, into files by class."""
+    return _extent(sync.build_parsed(stored(sync.known(d.raw_events(s, p)), "events", "event_class"), CONFIG))
 
 
 @query

@@ -66,13 +66,17 @@ def _simple(events: DataFrame) -> dict[str, DataFrame]:
 
 def build_all(raw: DataFrame, config: Config) -> tuple[dict[str, DataFrame], DataFrame]:
     """All nine tables, lazily, and counts of the event classes that no builder takes."""
-    events = parsed(raw)
+    return build_parsed(parsed(raw), config), build.unhandled(raw, KNOWN)
+
+
+def build_parsed(events: DataFrame, config: Config) -> dict[str, DataFrame]:
+    """All nine tables from parsed events.  Each builder reads its own classes, so events had better be stored by class."""
     frames = _simple(events)
     frames |= {
         "cgm": build.build_cgm(of_class(events, "cgm").withColumnRenamed("timestamp", "event_ts"), config.timezone),
         "requests": build.build_requests(*_messages(events)), "suspension": build.build_suspension(_stops_and_goes(events), frames["alarms"]),
     }
-    return enrich_all(frames, config.site_change), build.unhandled(raw, KNOWN)
+    return enrich_all(frames, config.site_change)
 
 
 def time_bounds(frames: dict[str, DataFrame]) -> DataFrame:

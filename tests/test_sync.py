@@ -9,6 +9,7 @@ from glycoflow.config import Config
 from glycoflow.operators.cluster import DayModel, cluster_days
 from glycoflow.operators.enrich import backfill, original_view
 from glycoflow.plans import sync
+from glycoflow.plans.queries import QUERIES
 from glycoflow.schema import conform
 from glycoflow.sources.storage import ParquetStore
 
@@ -228,3 +229,9 @@ def test_days_are_worked_out_once(spark):
     days, rows = counted(spark.createDataFrame([(float(i), float(i % 2), "d") for i in range(20)], "a double, b double, day string"))
     got, _ = cluster_days(days, ["a", "b"], ["day", "a"], k=2)
     assert len(got.collect()) == 20 and rows.value == 20
+
+
+def test_router_reads_its_events_once(spark):
+    """The tables' plan reads the parsed events by class, not the raw ones again for each table."""
+    plan = QUERIES["router_tables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "events.parquet" not in plan and "event_class" in plan
