@@ -325,7 +325,7 @@ def meal_rise_instances(s, p):
 
 
 def _scored(s, p):
-    return detect.score(detect.instances(detect.meal_rises(d.cgm(s, p), RISE, TZ), RISE), d.requests(s, p), Calibration(), TZ)
+    return detect.score(detect.instances(detect.meal_rises(d.cgm(s, p), RISE, TZ).drop("glucose_values"), RISE), d.requests(s, p), Calibration(), TZ)
 
 
 @query

@@ -64,6 +64,11 @@ def _simple(events: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def known(raw: DataFrame) -> DataFrame:
+    """Parsed events of the classes that a builder takes."""
+    return parsed(raw.where(F.col("event_class").isin(KNOWN)))
+
+
 def build_all(raw: DataFrame, config: Config) -> tuple[dict[str, DataFrame], DataFrame]:
     """All nine tables, lazily, and counts of the event classes that no builder takes."""
     return build_parsed(parsed(raw), config), build.unhandled(raw, KNOWN)
@@ -193,6 +198,7 @@ def score_report(scored: DataFrame, path: str, title: str = "Fast rises") -> Non
     labels = ["pre_bolused", "late_bolused", "uncovered"]
     counts = scored.groupBy("hour_of_day", "label").agg(F.count(F.lit(1)).alias("n"))
     counts.coalesce(1).write.mode("overwrite").json(path)
+    counts = scored.sparkSession.read.schema("hour_of_day int, label string, n long").json(path)  # not scored again
     wide = counts.groupBy("hour_of_day").pivot("label", labels).agg(F.first("n")).fillna(0, labels)
     row = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("hour_of_day").cast("string"), *(F.col(x).cast("string") for x in labels)), F.lit(" |"))
     head = [f"# {title}", "", f"| Hour | {' | '.join(labels)} |", "|---|---|---|---|"]

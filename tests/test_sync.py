@@ -231,6 +231,12 @@ def test_days_are_worked_out_once(spark):
     assert len(got.collect()) == 20 and rows.value == 20
 
 
+def test_scores_are_worked_out_once(spark, tmp_path):
+    scored, rows = counted(spark.createDataFrame([(1, "uncovered"), (1, "uncovered"), (2, "late_bolused")], "hour_of_day int, label string"))
+    sync.score_report(scored, str(tmp_path / "r"))
+    assert rows.value == 3 and spark.read.text(str(tmp_path / "r.md")).count() == 6
+
+
 def test_router_reads_its_events_once(spark):
     """The tables' plan reads the parsed events by class, not the raw ones again for each table."""
     plan = QUERIES["router_tables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
