@@ -9,6 +9,7 @@ from ..config import Anomaly, Calibration, MealRise, MealRun
 from ..functions.sequences import theil_sen
 from ..functions.time import iso_minute, local
 from ..schema import CORRECTIONS, FOOD_CARRYING
+from ..shipping import stored
 from .joins import best_matches, range_join, with_halo
 from .sequences import thin
 
@@ -103,8 +104,10 @@ def score(detections: DataFrame, requests: DataFrame, c: Calibration, tz: str, k
 def slope_sweep(slopes: DataFrame, values: list[float], c: MealRise, requests: DataFrame | None = None, calibration: Calibration | None = None, tz: str | None = None) -> DataFrame:
     """Firings and instances for each base slope; with requests, also how many instances get each label.
 
-    Windows and slopes are computed once for all base slopes, and all instances are scored in one join.
+    Windows and slopes are computed once for all base slopes, and all instances are scored in one join.  What fires at
+    the lowest base slope is stored, without its samples: counts and thinning both read it.
     """
+    slopes = stored(slopes.where(F.col("slope") >= min(values) * F.col("multiplier")).drop("glucose_values"), "fired")
     swept = slopes.withColumn("base", F.explode(F.array(*map(F.lit, values)))).where(F.col("slope") >= F.col("base") * F.col("multiplier"))
     keyed = swept.withColumn("series", F.concat_ws("|", F.col("base").cast("string"), "pump_serial"))
     kept = thin(keyed, "series", "t", c.refractory_minutes * 60)

@@ -5,8 +5,9 @@ from datetime import date, datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from glycoflow.config import Config
+from glycoflow.config import Config, MealRise
 from glycoflow.operators.cluster import DayModel, cluster_days
+from glycoflow.operators.detect import slope_sweep
 from glycoflow.operators.enrich import backfill, original_view
 from glycoflow.plans import sync
 from glycoflow.plans.queries import QUERIES
@@ -237,6 +238,12 @@ def test_scores_are_worked_out_once(spark, tmp_path):
     assert rows.value == 3 and spark.read.text(str(tmp_path / "r.md")).count() == 6
 
 
+def test_slopes_are_worked_out_once(spark):
+    slopes, rows = counted(spark.createDataFrame([("a", i, 600 * i, float(i % 3), 1.0, [100]) for i in range(30)], "pump_serial string, seqnum long, t long, slope double, multiplier double, glucose_values array<int>"))
+    got = {r["base"]: (r["firings"], r["instances"]) for r in slope_sweep(slopes, [1.0, 2.0], MealRise(refractory_minutes=60)).collect()}
+    assert got == {1.0: (20, 5), 2.0: (10, 5)} and rows.value == 30
+
+
 def test_router_reads_its_events_once(spark):
     """The tables' plan reads the parsed events by class, not the raw ones again for each table."""
     plan = QUERIES["router_tables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
