@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,27 +85,26 @@ def issues(w: Window, alarms: DataFrame, new_events: DataFrame) -> DataFrame:
 def requests(w: Window, messages: list[DataFrame]) -> DataFrame:
     """Bolus requests of which the window has a message; what only earlier messages said is taken from the stored row."""
     key = ["pump_serial", "bolus_id"]
-    one, two, three = (build.first_rows(m, key, [F.col("ingest_ord").desc()]).drop("ingest_ord") for m in messages)
-    second = two.select(*key, build.bolus_source(F.col("options"), F.col("user_override")).alias("bolus_source"))
-    touched = one.select(*key).unionByName(two.select(*key)).unionByName(three.select(*key)).distinct()
+    # All three messages meet in one grouping; of repeated ones the last to arrive counts, so its number comes first.
+    last = [F.struct("ingest_ord", *(c for c in m.columns if c not in (*key, "ingest_ord"))).alias(f"_{i}") for i, m in enumerate(messages, 1)]
+    told = reduce(partial(DataFrame.unionByName, allowMissingColumns=True), (m.where("pump_serial is not null and bolus_id is not null").select(*key, s) for m, s in zip(messages, last)))
+    touched = told.groupBy(*key).agg(*(F.max(f"_{i}").alias(f"_{i}") for i in (1, 2, 3)))
+    source = F.when(F.col("_2").isNotNull(), F.struct(build.bolus_source(F.col("_2.options"), F.col("_2.user_override")).alias("bolus_source")))
     fields = ["timestamp", "carbs_g", "bg_mgdl", "iob", "bolus_source", "food_insulin", "correction_insulin", "total_requested"]
-    have = w.store.near("requests", touched).select(*key, F.struct(*fields).alias("_old"))
-    both = touched.join(have, key, "left")
-    for name, part in (("_1", one), ("_2", second), ("_3", three)):
-        both = both.join(part.select(*key, F.struct(*(c for c in part.columns if c not in key)).alias(name)), key, "left")
+    have = w.store.near("requests", told).select(*key, F.struct(*fields).alias("_old"))
+    both = touched.withColumn("_2", source).join(have, key, "left")
     # A message of the window stands for all of its fields, nulls too; without one the stored row's hold.
     of = {"timestamp": "_1", "carbs_g": "_1", "bg_mgdl": "_1", "iob": "_1", "bolus_source": "_2", "food_insulin": "_3", "correction_insulin": "_3", "total_requested": "_3"}
     merged = both.where("_1 is not null or _old is not null").select(*key, *(F.when(F.col(m).isNotNull(), F.col(f"{m}.{f}")).otherwise(F.col(f"_old.{f}")).alias(f) for f, m in of.items()))
     return enrich.enrich_requests(merged.withColumn("bolus_source", F.coalesce("bolus_source", F.lit("unknown"))))
 
 
-def readings(w: Window, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def readings(w: Window, mine: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The window's readings that are kept, and keys of stored ones that a backfilled reading now makes too near.
 
-    raw: the window's reading events and those of the minute before it.
+    mine: the window's readings and those of the minute before it, each once; read several times, so better staged.
     """
-    key, tz = ["pump_serial", "seqnum"], w.config.timezone
-    mine = build.read_cgm(build.first_rows(raw, key, ["ingest_ord"]).drop("ingest_ord"), tz)
+    key = ["pump_serial", "seqnum"]
     stored = w.store.near("cgm", mine)
     fresh = mine.join(stored.select(*key), key, "left_anti")
     # Live rows meet what lies within a minute: the window's rows, those of the minute before, and backfilled ones stored since then.

@@ -15,7 +15,7 @@ from ..functions.time import between, local_date, overlaps, window_bounds
 from ..operators import build
 from ..operators.enrich import backfill, enrich_all, original_view
 from ..schema import TABLES, time_of
-from ..sources.event_files import fetched
+from ..sources.event_files import seen
 from ..sources.storage import ParquetStore, UpsertResult
 from . import carry
 
@@ -30,18 +30,25 @@ PAYLOADS = {
     "event": "kind string, code int, previous_code int, volume int, prime_size int, requested_action int, exercise_time int, commanded_basal_rate double, pump_control_state int, status_user_mode int",
     "alarm": "category string, action string, alarm_id int, raw_name string, param1 double, param2 double",
 }
+#: Class of readings of the minute before a window, which only decide about the window's first ones.
+BEFORE = "cgm_before"
 _FIELDS = {x.split()[0]: x for p in PAYLOADS.values() for x in p.split(", ") if x}
 _HEAD = ["pump_serial", "seqnum", "timestamp", "ingest_ord"]
 
 
 def parsed(raw: DataFrame) -> DataFrame:
-    """Raw events with the fields of all classes as columns, from one parse of each payload."""
-    return raw.withColumn("_p", F.from_json("payload", ", ".join(_FIELDS.values()))).select("event_class", *_HEAD, "_p.*")
+    """Raw events with the fields of all classes as columns, from one parse of each payload for its own class's fields alone."""
+    own = {c: F.when(F.col("event_class") == c, F.from_json("payload", p)) for c, p in PAYLOADS.items() if p}
+    of = {f: [c for c, p in PAYLOADS.items() if f in (x.split(" ")[0] for x in p.split(", "))] for f in _FIELDS}
+    return raw.withColumns({f"_{c}": p for c, p in own.items()}).select("event_class", *_HEAD, *(F.coalesce(*(F.col(f"_{c}.{f}") for c in classes)).alias(f) for f, classes in of.items()))
 
 
 def of_class(events: DataFrame, name: str, key: list[str] | None = None) -> DataFrame:
-    """One class's events; with a key, of repeated ones the first to arrive, without its number."""
-    rows = events.where(F.col("event_class") == name).select(*_HEAD, *(f.split()[0] for f in PAYLOADS[name].split(", ") if f))
+    """One class's events, parsed already or not; with a key, of repeated ones the first to arrive, without its number."""
+    rows, fields = events.where(F.col("event_class") == name), [f.split()[0] for f in PAYLOADS[name].split(", ") if f]
+    if fields and "payload" in events.columns:
+        rows = rows.withColumn("_p", F.from_json("payload", PAYLOADS[name])).select(*_HEAD, "_p.*")
+    rows = rows.select(*_HEAD, *fields)
     return rows if key is None else build.first_rows(rows, key, ["ingest_ord"]).drop("ingest_ord")
 
 
@@ -104,19 +111,18 @@ def sync(store: ParquetStore, raw: DataFrame, config: Config, now: datetime, pum
     """Events of all pumps since their bookmarks, built and merged in one plan for each table; bookmarks move on.
 
     A pump's window begins with `override`; or a day before its bookmark, but not before its first event; or with its
-    first event.  Raw events are read and their payloads parsed once, into files by class, of which each builder reads its own.
+    first event.  Raw events are read twice: for each pump's first event and chunks, and into files by class.  Each builder
+    reads and parses its own class, once.
     Tables then hold what all events so far would give (see `carry`), however they were cut into windows, if events
     come in order and a bolus's first message comes before the others.  Rows of class `chunk`, which the event files'
     source leaves, tell which days couldn't be read: bookmarks stop there.  Results are by table, over all pumps.
     """
     mine = raw if pumps is None else raw.where(F.col("pump_serial").isin(pumps))
-    reports = fetched(mine)
-    mine = mine.where("event_class <> 'chunk'")
-    first = mine.groupBy("pump_serial").agg(F.min("timestamp").alias("first"))
+    first = seen(mine).where("events > 0")
     state = store.fetch_states().select(F.col("source_id").alias("pump_serial"), "last_synced_at", "actual_min_date", "actual_max_date")
     back = F.greatest(F.col("first"), F.col("last_synced_at") - F.expr(f"interval {overlap_days} days"))
     start = F.lit(override).cast("timestamp") if override else F.when(F.col("last_synced_at").isNull(), F.col("first")).otherwise(back)
-    marks = store.staged(first.join(state, "pump_serial", "left").select("pump_serial", start.alias("since"), "actual_min_date", "actual_max_date"), "marks")
+    marks = store.staged(first.join(state, "pump_serial", "left").select("pump_serial", start.alias("since"), "actual_min_date", "actual_max_date", "last_good_end", "failed_from"), "marks")
     since = marks.select("pump_serial", "since")
     earliest = since.agg(F.min("since")).first()[0]
     if earliest is None:
@@ -126,21 +132,22 @@ def sync(store: ParquetStore, raw: DataFrame, config: Config, now: datetime, pum
     recent = mine.where((t >= F.lit(earliest - reach)) & (t < F.lit(now)) & F.col("event_class").isin(KNOWN))
     own, near = t >= F.col("since"), t >= F.col("since") - F.make_dt_interval(secs=F.lit(carry.LOOK_BACK))
     inside = recent.join(since, "pump_serial").where(own | near & (F.col("event_class") == "cgm"))
-    staged = store.staged(parsed(inside.withColumn("event_class", F.when(own, F.col("event_class")).otherwise("cgm_before"))), "raw", "event_class")
-    w = carry.Window(store, since, earliest, config)
-    new = together({n: lambda n=n, df=df: store.staged(df, n) for n, df in _simple(staged).items()})
+    staged = store.staged(inside.select(F.when(own, F.col("event_class")).otherwise(BEFORE).alias("event_class"), *_HEAD, "payload"), "raw", "event_class")
+    w, numbered = carry.Window(store, since, earliest, config), ["pump_serial", "seqnum"]
+    both = of_class(staged.where(F.col("event_class").isin("cgm", BEFORE)).withColumn("event_class", F.lit("cgm")), "cgm", numbered)
+    readings = build.read_cgm(both.withColumnRenamed("timestamp", "event_ts"), config.timezone)
+    new = together({n: lambda n=n, df=df: store.staged(df, n) for n, df in {**_simple(staged), "cgm": readings}.items()})
     # What depends on stored alarms and events is read before those of the window join them.
     tagged = store.staged(carry.events(w, new["events"], new["alarms"]), "tagged")
     derived = {"cgm_gaps": carry.gaps(w, new["alarms"]), "suspension": carry.suspensions(w, _stops_and_goes(staged), new["alarms"]), "site_issues": carry.issues(w, new["alarms"], tagged), "requests": carry.requests(w, _messages(staged))}
-    both = F.col("event_class").isin("cgm", "cgm_before")
-    kept, close = carry.readings(w, of_class(staged.where(both).withColumn("event_class", F.lit("cgm")), "cgm").withColumnRenamed("timestamp", "event_ts"))
-    writes = {"cgm": lambda: store.merge("cgm", kept, close), "events": lambda: store.upsert("events", tagged)}
+    kept, close = carry.readings(w, new["cgm"])
+    writes = {"cgm": lambda: store.merge("cgm", kept, close), "events": lambda: store.upsert("events", tagged, staged=True)}
     writes |= {name: lambda name=name, rows=rows: store.merge(name, rows) for name, rows in derived.items()}
-    writes |= {name: lambda name=name: store.upsert(name, new[name]) for name in ("bolus", "basal", "alarms")}
+    writes |= {name: lambda name=name: store.upsert(name, new[name], staged=True) for name in ("bolus", "basal", "alarms")}
     out = together(writes)
-    received = staged.where("event_class <> 'cgm_before'")
+    received = staged.where(F.col("event_class") != BEFORE)
     days = received.groupBy("pump_serial").agg(F.to_date(F.min("timestamp")).alias("a"), F.to_date(F.max("timestamp")).alias("b"), F.max("timestamp").alias("last_event"))
-    moved = marks.join(days, "pump_serial", "left").join(reports, "pump_serial", "left")
+    moved = marks.join(days, "pump_serial", "left")
     # Where a chunk couldn't be read, the next sync begins with it; a pump all of whose chunks failed keeps its bookmark.
     until = F.least(F.lit(now).cast("timestamp"), F.col("failed_from").cast("timestamp"))
     shown = F.coalesce(F.date_format("last_good_end", "yyyy-MM-dd"), F.date_format(until, "yyyy-MM-dd'T'HH:mm:ss'Z'"))

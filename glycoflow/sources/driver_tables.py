@@ -128,9 +128,11 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event": (kind == "signup", [filled.alias("kind"), (k * 3).alias("volume"), (k % 25).alias("prime_size")]),
         "heartbeat": ((kind == "view") & (k % 10 == 9), [k.alias("beat")]),
     }
-    each = F.array(*(F.when(holds, F.struct(F.lit(c).alias("event_class"), F.to_json(F.struct(*fields)).alias("payload"))) for c, (holds, fields) in classes.items()))
-    rows = source(spark, sf_dir).withColumn("e", F.explode(F.filter(each, lambda x: x.isNotNull())))
-    return rows.select("e.event_class", "timestamp", "seqnum", "pump_serial", F.col("seqnum").alias("ingest_ord"), "e.payload")
+    # Payloads are written behind the explode, so scans that don't need them don't write them.
+    each = F.array(*(F.when(holds, F.lit(c)) for c, (holds, _) in classes.items()))
+    rows = source(spark, sf_dir).withColumn("event_class", F.explode(each)).where("event_class is not null")
+    payload = F.coalesce(*(F.when(F.col("event_class") == c, F.to_json(F.struct(*fields))) for c, (_, fields) in classes.items()))
+    return rows.select("event_class", "timestamp", "seqnum", "pump_serial", F.col("seqnum").alias("ingest_ord"), payload.alias("payload"))
 
 
 def frames(spark: SparkSession, sf_dir: str, c: SiteChange | None = None) -> dict[str, DataFrame]:

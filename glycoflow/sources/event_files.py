@@ -135,8 +135,17 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(EventFiles)
 
 
+def seen(raw: DataFrame) -> DataFrame:
+    """By pump, from one pass: events, their number; first, the time of the first; and what `fetched` tells of its chunks."""
+    chunk = F.col("event_class") == "chunk"
+    p = F.from_json(F.when(chunk, F.col("payload")), "start date, end date, ok boolean")
+    about = raw.select("pump_serial", (~chunk).alias("event"), F.when(~chunk, F.col("timestamp")).alias("t"), p.alias("p"))
+    return about.groupBy("pump_serial").agg(
+        F.count_if("event").alias("events"), F.min("t").alias("first"),
+        F.max(F.when(F.col("p.ok"), F.col("p.end"))).alias("last_good_end"), F.min(F.when(~F.col("p.ok"), F.col("p.start"))).alias("failed_from"),
+    )
+
+
 def fetched(raw: DataFrame) -> DataFrame:
     """By pump: last_good_end, the end of its last chunk that could be read; failed_from, the start of the first that couldn't."""
-    p = F.from_json("payload", "start date, end date, ok boolean")
-    about = raw.where("event_class = 'chunk'").select("pump_serial", p.alias("p"))
-    return about.groupBy("pump_serial").agg(F.max(F.when(F.col("p.ok"), F.col("p.end"))).alias("last_good_end"), F.min(F.when(~F.col("p.ok"), F.col("p.start"))).alias("failed_from"))
+    return seen(raw.where("event_class = 'chunk'")).drop("events", "first")

@@ -90,7 +90,7 @@ class ParquetStore:
     def _read(self, name: str, schema: StructType) -> DataFrame:
         batches = self._batches(name)
         if not batches:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], schema).where("false")  # so Spark sees that it's empty, and drops joins with it
         columns, parts = [f.name for f in schema.fields], []
         typed = StructType([*schema.fields]).add("batch", StringType())
         for flat in (False, True):
@@ -159,13 +159,11 @@ class ParquetStore:
         Pumps choose folders and key ranges choose row groups by their statistics, so what is read follows the batch,
         not the years that are stored.  For many pumps one range holds for all.
         """
-        return self._near(name, batch)[0]
+        return self._near(name, batch)[0] if self._lists(name) else self.read_all(name)
 
     def _near(self, name: str, batch: DataFrame) -> tuple[DataFrame, int]:
         """`near`, and the batch's pumps, counted up to one above PUMPS."""
         key, have = key_of(name)[1], self.read_all(name)
-        if not self._lists(name):
-            return have, self._pumps(batch)
         per = batch.groupBy("pump_serial").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
         rows = per.limit(PUMPS + 1).collect()
         if not rows:
@@ -177,23 +175,28 @@ class ParquetStore:
         mine = reduce(or_, ((F.col("pump_serial") == r["pump_serial"]) & F.col(key).between(F.lit(r["lo"]), F.lit(r["hi"])) for r in rows))
         return have.where(F.col("pump_serial").isin([r["pump_serial"] for r in rows]) & F.col(key).between(F.lit(lo), F.lit(hi)) & mine), len(rows)
 
-    def upsert(self, name: str, df: DataFrame, order: str | None = None) -> UpsertResult:
+    def upsert(self, name: str, df: DataFrame, order: str | None = None, staged: bool = False) -> UpsertResult:
         """Inserts rows with new keys; stored rows win, of a batch's repeats the first by `order`.  Writes the new rows alone.
 
         Without an order the smallest row stays, so results don't depend on how the batch is partitioned.  The batch is
         worked out once.  Stored keys meet it in a semi join, for which Spark can build a Bloom filter at run time.
+        staged: df is stored already and has each key once, so it is neither staged nor searched for repeats.
         """
         key, columns = key_of(name), [f.name for f in table(name).fields]
-        batch = self.staged(conform(df, name, [order] if order else []), name)
+        batch = conform(df, name, [order] if order else [])
+        batch = batch if staged else self.staged(batch, name)
         received = batch.count()  # from the files' footers
         rank = F.row_number().over(Window.partitionBy(*key).orderBy(*([f"_{order}"] if order else columns)))
-        have, pumps = self._near(name, batch)
-        known = have.select(*key).join(batch.select(*key), key, "left_semi")
-        fresh = batch.join(known, key, "left_anti") if self._lists(name) else batch
-        added, inserted = self._add_rows(name, fresh.withColumn("_n", rank).where("_n = 1").select(columns), pumps)
+        fresh, pumps = batch, None
+        if self._lists(name):
+            have, pumps = self._near(name, batch)
+            fresh = batch.join(have.select(*key).join(batch.select(*key), key, "left_semi"), key, "left_anti")
+        fresh = fresh if staged else fresh.withColumn("_n", rank).where("_n = 1")
+        added, inserted = self._add_rows(name, fresh.select(columns), self._pumps(batch) if pumps is None else pumps)
         if inserted:
             self._publish(name, [*self._batches(name), added])
-        self.unstage(batch)
+        if not staged:
+            self.unstage(batch)
         return UpsertResult(received, inserted, received - inserted)
 
     def merge(self, name: str, rows: DataFrame, gone: DataFrame | None = None) -> UpsertResult:
@@ -204,7 +207,14 @@ class ParquetStore:
         key, columns = key_of(name), [f.name for f in table(name).fields]
         smallest = F.row_number().over(Window.partitionBy(*key).orderBy(*columns))
         batch = self.staged(conform(rows, name).withColumn("_n", smallest).where("_n = 1").drop("_n"), name)
-        received, (have, pumps) = batch.count(), self._near(name, batch)
+        received = batch.count()
+        if not self._lists(name):  # nothing to compare with, replace or delete
+            added, n = self._add_rows(name, batch, self._pumps(batch))
+            if n:
+                self._publish(name, [added])
+            self.unstage(batch)
+            return UpsertResult(received, n, received - n)
+        have, pumps = self._near(name, batch)
         other = [c for c in columns if c not in key]
         side = have.select(*key, F.struct(*other).alias("_old"))
         state = F.when(F.col("_old").isNull(), "new").when(~F.struct(*other).eqNullSafe(F.col("_old")), "changed")

@@ -153,6 +153,17 @@ def test_an_upsert_reads_what_the_batch_needs(spark, store):
     assert store.upsert("cgm", batch).inserted == 288
 
 
+def test_first_merge_and_stored_batches(spark, store):
+    """A merge into an empty table keeps one row of a key; a batch that is stored already isn't staged again, nor deleted."""
+    r = store.merge("cgm", cgm(spark, [("a", 1, 0, 100), ("a", 1, 0, 90), ("b", 1, 10, 120)]))
+    assert (r.received, r.inserted) == (2, 2) and {x["bg_mgdl"] for x in store.read_all("cgm").collect()} == {90, 120}
+    batch = store.staged(cgm(spark, [("a", 1, 0, 555), ("a", 3, 15, 130)]), "batch")
+    r = store.upsert("cgm", batch, staged=True)
+    assert (r.received, r.inserted) == (2, 1) and batch.count() == 2 and {x["bg_mgdl"] for x in store.read_all("cgm").collect()} == {90, 120, 130}
+    empty = ParquetStore(spark, store.root + "2").read_all("cgm")
+    assert "Join" not in batch.join(empty, ["pump_serial", "seqnum"], "left_anti")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_second_writer_fails(spark, store, monkeypatch):
     store.upsert("cgm", cgm(spark, [("a", 1, 0, 100)]))
     first = store._lists("cgm")

@@ -248,3 +248,22 @@ def test_router_reads_its_events_once(spark):
     """The tables' plan reads the parsed events by class, not the raw ones again for each table."""
     plan = QUERIES["router_tables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "events.parquet" not in plan and "event_class" in plan
+
+
+def test_sync_reads_raw_events_twice(spark, tmp_path):
+    """Once for each pump's first event and chunks, once into files by class."""
+    events, rows = counted(raw(spark))
+    n, store = raw(spark).count(), ParquetStore(spark, str(tmp_path))
+    out = sync.sync(store, events, Config(), T + timedelta(days=1))
+    assert out["cgm"].inserted == 30 and rows.value == 2 * n
+    assert store.get_fetch_state("a")["actual_min_date"] == T.date()
+
+
+def test_messages_of_one_bolus(spark, tmp_path):
+    """Of repeated messages the last to arrive counts, its nulls too, whatever its values; fields of other classes don't disturb a payload."""
+    said = [("request1", 1, {"bolus_id": 1, "carbs_g": 90, "iob": 9.5, "volume": "?"}), ("request3", 2, {"bolus_id": 1, "food_insulin": 8.0}), ("request1", 3, {"bolus_id": 1, "carbs_g": 30}), ("request2", 4, {"bolus_id": 1, "options": 0, "user_override": 0}), ("request3", 5, {"bolus_id": 1, "food_insulin": 2.0}), ("request2", 6, {"bolus_id": 2, "options": 3}), ("request1", 7, {"carbs_g": 5})]
+    events = spark.createDataFrame([(c, T + timedelta(minutes=i), i, "a", i, json.dumps(p)) for c, i, p in said], sync.RAW)
+    store = ParquetStore(spark, str(tmp_path))
+    sync.sync(store, events, Config(), T + timedelta(days=1))
+    got = [(r["bolus_id"], r["timestamp"].minute, r["carbs_g"], r["iob"], r["bolus_source"], r["food_insulin"]) for r in store.read_all("requests").collect()]
+    assert got == [(1, 3, 30, None, "user", 2.0)]
